@@ -84,8 +84,9 @@ def mix_sources(
     A source of target/size = 2.3 gives each of its documents 2 copies and 0.3 of one
     more. Folds of about 64 documents settle these fractions pair by pair and hand one
     open document up; level after level, the open ones of 64 folds meet in the next,
-    until one for each source is left and drawn. Words move only within a source, so a
-    source misses its target by less than the size of one document. Draws depend on ids
+    until one for each source is left and drawn. Folds start with their largest document,
+    which the others can then settle. Words move only within a source, so a source misses
+    its target by less than the size of one document, mostly a short one. Draws depend on ids
     and the seed alone, so reruns agree.
 
     Returns one row for each input row: doc_id, source, size, source_size, target,
@@ -115,7 +116,7 @@ def mix_sources(
     rows = rows.select(
         "source", "source_size", "target", folds.alias("folds"),
         F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), folds).alias("fold"),
-        F.struct(F.xxhash64("doc_id", F.lit(seed + 2)).alias("at"), "doc_id", "size", base.alias("base"), (F.col("rate") - F.floor("rate")).alias("x")).alias("item"),
+        F.struct((-F.col("size")).alias("at"), F.xxhash64("doc_id", F.lit(seed + 2)).alias("then"), "doc_id", "size", base.alias("base"), (F.col("rate") - F.floor("rate")).alias("x")).alias("item"),
     )
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     keep = ["source", "source_size", "target", "folds", "fold"]
@@ -133,7 +134,7 @@ def mix_sources(
         level, width = level + 1, -(-width // FAN_IN)
         rows = open_.select(
             "source", "source_size", "target", F.ceil(F.col("folds") / F.lit(float(FAN_IN))).alias("folds"), F.floor(F.col("fold") / F.lit(FAN_IN)).alias("fold"),
-            F.struct(F.col("fold").alias("at"), F.col("s.r.doc_id").alias("doc_id"), F.col("s.r.size").alias("size"), F.col("s.r.base").alias("base"), F.col("s.r.x").alias("x")).alias("item"),
+            F.struct((-F.col("s.r.size")).alias("at"), F.col("fold").alias("then"), F.col("s.r.doc_id").alias("doc_id"), F.col("s.r.size").alias("size"), F.col("s.r.base").alias("base"), F.col("s.r.x").alias("x")).alias("item"),
         )
     out = parts[0]
     for part in parts[1:]:

@@ -53,3 +53,11 @@ def uniform(*cols: Column | str) -> Column:
 def let(value: Column, body) -> Column:
     """Bind a value once inside an expression of higher-order functions."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches of whole texts small: rows a batch, at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

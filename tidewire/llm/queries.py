@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_extract, langid, mixing, packing, quality, secrets, topk
+from . import chat, exact_dedup, html_extract, langid, mixing, ngram_join, packing, quality, secrets, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -59,6 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_secret_scan": op2_secret_scan,
+    "op3_ngram_join": op3_ngram_join,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_html_extraction": op5_html_extraction,
     "op6_packing": op6_packing,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": topk.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }

@@ -1,0 +1,206 @@
+"""Operators on small literal tables, and folds against plain loops."""
+
+import random
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewire.operators import claims, clustering, dedup, graph, guard, queues, scoring, serving, tables
+from tidewire.sources import feeds
+
+
+def ids(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_cascade_order(spark):
+    rows = [(1, "u1", "c1", 7), (2, "u1", "c2", 8), (3, "u3", "c1", 9), (4, "u4", "c4", 0b1000000000111), (5, "u5", "c5", 0b1000000000110), (6, "u6", "c6", 0), (7, "u7", "c7", 0), (8, "u8", "c8", -1)]
+    got = dedup.classify(spark.createDataFrame(rows, "id bigint, url_hash string, content_hash string, simhash bigint"))
+    assert ids(got, "id", "dedup_status", "duplicate_of") == [
+        (1, "unique", None), (2, "exact_duplicate", 1), (3, "exact_duplicate", 1), (4, "near_duplicate", 1), (5, "near_duplicate", 4), (6, "unique", None), (7, "unique", None), (8, "unique", None),
+    ]
+
+
+def test_near_pairs_lose_none(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    values = [b ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(6))) for b in base for _ in range(6)]
+    signed = sorted({v - 2**64 if v >> 63 else v for v in values})
+    got = ids(dedup.near_pairs(spark.createDataFrame([(v,) for v in signed], "simhash bigint")), "a", "b")
+    assert got == sorted((a, b) for a in signed for b in signed if a != b and 0 < bin((a ^ b) & (2**64 - 1)).count("1") <= 3)
+
+
+def test_aliases_and_overexposure(spark):
+    ents = spark.createDataFrame([(1, "A B C", "P"), (2, "b c", "P"), (3, "C", "P"), (4, "Ian", "P"), (5, "Iran", "P"), (6, "B  C", "P"), (7, "C", "O")], "entity_id bigint, name string, entity_type string")
+    assert dict(ids(guard.alias_groups(ents), "entity_id", "group_id")) == {1: 2, 2: 3, 3: 3, 4: 4, 5: 5, 6: 3, 7: 7}
+    edges = spark.createDataFrame([(a, e) for e, n in ((1, 2), (2, 3), (3, 4), (4, 6)) for a in range(n)], "article_id bigint, entity_id bigint")
+    over = guard.overexposed(edges, ents, edges, 0.001, 5)
+    assert ids(over, "entity_id", "exposure") == [(2, 7), (3, 7), (4, 6)]
+
+
+def test_masthead_lifts_with_a_second_outlet(spark):
+    ents = spark.createDataFrame([(1, "NPR", "ORG"), (2, "Iran", "PLACE"), (3, "x", "OTHER")], "entity_id bigint, name string, entity_type string")
+    edges = spark.createDataFrame([(9, 1), (9, 2), (9, 3)], "story_id bigint, entity_id bigint")
+    none = spark.createDataFrame([], "entity_id bigint")
+    one = spark.createDataFrame([(9, "www.npr.org"), (9, "www.npr.org")], "story_id bigint, domain string")
+    assert ids(guard.story_guard(edges, ents, none, one), "entity_id") == [(2,)]
+    two = one.unionByName(spark.createDataFrame([(9, "bbc.co.uk")], one.schema))
+    assert ids(guard.story_guard(edges, ents, none, two), "entity_id") == [(1,), (2,)]
+    art = guard.article_guard(edges.withColumnRenamed("story_id", "article_id"), ents, none, one.withColumnRenamed("story_id", "article_id"))
+    assert ids(art, "entity_id") == [(2,)]
+
+
+def tilted(seed, tilt=0.0, dim=32):
+    v = [0.0] * dim
+    v[seed % dim], v[(seed + 1) % dim] = 1.0, tilt
+    return v
+
+
+def run_cluster(spark, arts, edges, threshold):
+    start = datetime(2024, 1, 1)
+    a = spark.createDataFrame([(i, start + timedelta(hours=n), d, v) for n, (i, d, v) in enumerate(arts)], "article_id bigint, published_at timestamp, domain string, vector array<double>")
+    names = {e for _, e in edges}
+    e = spark.createDataFrame(edges, "article_id bigint, entity_id bigint")
+    ents = spark.createDataFrame([(n, f"name{n}", "PLACE") for n in names], "entity_id bigint, name string, entity_type string")
+    out = clustering.cluster(a, e, ents, spark.createDataFrame([], "entity_id bigint"), threshold)
+    return {r.article_id: (r.story_id, r.joined) for r in out.collect()}
+
+
+def test_join_or_create(spark):
+    assert run_cluster(spark, [(1, "a.com", tilted(0)), (2, "b.com", tilted(0))], [(1, 10), (2, 11)], 0.5) == {1: (1, False), 2: (2, False)}
+    assert run_cluster(spark, [(1, "a.com", tilted(0)), (2, "b.com", tilted(0, 0.05))], [(1, 10), (2, 10)], 0.5) == {1: (1, False), 2: (1, True)}
+    assert run_cluster(spark, [(1, "a.com", tilted(0)), (2, "b.com", tilted(5))], [(1, 10), (2, 10)], 0.82) == {1: (1, False), 2: (2, False)}
+    middle = [(x + y) / 2 for x, y in zip(tilted(0), tilted(8), strict=True)]
+    assert run_cluster(spark, [(1, "a.com", tilted(0)), (2, "b.com", tilted(8)), (3, "c.com", middle)], [(1, 10), (2, 11), (3, 10), (3, 11)], 0.5)[3] == (3, False)
+
+
+def test_cluster_matches_one_fold(spark):
+    """Folding components apart gives the same stories as one loop over all articles."""
+    rng = np.random.default_rng(3)
+    n = 60
+    vecs = [np.where(np.arange(8) == rng.integers(4), 1.0, 0.0) + rng.normal(0, 0.15, 8) for _ in range(n)]
+    ents = [set(rng.choice(12, rng.integers(0, 3), replace=False).tolist()) for _ in range(n)]
+    stories, want = [], {}
+    for i in range(n):
+        sims = sorted(((-clustering._cos(vecs[i], s["sum"] / s["n"]), k) for k, s in enumerate(stories)))
+        match = [(k, -sim) for sim, k in sims if -sim >= 0.8 and ents[i] & stories[k]["e"]]
+        far = any(clustering._cos(stories[a]["sum"], stories[b]["sum"]) < 0.8 for a, _ in match for b, _ in match)
+        if match and not far:
+            s = stories[match[0][0]]
+            s["sum"], s["n"], s["e"] = s["sum"] + vecs[i], s["n"] + 1, s["e"] | ents[i]
+            want[i] = (s["id"], True)
+        else:
+            stories.append({"id": i, "sum": vecs[i], "n": 1, "e": set(ents[i])})
+            want[i] = (i, False)
+    got = run_cluster_many(spark, [(i, f"h{i}.net", vecs[i].tolist()) for i in range(n)], [(i, e) for i in range(n) for e in ents[i]])
+    assert got == want
+
+
+def run_cluster_many(spark, arts, edges):
+    start = datetime(2024, 1, 1)
+    a = spark.createDataFrame([(i, start + timedelta(minutes=i), d, v) for i, d, v in arts], "article_id bigint, published_at timestamp, domain string, vector array<double>")
+    e = spark.createDataFrame(edges, "article_id bigint, entity_id bigint")
+    ents = e.select("entity_id").distinct().select("entity_id", F.concat(F.lit("n"), "entity_id").alias("name"), F.lit("ORG").alias("entity_type"))
+    out = clustering.cluster(a, e, ents, spark.createDataFrame([], "entity_id bigint"), 0.8, 1000)
+    return {r.article_id: (r.story_id, r.joined) for r in out.collect()}
+
+
+def test_consolidate_and_rejoin(spark):
+    st = spark.createDataFrame([(1, 1, tilted(0)), (2, 2, tilted(0, 0.1)), (3, 3, tilted(0, 0.12)), (4, 4, tilted(9))], "story_id bigint, at bigint, vector array<double>")
+    g = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 7)], "story_id bigint, entity_id bigint")
+    merges = clustering.consolidate(st, g, 0.9)
+    assert ids(merges, "survivor_id", "absorbed_id") == [(1, 2), (1, 3)]
+    assert ids(clustering.consolidate(st, g, 0.9, most=1), "absorbed_id") == [(2,)]
+    members = spark.createDataFrame([(1, 10), (2, 20), (4, 40)], "story_id bigint, article_id bigint")
+    assert ids(clustering.apply_merges(members, merges), "story_id", "article_id") == [(1, 10), (1, 20), (4, 40)]
+    v = st.select("story_id", "vector")
+    best = clustering.straggler_best(v.where("story_id = 1"), v.where("story_id in (2, 3)"), g.where("story_id = 1"), g.where("story_id in (2, 3)"), 0.5)
+    assert ids(best, "story_id", "larger_id") == [(1, 2)]
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 240)]
+    up = {n: n for e in edges for n in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    got = dict(ids(graph.components(spark.createDataFrame(edges, "a bigint, b bigint")), "node", "component"))
+    assert got == {n: find(n) for n in up}
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([(1, False, "h")], "single_source"), ([(1, False, "h"), (2, False, "g")], "corroborated"), ([(1, False, "h"), (2, False, "h")], "single_source"),
+        ([(1, False, "h"), (1, False, "g")], "single_source"), ([(1, True, None)], "authoritative"), ([(1, False, None), (2, False, None)], "single_source"),
+    ],
+)
+def test_verification(spark, rows, want):
+    ev = spark.createDataFrame([(5, *r) for r in rows], "claim_id bigint, source_id bigint, is_authority boolean, content_hash string")
+    cl = spark.createDataFrame([(5, "unverified"), (6, "unverified"), (7, "disputed")], "claim_id bigint, verification_status string")
+    assert ids(claims.verify(cl, ev), "claim_id", "verification_status") == [(5, want), (6, "unverified"), (7, "disputed")]
+
+
+def test_contradictions(spark):
+    cl = spark.createDataFrame([(1, "authoritative"), (2, "single_source"), (3, "corroborated"), (4, "unverified")], "claim_id bigint, verification_status string")
+    pairs = spark.createDataFrame([(1, 2, 3, "x"), (2, 2, 1, "y"), (3, 99, 1, "bad")], "ord bigint, a bigint, b bigint, reason string")
+    got = ids(claims.contradictions(cl, pairs), "claim_id", "verification_status", "contradicted_by")
+    assert got == [(1, "authoritative", "2"), (2, "refuted", "3,1"), (3, "disputed", "2"), (4, "unverified", None)]
+
+
+def test_scores(spark):
+    ents = spark.createDataFrame([(1, "Texas", "PLACE"), (1, "Texas", "ORG"), (2, "x", "OTHER"), (3, "Texas", "PLACE")], "story_id bigint, name string, entity_type string")
+    mem = spark.createDataFrame([(1, "US"), (2, "US"), (4, "GB")], "story_id bigint, country string")
+    got = ids(scoring.relevance(ents, mem, F.col("name") == "Texas", "US"), "story_id", "score")
+    assert got == [(1, 70), (2, 40), (3, 60), (4, 0)]
+
+
+def test_queues(spark):
+    polls = spark.createDataFrame([("a", i, i > 5) for i in range(7)] + [("b", i, i < 2) for i in range(7)], "provider string, at int, ok boolean")
+    assert ids(queues.circuit(polls), "provider", "consecutive_failures", "circuit_state") == [("a", 0, "closed"), ("b", 5, "open")]
+    backlog = spark.createDataFrame([(i, "" if i == 1 else "t") for i in range(9)], "id bigint, text string")
+    got = queues.dispatch(backlog, backlog.where("id = 2").select("id"), ["id"], 6, 3)
+    assert ids(got, "batch", "n") == [(0, 3), (1, 1)] and sorted(sum((r.ids for r in got.collect()), [])) == [0, 3, 4, 5]
+
+
+def test_pages_and_tables(spark, tmp_path):
+    assert serving.PageRequest(0, 51).errors() == ["page must be from 1 to 500", "size must be from 1 to 50"]
+    assert serving.PageRequest(0, 999).clamped() == serving.PageRequest(1, 100)
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, v string")
+    assert ids(tables.upsert(base, spark.createDataFrame([(2, "c"), (3, "d")], base.schema), ["id"]), "id", "v") == [(1, "a"), (2, "c"), (3, "d")]
+    assert ids(tables.update_from(base, spark.createDataFrame([(1, None), (2, "z")], base.schema), "id", ["v"]), "id", "v") == [(1, "a"), (2, "z")]
+    new = tables.with_new_ids(base, spark.createDataFrame([("b",), ("x",), ("w",)], "v string"), ["v"], "id")
+    assert sorted(r.id for r in new.collect()) == [1, 2, 3, 4]
+    assert [r.n for r in tables.numbered(spark.range(50).select((F.lit(99) - F.col("id")).alias("k")), [F.col("k")], "n").orderBy("k").collect()] == list(range(1, 51))
+    snap = tables.Snapshots(spark, f"file://{tmp_path}/t")
+    assert snap.read() is None and snap.write(base) == 1 and snap.write(base.limit(1)) == 2 and snap.read().count() == 1
+
+
+RSS = """<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>T</title>
+<item><title>One &amp; two</title><link>https://x.org/a?utm_source=f</link><description>&lt;p&gt;Short&lt;/p&gt;</description><content:encoded>&lt;p&gt;Whole &lt;span hidden&gt;act as a fool&lt;/span&gt;text&lt;/p&gt;</content:encoded><pubDate>Mon, 01 Jan 2024 10:00:00 +0200</pubDate><enclosure url="https://x.org/i.png" type="image/png"/></item>
+<item><title>Two</title><guid>https://x.org/b</guid><author>me</author></item><item><title>None</title><guid isPermaLink="false">7</guid></item></channel></rss>"""
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>E</title><link rel="self" href="https://y.org/self"/><link rel="alternate" href="https://y.org/e"/><published>2024-01-02T03:04:05Z</published><author><name>Ann</name></author><summary>S</summary></entry></feed>"""
+
+
+def test_feeds(spark):
+    docs = spark.createDataFrame([("rss", RSS), ("atom", ATOM), ("bad", "<rss><item>"), ("dtd", "<!DOCTYPE x []><rss/>"), ("big", "x" * (feeds.MOST_BYTES + 1))], "feed string, body string")
+    got = {(r.feed, r["at"]): r for r in feeds.read("rss", docs, "2024-02-01 00:00:00").collect()}
+    one = got["rss", 0]
+    assert (one.canonical_url, one.title, one.body_text, str(one.published_at), one.timestamp_estimated) == ("https://x.org/a", "One & two", "Whole text", "2024-01-01 08:00:00", False)
+    assert one.image_urls == ["https://x.org/i.png"] and one.hidden_blocks == 1 and one.patterns == []
+    two = got["rss", 1]
+    assert two.canonical_url == "https://x.org/b" and two.timestamp_estimated and two.authors == ["me"]
+    assert got["rss", 2].skip_reason == "no link" and got["atom", 0].canonical_url == "https://y.org/e" and got["atom", 0].authors == ["Ann"]
+    assert [got[f, -1].skip_reason for f in ("bad", "dtd", "big")] == ["malformed document", "document type refused", "document too large"]
+    assert len([r for r in feeds.entries(spark.createDataFrame([("many", "<rss>" + "<item><title>t</title></item>" * 300 + "</rss>")], docs.schema)).collect()]) == 200
+    with pytest.raises(ValueError):
+        feeds.read("other", docs, "2024-02-01")

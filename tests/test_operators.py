@@ -30,6 +30,8 @@ def test_near_pairs_lose_none(spark):
     signed = sorted({v - 2**64 if v >> 63 else v for v in values})
     got = ids(dedup.near_pairs(spark.createDataFrame([(v,) for v in signed], "simhash bigint")), "a", "b")
     assert got == sorted((a, b) for a in signed for b in signed if a != b and 0 < bin((a ^ b) & (2**64 - 1)).count("1") <= 3)
+    for scheme in ((5, 2), (6, 3)):
+        assert ids(dedup.near_pairs(spark.createDataFrame([(v,) for v in signed], "simhash bigint"), scheme=scheme), "a", "b") == got
 
 
 def test_aliases_and_overexposure(spark):

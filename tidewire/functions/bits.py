@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,21 @@ def hamming(a: Column, b: Column) -> Column:
 
 def bands(h: Column, bits: int = 64) -> Column:
     """(band, value) structs; fingerprints within NEAR bits agree in one band at least."""
-    width = bits // BANDS
-    mask = (1 << width) - 1
-    return F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, width * i).bitwiseAND(F.lit(mask).cast("bigint")).alias("value")) for i in range(BANDS)))
+    return block_keys(h, bits, BANDS, 1)
+
+
+def block_keys(h: Column, bits: int, blocks: int, same: int) -> Column:
+    """(band, value) structs, one for each choice of `same` out of `blocks` blocks of bits.
+
+    Fingerprints that differ in blocks - same bits at most agree in all bits of one choice.
+    More blocks make longer keys, so fewer fingerprints meet by chance.
+    """
+    edges = [bits * i // blocks for i in range(blocks + 1)]
+    out = []
+    for band, chosen in enumerate(combinations(range(blocks), same)):
+        value, at = F.lit(0).cast("bigint"), 0
+        for i in chosen:
+            part = F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("bigint"))
+            value, at = value.bitwiseOR(F.shiftleft(part, at)), at + edges[i + 1] - edges[i]
+        out.append(F.struct(F.lit(band).alias("band"), value.alias("value")))
+    return F.array(*out)

@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import bits
 
 
-def near_pairs(hashes: DataFrame, hash_col: str = "simhash", width: int = 64, within: int = bits.NEAR) -> DataFrame:
+#: Up to so many different fingerprints: blocks, and blocks that must agree. Keys grow from 16 to 25 and 32 bits.
+SCHEMES = ((1_000_000, 4, 1), (1_000_000_000, 5, 2), (float("inf"), 6, 3))
+
+
+def near_pairs(hashes: DataFrame, hash_col: str = "simhash", width: int = 64, within: int = bits.NEAR, scheme: tuple[int, int] | None = None) -> DataFrame:
     """Pairs (a, b) of different fingerprints, both ways, that differ in `within` bits at most.
 
     Fingerprints are made distinct first, so copies cost nothing; a pair within 3 bits
-    agrees in one of 4 bands, so the equi-join on (band, value) loses none. 0, the
-    fingerprint of no tokens, takes no part.
+    agrees in all bits of some choice of blocks, so the equi-join on (band, value) loses
+    none. The number of fingerprints chooses how long the keys are, so that chance
+    meetings stay few. 0, the fingerprint of no tokens, takes no part.
     """
     one = hashes.select(F.col(hash_col).alias("h")).where("h <> 0").distinct()
-    banded = one.select("h", F.inline(bits.bands(F.col("h"), width)))
+    blocks, same = scheme or next((b, s) for most, b, s in SCHEMES if one.count() <= most)
+    banded = one.select("h", F.inline(bits.block_keys(F.col("h"), width, blocks, same)))
     a, b = banded.withColumnRenamed("h", "a"), banded.withColumnRenamed("h", "b")
     close = a.join(b, ["band", "value"]).where((F.col("a") != F.col("b")) & (bits.hamming(F.col("a"), F.col("b")) <= within))
     return close.select("a", "b").distinct()
 
 
+def first_with(items: DataFrame, key: str, id_col: str = "id", out: str = "first") -> DataFrame:
+    """items with the smallest id that has the same key.
+
+    An aggregation, which combines map-side, and a join, whose skew AQE splits: a key that
+    very many rows share is in no one task, as it would be in a window.
+    """
+    least = items.groupBy(key).agg(F.min(id_col).alias(out))
+    return items.join(least, key, "left")
+
+
 def classify(items: DataFrame, width: int = 64) -> DataFrame:
     """The cascade url -> content -> fingerprint over items(id, url_hash, content_hash, simhash).
 
@@ -30,8 +46,7 @@ def classify(items: DataFrame, width: int = 64) -> DataFrame:
     what earlier ones left. Returns id, dedup_status, duplicate_of; a repeated URL is
     recorded like any other sighting.
     """
-    by = lambda c: F.min("id").over(Window.partitionBy(c))
-    first = items.withColumn("u", by("url_hash")).withColumn("c", by("content_hash"))
+    first = first_with(first_with(items, "url_hash", out="u"), "content_hash", out="c")
     owner = F.when(F.col("u") < F.col("id"), F.col("u")).when(F.col("c") < F.col("id"), F.col("c"))
     exact = first.select("id", "simhash", owner.alias("owner"))
     left = exact.where("owner IS NULL AND simhash <> 0").select("id", "simhash")

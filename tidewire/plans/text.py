@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import bits, markup, text, urls
@@ -22,8 +21,7 @@ def content_hash(t: Tables):
 
 @query(f"SELECT doc_id, CASE WHEN first < doc_id THEN first END AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY content_hash) AS first FROM {CONTENT})")
 def exact_dup_by_content(t: Tables):
-    first = F.min("doc_id").over(Window.partitionBy("content_hash"))
-    return content_hash(t).select("doc_id", first.alias("first")).select("doc_id", F.when(F.col("first") < F.col("doc_id"), F.col("first")).alias("duplicate_of"))
+    return dedup.first_with(content_hash(t), "content_hash", "doc_id").select("doc_id", F.when(F.col("first") < F.col("doc_id"), F.col("first")).alias("duplicate_of"))
 
 
 KEEP = "list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^(utm_|pk_|mc_|hsa_|ga_)') AND lower(split_part(p, '=', 1)) NOT IN ('fbclid','gclid','dclid','msclkid','igshid','mkt_tok','ref','referrer','source','spm','s_kwcid','_ga','yclid','twclid','cmpid','ncid','smid','partner'))"
@@ -44,7 +42,7 @@ def url_canonical_native(t: Tables):
 
 @query(f"SELECT page_id, sha256(canonical) AS url_hash, CASE WHEN first < page_id THEN first END AS duplicate_of FROM (SELECT *, min(page_id) OVER (PARTITION BY canonical) AS first FROM {CANON})")
 def url_dup(t: Tables):
-    p = url_canonical_native(t).withColumn("first", F.min("page_id").over(Window.partitionBy("canonical")))
+    p = dedup.first_with(url_canonical_native(t), "canonical", "page_id")
     return p.select("page_id", text.url_hash(F.col("canonical")).alias("url_hash"), F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("duplicate_of"))
 
 

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bound_batches, shuffle_partitions, work_table
+from ._shared import bound_batches, drop_table, shuffle_partitions, work_table
 
 #: Words of a shingle; a link needs 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -21,8 +21,12 @@ SLOTS, ROWS, BITS = 1 << 20, 64, 1 << 23
 LEAVES, FAN_OUT = 512, 8
 #: Bytes of text hashed at once.
 STEP = 1 << 21
-#: Rounds that merge large groups by representatives before the rest is compared in full.
-ROUNDS = 4
+#: A prefix is longer than one shared hash asks for by this part of the set: then linked sets share many.
+SHARE = 8
+#: Rounds that drop classes with too few shared hashes.
+PEELS = 4
+#: Rounds that merge the parts of split blocks by representatives, before trees are compared.
+ROUNDS = 2
 
 U = np.uint64
 _RNG = np.random.default_rng(20240601)
@@ -106,10 +110,20 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def prefix(s: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The hashes of a set, rare ones first, of which a linked set must hold at least one."""
+    """The hashes of a set, rare ones first, of which a linked set holds a share.
+
+    Of a set of n, the first n - need + n / SHARE in an order of all hashes, need = 0.75 n.
+    The common hashes of linked sets are need of each at least, so of two such prefixes
+    they share as many as the smaller extra: the k-th common hash has need - k behind it.
+    """
     need = (PERCENT * len(s) + 99) // 100
     order = np.lexsort((s, level[(s & U(SLOTS - 1)).astype(np.int64)]))
-    return s[order[: len(s) - need + 1]]
+    return s[order[: len(s) - need + max(1, len(s) // SHARE)]]
+
+
+def least_shared(n: Column) -> Column:
+    """Hashes of its prefix that a set of n shares with any linked one: the extra of the smallest such set."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * PERCENT / 100) / SHARE))
 
 
 # -- the frequency sketch: how often the shingles of each place occur, over all documents
@@ -165,10 +179,9 @@ def _class_batches(shared):
 
 
 def _shared_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows dealt by ranges of (hash, cid): those whose hash two classes have, with a star's head.
+    """Of rows dealt by ranges of (hash, cid): those whose hash two classes have.
 
-    The first and last hash of a range may go on in the next; there the hash itself is the
-    head, so that the parts of one star meet.
+    The first and last hash of a range may go on in the next; they stay for peel() to judge.
     """
     parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
     if not parts:
@@ -180,13 +193,32 @@ def _shared_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     h, cid, n = h[fresh], cid[fresh], n[fresh]
     run = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     size = np.diff(np.append(run, len(h)))
-    border = np.zeros(len(run), dtype=bool)
-    border[[0, -1]] = True
-    keep = np.repeat((size > 1) | border, size)
-    head = np.repeat(np.where(border, h[run], cid[run]), size)
-    cols = [x[keep] for x in (h, cid, n, head)]
+    size[[0, -1]] *= -1
+    keep = np.repeat((size > 1) | (size < 0), np.abs(size))
+    cols = [x[keep] for x in (h, cid, n)]
     for a in range(0, len(cols[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["hash", "cid", "n", "head"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["hash", "cid", "n"])
+
+
+def peel(shared: DataFrame) -> DataFrame:
+    """Rows (hash, cid, n) without classes that share too few hashes to link with any other.
+
+    What goes leaves some hashes to one class alone, so rounds follow. Each is exact;
+    more of them only leave less to compare.
+    """
+    rows, last, count = shared, None, None
+    for _ in range(PEELS):
+        enough = rows.groupBy("cid").agg(F.count("*").alias("shares"), F.max("n").alias("size")).where(F.col("shares") >= least_shared(F.col("size")))
+        rows = rows.join(enough.select("cid"), "cid", "left_semi")
+        alive = rows.groupBy("hash").agg(F.count("*").alias("classes")).where("classes > 1")
+        left = work_table(rows.join(alive.select("hash"), "hash", "left_semi").select("hash", "cid", "n"), "join-shared")
+        before, count = count, left.count()
+        if last is not None:
+            drop_table(last)
+        rows = last = left
+        if before is not None and count > 0.99 * before:
+            break
+    return rows
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -255,9 +287,9 @@ class SignatureTree:
     at most slack(A) + the bits that both nodes have.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], width: int = 0):
         sizes = np.array([len(s) for s in sets])
-        width = min(8192, max(64, 1 << int(2 * np.median(sizes)).bit_length()))
+        width = self.width = width or min(8192, max(64, 1 << int(2 * np.median(sizes)).bit_length()))
         bits = np.zeros((len(sets), width // 64), dtype=np.uint64)
         rows = np.repeat(np.arange(len(sets)), sizes)
         places = np.concatenate(sets) % U(width)
@@ -270,16 +302,38 @@ class SignatureTree:
             at = np.arange(0, len(lo), FAN_OUT)
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sl, at)))
 
-    def _may_link(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def _may_link(self, level: int, i: np.ndarray, other: SignatureTree, level_b: int, j: np.ndarray) -> np.ndarray:
         bits, lo, hi, slack = self.levels[level]
+        bits_b, lo_b, hi_b, slack_b = other.levels[level_b]
         a, b = np.meshgrid(i, j, indexing="ij")
-        common = np.bitwise_count(bits[a] & bits[b]).sum(axis=2).astype(np.int64)
-        most = np.minimum(np.minimum(hi[a], hi[b]), common + np.minimum(slack[a], slack[b]))
+        common = np.bitwise_count(bits[a] & bits_b[b]).sum(axis=2).astype(np.int64)
+        most = np.minimum(np.minimum(hi[a], hi_b[b]), common + np.minimum(slack[a], slack_b[b]))
         # inter >= p (|A| + |B| - inter) with p = PERCENT / 100; the sizes are the nodes' least
-        fits = (100 + PERCENT) * most >= PERCENT * (lo[a] + lo[b])
-        near = (100 * hi[a] >= PERCENT * lo[b]) & (100 * hi[b] >= PERCENT * lo[a])
+        fits = (100 + PERCENT) * most >= PERCENT * (lo[a] + lo_b[b])
+        near = (100 * hi[a] >= PERCENT * lo_b[b]) & (100 * hi_b[b] >= PERCENT * lo[a])
         return fits & near
 
+    def _below(self, level: int, x: int) -> np.ndarray:
+        """Children of a node, or the set itself."""
+        if level == 0:
+            return np.array([x])
+        return np.arange(x * FAN_OUT, min(len(self.levels[level - 1][1]), (x + 1) * FAN_OUT))
+
+    def links(self, other: SignatureTree, apart) -> Iterator[tuple[int, int]]:
+        """Linked pairs of this tree's sets and another's, of those that apart(x, y) still wants compared."""
+        todo = [(len(self.levels) - 1, 0, len(other.levels) - 1, 0)]
+        while todo:
+            level, x, level_b, y = todo.pop()
+            if level == level_b == 0:
+                if apart(x, y) and linked(self.sets[x], other.sets[y]):
+                    yield x, y
+                continue
+            i, j = self._below(level, x), other._below(level_b, y)
+            down, down_b = max(0, level - 1), max(0, level_b - 1)
+            for a, b in zip(*np.nonzero(self._may_link(down, i, other, down_b, j)), strict=True):
+                if down or down_b or apart(int(i[a]), int(j[b])):
+                    todo.append((down, int(i[a]), down_b, int(j[b])))
+
     def join(self, forest: Forest) -> None:
         """Dual traversal from the root pair; pairs that can't link, or are in one part already, end there."""
         todo = [(len(self.levels) - 1, 0, 0)]
@@ -293,7 +347,7 @@ class SignatureTree:
             i, j = (np.arange(z * FAN_OUT, min(below, (z + 1) * FAN_OUT)) for z in (x, y))
             if level == 1 and len({forest.find(int(k)) for k in (*i, *j)}) == 1:
                 continue
-            ok = self._may_link(level - 1, i, j)
+            ok = self._may_link(level - 1, i, self, level - 1, j)
             for a, b in zip(*np.nonzero(ok), strict=True):
                 if i[a] <= j[b]:
                     todo.append((level - 1, int(i[a]), int(j[b])))
@@ -387,47 +441,87 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify, "a bigint, b bigint")
 
 
-def _merge_split_blocks(found: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """(cid, root) of all classes, where blocks of several trees are joined across their trees.
+def _by_representatives(rows: DataFrame, part: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between parts whose representatives under a shared hash link.
 
-    Whatever links across trees shares a hash of both prefixes. Rounds first compare one
-    class of each part under such a hash with one of the part of the smallest root, which
-    merges most; then every pair of classes that a hash still shows in different parts,
-    with sizes that allow a link, is compared.
+    Under each hash that several parts have, the smallest class of each part meets that of
+    the part with the smallest root. This finds most links between large parts; which it
+    misses, the comparison of trees finds.
     """
+    own = rows.join(part.select("cid", "root"), "cid")
+    reps = own.groupBy("hash", "root").agg(F.min(F.struct("cid", "n")).alias("rep")).select("hash", "root", "rep.cid", "rep.n")
+    reps = work_table(reps, "join-reps")
+    first = reps.groupBy("hash").agg(F.min(F.struct("root", "cid", "n")).alias("f"), F.count("*").alias("parts")).where("parts > 1")
+    first = first.select("hash", F.col("f.root").alias("r0"), F.col("f.cid").alias("c0"), F.col("f.n").alias("n0"))
+    pairs = reps.join(first, "hash").where("root <> r0")
+    pairs = pairs.groupBy(F.least("cid", "c0").alias("a"), F.greatest("cid", "c0").alias("b")).agg(F.count("*").alias("shares"), F.max(F.greatest("n", "n0")).alias("n"))
+    pairs = pairs.where(F.col("shares") >= least_shared(F.col("n")) / 2).select("a", "b")
+    links = _links(pairs, sets)
+    roots = part.select(F.col("cid").alias("node"), "root")
+    ends = links.join(roots, links["a"] == roots["node"]).select("b", F.col("root").alias("ra"))
+    return ends.join(roots, ends["b"] == roots["node"]).select(F.col("ra").alias("a"), F.col("root").alias("b"))
+
+
+def _visit(key: tuple, residents: pa.Table, visitors: pa.Table) -> pa.Table:
+    """Edges between parts of a tree's residents and of visiting classes that link."""
+    edges: list[tuple[int, int]] = []
+    if residents.num_rows and visitors.num_rows:
+        sides = []
+        for t in (residents, visitors):
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column(3)]
+            order = sorted(range(len(sets)), key=lambda i, sets=sets: len(sets[i]))
+            roots = t.column(2).to_pylist()
+            sides.append(([sets[i] for i in order], [roots[i] for i in order]))
+        (sets, roots), (sets_b, roots_b) = sides
+        number = {r: k for k, r in enumerate(dict.fromkeys(roots + roots_b))}
+        mine, theirs = [number[r] for r in roots], [number[r] for r in roots_b]
+        forest = Forest(len(number))
+        tree = SignatureTree(sets)
+        for x, y in tree.links(SignatureTree(sets_b, tree.width), lambda x, y: forest.find(mine[x]) != forest.find(theirs[y])):
+            forest.join(mine[x], theirs[y])
+            edges.append((roots[x], roots_b[y]))
+    cols = list(zip(*edges, strict=True)) or [[], []]
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+
+def _between_trees(rows: DataFrame, part: DataFrame, sets: DataFrame, leaves: int) -> DataFrame:
+    """Edges (a, b) between parts that a link across trees of one block joins.
+
+    Classes of a block's largest part stay where they are; each other class visits the trees
+    whose classes together have enough of its prefix hashes for a link.
+    """
+    size = part.groupBy("block", "root").agg(F.count("*").alias("size"))
+    main = size.groupBy("block").agg(F.max_by("root", "size").alias("main"))
+    restless = part.join(main, "block").where("root <> main").select("cid", "root", "tree")
+    placed = rows.join(part.select("cid", "tree"), "cid").select("hash", F.col("tree").alias("to")).distinct()
+    asked = rows.join(restless, "cid").select("hash", "cid", "n", "tree")
+    visits = asked.join(placed, "hash").where(F.col("to") != F.col("tree")).groupBy("cid", "to").agg(F.count("*").alias("shares"), F.max("n").alias("n"))
+    visits = work_table(visits.where(F.col("shares") >= least_shared(F.col("n"))).select("cid", "to"), "join-visits")
+    waves = visits.groupBy("to").agg(F.ceil(F.count("*") / leaves).alias("waves"))
+    raw = sets.select("cid", "hashes")
+    come = visits.join(waves, "to").select("cid", "to", F.pmod(F.xxhash64("cid"), F.col("waves")).alias("wave"))
+    come = come.join(restless.select("cid", "root"), "cid").join(raw, "cid").select("to", "wave", "root", "hashes").toDF("at", "at_wave", "at_root", "at_hashes")
+    stay = part.select("cid", "root", F.col("tree").alias("to")).join(waves, "to").join(raw, "cid")
+    stay = stay.select("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("waves") - 1)).alias("wave"), "root", "hashes")
+    return stay.groupBy("to", "wave").cogroup(come.groupBy("at", "at_wave")).applyInArrow(_visit, "a bigint, b bigint")
+
+
+def _merge_split_blocks(found: DataFrame, shared: DataFrame, sets: DataFrame, leaves: int) -> DataFrame:
+    """(cid, root) of all classes, where blocks of several trees are joined across their trees."""
     split = found.groupBy("block").agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a < b").select("block")
-    part = work_table(found.join(split, "block", "left_semi").select("cid", "root"), "join-split")
+    part = work_table(found.join(split, "block", "left_semi"), "join-split")
     whole = found.join(split, "block", "left_anti").select("cid", "root")
     if part.isEmpty():
         return whole
     rows = work_table(shared.join(part.select("cid"), "cid", "left_semi").select("hash", "cid", "n"), "join-split-hashes")
-    full = False
-    for k in range(ROUNDS + 2):
-        own = rows.join(part, "cid")
-        mixed = own.groupBy("hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("hash", "r0")
-        mixed = work_table(mixed, "join-mixed")
-        if mixed.isEmpty():
-            break
-        full = full or k == ROUNDS
-        if not full:
-            reps = work_table(own.groupBy("hash", "root").agg(F.min("cid").alias("cid")), "join-reps")
-            first = reps.join(mixed, (reps["hash"] == mixed["hash"]) & (reps["root"] == mixed["r0"])).select(reps["hash"].alias("h"), F.col("cid").alias("c0"), "r0")
-            pairs = reps.join(first, (reps["hash"] == first["h"]) & (reps["root"] != first["r0"])).select(F.least("cid", "c0").alias("a"), F.greatest("cid", "c0").alias("b"))
-        else:
-            left = work_table(own.join(mixed.select("hash"), "hash", "left_semi"), "join-left")
-            x, y = (left.select("hash", F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
-            near = (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
-            pairs = x.join(y, "hash").where((F.col("root_a") < F.col("root_b")) & near).select("a", "b")
-        links = work_table(_links(pairs.distinct(), sets), "join-links")
-        last, full = full, full or links.isEmpty()
-        roots = part.select(F.col("cid").alias("node"), "root")
-        ends = links.join(roots, links["a"] == roots["node"]).select("b", F.col("root").alias("ra"))
-        ends = ends.join(roots, ends["b"] == roots["node"]).select(F.col("ra").alias("a"), F.col("root").alias("b"))
-        up = components(ends, "join-parts").select("node", F.col("root").alias("above"))
-        part = work_table(part.join(up, part["root"] == up["node"], "left").select("cid", F.coalesce("above", "root").alias("root")), "join-split")
-        if last:
-            break
-    return whole.unionByName(part)
+    rounds = [lambda part: _by_representatives(rows, part, sets)] * ROUNDS + [lambda part: _between_trees(rows, part, sets, leaves)]
+    while rounds:
+        up = components(rounds.pop(0)(part), "join-parts").select("node", F.col("root").alias("above"))
+        if up.isEmpty():
+            rounds = rounds[-1:] if len(rounds) > 1 else rounds
+            continue
+        part = work_table(part.join(up, part["root"] == up["node"], "left").select("block", "cid", F.coalesce("above", "root").alias("root"), "tree"), "join-split")
+    return whole.unionByName(part.select("cid", "root"))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaves: int = LEAVES) -> DataFrame:
@@ -435,10 +529,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
     Exact in five steps. (1) Documents of equal sets form a class. (2) Each class lists the
     prefix of its set under one order of all hashes, places frequent over all documents
-    last: linked classes share a hash of both prefixes. (3) Classes that such hashes
-    connect form a block. (4) Each block is joined by a signature tree; blocks of more than
-    `leaves` classes are split over trees and tasks, then (5) joined across trees through
-    their shared prefix hashes. Only links decide on components; copies are never paired,
+    last. Prefixes are so long that linked classes share many hashes; classes that share
+    too few with all others together are peeled off. (3) Classes that the shared hashes
+    left connect form a block. (4) Each block is joined by a signature tree; blocks of more than
+    `leaves` classes are split over trees and tasks, then (5) joined across trees: each
+    class outside its block's largest part visits the trees that share enough of its
+    prefix. Only links decide on components; copies are never paired,
     and pairs already in one part aren't compared.
 
     Returns one row for each input row: doc_id, n_shingles, component_id (the smallest id
@@ -453,13 +549,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     level = spark.sparkContext.broadcast(frequency_levels(own))  # SLOTS bytes
     rows = work_table(own.mapInArrow(_class_batches(level), "doc_id bigint, n int, cid bigint, prefix array<bigint>"), "join-classes")
-    known = rows.where("doc_id IS NOT NULL AND cid IS NOT NULL")
     index = rows.where("prefix IS NOT NULL").select(F.explode("prefix").alias("hash"), "cid", "n")
-    shared = index.repartitionByRange(n, "hash", "cid").mapInArrow(_shared_hashes, "hash bigint, cid bigint, n int, head bigint")
-    shared = work_table(shared, "join-shared")
-    stars = shared.groupBy("cid", "head").agg(F.min("hash").alias("hash"))
+    shared = index.repartitionByRange(n, "hash", "cid").mapInArrow(_shared_hashes, "hash bigint, cid bigint, n int")
+    index = work_table(shared, "join-index")
+    shared = peel(index)
+    drop_table(index)
+    narrow = work_table(rows.select("doc_id", "n", "cid"), "join-rows")
+    drop_table(rows)
+    rows = narrow
+    heads = work_table(shared.groupBy("hash").agg(F.min("cid").alias("head")), "join-heads")
+    stars = shared.join(heads, "hash").where("cid <> head").select("cid", "head").distinct()
     blocks = components(stars.select(F.col("cid").alias("a"), F.col("head").alias("b")), "join-blocks")
-    classes = known.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows.where("doc_id IS NOT NULL AND cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     firsts = shared.groupBy("cid").agg(F.min("hash").alias("first"))
     keys = firsts.join(blocks, firsts["cid"] == blocks["node"], "left").select("cid", "first", F.coalesce("root", "cid").alias("block"))
     classes = work_table(classes, "join-firsts")
@@ -471,7 +572,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     sets = work_table(sets.select("block", "first", "cid", "hashes"), "join-sets")
     dealt = sets.repartitionByRange(n, "block", "first", "cid").sortWithinPartitions("block", "first", "cid")
     found = work_table(dealt.select("block", "cid", "hashes").mapInArrow(_tree_batches(leaves), "block bigint, cid bigint, root bigint, tree bigint"), "join-trees")
-    part = _merge_split_blocks(found, shared, sets)
+    part = _merge_split_blocks(found, shared, sets, leaves)
     least = part.join(classes, "cid").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_classes")).where("n_classes > 1")
     least = part.join(work_table(least, "join-least"), "root").select("cid", "least")
     own_class = classes.withColumnRenamed("doc_id", "own")

@@ -162,7 +162,7 @@ def test_contradictions(spark):
 def test_scores(spark):
     ents = spark.createDataFrame([(1, "Texas", "PLACE"), (1, "Texas", "ORG"), (2, "x", "OTHER"), (3, "Texas", "PLACE")], "story_id bigint, name string, entity_type string")
     mem = spark.createDataFrame([(1, "US"), (2, "US"), (4, "GB")], "story_id bigint, country string")
-    got = ids(scoring.relevance(ents, mem, F.col("name") == "Texas", "US"), "story_id", "score")
+    got = ids(scoring.relevance(ents, mem, scoring.is_us(F.col("name")), "US"), "story_id", "score")
     assert got == [(1, 70), (2, 40), (3, 60), (4, 0)]
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import bits
 
+from .graph import cut
+
 
 #: Up to so many different fingerprints: blocks, and blocks that must agree. Keys grow from 16 to 25 and 32 bits.
 SCHEMES = ((1_000_000, 4, 1), (1_000_000_000, 5, 2), (float("inf"), 6, 3))
@@ -46,6 +48,7 @@ def classify(items: DataFrame, width: int = 64) -> DataFrame:
     what earlier ones left. Returns id, dedup_status, duplicate_of; a repeated URL is
     recorded like any other sighting.
     """
+    items = cut(items.select("id", "url_hash", "content_hash", "simhash"))  # read five times
     first = first_with(first_with(items, "url_hash", out="u"), "content_hash", out="c")
     owner = F.when(F.col("u") < F.col("id"), F.col("u")).when(F.col("c") < F.col("id"), F.col("c"))
     exact = first.select("id", "simhash", owner.alias("owner"))

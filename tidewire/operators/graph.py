@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage where a shared checkpoint folder is set."""
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", "") else df.cache()
 
@@ -18,25 +18,25 @@ def components(edges: DataFrame) -> DataFrame:
     with the edges between the trees, so rounds are few and edges shrink.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    e = _cut(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
+    e = cut(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
     label = None
     while not e.isEmpty():
-        hooks = _cut(e.groupBy("hi").agg(F.min("lo").alias("root")))
+        hooks = cut(e.groupBy("hi").agg(F.min("lo").alias("root")))
         while True:
             up = hooks.toDF("via", "above")
-            step = _cut(hooks.join(up, F.col("root") == F.col("via"), "left").select("hi", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+            step = cut(hooks.join(up, F.col("root") == F.col("via"), "left").select("hi", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
             hooks = step.select("hi", "root")
             if step.where("moved").isEmpty():
                 break
         a, b = hooks.toDF("node_a", "root_a"), hooks.toDF("node_b", "root_b")
         moved = e.join(a, F.col("lo") == F.col("node_a"), "left").join(b, F.col("hi") == F.col("node_b"), "left")
         moved = moved.select(F.coalesce("root_a", "lo").alias("x"), F.coalesce("root_b", "hi").alias("y"))
-        e = _cut(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("lo < hi").distinct())
+        e = cut(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("lo < hi").distinct())
         if label is None:
             label = hooks
         else:
             up = hooks.toDF("via", "above")
-            label = _cut(label.join(up, F.col("root") == F.col("via"), "left").select("hi", F.coalesce("above", "root").alias("root")).unionByName(hooks))
+            label = cut(label.join(up, F.col("root") == F.col("via"), "left").select("hi", F.coalesce("above", "root").alias("root")).unionByName(hooks))
     if label is None:
         return nodes.withColumn("component", F.col("node"))
     return nodes.join(label, F.col("node") == F.col("hi"), "left").select("node", F.coalesce("root", "node").alias("component"))

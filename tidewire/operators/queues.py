@@ -42,24 +42,37 @@ def lease(jobs: DataFrame, worker: str, now: Column, n: int) -> DataFrame:
     )
 
 
+def _retry(jobs: DataFrame, hit: Column, again: Column, now: Column) -> DataFrame:
+    """Of the rows hit, those that may try again are queued after a backoff; the others failed."""
+    later = F.timestamp_add("SECOND", moments.backoff_seconds(F.col("attempts")), now)
+    out = jobs.withColumn("available_at", F.when(hit & again, later).otherwise(F.col("available_at")))
+    return out.withColumn("status", F.when(hit & again, "queued").when(hit, "failed").otherwise(F.col("status")))
+
+
 def fail(jobs: DataFrame, failed: DataFrame, now: Column) -> DataFrame:
-    """jobs after failures(job_id): queued again after a backoff, or dead when attempts are used up."""
-    hit = failed.select("job_id", F.lit(True).alias("_hit"))
-    bad = F.coalesce("_hit", F.lit(False)) & (F.col("status") == "leased")
-    dead = F.col("attempts") >= F.col("max_attempts")
-    out = jobs.join(hit, "job_id", "left")
-    return (
-        out.withColumn("available_at", F.when(bad & ~dead, F.timestamp_add("SECOND", moments.backoff_seconds(F.col("attempts")), now)).otherwise(F.col("available_at")))
-        .withColumn("status", F.when(bad & dead, "dead").when(bad, "queued").otherwise(F.col("status")))
-        .drop("_hit")
-    )
+    """jobs after failures (job_id, retryable) of leased ones."""
+    out = jobs.join(failed.select("job_id", F.col("retryable").alias("_again")), "job_id", "left")
+    hit = F.col("_again").isNotNull() & (F.col("status") == "leased")
+    return _retry(out, hit, F.col("_again") & (F.col("attempts") < F.col("max_attempts")), now).drop("_again")
+
+
+def complete(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """jobs after completions (job_id); one that is done already stays so."""
+    out = jobs.join(done.select("job_id", F.lit(True).alias("_hit")), "job_id", "left")
+    return out.withColumn("status", F.when(F.col("_hit") & (F.col("status") == "leased"), "done").otherwise(F.col("status"))).drop("_hit")
+
+
+def extend(jobs: DataFrame, beats: DataFrame, now: Column) -> DataFrame:
+    """jobs after heartbeats (job_id, worker): the holder's lease runs anew."""
+    out = jobs.join(beats.select("job_id", F.col("worker").alias("_by")), "job_id", "left")
+    own = (F.col("status") == "leased") & (F.col("worker") == F.col("_by"))
+    return out.withColumn("lease_expires_at", F.when(own, F.timestamp_add("SECOND", F.lit(LEASE_S), now)).otherwise(F.col("lease_expires_at"))).drop("_by")
 
 
 def reap(jobs: DataFrame, now: Column) -> DataFrame:
-    """(job_id, status): leases that ran out go back to the queue, or are dead."""
+    """jobs whose lease ran out go back to the queue, or failed when their attempts are used up."""
     gone = (F.col("status") == "leased") & (F.col("lease_expires_at") < now)
-    dead = F.col("attempts") >= F.col("max_attempts")
-    return jobs.withColumn("status", F.when(gone & dead, "dead").when(gone, "queued").otherwise(F.col("status")))
+    return _retry(jobs, gone, F.col("attempts") < F.col("max_attempts"), now)
 
 
 def worker_status(workers: DataFrame, now: Column) -> DataFrame:

@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions.text import spaced_name
+
 # Weights of the two signals, and their share of the full formula.
 WEIGHT_ENTITIES, WEIGHT_PUBLISHERS = 0.30, 0.20
 COVERAGE = WEIGHT_ENTITIES + WEIGHT_PUBLISHERS
+# Names, lower case and spaced, that mark a story as American.
+US_MARKERS = (
+    "united states", "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia", "hawaii", "idaho", "illinois", "indiana",
+    "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland", "massachusetts", "michigan", "minnesota", "mississippi", "missouri", "montana", "nebraska", "nevada", "new hampshire",
+    "new jersey", "new mexico", "new york", "north carolina", "north dakota", "ohio", "oklahoma", "oregon", "pennsylvania", "rhode island", "south carolina", "south dakota", "tennessee",
+    "texas", "utah", "vermont", "virginia", "washington state", "west virginia", "wisconsin", "wyoming", "washington, d.c", "washington dc", "district of columbia", "congress",
+    "house of representatives", "senate", "white house", "supreme court", "pentagon", "federal reserve", "fbi", "cia", "irs", "sec", "ftc", "doj", "ice", "usps", "nasa", "epa", "cdc", "fda",
+)
+
+
+def is_us(name: Column) -> Column:
+    return spaced_name(name).isin(*US_MARKERS)
 
 
 def entity_signal(story_entities: DataFrame, marker: Column) -> DataFrame:

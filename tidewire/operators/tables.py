@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new replace those of base with the same key."""
@@ -40,7 +42,7 @@ def numbered(df: DataFrame, order: list[Column], out: str, start: int = 0) -> Da
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    dealt = dealt.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", "") else dealt
+    dealt = cut(dealt)  # its numbers are read twice
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
     base = counts.select("_p", "_first", before.alias("_before"))

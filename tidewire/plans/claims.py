@@ -54,10 +54,10 @@ def contradiction_resolution(t: Tables):
     return ops.contradictions(_claims(t), pairs)
 
 
-KIND = "CASE l_linenumber % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'quote' WHEN 2 THEN 'opinion' ELSE 'background' END"
+KIND = "CASE l_linenumber % 4 WHEN 0 THEN 'FACT' WHEN 1 THEN 'CLAIM' WHEN 2 THEN 'OPINION' ELSE 'ANALYSIS' END"
 
 
-@query(f"SELECT story_id, claim, kind FROM (SELECT *, count(*) OVER (PARTITION BY story_id) AS n FROM (SELECT l_orderkey AS story_id, l_partkey AS claim, {KIND} AS kind FROM lineitem) WHERE kind IN ('fact', 'statistic', 'quote', 'allegation', 'prediction')) WHERE n >= 2")
+@query(f"SELECT story_id, claim, kind FROM (SELECT *, count(*) OVER (PARTITION BY story_id) AS n FROM (SELECT l_orderkey AS story_id, l_partkey AS claim, {KIND} AS kind FROM lineitem) WHERE kind IN ('FACT', 'CLAIM', 'ALLEGATION', 'OFFICIAL_STATEMENT', 'PROJECTION')) WHERE n >= 2")
 def checkable_claims(t: Tables):
     rows = t.lineitem.select(F.col("l_orderkey").alias("story_id"), F.col("l_partkey").alias("claim"), F.expr(KIND).alias("claim_type"))
     return ops.checkable(rows).select("story_id", "claim", F.col("claim_type").alias("kind"))

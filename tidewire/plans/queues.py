@@ -65,14 +65,14 @@ def dispatch_batches(t: Tables):
 
 
 def _jobs(t: Tables):
-    status = F.when(F.col("event_type") == "error", "leased").when(F.col("event_type") == "signup", "succeeded").otherwise("queued")
+    status = F.when(F.col("event_type") == "error", "leased").when(F.col("event_type") == "signup", "done").otherwise("queued")
     return t.events.select(
         F.col("event_id").alias("job_id"), status.alias("status"), (F.col("user_id") % 3).alias("priority"), F.col("ts").alias("available_at"), F.lit(None).cast("string").alias("worker"),
         F.timestamp_add("SECOND", F.lit(ops.LEASE_S), F.col("ts")).alias("lease_expires_at"), (F.col("user_id") % 4).cast("int").alias("attempts"), F.lit(3).alias("max_attempts"),
     )
 
 
-JOBS = "(SELECT event_id AS job_id, CASE event_type WHEN 'error' THEN 'leased' WHEN 'signup' THEN 'succeeded' ELSE 'queued' END AS status, user_id % 3 AS priority, ts AS available_at, ts + INTERVAL 900 SECOND AS lease_expires_at, CAST(user_id % 4 AS INTEGER) AS attempts FROM events)"
+JOBS = "(SELECT event_id AS job_id, CASE event_type WHEN 'error' THEN 'leased' WHEN 'signup' THEN 'done' ELSE 'queued' END AS status, user_id % 3 AS priority, ts AS available_at, ts + INTERVAL 900 SECOND AS lease_expires_at, CAST(user_id % 4 AS INTEGER) AS attempts FROM events)"
 
 
 @query(f"SELECT job_id, CASE WHEN rn <= 10 THEN 'leased' ELSE status END AS status, CAST(attempts + CASE WHEN rn <= 10 THEN 1 ELSE 0 END AS INTEGER) AS attempts FROM (SELECT *, CASE WHEN status = 'queued' AND available_at <= {NOW} THEN row_number() OVER (PARTITION BY status = 'queued' AND available_at <= {NOW} ORDER BY priority DESC, available_at, job_id) END AS rn FROM {JOBS})")
@@ -80,15 +80,15 @@ def lease_claim(t: Tables):
     return ops.lease(_jobs(t), "w1", d.now(), 10).select("job_id", "status", "attempts")
 
 
-@query(f"SELECT job_id, CASE WHEN status = 'leased' AND lease_expires_at < TIMESTAMP '2024-01-20' AND attempts >= 3 THEN 'dead' WHEN status = 'leased' AND lease_expires_at < TIMESTAMP '2024-01-20' THEN 'queued' ELSE status END AS status FROM {JOBS}")
+@query(f"SELECT job_id, CASE WHEN status = 'leased' AND lease_expires_at < TIMESTAMP '2024-01-20' AND attempts >= 3 THEN 'failed' WHEN status = 'leased' AND lease_expires_at < TIMESTAMP '2024-01-20' THEN 'queued' ELSE status END AS status FROM {JOBS}")
 def lease_reap(t: Tables):
     return ops.reap(_jobs(t), F.lit("2024-01-20").cast("timestamp")).select("job_id", "status")
 
 
-@query(f"""SELECT job_id, CASE WHEN status = 'leased' AND job_id % 2 = 0 AND attempts >= 3 THEN 'dead' WHEN status = 'leased' AND job_id % 2 = 0 THEN 'queued' ELSE status END AS status,
+@query(f"""SELECT job_id, CASE WHEN status = 'leased' AND job_id % 2 = 0 AND attempts >= 3 THEN 'failed' WHEN status = 'leased' AND job_id % 2 = 0 THEN 'queued' ELSE status END AS status,
 CASE WHEN status = 'leased' AND job_id % 2 = 0 AND attempts < 3 THEN {NOW} + to_seconds(CAST(least(60 * pow(2, greatest(attempts - 1, 0)), 3600) AS BIGINT)) ELSE available_at END AS available_at FROM {JOBS}""")
 def lease_fail(t: Tables):
-    return ops.fail(_jobs(t), _jobs(t).where("job_id % 2 = 0").select("job_id"), d.now()).select("job_id", "status", "available_at")
+    return ops.fail(_jobs(t), _jobs(t).where("job_id % 2 = 0").select("job_id", F.lit(True).alias("retryable")), d.now()).select("job_id", "status", "available_at")
 
 
 @query("""SELECT provider, CAST(fails AS BIGINT) AS consecutive_failures, CASE WHEN fails >= 5 THEN 'open' ELSE 'closed' END AS circuit_state FROM

@@ -7,10 +7,11 @@ from pyspark.sql import types as T
 # Fixed values.
 ENTITY_TYPES = ("PERSON", "ORG", "PLACE", "EVENT", "PRODUCT", "LEGISLATION", "OTHER")
 VERIFICATION = ("unverified", "single_source", "corroborated", "authoritative", "disputed", "refuted")
-DEDUP = ("unique", "exact_duplicate", "near_duplicate")
-JOB_STATUS = ("queued", "leased", "succeeded", "failed", "dead")
+DEDUP = ("pending", "unique", "exact_duplicate", "near_duplicate")
+JOB_STATUS = ("queued", "leased", "done", "failed", "cancelled")
 CIRCUIT = ("closed", "open", "half_open")
-CHECKABLE_CLAIMS = ("fact", "statistic", "quote", "allegation", "prediction")
+CLAIM_TYPES = ("FACT", "CLAIM", "ALLEGATION", "OPINION", "ANALYSIS", "PREDICTION", "PROJECTION", "OFFICIAL_STATEMENT", "UNVERIFIED")
+CHECKABLE_CLAIMS = ("FACT", "CLAIM", "ALLEGATION", "OFFICIAL_STATEMENT", "PROJECTION")
 GUARD_EXCLUDED = ("OTHER",)
 
 NORMALIZED_ITEM = T.StructType(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage where a shared checkpoint folder is set."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", "") else df.cache()
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -462,6 +462,14 @@ def _by_representatives(rows: DataFrame, part: DataFrame, sets: DataFrame) -> Da
     return ends.join(roots, ends["b"] == roots["node"]).select(F.col("ra").alias("a"), F.col("root").alias("b"))
 
 
+def _where_to(rows: pa.Table) -> pa.Table:
+    """Trees that hold enough hashes of one class's prefix: a row for each hash, with the trees that have it."""
+    cid, n, own = (rows.column(c)[0].as_py() for c in ("cid", "n", "tree"))
+    trees, shares = np.unique(rows.column("trees").combine_chunks().flatten().to_numpy(), return_counts=True)
+    to = trees[(shares >= max(1, (PERCENT * n + 99) // 100 // SHARE)) & (trees != own)]
+    return pa.table([pa.array([cid] * len(to), pa.int64()), pa.array(to, pa.int64())], names=["cid", "to"])
+
+
 def _visit(key: tuple, residents: pa.Table, visitors: pa.Table) -> pa.Table:
     """Edges between parts of a tree's residents and of visiting classes that link."""
     edges: list[tuple[int, int]] = []
@@ -493,10 +501,9 @@ def _between_trees(rows: DataFrame, part: DataFrame, sets: DataFrame, leaves: in
     size = part.groupBy("block", "root").agg(F.count("*").alias("size"))
     main = size.groupBy("block").agg(F.max_by("root", "size").alias("main"))
     restless = part.join(main, "block").where("root <> main").select("cid", "root", "tree")
-    placed = rows.join(part.select("cid", "tree"), "cid").select("hash", F.col("tree").alias("to")).distinct()
-    asked = rows.join(restless, "cid").select("hash", "cid", "n", "tree")
-    visits = asked.join(placed, "hash").where(F.col("to") != F.col("tree")).groupBy("cid", "to").agg(F.count("*").alias("shares"), F.max("n").alias("n"))
-    visits = work_table(visits.where(F.col("shares") >= least_shared(F.col("n"))).select("cid", "to"), "join-visits")
+    placed = rows.join(part.select("cid", "tree"), "cid").groupBy("hash").agg(F.collect_set("tree").alias("trees")).where(F.size("trees") > 1)
+    asked = rows.join(restless.select("cid", "tree"), "cid").join(placed, "hash").select("cid", "n", "tree", "trees")
+    visits = work_table(asked.groupBy("cid").applyInArrow(_where_to, "cid bigint, to bigint"), "join-visits")
     waves = visits.groupBy("to").agg(F.ceil(F.count("*") / leaves).alias("waves"))
     raw = sets.select("cid", "hashes")
     come = visits.join(waves, "to").select("cid", "to", F.pmod(F.xxhash64("cid"), F.col("waves")).alias("wave"))

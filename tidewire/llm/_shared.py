@@ -14,18 +14,23 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders of applications in local mode that name none.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
     Only where that is unset and everything runs in this process (local mode, as in
     tests) is a folder of this machine taken.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", "")
+    folder = spark.conf.get("spark.checkpoint.dir", "") or _own.get(spark.sparkContext.applicationId, "")
     if not folder:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+        # The check of the master keeps this off clusters.
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        _own[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 

@@ -122,6 +122,18 @@ def test_consolidate_and_rejoin(spark):
     assert ids(best, "story_id", "larger_id") == [(1, 2)]
 
 
+def test_rejoin_sees_what_was_absorbed(spark):
+    """Story 2 shares entity 8 with the larger story only after story 1 has brought it."""
+    st = spark.createDataFrame([(9, 0, tilted(0)), (1, 1, tilted(0, 0.1)), (2, 2, tilted(0, 0.2)), (3, 3, tilted(5)), (4, 4, tilted(0))], "story_id bigint, at bigint, vector array<double>")
+    mem = spark.createDataFrame([(9, "a.com"), (9, "b.com"), (1, "c.com"), (2, "d.com"), (3, "d.com"), (4, "masthead.com")], "story_id bigint, domain string")
+    edges = spark.createDataFrame([(9, 7), (1, 7), (1, 8), (2, 8), (3, 7), (4, 6), (9, 6)], "story_id bigint, entity_id bigint")
+    ents = spark.createDataFrame([(7, "seven", "ORG"), (8, "eight", "ORG"), (6, "Masthead", "ORG")], "entity_id bigint, name string, entity_type string")
+    none = ents.where("false").select("entity_id")
+    got = clustering.rejoin(st, mem, edges, ents, none, 0.5)
+    assert ids(got, "survivor_id", "absorbed_id", "shared_entities") == [(9, 1, 1), (9, 2, 1)]
+    assert ids(clustering.rejoin(st, mem, edges, ents, none, 0.5, most=1), "absorbed_id") == [(1,)]
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 240)]

@@ -165,6 +165,59 @@ def straggler_best(singles: DataFrame, larger: DataFrame, single_guard: DataFram
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("story_id", "larger_id", "similarity", "shared")
 
 
+def _rejoin_fold(threshold: float):
+    """Single stories of one component, in order, each to the best larger one as it is by then."""
+
+    def guard_set(story: dict) -> set:
+        lone = story["labels"] if len(story["domains"]) == 1 else set()
+        return {e for e, name in story["entities"].items() if name not in lone}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [
+            {"id": r.story_id, "at": r.at, "v": np.asarray(r.vector, dtype=float), "n": r.articles, "domains": set(r.domains), "labels": set(r.labels), "entities": dict(zip(r.entities, r.names, strict=True))}
+            for r in pdf.sort_values(["at", "story_id"]).itertuples()
+        ]
+        larger, out = [s for s in rows if s["n"] > 1], []
+        for s in (s for s in rows if s["n"] == 1):
+            mine, best = guard_set(s), None
+            for t in larger if mine else ():
+                sim = _cos(s["v"], t["v"])
+                if sim >= threshold and (best is None or sim > best[1]) and (share := mine & guard_set(t)):
+                    best = (t, sim, len(share))
+            if best:
+                t, sim, n = best
+                t["entities"] = s["entities"] | t["entities"]
+                t["domains"] |= s["domains"]
+                out.append((t["id"], s["id"], round(sim, 4), n, s["at"]))
+        return pd.DataFrame(out, columns=["survivor_id", "absorbed_id", "similarity", "shared_entities", "at"])
+
+    return run
+
+
+def rejoin(stories: DataFrame, members: DataFrame, story_edges: DataFrame, entities: DataFrame, over: DataFrame, threshold: float = JOIN, most: int = MOST_MERGES) -> DataFrame:
+    """Single stories reunited with the larger story they should have joined, which survives.
+
+    stories(story_id, at, vector): vectors as the pass starts; members(story_id, domain).
+    What a story absorbs changes its guard for later ones: its entities grow and its
+    masthead counts once a second outlet is in. All this stays within a component over
+    guard entities, so components are folded apart, each in order of (at, id); the first
+    `most` rejoins stand.
+    """
+    from tidewire.functions import text
+
+    usable = story_edges.select("story_id", "entity_id").distinct().join(entities.where("entity_type <> 'OTHER'"), "entity_id").join(over.select("entity_id"), "entity_id", "left_anti")
+    first = usable.groupBy("entity_id").agg(F.min("story_id").alias("b"))
+    part = components(usable.join(first, "entity_id").select(F.col("story_id").alias("a"), "b"))
+    lists = usable.groupBy("story_id").agg(F.collect_list(F.struct("entity_id", text.compact_name(F.col("name")).alias("name"))).alias("e"))
+    outlets = members.groupBy("story_id").agg(F.count("*").alias("articles"), F.collect_set("domain").alias("domains"))
+    rows = stories.join(outlets, "story_id").join(lists, "story_id").join(part, F.col("story_id") == F.col("node"))
+    labels = F.flatten(F.transform("domains", text.publisher_labels))
+    rows = rows.select("component", "story_id", "at", "vector", "articles", "domains", labels.alias("labels"), F.transform("e", lambda x: x["entity_id"]).alias("entities"), F.transform("e", lambda x: x["name"]).alias("names"))
+    at = rows.schema["at"].dataType.simpleString()
+    found = rows.groupBy("component").applyInPandas(_rejoin_fold(threshold), f"survivor_id bigint, absorbed_id bigint, similarity double, shared_entities int, at {at}")
+    return found.orderBy("at", "absorbed_id").limit(most).select("survivor_id", "absorbed_id", "similarity", "shared_entities")
+
+
 def apply_merges(members: DataFrame, merges: DataFrame) -> DataFrame:
     """members(story_id, ...) under their survivors; one pass absorbs no survivor's survivor."""
     m = merges.select(F.col("absorbed_id").alias("story_id"), F.col("survivor_id").alias("_to"))

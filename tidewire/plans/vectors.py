@@ -107,6 +107,18 @@ def straggler_best(t: Tables):
     return clustering.straggler_best(v.where(one), v.where(big), g.where(one), g.where(big), 0.1).select("story_id", "larger_id", "shared", _r())
 
 
+@query()
+def rejoin_fold(t: Tables):
+    """Every third vector is a single story; the others have two members each, of two outlets."""
+    v = t.embeddings.select(F.col("vec_id").alias("story_id"), F.col("vec_id").alias("at"), F.col("embedding").alias("vector"))
+    n = F.when(F.col("story_id") % 3 == 0, 1).otherwise(2)
+    members = v.select("story_id", F.explode(F.sequence(F.lit(1), n)).alias("k")).select("story_id", F.concat(F.lit("h"), F.col("k"), F.lit(".com")).alias("domain"))
+    edges = _entities(t, "story_id")
+    ents = edges.select("entity_id").distinct().select("entity_id", F.concat(F.lit("e"), "entity_id").alias("name"), F.lit("ORG").alias("entity_type"))
+    none = ents.where("false").select("entity_id")
+    return clustering.rejoin(v, members, edges, ents, none, 0.2)
+
+
 @query()
 def cluster_fold(t: Tables):
     """Join-or-create over all vectors: labels' digits are entities of a dozen articles each, hosts alternate."""
@@ -114,7 +126,7 @@ def cluster_fold(t: Tables):
     arts = t.embeddings.select(F.col("vec_id").alias("article_id"), F.timestamp_add("MINUTE", F.col("vec_id"), start).alias("published_at"), F.concat(F.lit("h"), F.col("vec_id") % 5, F.lit(".com")).alias("domain"), F.col("embedding").alias("vector"))
     edges = _entities(t, "article_id")
     ents = edges.select("entity_id").distinct().select("entity_id", F.concat(F.lit("e"), "entity_id").alias("name"), F.lit("ORG").alias("entity_type"))
-    none = t.spark.createDataFrame([], "entity_id bigint")
+    none = ents.where("false").select("entity_id")
     return clustering.cluster(arts, edges, ents, none, 0.2)
 
 

@@ -69,7 +69,7 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
     """Keep Arrow batches of whole texts small: rows a batch, at most."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))

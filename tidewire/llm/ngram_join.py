@@ -20,7 +20,7 @@ SLOTS, ROWS, BITS = 1 << 20, 64, 1 << 23
 #: Documents that one signature tree holds, and children of a node.
 LEAVES, FAN_OUT = 512, 8
 #: Bytes of text hashed at once.
-STEP = 1 << 21
+STEP = 1 << 19
 #: A prefix is longer than one shared hash asks for by this part of the set: then linked sets share many.
 SHARE = 8
 #: Rounds that drop classes with too few shared hashes.
@@ -187,8 +187,10 @@ def _shared_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     if not parts:
         return
     h, cid, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
     order = np.lexsort((cid, h))
     h, cid, n = h[order], cid[order], n[order]
+    del order
     fresh = np.append(True, (h[1:] != h[:-1]) | (cid[1:] != cid[:-1]))
     h, cid, n = h[fresh], cid[fresh], n[fresh]
     run = np.flatnonzero(np.append(True, h[1:] != h[:-1]))

@@ -22,7 +22,7 @@ def near_pairs(hashes: DataFrame, hash_col: str = "simhash", width: int = 64, wi
     none. The number of fingerprints chooses how long the keys are, so that chance
     meetings stay few. 0, the fingerprint of no tokens, takes no part.
     """
-    one = hashes.select(F.col(hash_col).alias("h")).where("h <> 0").distinct()
+    one = cut(hashes.select(F.col(hash_col).alias("h")).where("h <> 0").distinct())  # counted, then joined with itself
     blocks, same = scheme or next((b, s) for most, b, s in SCHEMES if one.count() <= most)
     banded = one.select("h", F.inline(bits.block_keys(F.col("h"), width, blocks, same)))
     a, b = banded.withColumnRenamed("h", "a"), banded.withColumnRenamed("h", "b")

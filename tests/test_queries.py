@@ -1,5 +1,6 @@
 """Every registered domain query against its SQL on the smallest tables."""
 
+import hashlib
 import math
 import os
 
@@ -49,3 +50,31 @@ def test_entry_needs_no_subpackage(spark):
     assert set(plans.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_near_duplicates_are_found_at_64_bits(spark, tmp_path):
+    """word146 and word3167 are within 3 bits in 32 bits of md5, 34 bits apart in the reference's 64."""
+    base = " ".join(f"tok{i}" for i in range(60))
+    texts = {1: "word146", 2: "word3167", 3: base, 4: base + " tok0 tok1", 5: "word146 "}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"http://a.org/{i}", "") for i in texts], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    from tidewire.functions import bits
+
+    def words(t):  # the title is the first line
+        return (t + " " + t[:400]).split()
+
+    def md5_64(found):
+        h = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in found]
+        v = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        return v - 2**64 if v >> 63 else v
+
+    def close(prints):
+        return sorted((a, b) for a in prints for b in prints if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+
+    assert sorted((r.a, r.b) for r in plans.QUERIES["near_dup_pairs_64"](spark, str(tmp_path)).collect()) == close({md5_64(words(t)) for t in texts.values()})
+    p = {i: bits.fingerprint(words(t)) for i, t in texts.items()}
+    assert close({p[1], p[2]}) == [] and len(close({p[3], p[4]})) == 2
+    got = {r.id: (r.dedup_status, r.duplicate_of) for r in plans.QUERIES["dedup_cascade_64"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("unique", None), 2: ("unique", None), 3: ("unique", None), 4: ("near_duplicate", 3), 5: ("exact_duplicate", 1)}
+    assert plans.QUERIES["dedup_cascade"](spark, str(tmp_path)).where("id = 2").first().dedup_status == "near_duplicate"
+    assert plans.QUERIES["simhash_bands_64"](spark, str(tmp_path)).where("value > 255").count() > 0

@@ -42,17 +42,17 @@ def simhash(title: Column, body: Column) -> Column:
 
 
 def simhash_md5(title: Column, body: Column, bits: int = 32) -> Column:
-    """A fingerprint of `bits` bits from md5, JVM-side, which SQL engines reproduce."""
+    """A fingerprint of `bits` bits from md5, JVM-side, which SQL engines reproduce; 64 bits are signed."""
 
     def vote(values: Column) -> Column:
         out = F.lit(0).cast("bigint")
         for b in range(bits):
-            bit = F.lit(1 << b).cast("bigint")
+            bit = F.lit((1 << b) - (2**64 if b == 63 else 0)).cast("bigint")
             votes = F.aggregate(values, F.lit(0), lambda acc, v: acc + F.when(v.bitwiseAND(bit) != 0, 1).otherwise(-1))  # noqa: B023
             out = out + F.when(votes > 0, bit).otherwise(F.lit(0).cast("bigint"))
         return out
 
-    values = F.transform(words(title, body), lambda w: F.conv(F.substring(F.md5(w), 1, bits // 4), 16, 10).cast("bigint"))
+    values = F.transform(words(title, body), lambda w: F.conv(F.substring(F.md5(w), 1, bits // 4), 16, -10).cast("bigint"))
     return F.get(F.transform(F.array(values), vote), F.lit(0))  # hashes each word once
 
 

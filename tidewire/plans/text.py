@@ -87,6 +87,12 @@ def near_dup_pairs(t: Tables):
     return dedup.near_pairs(_hashes(t), width=32)
 
 
+def _items(t: Tables, hashes):
+    p = url_canonical_native(t).select(F.col("page_id").alias("doc_id"), "canonical")
+    items = content_hash(t).join(hashes, "doc_id").join(p, "doc_id", "left")
+    return items.select(F.col("doc_id").alias("id"), text.url_hash(F.coalesce("canonical", F.col("doc_id").cast("string"))).alias("url_hash"), "content_hash", "simhash")
+
+
 ITEMS = f"(SELECT c.doc_id AS id, sha256(coalesce(p.canonical, CAST(c.doc_id AS VARCHAR))) AS url_hash, c.content_hash, h.simhash FROM {CONTENT} c JOIN {HASHES} h ON h.doc_id = c.doc_id LEFT JOIN {CANON} p ON p.page_id = c.doc_id)"
 
 
@@ -95,10 +101,7 @@ n AS (SELECT x.id, max(y.id) AS near FROM i x JOIN i y ON y.id < x.id AND x.simh
 SELECT i.id, CASE WHEN u < i.id OR c < i.id THEN 'exact_duplicate' WHEN near IS NOT NULL THEN 'near_duplicate' ELSE 'unique' END AS dedup_status,
 CASE WHEN u < i.id THEN u WHEN c < i.id THEN c ELSE near END AS duplicate_of FROM i LEFT JOIN n ON n.id = i.id""")
 def dedup_cascade(t: Tables):
-    p = url_canonical_native(t).select(F.col("page_id").alias("doc_id"), "canonical")
-    items = content_hash(t).join(_hashes(t), "doc_id").join(p, "doc_id", "left")
-    items = items.select(F.col("doc_id").alias("id"), text.url_hash(F.coalesce("canonical", F.col("doc_id").cast("string"))).alias("url_hash"), "content_hash", "simhash")
-    return dedup.classify(items, 32)
+    return dedup.classify(_items(t, _hashes(t)), 32)
 
 
 @query()
@@ -106,6 +109,35 @@ def simhash_blake2b(t: Tables):
     return d.documents(t).select("id", bits.simhash(F.col("title"), F.col("body")).alias("simhash"))
 
 
+def _hashes_64(t: Tables):
+    return d.documents(t).select(F.col("id").alias("doc_id"), bits.simhash(F.col("title"), F.col("body")).alias("simhash"))
+
+
+HASHES_64 = f"""(SELECT doc_id, CAST(CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE u END AS BIGINT) AS simhash FROM (SELECT doc_id, coalesce(CAST(sum(CASE WHEN v > 0 THEN (1::UBIGINT << b)::HUGEINT ELSE 0 END) AS HUGEINT), 0) AS u FROM documents LEFT JOIN
+(SELECT id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM (SELECT doc_id AS id, ('0x' || substr(md5(unnest({TOKS})), 1, 16))::UBIGINT AS h FROM documents), (SELECT CAST(unnest(range(64)) AS UBIGINT) AS b) GROUP BY 1, 2) ON id = doc_id GROUP BY doc_id))"""
+
+
+def _hashes_md5_64(t: Tables):
+    return d.documents(t).select(F.col("id").alias("doc_id"), bits.simhash_md5(F.col("title"), F.col("body"), 64).alias("simhash"))
+
+
+@query(f"SELECT doc_id, CAST(band AS INTEGER) AS band, (simhash >> CAST(16 * band AS INTEGER)) & 65535 AS value FROM {HASHES_64}, (SELECT unnest(range(4)) AS band)")
+def simhash_bands_64(t: Tables):
+    return _hashes_md5_64(t).select("doc_id", F.inline(bits.bands(F.col("simhash"))))
+
+
+@query(f"SELECT DISTINCT a.simhash AS a, b.simhash AS b FROM {HASHES_64} a JOIN {HASHES_64} b ON a.simhash <> 0 AND b.simhash <> 0 AND a.simhash <> b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3")
+def near_dup_pairs_64(t: Tables):
+    """The production form of near_dup_pairs, where unrelated documents hardly meet by chance."""
+    return dedup.near_pairs(_hashes_md5_64(t))
+
+
+@query()
+def dedup_cascade_64(t: Tables):
+    """The production form of dedup_cascade: the exact 64-bit fingerprints, which SQL cannot say."""
+    return dedup.classify(_items(t, _hashes_64(t)))
+
+
 @query()
 def html_text(t: Tables):
     return t.pages.select("page_id", markup.html_to_text("html").alias("h")).select("page_id", "h.text", "h.hidden_blocks")

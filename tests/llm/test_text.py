@@ -169,3 +169,20 @@ def test_quality_odd_rows(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert {r.score for r in quality.score(d, quality.train(d, labels.limit(0))).collect()} == {0.5}
     assert quality.score(d.limit(0), quality.Model()).count() == 0
+
+
+def test_unlearned_languages_and_noise_are_dropped(spark):
+    rng = random.Random(4)
+    foreign = [
+        "il governo ha annunciato che la nuova legge sulle pensioni entrerà in vigore il prossimo anno, ma i sindacati hanno già proclamato uno sciopero generale. ",
+        "de regering heeft aangekondigd dat de nieuwe wet op de pensioenen volgend jaar van kracht wordt, maar de vakbonden staken al. ",
+        "rząd ogłosił, że nowa ustawa o emeryturach wejdzie w życie w przyszłym roku, ale związki zawodowe już ogłosiły strajk generalny. ",
+        "правительство объявило что новый закон о пенсиях вступит в силу в следующем году но профсоюзы уже объявили забастовку. ",
+    ]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (200, 1000, 4000)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = spark.createDataFrame([(-1 - i, t, None, "x", len(t)) for i, t in enumerate(foreign + noise)], docs.schema)
+    kept = {r.doc_id for r in langid.drop_unknown(docs.unionByName(extra)).select("doc_id").collect()}
+    lettered = {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
+    assert not [i for i in kept if i < 0]
+    assert len(lettered - kept) <= 1 and kept <= lettered

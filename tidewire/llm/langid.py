@@ -19,6 +19,11 @@ ORDERS, PLACES = (1, 2, 3, 4), 1 << 16
 #: Labelled texts of a language to fit on, landmarks among them, ridge.
 PER_CLASS, LANDMARKS, RIDGE = 300, 240, 0.01
 UNKNOWN = "und"
+#: An n-gram is a language's own if this share of its texts, and two texts, have it. What is cut off lies FAR
+#: times as far from 1 as q, the least of MOST of the labelled texts set aside; short texts get SHORT / sqrt(n-grams) more.
+#: The cut is never below FLOOR (foreign and shuffled texts lie under it), or q less NEAR where labelled texts do too.
+#: A language with fewer learned texts than LEAST can't be told from an unlearned one: its texts stay.
+OWN, MOST, FAR, SHORT, LEAST, FLOOR, NEAR = 0.01, 0.999, 7.0, 0.5, 50, 0.78, 0.05
 
 
 def presence(text: str) -> np.ndarray:
@@ -43,6 +48,16 @@ class Model:
     classes: list[str]
     weights: np.ndarray  # places x classes: landmark features times dual weights
     bias: np.ndarray
+    own: np.ndarray | None = None  # places x classes: whether a language's texts have the n-gram
+    judged: np.ndarray | None = None  # whether a language has texts enough to say what is its own
+    cut: float = 0.0
+
+    def familiar(self, rows: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
+        """Whether each text's n-grams are those of its two best languages, as far as learned texts' are.
+
+        Unlike the scores, whose best is 1 / classes at least, this falls for a text of no learned language.
+        """
+        return np.array([len(r) > 0 and (not self.judged[s.argmax()] or _shared(self.own, r, s) >= self.cut) for r, s in zip(rows, scores, strict=True)], dtype=bool)
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         """Texts x classes: one product of the batch's kernel features with the weights."""
@@ -55,6 +70,37 @@ class Model:
         return out
 
 
+def _own(rows: list[np.ndarray], langs: list[str], classes: list[str]) -> np.ndarray:
+    out = np.zeros((PLACES, len(classes)), dtype=bool)
+    for k, c in enumerate(classes):
+        of = [r for r, lang in zip(rows, langs, strict=True) if lang == c]
+        if of:
+            out[:, k] = np.bincount(np.concatenate(of), minlength=PLACES) >= max(2, OWN * len(of))
+    return out
+
+
+def _shared(own: np.ndarray, row: np.ndarray, scores: np.ndarray) -> float:
+    """The share of a text's n-grams that either of its two best languages has (texts may mix them), and the allowance for its length."""
+    best = np.argsort(-scores, kind="stable")[:2]
+    return float((own[row, best[0]] | own[row, best[-1]]).mean()) + SHORT / np.sqrt(len(row))
+
+
+def _calibrate(model: Model, rows: list[np.ndarray], langs: list[str]) -> Model:
+    """Learn what is a language's own, and the cut from every fifth text against the other four fifths."""
+    model.judged = np.array([langs.count(c) >= LEAST for c in model.classes])
+    known = {c for c, j in zip(model.classes, model.judged, strict=True) if j}
+    aside = [i for i in range(0, len(rows), 5) if len(rows[i]) and langs[i] in known]
+    rest = [i for i in range(len(rows)) if i % 5]
+    if aside and rest:
+        own = _own([rows[i] for i in rest], [langs[i] for i in rest], model.classes)
+        scores = model.scores([rows[i] for i in aside])
+        shares = [_shared(own, rows[i], s) for i, s in zip(aside, scores, strict=True)]
+        q = min(1.0, float(np.quantile(shares, 1 - MOST)))
+        model.cut = min(max(1 - FAR * (1 - q), min(FLOOR, q - NEAR)), 1 - NEAR)
+    model.own = _own(rows, langs, model.classes)
+    return model
+
+
 def _dense(rows: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(rows), PLACES), dtype=np.float32)
     for i, r in enumerate(rows):
@@ -85,7 +131,7 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     zb = np.concatenate([z, np.ones((len(z), 1))], axis=1)
     gram = (zb * share[:, None]).T @ zb + ridge * len(z) / 100 * np.eye(zb.shape[1])
     w = np.linalg.solve(gram, (zb * share[:, None]).T @ y)
-    return Model(classes, (marks.T @ (root @ w[:-1])).astype(np.float32), w[-1])
+    return _calibrate(Model(classes, (marks.T @ (root @ w[:-1])).astype(np.float32), w[-1]), rows, langs)
 
 
 def _presence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +158,11 @@ def held_out(id_: Column) -> Column:
     return F.pmod(F.crc32(id_.cast("string")), F.lit(3)) == 1
 
 
-def language(model: Model, docs: DataFrame, text: Column) -> Column:
-    """A struct (lang_pred, score) for each text: the best class, its margin mapped to 0..1."""
+def language(model: Model, docs: DataFrame, text: Column, rejects: bool = False) -> Column:
+    """A struct (lang_pred, score) for each text: the best class, its margin mapped to 0..1.
+
+    With `rejects`, a text that no learned language explains is `und` too.
+    """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # places x classes: of fixed size
 
@@ -121,9 +170,12 @@ def language(model: Model, docs: DataFrame, text: Column) -> Column:
     def predict(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
         known = [bool(t) and any(map(str.isalpha, t)) and bool(m.classes) for t in texts]
-        s = m.scores([presence(t) if k else np.zeros(0, np.int32) for t, k in zip(texts, known, strict=True)])
+        rows = [presence(t) if k else np.zeros(0, np.int32) for t, k in zip(texts, known, strict=True)]
+        s = m.scores(rows)
         if not m.classes:
             return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})
+        if rejects:
+            known = np.array(known) & m.familiar(rows, s)
         best = s.argmax(axis=1)
         top = np.clip((s[np.arange(len(s)), best] + 1) / 2, 0, 1)
         lang = [m.classes[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
@@ -146,12 +198,12 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "p.lang_pred", "p.score")
 
 
-#: A document stays if its text has a language at least this sure.
+#: A document stays if its text has a language at least this sure, and is familiar.
 SURE = 0.2
 
 
 def drop_unknown(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """The rows of docs whose text has a known language, with all their columns."""
-    p = language(train(docs), docs, F.col("text"))
+    p = language(train(docs), docs, F.col("text"), rejects=True)
     scored = docs.withColumn("__p", p)
     return scored.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= sure)).drop("__p")

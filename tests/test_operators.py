@@ -122,6 +122,22 @@ def test_consolidate_and_rejoin(spark):
     assert ids(best, "story_id", "larger_id") == [(1, 2)]
 
 
+def test_merges_have_no_cap(spark):
+    n = 60
+    st = spark.createDataFrame([(i, i, [1.0, 0.0]) for i in range(2 * n)], "story_id bigint, at bigint, vector array<double>")
+    g = spark.createDataFrame([(i, i // 2) for i in range(2 * n)], "story_id bigint, entity_id bigint")
+    want = [(2 * i, 2 * i + 1) for i in range(n)]
+    assert ids(clustering.consolidate(st, g), "survivor_id", "absorbed_id") == want
+    ents = g.select("entity_id").distinct().select("entity_id", F.concat(F.lit("n"), "entity_id").alias("name"), F.lit("ORG").alias("entity_type"))
+    members = st.select("story_id", F.explode(F.when(F.col("story_id") % 2 == 0, F.array(F.lit("a.com"), F.lit("b.com"))).otherwise(F.array(F.lit("a.com")))).alias("domain"))
+    assert ids(clustering.rejoin(st, members, g, ents, ents.where("false").select("entity_id")), "survivor_id", "absorbed_id") == want
+
+    def left(state, merges):
+        return state.join(merges.select(F.col("absorbed_id").alias("story_id")), "story_id", "left_anti")
+
+    assert ids(clustering.every_pass(lambda s: clustering.consolidate(s, g, most=25), left, st), "survivor_id", "absorbed_id") == want
+
+
 def test_rejoin_sees_what_was_absorbed(spark):
     """Story 2 shares entity 8 with the larger story only after story 1 has brought it."""
     st = spark.createDataFrame([(9, 0, tilted(0)), (1, 1, tilted(0, 0.1)), (2, 2, tilted(0, 0.2)), (3, 3, tilted(5)), (4, 4, tilted(0))], "story_id bigint, at bigint, vector array<double>")

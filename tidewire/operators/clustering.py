@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tidewire.functions import vectors
 
 from . import guard
-from .graph import components
+from .graph import components, cut
 
-# Similarities, hours, candidates, merges of one pass.
+# Similarities, hours, candidates, merges of one tick of a recurring job (for callers that want its cap).
 JOIN, MERGE, WINDOW_HOURS, CANDIDATES, MOST_MERGES = 0.82, 0.90, 48, 10, 50
 
 
@@ -142,18 +142,31 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["survivor_id", "absorbed_id", "similarity", "shared_entities", "at_a", "at_b"])
 
 
-def consolidate(stories: DataFrame, story_guards: DataFrame, threshold: float = MERGE, most: int = MOST_MERGES) -> DataFrame:
+def _first(merges: DataFrame, most: int | None, *order: str) -> DataFrame:
+    merges = merges.orderBy(*order)
+    return merges if most is None else merges.limit(most)
+
+
+def every_pass(find, apply, state):
+    """The merges of passes that are capped, until one finds none: `find(state)` gives a pass's merges, `apply(state, merges)` the next state."""
+    out = None
+    while not (merges := cut(find(state))).isEmpty():
+        out, state = merges if out is None else out.unionByName(merges), apply(state, merges)
+    return merges if out is None else out
+
+
+def consolidate(stories: DataFrame, story_guards: DataFrame, threshold: float = MERGE, most: int | None = None) -> DataFrame:
     """Merges in the order of the older story; it survives, an absorbed story does nothing more.
 
     The greedy order matters only among stories that similar pairs connect, so it runs apart
-    for each such group; the first `most` merges stand.
+    for each such group. All merges are returned; with `most`, the first so many.
     """
     pairs = pairs_by_entity(stories, story_guards, threshold)
     parts = components(pairs.select("a", "b"))
     grouped = pairs.join(parts, F.col("a") == F.col("node")).drop("node")
     at = grouped.schema["at_a"].dataType.simpleString()
     merges = grouped.groupBy("component").applyInPandas(_greedy, f"survivor_id bigint, absorbed_id bigint, similarity double, shared_entities bigint, at_a {at}, at_b {at}")
-    return merges.orderBy("at_a", "survivor_id", "at_b", "absorbed_id").limit(most).select("survivor_id", "absorbed_id", "similarity", "shared_entities")
+    return _first(merges, most, "at_a", "survivor_id", "at_b", "absorbed_id").select("survivor_id", "absorbed_id", "similarity", "shared_entities")
 
 
 def straggler_best(singles: DataFrame, larger: DataFrame, single_guard: DataFrame, larger_guard: DataFrame, threshold: float = JOIN) -> DataFrame:
@@ -194,14 +207,14 @@ def _rejoin_fold(threshold: float):
     return run
 
 
-def rejoin(stories: DataFrame, members: DataFrame, story_edges: DataFrame, entities: DataFrame, over: DataFrame, threshold: float = JOIN, most: int = MOST_MERGES) -> DataFrame:
+def rejoin(stories: DataFrame, members: DataFrame, story_edges: DataFrame, entities: DataFrame, over: DataFrame, threshold: float = JOIN, most: int | None = None) -> DataFrame:
     """Single stories reunited with the larger story they should have joined, which survives.
 
     stories(story_id, at, vector): vectors as the pass starts; members(story_id, domain).
     What a story absorbs changes its guard for later ones: its entities grow and its
     masthead counts once a second outlet is in. All this stays within a component over
-    guard entities, so components are folded apart, each in order of (at, id); the first
-    `most` rejoins stand.
+    guard entities, so components are folded apart, each in order of (at, id). All rejoins
+    are returned; with `most`, the first so many.
     """
     from tidewire.functions import text
 
@@ -215,7 +228,7 @@ def rejoin(stories: DataFrame, members: DataFrame, story_edges: DataFrame, entit
     rows = rows.select("component", "story_id", "at", "vector", "articles", "domains", labels.alias("labels"), F.transform("e", lambda x: x["entity_id"]).alias("entities"), F.transform("e", lambda x: x["name"]).alias("names"))
     at = rows.schema["at"].dataType.simpleString()
     found = rows.groupBy("component").applyInPandas(_rejoin_fold(threshold), f"survivor_id bigint, absorbed_id bigint, similarity double, shared_entities int, at {at}")
-    return found.orderBy("at", "absorbed_id").limit(most).select("survivor_id", "absorbed_id", "similarity", "shared_entities")
+    return _first(found, most, "at", "absorbed_id").select("survivor_id", "absorbed_id", "similarity", "shared_entities")
 
 
 def apply_merges(members: DataFrame, merges: DataFrame) -> DataFrame:

@@ -78,3 +78,15 @@ def test_near_duplicates_are_found_at_64_bits(spark, tmp_path):
     assert got == {1: ("unique", None), 2: ("unique", None), 3: ("unique", None), 4: ("near_duplicate", 3), 5: ("exact_duplicate", 1)}
     assert plans.QUERIES["dedup_cascade"](spark, str(tmp_path)).where("id = 2").first().dedup_status == "near_duplicate"
     assert plans.QUERIES["simhash_bands_64"](spark, str(tmp_path)).where("value > 255").count() > 0
+
+
+def test_shared_guard_takes_all_articles(spark):
+    sf = "/root/testdata/sf0.01"  # on the smallest tables all entities are too common
+    of, want = {}, {}
+    for r in plans.QUERIES["story_guard"](spark, sf).collect():
+        of.setdefault(r.entity_id, []).append(r.story_id)
+    for r in plans.QUERIES["article_guard"](spark, sf).collect():
+        for s in of.get(r.entity_id, ()):
+            want[r.article_id, s] = want.get((r.article_id, s), 0) + 1
+    got = {(r.article_id, r.story_id): r.shared for r in plans.QUERIES["shared_guard_all"](spark, sf).collect()}
+    assert got == want and any(a % 100 for a, _ in got)

@@ -86,6 +86,12 @@ def shared_guard(t: Tables):
     return guard.shared(a, "article_id", story_guard(t), "story_id")
 
 
+@query(f"SELECT a.article_id, s.story_id, count(*) AS shared FROM {A_GUARD} a JOIN {S_GUARD} s ON a.entity_id = s.entity_id GROUP BY 1, 2")
+def shared_guard_all(t: Tables):
+    """Guard entities that each article shares with each story; shared_guard takes a hundredth of the articles."""
+    return guard.shared(article_guard(t), "article_id", story_guard(t), "story_id")
+
+
 @query("SELECT l_orderkey AS story_id, count(DISTINCT l_suppkey) AS source_count FROM lineitem GROUP BY 1")
 def story_source_count(t: Tables):
     return t.lineitem.groupBy(F.col("l_orderkey").alias("story_id")).agg(F.countDistinct("l_suppkey").alias("source_count"))

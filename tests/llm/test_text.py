@@ -186,3 +186,21 @@ def test_unlearned_languages_and_noise_are_dropped(spark):
     lettered = {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
     assert not [i for i in kept if i < 0]
     assert len(lettered - kept) <= 1 and kept <= lettered
+
+
+def test_word_vectors_are_from_all_texts(spark):
+    texts = ["alpha beta gamma alpha", "delta beta, epsilon delta", None, "", "delta epsilon zeta"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    vocab, vectors = quality.corpus_vectors(d)
+    want = {}
+    for t in texts:
+        words = quality.tokens(t or "")
+        for i, w in enumerate(words):
+            near = [words[j] for j in range(max(0, i - 2), min(len(words), i + 3)) if j != i]
+            want[w] = want.get(w, 0) + sum(map(quality.index_vector, near), np.zeros(quality.DIM))
+    assert set(vocab) == {"alpha", "beta", "delta", "epsilon"}
+    for w, i in vocab.items():
+        assert np.allclose(vectors[i], quality.index_vector(w) / np.sqrt(quality.FILLED) + want[w] / np.linalg.norm(want[w]), atol=1e-5)
+    labels = spark.createDataFrame([(0, 1), (3, 0), (2, 0)], "doc_id bigint, quality int")
+    assert "delta" in quality.train(d, labels).vocab  # in no labelled text
+    assert np.allclose(quality.pooled("unseen", vocab, vectors)[: quality.DIM], quality.index_vector("unseen") / np.sqrt(quality.FILLED), atol=1e-6)

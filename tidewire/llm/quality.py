@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,19 +40,94 @@ def index_vector(word: str) -> np.ndarray:
     return v
 
 
-def word_vectors(docs: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-    """Each frequent word's own index vector plus those of its neighbours, at unit length."""
-    counts = Counter(w for d in docs for w in d)
-    vocab = {w: i for i, (w, n) in enumerate(sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:WORDS]) if n > 1}
+@lru_cache(maxsize=1 << 16)
+def hashed(word: str) -> np.ndarray:
+    """What a word without context has for a vector."""
+    return index_vector(word) / np.float32(np.sqrt(FILLED))
+
+
+@lru_cache(maxsize=1 << 16)
+def _places(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """An index vector as FILLED places and values; places that two draws share have one value, the rest 0."""
+    v = index_vector(word)
+    at = np.flatnonzero(v)
+    pad = FILLED - len(at)
+    return np.pad(at, (0, pad)), np.pad(v[at], (0, pad)).astype(np.int32)
+
+
+def contexts(docs: list[list[str]], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Vocabulary words of some texts, and the sum of the index vectors of all their neighbours there."""
+    local: dict[str, int] = {}
+    flat = [local.setdefault(w, len(local)) for d in docs for w in d]
+    if not flat:
+        return np.zeros(0, np.int64), np.zeros((0, DIM), np.int32)
+    ids = np.array(flat)
+    of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    place, value = map(np.stack, zip(*map(_places, local), strict=True))
+    row = np.array([vocab.get(w, -1) for w in local])
+    known = np.flatnonzero(row >= 0)
+    short = np.full(len(local), -1)
+    short[known] = np.arange(len(known))
+    out = np.zeros(len(known) * DIM)
+    for k in range(1, WINDOW + 1):
+        same = of[:-k] == of[k:]
+        for a, b in ((ids[:-k], ids[k:]), (ids[k:], ids[:-k])):
+            use = same & (short[a] >= 0)
+            x, y = short[a[use]] * DIM, b[use]
+            for j in range(FILLED):
+                out += np.bincount(x + place[y, j], value[y, j], len(out))
+    return row[known], out.reshape(-1, DIM).astype(np.int32)
+
+
+#: Words that a task counts before it passes its counts on.
+HELD = 200_000
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter = Counter()
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            counts.update(tokens(t))
+            if len(counts) > HELD:
+                yield rows()
+                counts.clear()
+    yield rows()
+
+
+def corpus_vectors(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, int], np.ndarray]:
+    """Each frequent word's own index vector plus those of its neighbours, at unit length, over all texts.
+
+    Words are counted, and contexts summed, in each task and then by word; the driver gets
+    WORDS rows. Other words have their index vector alone.
+    """
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = texts.mapInArrow(_count_batches, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
+    words = [w.decode("utf-8", "surrogatepass") for w in top.column("word").to_pylist()]
+    vocab = {w: i for i, w in enumerate(words)}
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most WORDS words
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(shared.value), DIM), np.int64)
+        for batch in batches:
+            at, found = contexts([tokens(t) for t in batch.column(0).to_pylist()], shared.value)
+            total[at] += found
+        at = np.flatnonzero(total.any(axis=1))
+        columns = [pa.array(at, pa.int32()), *(pa.array(total[at, i], pa.int64()) for i in range(DIM))]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", *(f"x{i}" for i in range(DIM))])
+
     index = np.stack([index_vector(w) for w in vocab]) if vocab else np.zeros((0, DIM), np.float32)
-    context = np.zeros_like(index)
-    for d in docs:
-        ids = np.array([vocab.get(w, -1) for w in d], dtype=np.int64)
-        for k in range(1, WINDOW + 1):
-            a, b = ids[:-k], ids[k:]
-            both = (a >= 0) & (b >= 0)
-            np.add.at(context, a[both], index[b[both]])
-            np.add.at(context, b[both], index[a[both]])
+    context = np.zeros(index.shape)
+    if vocab:
+        names = [f"x{i}" for i in range(DIM)]
+        parts = texts.mapInArrow(sums, "word int, " + ", ".join(f"{n} bigint" for n in names))
+        got = parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        context[got.column("word").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     v = index / np.sqrt(FILLED) + context / np.where(norm > 0, norm, 1)
     return vocab, v.astype(np.float32)
@@ -68,6 +146,8 @@ def pooled(text: str, vocab: dict[str, int], vectors: np.ndarray) -> np.ndarray:
     w = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
     known = rows >= 0
     out[:DIM] = w[known] @ vectors[rows[known]] / n
+    if not known.all():
+        out[:DIM] += w[~known] @ np.stack([hashed(t) for t, r in zip(counts, rows, strict=True) if r < 0]) / n
     signs = sum(c for t, c in counts.items() if not t[0].isalnum())
     kinds = [c for t, c in counts.items() if not t[0].isalnum() and t not in (".", ",")]
     caps = sum(map(str.isupper, text)) / len(text)
@@ -126,12 +206,12 @@ def _fit_network(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 60) -> t
     return tuple(p)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
-    """Word vectors from the texts, a two-layer network, and a temperature from a fifth set aside."""
+def fit(texts: list[str], labels: list[int], vectors_of, seed: int = 5) -> Model:
+    """A two-layer network over the word vectors that `vectors_of` gives, and a temperature from a fifth set aside."""
     y = np.array(labels, dtype=float)
     if len(set(labels)) < 2:
         return Model(base=float(y.mean()) if len(y) else 0.5)
-    vocab, vectors = word_vectors([tokens(t) for t in texts])
+    vocab, vectors = vectors_of()
     model = Model(vocab, vectors)
     x = model.inputs(texts)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
@@ -151,13 +231,13 @@ def held_out(id_: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL, seed: int = 9) -> Model:
-    """Fit on at most 2 * per_label labelled texts of each label, none with crc32(id) mod 4 equal to 2."""
+    """Fit on at most 2 * per_label labelled texts of each label, none with crc32(id) mod 4 equal to 2; word vectors are from all texts."""
     known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     ids = bounded_ids(known, "id", "label", per_label, seed)
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     got = own.join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id")).select("text", "label").toArrow()  # ids: bounded above
-    return fit(got.column("text").to_pylist(), got.column("label").to_pylist())
+    return fit(got.column("text").to_pylist(), got.column("label").to_pylist(), lambda: corpus_vectors(docs, text_col))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,22 @@ def test_feeds(spark):
     assert len([r for r in feeds.entries(spark.createDataFrame([("many", "<rss>" + "<item><title>t</title></item>" * 300 + "</rss>")], docs.schema)).collect()]) == 200
     with pytest.raises(ValueError):
         feeds.read("other", docs, "2024-02-01")
+
+
+def test_folds_hold_the_last_hours_only(spark, sf):
+    """Rows come in any batches; rejoin folds apart what can't meet, though entities chain all rows."""
+    from tidewire import plans
+    from tidewire.plans import vectors as v
+    from tidewire.plans.registry import Tables
+
+    start = datetime(2024, 1, 1)
+    rows = [(0, i, start + timedelta(hours=h), "a.com", [1.0, 0.0], [], [5], ["n"]) for i, h in enumerate((0, 40, 80, 140))] + [(9, 9, start, "a.com", [1.0, 0.0], [], [5], ["n"])]
+    frame = pd.DataFrame(rows, columns=["component", "article_id", "published_at", "domain", "vector", "labels", "entities", "names"])
+    got = pd.concat(clustering._fold(0.5, 10)(iter([frame[i : i + 1] for i in range(len(frame))])))
+    assert got.story_id.tolist() == [0, 0, 0, 3, 9]
+    t = Tables(spark, sf)
+    usable, st = v._entities(t, "story_id"), v._stories(t)
+    outlets = st.select("story_id", F.when(F.col("story_id") % 3 == 0, 1).otherwise(2).alias("articles"))
+    parts = clustering._rejoin_parts(st, usable, outlets, 0.2)
+    assert parts.groupBy("component").count().agg(F.max("count")).first()[0] < st.count() / 10
+    assert plans.QUERIES["rejoin_fold"](spark, sf).count() > 0

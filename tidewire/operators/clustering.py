@@ -52,41 +52,50 @@ def digests(matches: DataFrame, rows: DataFrame, threshold: float = JOIN) -> Dat
 
 
 def _fold(join: float, k: int):
-    """Join-or-create over one component, in time order; every decision changes what the next sees."""
+    """Join-or-create over rows in order of component and time; every decision changes what the next sees.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    Only stories of the last WINDOW_HOURS are kept: an older one takes no more articles.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stories: list[dict] = []
-        out = []
-        for a in pdf.sort_values(["published_at", "article_id"]).itertuples():
-            v = np.asarray(a.vector, dtype=float)
-            own, ents = set(a.labels), dict(zip(a.entities, a.names, strict=True))
-            mine = {e for e, name in ents.items() if name not in own}
-            match = []
-            if stories:
-                m = np.stack([s["sum"] / s["n"] for s in stories])
-                norms = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
-                sims = np.where(norms > 0, m @ v / np.where(norms > 0, norms, 1), 0.0)
-                recent = np.array([(a.published_at - s["last"]).total_seconds() <= WINDOW_HOURS * 3600 for s in stories])
-                for i in [i for i in np.argsort(-sims, kind="stable") if recent[i]][:k]:
-                    if sims[i] < join:
-                        break
-                    s = stories[i]
-                    lone = s["labels"] if len(s["domains"]) == 1 else set()
-                    share = {e for e in mine & s["entities"].keys() if s["entities"][e] not in lone}
-                    if share:
-                        match.append((i, float(sims[i]), len(share), m[i]))
-            far = any(_cos(x[3], y[3]) < join for n, x in enumerate(match) for y in match[:n])
-            if match and not far:
-                i, sim, n, _ = match[0]
+        component = None
+        for pdf in batches:
+            out = []
+            for a in pdf.itertuples():
+                if component is None or a.component != component:
+                    stories, component = [], a.component
+                stories = [s for s in stories if (a.published_at - s["last"]).total_seconds() <= WINDOW_HOURS * 3600]
+                out.append(place(a, stories))
+            yield pd.DataFrame(out, columns=["article_id", "story_id", "joined", "similarity", "shared_entities"]).astype({"similarity": "float64"})
+
+    def place(a, stories: list[dict]) -> tuple:
+        v = np.asarray(a.vector, dtype=float)
+        own, ents = set(a.labels), dict(zip(a.entities, a.names, strict=True))
+        mine = {e for e, name in ents.items() if name not in own}
+        match = []
+        if stories:
+            m = np.stack([s["sum"] / s["n"] for s in stories])
+            norms = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
+            sims = np.where(norms > 0, m @ v / np.where(norms > 0, norms, 1), 0.0)
+            for i in np.argsort(-sims, kind="stable")[:k]:
+                if sims[i] < join:
+                    break
                 s = stories[i]
-                s["sum"], s["n"], s["last"] = s["sum"] + v, s["n"] + 1, a.published_at
-                s["domains"].add(a.domain)
-                s["entities"] |= ents
-                out.append((a.article_id, s["id"], True, round(sim, 4), n))
-            else:
-                stories.append({"id": a.article_id, "sum": v, "n": 1, "entities": ents, "domains": {a.domain}, "labels": own, "last": a.published_at})
-                out.append((a.article_id, a.article_id, False, None, 0))
-        return pd.DataFrame(out, columns=["article_id", "story_id", "joined", "similarity", "shared_entities"]).astype({"similarity": "float64"})
+                lone = s["labels"] if len(s["domains"]) == 1 else set()
+                share = {e for e in mine & s["entities"].keys() if s["entities"][e] not in lone}
+                if share:
+                    match.append((i, float(sims[i]), len(share), m[i]))
+        far = any(_cos(x[3], y[3]) < join for n, x in enumerate(match) for y in match[:n])
+        if match and not far:
+            i, sim, n, _ = match[0]
+            s = stories[i]
+            s["sum"], s["n"], s["last"] = s["sum"] + v, s["n"] + 1, a.published_at
+            s["domains"].add(a.domain)
+            s["entities"] |= ents
+            return a.article_id, s["id"], True, round(sim, 4), n
+        stories.append({"id": a.article_id, "sum": v, "n": 1, "entities": ents, "domains": {a.domain}, "labels": own, "last": a.published_at})
+        return a.article_id, a.article_id, False, None, 0
 
     return run
 
@@ -102,7 +111,8 @@ def cluster(articles: DataFrame, edges: DataFrame, entities: DataFrame, over: Da
     articles(article_id, published_at, domain, vector). A join needs a shared guard entity, so
     components of articles over guard entities (before mastheads are left out) can't see each
     other and are folded apart, in time order. The top-k cut then counts stories of the own
-    component only; a component must fit one task, which the ceiling on common entities is for.
+    component only. A component streams through one task, sorted by Spark, which holds its
+    stories of the last WINDOW_HOURS only.
     """
     from tidewire.functions import text
 
@@ -118,7 +128,8 @@ def cluster(articles: DataFrame, edges: DataFrame, entities: DataFrame, over: Da
         F.coalesce(text.publisher_labels(F.col("domain")), F.array().cast("array<string>")).alias("labels"),
         F.transform(F.coalesce("e", empty), lambda x: x["entity_id"]).alias("entities"), F.transform(F.coalesce("e", empty), lambda x: x["name"]).alias("names"),
     )
-    return rows.groupBy("component").applyInPandas(_fold(join, k), "article_id bigint, story_id bigint, joined boolean, similarity double, shared_entities int")
+    rows = rows.repartition("component").sortWithinPartitions("component", "published_at", "article_id")
+    return rows.mapInPandas(_fold(join, k), "article_id bigint, story_id bigint, joined boolean, similarity double, shared_entities int")
 
 
 def pairs_by_entity(stories: DataFrame, story_guards: DataFrame, threshold: float = MERGE) -> DataFrame:
@@ -207,22 +218,44 @@ def _rejoin_fold(threshold: float):
     return run
 
 
+def _rejoin_parts(stories: DataFrame, usable: DataFrame, outlets: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of single and larger stories that could meet in a rejoin, which is less than sharing entities.
+
+    Similarities don't change in a pass, but a larger story's entities grow by those of what
+    it may absorb, so pairs are added until none comes.
+    """
+    ones = outlets.where("articles = 1").select("story_id")
+    mine = cut(usable.join(ones, "story_id").select(F.col("story_id").alias("s"), "entity_id"))
+    reach = cut(usable.join(outlets.where("articles > 1"), "story_id").select(F.col("story_id").alias("t"), "entity_id"))
+    v, w = stories.select(F.col("story_id").alias("s"), F.col("vector").alias("va")), stories.select(F.col("story_id").alias("t"), F.col("vector").alias("vb"))
+    near = F.coalesce(vectors.cosine(F.col("va"), F.col("vb")), F.lit(0.0)) >= threshold - 1e-6  # the fold decides
+    pairs, new = None, reach
+    while True:
+        met = mine.join(new, "entity_id").select("s", "t").distinct()
+        met = cut((met if pairs is None else met.join(pairs, ["s", "t"], "left_anti")).join(v, "s").join(w, "t").where(near).select("s", "t"))
+        if met.isEmpty():
+            break
+        pairs = met if pairs is None else cut(pairs.unionByName(met))
+        new = cut(met.join(mine, "s").select("t", "entity_id").distinct().join(reach, ["t", "entity_id"], "left_anti"))
+        reach = cut(reach.unionByName(new))
+    return components((met if pairs is None else pairs).select(F.col("s").alias("a"), F.col("t").alias("b")))
+
+
 def rejoin(stories: DataFrame, members: DataFrame, story_edges: DataFrame, entities: DataFrame, over: DataFrame, threshold: float = JOIN, most: int | None = None) -> DataFrame:
     """Single stories reunited with the larger story they should have joined, which survives.
 
     stories(story_id, at, vector): vectors as the pass starts; members(story_id, domain).
     What a story absorbs changes its guard for later ones: its entities grow and its
     masthead counts once a second outlet is in. All this stays within a component over
-    guard entities, so components are folded apart, each in order of (at, id). All rejoins
+    pairs that could meet, so components are folded apart, each in order of (at, id). All rejoins
     are returned; with `most`, the first so many.
     """
     from tidewire.functions import text
 
     usable = story_edges.select("story_id", "entity_id").distinct().join(entities.where("entity_type <> 'OTHER'"), "entity_id").join(over.select("entity_id"), "entity_id", "left_anti")
-    first = usable.groupBy("entity_id").agg(F.min("story_id").alias("b"))
-    part = components(usable.join(first, "entity_id").select(F.col("story_id").alias("a"), "b"))
     lists = usable.groupBy("story_id").agg(F.collect_list(F.struct("entity_id", text.compact_name(F.col("name")).alias("name"))).alias("e"))
     outlets = members.groupBy("story_id").agg(F.count("*").alias("articles"), F.collect_set("domain").alias("domains"))
+    part = _rejoin_parts(stories, usable, outlets, threshold)
     rows = stories.join(outlets, "story_id").join(lists, "story_id").join(part, F.col("story_id") == F.col("node"))
     labels = F.flatten(F.transform("domains", text.publisher_labels))
     rows = rows.select("component", "story_id", "at", "vector", "articles", "domains", labels.alias("labels"), F.transform("e", lambda x: x["entity_id"]).alias("entities"), F.transform("e", lambda x: x["name"]).alias("names"))

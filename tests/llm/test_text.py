@@ -51,6 +51,18 @@ def test_html_main_text(wrap):
     assert html_extract.main_text(PAGE % (wrap % BODY)) == WANT
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        '<div class="content has-sidebar"><article>%s</article></div>', '<div id="page" class="layout-sidebar-right"><div>%s</div></div>',
+        '<main><div class="nav-fixed">%s</div></main>', '<form id="aspnetForm"><div class="post">%s</div></form>', '<form><div class="has-sidebar"><main>%s</main></div></form>',
+        '<article>%s</article><div class="related"><article><p>Short teaser, of another page.</p></article></div>',
+    ],
+)
+def test_html_wrappers_with_unlikely_names(wrap):
+    assert html_extract.main_text(PAGE % (wrap % BODY)) == WANT
+
+
 def test_html_odd_pages(spark):
     assert html_extract.main_text("") == "" and html_extract.main_text("plain  words") == "plain words"
     assert html_extract.main_text("<p>a<p>b" * 500).count("\n\n") == 999

@@ -34,31 +34,73 @@ UNLIKELY = re.compile(
     r"newsletter|subscri\w*|signup|login|popup|modal|overlay|breadcrumbs?|widget|pagination|pager|tags|copyright|skip|search|form)(?:$|[\s_\-\d])",
     re.I,
 )
+READERS = re.compile(r"comment|respond|replies|disqus|discussion", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "points", "dead")
+    __slots__ = ("tag", "attrs", "parent", "kids", "points", "dead", "named")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids, self.points = tag, attrs, parent, [], 0.0
-        self.dead = unlikely(tag, attrs, parent)
+        self.dead = surely(tag, attrs, parent)
+        self.named = not self.dead and tag not in ("html", "body", "main", "article", "header") and (tag == "form" or likely_named(attrs))
+        self.dead |= self.named  # until revive()
 
 
-def unlikely(tag: str, attrs: dict[str, str], parent: Node | None) -> bool:
-    if tag in DROP:
+def surely(tag: str, attrs: dict[str, str], parent: Node | None) -> bool:
+    if tag in DROP and tag != "form":
         return True
     if tag in ("html", "body", "main", "article"):
         return "comment" in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
     if tag == "header":
         return not _within(parent, ("article", "main"))
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or HIDDEN.search(attrs.get("style", "")):
-        return True
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or bool(HIDDEN.search(attrs.get("style", "")))
+
+
+def likely_named(attrs: dict[str, str]) -> bool:
     return bool(UNLIKELY.search(f"{attrs.get('class', '')} {attrs.get('id', '')}")) if "class" in attrs or "id" in attrs else False
 
 
+def _readers(node: Node) -> bool:
+    return bool(READERS.search(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"))
+
+
+def revive(root: Node) -> None:
+    """Bring back what only its name or being a form marks, if it wraps the article.
+
+    It does if it holds most of the page's text outside links and readers' comments, or an
+    article or main with more of it than those outside such elements have. If no text is
+    outside such elements, the largest and those nearly as large come back.
+    """
+    nodes, todo = [], [(root, False, False, False)]
+    while todo:
+        n, link, main, lost = todo.pop()
+        link, main, lost = link or n.tag == "a", main or n.tag in ("article", "main"), lost or n.named
+        nodes.append((n, link, main, lost))
+        todo += [(k, link, main, lost) for k in n.kids if isinstance(k, Node) and (k.named or not k.dead)]
+    if not any(n.named for n, *_ in nodes):
+        return
+    text: dict[int, int] = {}
+    inside: dict[int, int] = {}
+    living = outside = 0
+    for n, link, main, lost in reversed(nodes):
+        own = 0 if link else sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+        living += own if main and not lost else 0
+        outside += 0 if lost else own
+        text[id(n)] = 0 if n.named and _readers(n) else text.get(id(n), 0) + own
+        inside[id(n)] = text[id(n)] if n.tag in ("article", "main") else inside.get(id(n), 0)
+        if n.parent is not None:
+            up = id(n.parent)
+            text[up], inside[up] = text.get(up, 0) + text[id(n)], inside.get(up, 0) + inside[id(n)]
+    largest = max(text[id(n)] for n, *_ in nodes if n.named)
+    for n, *_ in nodes:
+        if n.named and text[id(n)]:
+            n.dead = not ((not outside and 4 * text[id(n)] > 3 * largest) or 2 * text[id(n)] > text[id(root)] or inside[id(n)] > living)
+
+
 def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
     while node is not None:
         if node.tag in tags:
@@ -230,6 +272,7 @@ def main_text(html: str) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    revive(tree.root)
     return "\n\n".join(blocks(select(tree.root)))
 
 

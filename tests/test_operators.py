@@ -123,6 +123,11 @@ def test_consolidate_and_rejoin(spark):
     assert ids(best, "story_id", "larger_id") == [(1, 2)]
 
 
+def test_roots_of_long_chains(spark):
+    f = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)], "story_id bigint, merged_into_id bigint")
+    assert ids(clustering.resolve_merged(f), "story_id", "root") == [(i, 0) for i in range(300)]
+
+
 def test_merges_have_no_cap(spark):
     n = 60
     st = spark.createDataFrame([(i, i, [1.0, 0.0]) for i in range(2 * n)], "story_id bigint, at bigint, vector array<double>")

@@ -275,12 +275,15 @@ def resync(members: DataFrame, edges: DataFrame) -> DataFrame:
     return members.select("story_id", "article_id").join(edges, "article_id").groupBy("story_id", "entity_id").agg(F.sum("mention_count").alias("mention_count"))
 
 
-def resolve_merged(forest: DataFrame, rounds: int = 8) -> DataFrame:
-    """(story_id, root) of a parent forest (story_id, merged_into_id) by pointer doubling, 2**rounds deep."""
-    at = forest.select("story_id", F.coalesce("merged_into_id", "story_id").alias("root"))
-    for _ in range(rounds):
+def resolve_merged(forest: DataFrame) -> DataFrame:
+    """(story_id, root) of a parent forest (story_id, merged_into_id) by pointer doubling until no row moves."""
+    at = cut(forest.select("story_id", F.coalesce("merged_into_id", "story_id").alias("root")))
+    for _ in range(at.count().bit_length()):  # no chain is longer than the rows
         up = at.toDF("via", "above")
-        at = at.join(up, F.col("root") == F.col("via"), "left").select("story_id", F.coalesce("above", "root").alias("root"))
+        step = cut(at.join(up, F.col("root") == F.col("via"), "left").select("story_id", F.coalesce("above", "root").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+        at = step.select("story_id", "root")
+        if step.where("moved").isEmpty():
+            break
     return at
 
 

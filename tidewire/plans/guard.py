@@ -107,4 +107,4 @@ def story_entity_resync(t: Tables):
 r AS (SELECT id, id AS top, up FROM f UNION ALL SELECT r.id, f.id, f.up FROM r JOIN f ON f.id = r.up) SELECT id AS story_id, top AS root FROM r WHERE up IS NULL""")
 def merge_roots(t: Tables):
     forest = t.orders.select(F.col("o_orderkey").alias("story_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") - 1).alias("merged_into_id"))
-    return clustering.resolve_merged(forest, 4)
+    return clustering.resolve_merged(forest)

@@ -46,3 +46,16 @@ def relative(ts: Column, now: Column) -> Column:
 def reading_minutes(seconds: Column) -> Column:
     """Half a minute rounds up; one minute at least."""
     return F.greatest(F.lit(1), F.floor(seconds / 60 + F.lit(0.5))).cast("int")
+
+
+def short_date(ts: Column) -> Column:
+    """Jan 5, 2024; empty for null."""
+    return F.coalesce(F.date_format(ts, "MMM d, yyyy"), F.lit(""))
+
+
+def eastern_time(ts: Column) -> Column:
+    """9:05 AM EST: a UTC time on the clock of New York; empty for null."""
+    local = F.from_utc_timestamp(ts, "America/New_York")
+    # In whole hours, how far that clock is behind tells summer time.
+    behind = F.round((F.unix_seconds(ts.cast("timestamp")) - F.unix_seconds(local.cast("timestamp"))) / 3600)
+    return F.coalesce(F.concat(F.date_format(local, "h:mm a"), F.when(behind == 4, " EDT").otherwise(" EST")), F.lit(""))

@@ -20,6 +20,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(both == 0, 0.0).otherwise(F.try_divide(dot(a, b), both))
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Cosine distance."""
+    return 1 - cosine(a, b)
+
+
+def moved_mean(mean: Column, members: Column, vector: Column) -> Column:
+    """A mean of `members` vectors, the last of them included: each place moves by its share."""
+    return F.zip_with(mean, vector, lambda m, x: (m * (members - 1) + x.cast("double")) / members)
+
+
 def mean_vector(df: DataFrame, key: str, vector: str, out: str = "centroid") -> DataFrame:
     """The exact mean of each key's vectors, summed map-side by place."""
     places = df.select(key, F.posexplode(vector).alias("place", "x"))

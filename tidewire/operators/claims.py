@@ -50,17 +50,23 @@ def checkable(claims: DataFrame) -> DataFrame:
     return kinds.withColumn("_n", F.count("*").over(Window.partitionBy("story_id"))).where("_n >= 2").drop("_n")
 
 
-def contradictions(claims: DataFrame, pairs: DataFrame) -> DataFrame:
+def contradictions(claims: DataFrame, pairs: DataFrame, existing: str | None = None) -> DataFrame:
     """(claim_id, verification_status, contradicted_by) after pairs(ord, a, b, reason).
 
     Statuses are those before any pair: if one side alone is authoritative, the other is
-    refuted; else both are disputed. Refuted beats disputed; reasons keep their order.
+    refuted and gets the entry; else both are disputed. Refuted beats disputed. Entries
+    (claim, reason) keep the pairs' order and go behind those of the column `existing`.
     """
-    both = pairs.select("ord", F.col("a").alias("claim_id"), F.col("b").alias("other"), "reason").unionByName(pairs.select("ord", F.col("b").alias("claim_id"), F.col("a").alias("other"), "reason"))
+    a, b = (pairs.select("ord", F.col(x).alias("claim_id"), F.col(y).alias("other"), "reason") for x, y in (("a", "b"), ("b", "a")))
     st = claims.select("claim_id", (F.col("verification_status") == "authoritative").alias("auth"))
-    sided = both.join(st, "claim_id").join(st.select(F.col("claim_id").alias("other"), F.col("auth").alias("other_auth")), "other")
+    sided = a.unionByName(b).join(st, "claim_id").join(st.select(F.col("claim_id").alias("other"), F.col("auth").alias("other_auth")), "other")
     weight = F.when(F.col("other_auth") & ~F.col("auth"), 2).when(F.col("auth") & ~F.col("other_auth"), 0).otherwise(1)
-    per = sided.withColumn("w", weight).groupBy("claim_id").agg(F.max("w").alias("w"), F.array_sort(F.collect_list(F.struct("ord", "other"))).alias("by"))
+    entry = F.struct("ord", "other", "reason")
+    per = sided.withColumn("w", weight).where("w > 0").groupBy("claim_id").agg(F.max("w").alias("w"), F.array_sort(F.collect_list(entry)).alias("by"))
     new = F.when(F.col("w") == 2, "refuted").when(F.col("w") == 1, "disputed")
-    out = claims.join(per, "claim_id", "left")
-    return out.select("claim_id", F.coalesce(new, "verification_status").alias("verification_status"), F.array_join(F.transform("by", lambda s: s["other"].cast("string")), ",").alias("contradicted_by"))
+    entries = F.transform("by", lambda s: F.struct(s["other"].alias("claim_id"), s["reason"].alias("reason")))
+    none = F.array().cast("array<struct<claim_id:bigint,reason:string>>")
+    before = F.coalesce(F.col(existing), none) if existing else none
+    return claims.join(per, "claim_id", "left").select(
+        "claim_id", F.coalesce(new, "verification_status").alias("verification_status"), F.concat(before, F.coalesce(entries, none)).alias("contradicted_by")
+    )

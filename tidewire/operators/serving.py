@@ -90,3 +90,38 @@ def children(parents: DataFrame, kids: DataFrame, key: str, order: list[str], va
 
 def renderable_price(source: Column, age_hours: Column, most_hours: int) -> Column:
     return source.isin("api", "admin_override") & (age_hours <= most_hours)
+
+
+def renderable_rating(rating: Column, source: Column) -> Column:
+    """Ratings come from a merchant's API or aren't shown."""
+    return rating.isNotNull() & F.coalesce(source == "api", F.lit(False))
+
+
+def link_safe(active: Column, health: Column) -> Column:
+    """Never a link that is known to be dead."""
+    return active & ~F.coalesce(health.isin("broken", "expired"), F.lit(False))
+
+
+def without_commerce(df: DataFrame, column: str, kinds: list[str]) -> DataFrame:
+    """Rows whose kind is none of those that may carry commerce."""
+    return df.where(~F.col(column).isin(*kinds))
+
+
+def forbidding(kinds: DataFrame) -> list[str]:
+    """Names of kinds(name, forbids_commercial) that forbid it: a configuration table of a few rows, in its order."""
+    return [r["name"] for r in kinds.where("forbids_commercial").select("name").limit(1000).collect()]
+
+
+def bundle(articles: DataFrame, refs: DataFrame, corrections: DataFrame, tags: DataFrame, article_tags: DataFrame) -> DataFrame:
+    """articles(id) with references in their order, public corrections by time, and tags by slug; empty lists without any."""
+    sorted_list = lambda rows, key, *cols: rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(key))
+    lists = {
+        "refs": sorted_list(refs, "refs", "display_order", "ref_id", "url"),
+        "corrections": sorted_list(corrections.where("is_public"), "corrections", "issued_at", "summary"),
+        "tags": sorted_list(article_tags.join(tags, "tag_id"), "tags", "slug", "name"),
+    }
+    out = articles
+    for name, rows in lists.items():
+        none = F.array().cast(rows.schema[name].dataType)
+        out = out.join(rows, "id", "left").withColumn(name, F.coalesce(name, none))
+    return out

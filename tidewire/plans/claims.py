@@ -47,11 +47,15 @@ PAIRS = "(SELECT l_orderkey * 10 + l_linenumber AS ord, l_orderkey AS a, l_partk
 @query(f"""WITH st AS {STATUS}, p AS (SELECT ord, a AS claim_id, b AS other FROM {PAIRS} UNION ALL SELECT ord, b, a FROM {PAIRS}),
 w AS (SELECT p.claim_id, ord, other, CASE WHEN o.verification_status = 'authoritative' AND c.verification_status <> 'authoritative' THEN 2 WHEN c.verification_status = 'authoritative' AND o.verification_status <> 'authoritative' THEN 0 ELSE 1 END AS w
 FROM p JOIN st c ON c.claim_id = p.claim_id JOIN st o ON o.claim_id = p.other),
-g AS (SELECT claim_id, max(w) AS w, string_agg(CAST(other AS VARCHAR), ',' ORDER BY ord, other) AS contradicted_by FROM w GROUP BY 1)
-SELECT st.claim_id, CASE WHEN w = 2 THEN 'refuted' WHEN w = 1 THEN 'disputed' ELSE verification_status END AS verification_status, contradicted_by FROM st LEFT JOIN g ON g.claim_id = st.claim_id""")
+g AS (SELECT claim_id, max(w) AS w, string_agg(other || ':' || ord % 7, ',' ORDER BY ord, other) AS contradicted_by FROM w WHERE w > 0 GROUP BY 1)
+SELECT st.claim_id, CASE WHEN w = 2 THEN 'refuted' WHEN w = 1 THEN 'disputed' ELSE verification_status END AS verification_status, CASE WHEN st.claim_id % 2 = 0 THEN '-1:old' || coalesce(',' || contradicted_by, '') ELSE coalesce(contradicted_by, '') END AS contradicted_by FROM st LEFT JOIN g ON g.claim_id = st.claim_id""")
 def contradiction_resolution(t: Tables):
-    pairs = t.lineitem.where("l_linenumber = 1 AND l_orderkey <> l_partkey").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"), F.lit("x").alias("reason"))
-    return ops.contradictions(_claims(t), pairs)
+    """Every second claim has an entry already; new ones, with their reasons, come behind it."""
+    ord_ = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    pairs = t.lineitem.where("l_linenumber = 1 AND l_orderkey <> l_partkey").select(ord_.alias("ord"), F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"), (ord_ % 7).cast("string").alias("reason"))
+    had = F.when(F.col("claim_id") % 2 == 0, F.array(F.struct(F.lit(-1).cast("bigint").alias("claim_id"), F.lit("old").alias("reason"))))
+    out = ops.contradictions(_claims(t).withColumn("had", had), pairs, "had")
+    return out.withColumn("contradicted_by", F.array_join(F.transform("contradicted_by", lambda e: F.concat(e["claim_id"], F.lit(":"), e["reason"])), ","))
 
 
 KIND = "CASE l_linenumber % 4 WHEN 0 THEN 'FACT' WHEN 1 THEN 'CLAIM' WHEN 2 THEN 'OPINION' ELSE 'ANALYSIS' END"
@@ -89,7 +93,10 @@ def us_relevance_score(t: Tables):
     return _scored(t).select("story_id", "score", F.bround("entity_signal", 4).alias("entity_signal"), F.bround("publisher_signal", 4).alias("publisher_signal"), "us_sources", "total_sources")
 
 
-@query()
+BASIS = f"""'{{"formula_version":1,"coverage":{scoring.COVERAGE},"signals":{{"us_entities":{{"weight":{scoring.WEIGHT_ENTITIES},"value":' || (round_even(es, 4) + 0.0) || '}},"us_publisher_share":{{"weight":{scoring.WEIGHT_PUBLISHERS},"value":' || (round_even(ps, 4) + 0.0) || ',"us_sources":' || us || ',"total_sources":' || total || '}}}}}}'"""
+
+
+@query(f"SELECT story_id, CAST(round_even(100 * (0.6 * es + 0.4 * ps), 0) AS INTEGER) AS score, {BASIS} AS basis FROM {SIGNALS}")
 def us_relevance_basis(t: Tables):
     return scoring.basis(_scored(t)).select("story_id", "score", "basis")
 

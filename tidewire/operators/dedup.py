@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import bits
 
 from .graph import cut
 
-
 #: Up to so many different fingerprints: blocks, and blocks that must agree. Keys grow from 16 to 25 and 32 bits.
 SCHEMES = ((1_000_000, 4, 1), (1_000_000_000, 5, 2), (float("inf"), 6, 3))
 
@@ -47,22 +46,58 @@ def classify(items: DataFrame, width: int = 64) -> DataFrame:
     (exact), or of the newest earlier one with a near fingerprint. Later checks see only
     what earlier ones left. Returns id, dedup_status, duplicate_of; a repeated URL is
     recorded like any other sighting.
+
+    The newest earlier item of an equal fingerprint is the row before, in order of id; of a
+    near one, it is looked up among that fingerprint's ids by range join of sorted lists:
+    never all pairs of a frequent fingerprint's items.
     """
     items = cut(items.select("id", "url_hash", "content_hash", "simhash"))  # read five times
     first = first_with(first_with(items, "url_hash", out="u"), "content_hash", out="c")
     owner = F.when(F.col("u") < F.col("id"), F.col("u")).when(F.col("c") < F.col("id"), F.col("c"))
     exact = first.select("id", "simhash", owner.alias("owner"))
-    left = exact.where("owner IS NULL AND simhash <> 0").select("id", "simhash")
-    pairs = near_pairs(items, "simhash", width)
-    same = items.select("simhash").where("simhash <> 0").distinct().select(F.col("simhash").alias("a"), F.col("simhash").alias("b"))
-    seen = items.select(F.col("id").alias("other"), F.col("simhash").alias("b"))
-    found = left.join(pairs.unionByName(same), F.col("simhash") == F.col("a")).join(seen, "b").where("other < id")
-    near = found.groupBy("id").agg(F.max("other").alias("near"))
+    near = newest_before(exact.where("owner IS NULL AND simhash <> 0").select("id", "simhash"), items.select("id", "simhash"), near_pairs(items, "simhash", width))
     out = exact.join(near, "id", "left")
     status = F.when(F.col("owner").isNotNull(), "exact_duplicate").when(F.col("near").isNotNull(), "near_duplicate").otherwise("unique")
     return out.select("id", status.alias("dedup_status"), F.coalesce("owner", "near").alias("duplicate_of"))
 
 
+#: Ids of one fingerprint that are looked through one by one.
+STEP = 1024
+
+
+def newest_before(asking: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, near): for each asking(id, simhash) the largest smaller id of items whose fingerprint is its own or, by pairs(a, b), near.
+
+    Each fingerprint's ids are cut into slots of STEP by value; an asker reads its own slot's
+    ids below it, and of all slots below only their largest id, so the work of a frequent
+    fingerprint grows with its items and slots, not with their square.
+    """
+    slot = F.floor(F.col("id") / STEP)
+    seen = items.where("simhash <> 0").select(F.col("simhash").alias("b"), F.col("id").alias("other"), slot.alias("slot"))
+    tops = seen.groupBy("b", "slot").agg(F.max("other").alias("top"))
+    before = Window.partitionBy("b").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    own = seen.select("b").distinct().select(F.col("b").alias("a"), "b")
+    asks = asking.select("id", F.col("simhash").alias("a"), slot.alias("slot")).join(pairs.unionByName(own), "a").select("id", "b", "slot")
+    inside = asks.join(seen, ["b", "slot"]).where("other < id").groupBy("id").agg(F.max("other").alias("near"))
+    # Of the slots below, the asker's fingerprint has one that is next: the largest top there.
+    marks = tops.select("b", "slot", "top").unionByName(asks.select("b", "slot").distinct().withColumn("top", F.lit(None).cast("bigint")))
+    lower = marks.groupBy("b", "slot").agg(F.max("top").alias("top")).withColumn("below", F.max("top").over(before)).select("b", "slot", "below")
+    under = asks.join(lower, ["b", "slot"]).where("below IS NOT NULL").groupBy("id").agg(F.max("below").alias("near"))
+    return inside.unionByName(under).groupBy("id").agg(F.max("near").alias("near"))
+
+
+def classify_new(new: DataFrame, stored: DataFrame, width: int = 64) -> DataFrame:
+    """classify() of new items behind stored ones: only stored items that share a hash or a block of bits with a new one are looked at."""
+    columns = ["id", "url_hash", "content_hash", "simhash"]
+    new, old = cut(new.select(*columns)), stored.select(*columns)
+    keys = lambda df: df.select("id", F.inline(bits.block_keys(F.col("simhash"), width, 4, 1)))
+    bands = keys(old.where("simhash <> 0")).join(keys(new.where("simhash <> 0")).select("band", "value").distinct(), ["band", "value"], "left_semi").select("id")
+    same = [old.join(new.select(h).distinct(), h, "left_semi").select("id") for h in ("url_hash", "content_hash")]
+    near = bands.unionByName(same[0]).unionByName(same[1]).distinct()
+    found = classify(old.join(near, "id", "left_semi").unionByName(new), width)
+    return found.join(new.select("id"), "id", "left_semi")
+
+
 def new_sources(hosts: DataFrame, known: DataFrame, key: str = "domain") -> DataFrame:
     """Hosts that the dimension doesn't have yet."""
     return hosts.select(key).where(F.col(key).isNotNull() & (F.col(key) != "")).distinct().join(known.select(key), key, "left_anti")

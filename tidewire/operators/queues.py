@@ -11,17 +11,30 @@ from tidewire.functions import moments
 LEASE_S, HEARTBEAT_S, OPEN_AFTER, OPEN_MINUTES = 900, 90, 5, 15
 
 
-def dispatch(backlog: DataFrame, outstanding: DataFrame, order: list[str], limit: int, size: int) -> DataFrame:
-    """Payload rows (batch, n, ids): the first `limit` rows of the backlog, less those at work or without text, in chunks.
+def dispatch(backlog: DataFrame, outstanding: DataFrame, order: list[str], limit: int, size: int, item: Column | None = None, usable: Column | None = None) -> DataFrame:
+    """Jobs (batch, n, ids, payload): the first `limit` rows of the backlog, less those at work, in chunks of `size` in the backlog's order.
 
     The limit comes first, as one tick takes it, so rows that can't be processed at its
-    head do hold the rest up.
+    head do hold the rest up. Rows of a chunk that can't be used (without text, unless
+    `usable` says otherwise) stay out of its payload; a chunk without any is no job.
+    payload: JSON with a list `items` of what `item` makes of each row (its id and text).
     """
     head = backlog.orderBy(*order).limit(limit)
-    todo = head.join(outstanding.select("id"), "id", "left_anti").where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    todo = head.join(outstanding.select("id"), "id", "left_anti")
     at = F.row_number().over(Window.orderBy(*order)) - 1  # at most `limit` rows
-    chunk = F.floor(at / size).cast("bigint")
-    return todo.withColumn("batch", chunk).groupBy("batch").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    usable = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0 if usable is None else usable
+    item = F.struct(F.col("id").cast("string").alias("id"), F.col("text")) if item is None else item
+    rows = todo.withColumn("_at", at).where(usable).select(F.floor(F.col("_at") / size).cast("bigint").alias("batch"), F.struct("_at", "id", item.alias("item")).alias("r"))
+    jobs = rows.groupBy("batch").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("r")).alias("rows"))
+    items = F.transform("rows", lambda r: r["item"])
+    return jobs.select("batch", "n", F.transform("rows", lambda r: r["id"]).alias("ids"), F.to_json(F.struct(items.alias("items"))).alias("payload"))
+
+
+def with_members(stories: DataFrame, members: DataFrame, key: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """stories with the list `out` of their members' values in order; stories without members keep an empty one."""
+    rows = members.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, value.alias("_v")))).alias("_m"))
+    got = stories.join(rows, key, "left").withColumn(out, F.transform("_m", lambda m: m["_v"])).drop("_m")
+    return got.withColumn(out, F.coalesce(out, F.array().cast(got.schema[out].dataType)))
 
 
 def claimable(jobs: DataFrame, now: Column) -> DataFrame:
@@ -81,18 +94,25 @@ def worker_status(workers: DataFrame, now: Column) -> DataFrame:
     return workers.withColumn("status", F.when(stale, "offline").otherwise(F.col("status")))
 
 
-def circuit(polls: DataFrame) -> DataFrame:
-    """State of each provider's circuit after its polls(provider, at, ok), by runs of failures.
+def circuit(polls: DataFrame, now: Column | None = None, tie: str | None = None) -> DataFrame:
+    """State of each provider's circuit after its polls(provider, at, ok): failures since the last success.
 
-    A run of OPEN_AFTER failures opens it; a later poll, half-open, closes it on success.
+    OPEN_AFTER of them open it, with the last; after OPEN_MINUTES it is half-open (at `now`,
+    if given): one poll may test it, and that poll's success closes it. Polls of one time
+    are in order of the column `tie`. Aggregations combine map-side, so a provider may have any
+    number of polls.
     """
-    w = Window.partitionBy("provider").orderBy("at")
-    runs = polls.withColumn("_run", F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.row_number().over(Window.partitionBy("provider").orderBy(F.desc("at")))
-    fails = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy("provider", "_run"))
-    end = runs.withColumn("consecutive_failures", fails).withColumn("_last", last).where("_last = 1")
-    state = F.when(F.col("consecutive_failures") >= OPEN_AFTER, "open").otherwise("closed")
-    return end.select("provider", "consecutive_failures", state.alias("circuit_state"), F.when(F.col("consecutive_failures") >= OPEN_AFTER, F.col("at")).alias("circuit_opened_at"))
+    rows = polls.select("provider", "ok", F.struct("at", *([tie] if tie else [])).alias("s"))
+    good = rows.where("ok").groupBy("provider").agg(F.max("s").alias("last"))
+    bad = rows.where("NOT ok").join(good, "provider", "left").where("last IS NULL OR s > last")
+    runs = bad.groupBy("provider").agg(F.count("*").alias("fails"), F.max("s").alias("end"))
+    fails = F.coalesce("fails", F.lit(0))
+    opened = F.when(fails >= OPEN_AFTER, F.col("end.at"))
+    state = F.when(fails < OPEN_AFTER, "closed")
+    if now is not None:
+        state = state.when(moments.age_seconds(opened, now) >= OPEN_MINUTES * 60, "half_open")
+    out = polls.select("provider").distinct().join(runs, "provider", "left")
+    return out.select("provider", fails.alias("consecutive_failures"), state.otherwise("open").alias("circuit_state"), opened.alias("circuit_opened_at"))
 
 
 def circuit_allows(state: Column, opened_at: Column, now: Column) -> Column:

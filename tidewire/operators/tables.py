@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ def numbered(df: DataFrame, order: list[Column], out: str, start: int = 0) -> Da
     """df with consecutive numbers after `start` in an order, without one task for all rows.
 
     Rows are dealt by ranges of the order; each range is counted, and its rows are numbered
-    behind the ranges before it.
+    behind the ranges before it. Both read one checkpoint, so a lost executor changes no number.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
@@ -50,29 +52,65 @@ def numbered(df: DataFrame, order: list[Column], out: str, start: int = 0) -> Da
 
 
 class Snapshots:
-    """A table as Parquet versions under one folder, with a pointer to the current one.
+    """A table as Parquet folders under one path, with a numbered list of the current ones.
 
-    A version is written whole before the pointer moves, so readers and retries see the old
-    or the new one. Paths go through Spark's file systems.
+    Rows are written to a folder of their own first; then the next number is claimed by
+    creating its list, which one writer only can. So readers and retries see the old or the
+    new version, a loser spoils nothing, and an append leaves what is stored alone. Lists
+    older than `keep` versions go, with the folders that no list kept names. Paths go
+    through Spark's file systems.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3, most_folders: int = 64):
+        self.spark, self.path, self.keep, self.most = spark, path.rstrip("/"), keep, most_folders
+
+    def _at(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        p, fs = self._at(folder)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
     def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/done")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted(map(int, self._names("done")))
+
+    def _list(self, version: int) -> list[str]:
+        """The tag of a version, then its folders."""
+        return self.spark.read.text(f"{self.path}/done/{version}", wholetext=True).first()[0].split("\n")
 
     def read(self) -> DataFrame | None:
         versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}") if versions else None
-
-    def write(self, df: DataFrame) -> int:
-        v = (self._versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={v}")
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/done/{v}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, False).close()
-        return v
+        folders = self._list(versions[-1])[1:] if versions else []
+        return self.spark.read.parquet(*(f"{self.path}/rows/{f}" for f in folders)) if folders else None
+
+    def tag(self) -> str | None:
+        """What the current version was committed for."""
+        versions = self._versions()
+        return self._list(versions[-1])[0] if versions else None
+
+    def write(self, df: DataFrame, tag: str = "", append: bool = False) -> int:
+        """Commit df as the next version, or as rows added to the current one; an error if another writer took its number."""
+        last = (self._versions() or [0])[-1]
+        folders = self._list(last)[1:] if append and last else []
+        if len(folders) >= self.most:
+            folders, df = [], self.spark.read.parquet(*(f"{self.path}/rows/{f}" for f in folders)).unionByName(df)
+        own = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/rows/{own}")
+        p, fs = self._at(f"done/{last + 1}")
+        out = fs.create(p, False)
+        out.write(bytearray("\n".join([tag, *folders, own]), "utf-8"))
+        out.close()
+        self._tidy()
+        return last + 1
+
+    def _tidy(self) -> None:
+        versions = self._versions()
+        old, kept = versions[: -self.keep], versions[-self.keep :]
+        named = {f for v in kept for f in self._list(v)[1:]}
+        for v in old:
+            for f in set(self._list(v)[1:]) - named:
+                p, fs = self._at(f"rows/{f}")
+                fs.delete(p, True)
+            p, fs = self._at(f"done/{v}")
+            fs.delete(p, False)

@@ -55,8 +55,8 @@ def queue_age(t: Tables):
     return t.events.where("value < 50").groupBy(F.col("event_type").alias("job_type")).agg(F.count("*").alias("depth"), F.min("ts").alias("t")).select("job_type", "depth", moments.age_seconds(F.col("t"), d.now()).alias("oldest_s"))
 
 
-@query("""SELECT batch, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (SELECT doc_id, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 32 AS batch FROM
-(SELECT * FROM documents ORDER BY n_chars, doc_id LIMIT 200) WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND length(trim(coalesce(text, ''))) > 0) GROUP BY 1""")
+@query("""SELECT batch, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY n_chars, doc_id) AS ids FROM (SELECT *, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 32 AS batch FROM
+(SELECT * FROM documents ORDER BY n_chars, doc_id LIMIT 200) WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE length(trim(coalesce(text, ''))) > 0 GROUP BY 1""")
 def dispatch_batches(t: Tables):
     """One tick of 200 rows in batches of 32; labelled documents are at work already."""
     backlog = t.documents.select(F.col("doc_id").alias("id"), "text", "n_chars")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +37,9 @@ def _first(entry, names: tuple[str, ...]) -> str | None:
     return None
 
 
-def parse(feed: str, body: str) -> list[tuple]:
-    """Rows of RAW for one document; an entry that can't be read is a row that says why."""
-    if len(body.encode()) > MOST_BYTES:
+def parse(feed: str, body: str | None) -> list[tuple]:
+    """Rows of RAW for one document; an entry that can't be read is a row that says why. Null: a document too large to be read."""
+    if body is None or len(body.encode()) > MOST_BYTES:
         return [_skip(feed, -1, "document too large")]
     if re.search(r"<!DOCTYPE|<!ENTITY", body, re.I):
         return [_skip(feed, -1, "document type refused")]
@@ -72,7 +72,7 @@ def _skip(feed: str, at: int, why: str) -> tuple:
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.strip().split()[0] for c in RAW.split(",")]
     for pdf in batches:
-        yield pd.DataFrame([r for f, b in zip(pdf["feed"], pdf["body"], strict=True) for r in parse(f, b or "")], columns=names)
+        yield pd.DataFrame([r for f, b in zip(pdf["feed"], pdf["body"], strict=True) for r in parse(f, b)], columns=names)
 
 
 def entries(documents: DataFrame) -> DataFrame:
@@ -80,6 +80,13 @@ def entries(documents: DataFrame) -> DataFrame:
     return documents.select("feed", "body").mapInPandas(_parse_batches, RAW)
 
 
+def parsed_date(raw: Column) -> Column:
+    """The usual forms of RFC 822 and ISO 8601 by Spark; Python reads what they leave."""
+    mail = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3},\s*", ""), r"\b(?:GMT|UTC|Z)$", "+0000")
+    read = F.coalesce(F.try_to_timestamp(F.when(mail.rlike(r"^\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), mail), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.when(F.trim(raw).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})$"), F.trim(raw)), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+    return F.coalesce(read, parse_date(F.when(read.isNull(), raw)))
+
+
 @F.pandas_udf(T.TimestampType())
 def parse_date(raw: pd.Series) -> pd.Series:
     """RFC 822, then ISO 8601; without a zone UTC; null where neither reads it."""
@@ -95,7 +102,7 @@ def parse_date(raw: pd.Series) -> pd.Series:
                 continue
         return None
 
-    return pd.to_datetime(raw.map(one))
+    return pd.to_datetime(raw.map(one, na_action="ignore"))
 
 
 def normalise(raw: DataFrame, now: str, since: str | None = None) -> DataFrame:
@@ -106,7 +113,7 @@ def normalise(raw: DataFrame, now: str, since: str | None = None) -> DataFrame:
     """
     at = F.lit(now).cast("timestamp")
     link = F.coalesce("link", "alternate", F.when(F.col("is_permalink"), F.col("guid")))
-    out = raw.withColumn("original_url", link).withColumn("t", parse_date("published")).withColumn("b", markup.html_to_text("body")).withColumn("h", markup.html_to_text("title"))
+    out = raw.withColumn("original_url", link).withColumn("t", parsed_date(F.col("published"))).withColumn("b", markup.html_to_text("body")).withColumn("h", markup.html_to_text("title"))
     out = out.withColumn("s", markup.sanitize(F.col("b.text"))).withColumn("published_at", F.coalesce("t", at))
     old = F.lit(False) if since is None else F.col("published_at") < F.lit(since).cast("timestamp")
     why = F.coalesce("skipped", F.when(F.col("original_url").isNull(), "no link").when(F.col("h.text") == "", "no title").when(old, "older than the window"))
@@ -120,11 +127,35 @@ def normalise(raw: DataFrame, now: str, since: str | None = None) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """documents(feed, body) from files of any Spark file system, as a batch or a stream."""
-    reader = spark.readStream if stream else spark.read
-    files = reader.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
-    return files.where(F.col("length") <= MOST_BYTES).select(F.col("path").alias("feed"), F.decode("content", "UTF-8").alias("body"))
+def read_files(spark: SparkSession, path: str, stream: bool = False, per_trigger: int | None = None, after: str | None = None) -> DataFrame:
+    """documents(feed, body, at) from files of any Spark file system, as a batch or a stream.
+
+    A file that is too large has a null body, which entries() turns into a row that says so;
+    its content is not read. A stream takes `per_trigger` files at a time at most; a batch may
+    leave out files that were not changed since `after`.
+    """
+
+    def files() -> DataFrame:
+        reader = (spark.readStream if stream else spark.read).format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+        if stream and per_trigger:
+            reader = reader.option("maxFilesPerTrigger", per_trigger)
+        if after and not stream:
+            reader = reader.option("modifiedAfter", after)
+        return reader.load(path)
+
+    if stream:  # one source, read once
+        body = F.when(F.col("length") <= MOST_BYTES, F.decode("content", "UTF-8"))
+        return files().select(F.col("path").alias("feed"), body.alias("body"), F.col("modificationTime").alias("at"))
+    small = files().where(F.col("length") <= MOST_BYTES).select(F.col("path").alias("feed"), F.decode("content", "UTF-8").alias("body"), F.col("modificationTime").alias("at"))
+    large = files().where(F.col("length") > MOST_BYTES).select(F.col("path").alias("feed"), F.lit(None).cast("string").alias("body"), F.col("modificationTime").alias("at"))
+    return small.unionByName(large)
+
+
+def fetch(spark: SparkSession, path: str, now: str, since: str | None = None, cursor: str | None = None) -> tuple[DataFrame, str | None]:
+    """A page of items and the next cursor: files changed since the last cursor. None changed: no items, the same cursor."""
+    docs = read_files(spark, path, after=cursor)
+    last = docs.agg(F.date_format(F.max("at"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    return normalise(entries(docs), now, since), last or cursor
 
 
 #: Adapters by name; another name is an error, never an import.

@@ -36,28 +36,49 @@ def sessions(events: DataFrame, key: str = "user_id", at: str = "ts", gap: str =
     return out.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
-def store_batch(snapshots: tables.Snapshots):
+#: Seconds between runs of each recurring job.
+TICKS = {"poll": 300, "embed": 60, "entities": 60, "cluster": 120, "claims": 180, "contradictions": 180, "reap": 90, "rejoin": 600}
+
+
+def start(rows: DataFrame, job: str, batch, checkpoint: str, once: bool = False):
+    """Run a foreachBatch function at its job's tick, or once over what is there. One query of a checkpoint runs at a time."""
+    writer = rows.writeStream.queryName(job).foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{TICKS[job]} seconds")).start()
+
+
+def store_batch(snapshots: tables.Snapshots, sightings: tables.Snapshots | None = None, totals: tables.Snapshots | None = None):
     """foreachBatch: classify a batch against what is stored and append its new rows.
 
-    A URL that is stored already is not stored again, so a batch that is run twice after a
-    failure changes nothing.
+    A URL that is stored already is not stored again; with `sightings`, each time it was seen
+    leaves a row (url_hash, published_at, batch_id). With `totals`, a row for each feed says how
+    many items were fetched, stored, duplicates and skipped. A version carries its batch's
+    number, so a batch that is run twice after a failure changes nothing.
     """
 
+    def append(to: tables.Snapshots, rows: DataFrame, batch_id: int) -> None:
+        if to.tag() != str(batch_id):
+            to.write(rows, str(batch_id), append=True)
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        items = batch.where("skip_reason IS NULL").select("canonical_url", "title", "body_text", "published_at")
+        if snapshots.tag() == str(batch_id):
+            return
+        items = batch.where("skip_reason IS NULL").select("feed", "canonical_url", "title", "body_text", "published_at")
         items = items.withColumn("url_hash", text.url_hash(F.col("canonical_url"))).withColumn("content_hash", text.content_hash(F.col("body_text")))
         items = items.withColumn("simhash", bits.simhash(F.col("title"), F.col("body_text")))
         stored = snapshots.read()
-        if stored is not None:
-            items = dedup.unseen(items, stored, "url_hash")
-        else:
-            items = items.dropDuplicates(["url_hash"])
-        start = 0 if stored is None else stored.agg(F.max("id")).first()[0] or 0
-        new = tables.numbered(items, [F.col("published_at"), F.col("url_hash")], "id", start)
-        known = new if stored is None else stored.select(*new.columns).unionByName(new)
-        status = dedup.classify(known.select("id", "url_hash", "content_hash", "simhash"))
-        fresh = new.join(status, "id")
-        snapshots.write(fresh if stored is None else stored.unionByName(fresh.select(*stored.columns)))
+        fresh = dedup.unseen(items, stored, "url_hash") if stored is not None else items.dropDuplicates(["url_hash"])
+        begin = 0 if stored is None else stored.agg(F.max("id")).first()[0] or 0
+        new = tables.numbered(fresh, [F.col("published_at"), F.col("url_hash")], "id", begin)
+        status = dedup.classify(new) if stored is None else dedup.classify_new(new, stored)
+        out = new.join(status, "id").drop("feed")
+        if sightings is not None:
+            append(sightings, items.select("url_hash", "published_at", F.lit(batch_id).alias("batch_id")), batch_id)
+        if totals is not None:
+            kept = new.groupBy("feed").agg(F.count("*").alias("stored"))
+            all_ = batch.groupBy("feed").agg(F.count_if(F.col("skip_reason").isNull()).alias("fetched"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped"))
+            n = F.coalesce("stored", F.lit(0))
+            append(totals, all_.join(kept, "feed", "left").select("feed", "fetched", n.alias("stored"), (F.col("fetched") - n).alias("duplicates"), "skipped", F.lit(batch_id).alias("batch_id")), batch_id)
+        snapshots.write(out, str(batch_id), append=True)
 
     return run
 
@@ -103,3 +124,30 @@ def _story(hours: int):
 def open_stories(joins: DataFrame, hours: int = 48, late: str = "6 hours") -> DataFrame:
     """Stories of joins(story_id, at): open while articles come, closed `hours` of event time after the last."""
     return joins.withWatermark("at", late).groupBy("story_id").applyInPandasWithState(_story(hours), STORY_OUT, "n bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+TIMER_OUT = "key string, last timestamp, expired boolean"
+
+
+def _timer(seconds: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last = max([last, *(int(pdf["at"].max().value // 1000) for pdf in batches)])
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+            return
+        yield pd.DataFrame({"key": [key[0]], "last": [pd.Timestamp(last, unit="us")], "expired": [True]})
+
+    return run
+
+
+def expiries(beats: DataFrame, seconds: int, late: str = "10 seconds") -> DataFrame:
+    """A row for each key of beats(key, at) that was silent for so many seconds of event time.
+
+    Leases (queues.LEASE_S), heartbeats (queues.HEARTBEAT_S) and open circuits
+    (60 * queues.OPEN_MINUTES) end this way.
+    """
+    return beats.withWatermark("at", late).groupBy("key").applyInPandasWithState(_timer(seconds), TIMER_OUT, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)

@@ -189,8 +189,10 @@ def test_verification(spark, rows, want):
 def test_contradictions(spark):
     cl = spark.createDataFrame([(1, "authoritative"), (2, "single_source"), (3, "corroborated"), (4, "unverified")], "claim_id bigint, verification_status string")
     pairs = spark.createDataFrame([(1, 2, 3, "x"), (2, 2, 1, "y"), (3, 99, 1, "bad")], "ord bigint, a bigint, b bigint, reason string")
-    got = ids(claims.contradictions(cl, pairs), "claim_id", "verification_status", "contradicted_by")
-    assert got == [(1, "authoritative", "2"), (2, "refuted", "3,1"), (3, "disputed", "2"), (4, "unverified", None)]
+    shown = lambda df: [(r.claim_id, r.verification_status, [tuple(e) for e in r.contradicted_by]) for r in df.orderBy("claim_id").collect()]
+    assert shown(claims.contradictions(cl, pairs)) == [(1, "authoritative", []), (2, "refuted", [(3, "x"), (1, "y")]), (3, "disputed", [(2, "x")]), (4, "unverified", [])]
+    had = cl.withColumn("had", F.when(F.col("claim_id") == 2, F.array(F.struct(F.lit(7).cast("bigint").alias("claim_id"), F.lit("old").alias("reason")))))
+    assert shown(claims.contradictions(had, pairs, "had"))[1] == (2, "refuted", [(7, "old"), (3, "x"), (1, "y")])
 
 
 def test_scores(spark):
@@ -205,7 +207,17 @@ def test_queues(spark):
     assert ids(queues.circuit(polls), "provider", "consecutive_failures", "circuit_state") == [("a", 0, "closed"), ("b", 5, "open")]
     backlog = spark.createDataFrame([(i, "" if i == 1 else "t") for i in range(9)], "id bigint, text string")
     got = queues.dispatch(backlog, backlog.where("id = 2").select("id"), ["id"], 6, 3)
-    assert ids(got, "batch", "n") == [(0, 3), (1, 1)] and sorted(sum((r.ids for r in got.collect()), [])) == [0, 3, 4, 5]
+    assert [(r.batch, r.n, r.ids) for r in got.orderBy("batch").collect()] == [(0, 2, [0, 3]), (1, 2, [4, 5])]
+    assert got.orderBy("batch").first().payload == '{"items":[{"id":"0","text":"t"},{"id":"3","text":"t"}]}'
+    at = lambda i: datetime(2024, 1, 1) + timedelta(minutes=i)
+    timed = spark.createDataFrame([("a", at(i), False, i) for i in range(5)] + [("b", at(3), i != 4, i) for i in range(5)] + [("c", at(1), False, 1)], "provider string, at timestamp, ok boolean, n int")
+    for minutes, state in ((18, "open"), (19, "half_open")):
+        assert ids(queues.circuit(timed, F.lit(at(minutes)), "n"), "provider", "consecutive_failures", "circuit_state") == [("a", 5, state), ("b", 1, "closed"), ("c", 1, "closed")]
+    jobs = spark.createDataFrame([(1, "leased", "w", at(0)), (2, "leased", "v", at(0)), (3, "done", "w", at(0))], "job_id bigint, status string, worker string, lease_expires_at timestamp")
+    beats = spark.createDataFrame([(1, "w"), (2, "w"), (3, "w")], "job_id bigint, worker string")
+    assert ids(queues.extend(jobs, beats, F.lit(at(5))), "job_id", "lease_expires_at") == [(1, at(20)), (2, at(0)), (3, at(0))]
+    assert ids(queues.complete(queues.complete(jobs, beats.where("job_id <> 2")), beats.where("job_id <> 2")), "job_id", "status") == [(1, "done"), (2, "leased"), (3, "done")]
+    assert ids(timed.where(queues.circuit_allows(F.lit("open"), F.col("at"), F.lit(at(16)))).select("provider", "n"), "provider", "n") == [("a", 0), ("a", 1), ("c", 1)]
 
 
 def test_pages_and_tables(spark, tmp_path):
@@ -218,7 +230,18 @@ def test_pages_and_tables(spark, tmp_path):
     assert sorted(r.id for r in new.collect()) == [1, 2, 3, 4]
     assert [r.n for r in tables.numbered(spark.range(50).select((F.lit(99) - F.col("id")).alias("k")), [F.col("k")], "n").orderBy("k").collect()] == list(range(1, 51))
     snap = tables.Snapshots(spark, f"file://{tmp_path}/t")
-    assert snap.read() is None and snap.write(base) == 1 and snap.write(base.limit(1)) == 2 and snap.read().count() == 1
+    assert snap.read() is None and snap.write(base) == 1 and snap.write(base.limit(1), "b7") == 2 and snap.read().count() == 1 and snap.tag() == "b7"
+    assert snap.write(base, append=True) == 3 and snap.read().count() == 3
+    one, two = tables.Snapshots(spark, f"file://{tmp_path}/t"), tables.Snapshots(spark, f"file://{tmp_path}/t")
+    two._versions = lambda found=two._versions(): found  # it has not seen what the other commits meanwhile
+    assert one.write(base) == 4
+    with pytest.raises(Exception, match="exists"):
+        two.write(base.limit(0))
+    assert one.read().count() == 2
+    few = tables.Snapshots(spark, f"file://{tmp_path}/t", most_folders=2)
+    for _ in range(6):
+        few.write(base, append=True)
+    assert few.read().count() == 14 and len(few._versions()) == 3 and len(few._names("rows")) <= 6
 
 
 RSS = """<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>T</title>
@@ -259,3 +282,131 @@ def test_folds_hold_the_last_hours_only(spark, sf):
     parts = clustering._rejoin_parts(st, usable, outlets, 0.2)
     assert parts.groupBy("component").count().agg(F.max("count")).first()[0] < st.count() / 10
     assert plans.QUERIES["rejoin_fold"](spark, sf).count() > 0
+
+
+def test_whole_answers_only(spark):
+    from tidewire.operators import answers
+
+    good = '{"claims":[{"claim_text":"t","claim_type":"FACT","attributed_to":null,"confidence":5,"evidence":[{"source_article_id":"1","quote":"q"}]}],"injection_detected":false,"risk_tier":"high","risk_reasons":[]}'
+    cases = {good: None, good.replace("FACT", "CLAIM"): "attributed_to", good.replace(":5,", ":101,"): "confidence", good.replace(":5,", ":5.5,"): "confidence", good.replace('"high"', '"mild"'): "risk_tier", good[:50]: "malformed", "[]": "malformed", "no": "malformed", '{"risk_tier":"high"}': "claims", good.replace('"quote":"q"', '"quote":null'): "evidence", good.replace("FACT", "GOSSIP"): "claim_type"}
+    got = {r.answer: r.problem for r in answers.checked(spark.createDataFrame([(c,) for c in cases], "answer string")).collect()}
+    assert got == cases
+
+
+def test_stores(spark):
+    from tidewire.operators import stores
+
+    arts = spark.createDataFrame([(i, None, None) for i in range(4)], "article_id bigint, embedding array<double>, embedded_at timestamp")
+    sent = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 9, [0.0, 1.0]), (2, 1, [1.0, 0.0]), (2, 2, [3.0, 0.0]), (3, 0, [0.0, 1.0])], "batch int, article_id bigint, vector array<double>")
+    out = stores.store_vectors(arts, sent, 2, F.lit("2024-01-01").cast("timestamp"))
+    assert ids(out, "article_id", "embedding") == [(0, [0.0, 1.0]), (1, None), (2, None), (3, None)] and ids(stores.unknown_ids(sent, arts), "article_id") == [(9,)]
+    st = spark.createDataFrame([(1, "standard", False), (2, "high", True), (3, "standard", False)], "story_id bigint, risk_tier string, claims_extracted boolean")
+    old = spark.createDataFrame([(1, 0, "old", "FACT", 1, 1, None), (2, 0, "old", "FACT", 1, 1, None)], "story_id bigint, ord int, claim_text string, claim_type string, confidence int, supporting_source_count bigint, first_asserted_at int")
+    ev = spark.createDataFrame([], "story_id bigint, ord int, article_id bigint, source_id bigint, url string, quote string, stance string")
+    runs = spark.createDataFrame([], "story_id bigint, provider string, status string, error string")
+    items = spark.createDataFrame(
+        [(1, None, "elevated", [("a", "FACT", 9, [(10, "q" * 5000), (11, "r"), (99, "x")]), ("b", "FACT", 9, [(99, "x")])]), (2, "e" * 5000, None, []), (7, None, "high", [])],
+        "story_id bigint, error string, risk_tier string, claims array<struct<claim_text:string,claim_type:string,confidence:int,evidence:array<struct<article_id:bigint,quote:string>>>>",
+    )
+    articles = spark.createDataFrame([(10, 1, "u", 5), (11, 1, "v", 3)], "article_id bigint, source_id bigint, url string, published_at int")
+    got = stores.store_claims(stores.ClaimStore(st, old, ev, runs), items, articles, "claude-9")
+    assert ids(got.stories, "story_id", "risk_tier", "claims_extracted") == [(1, "elevated", True), (2, "high", True), (3, "standard", False)]
+    assert ids(got.claims, "story_id", "claim_text", "supporting_source_count") == [(1, "a", 1), (2, "old", 1)] and got.claims.where("story_id = 1").first().first_asserted_at == 3
+    assert sorted((r.article_id, len(r.quote)) for r in got.evidence.collect()) == [(10, 4000), (11, 1)]
+    assert [(r.story_id, r.provider, r.status, len(r.error or "")) for r in got.runs.orderBy("story_id").collect()] == [(1, "anthropic", "ok", 0), (2, "anthropic", "invalid_output", 4000)]
+
+
+def test_newest_before_matches_pairs(spark, monkeypatch):
+    from tidewire.operators import dedup as dd
+
+    rng = random.Random(2)
+    monkeypatch.setattr(dd, "STEP", 16)
+    rows = [(i, f"u{rng.randrange(400)}", f"c{rng.randrange(400)}", rng.choice([5, 5, 5, 7, 0xFF0, 0, 1 << 40])) for i in range(300)]
+    got = {r.id: (r.dedup_status, r.duplicate_of) for r in dd.classify(spark.createDataFrame(rows, "id bigint, url_hash string, content_hash string, simhash bigint")).collect()}
+    want = {}
+    for i, u, c, h in rows:
+        same = [j for j, x, _, _ in rows if j < i and x == u] or [j for j, _, x, _ in rows if j < i and x == c]
+        near = [j for j, _, _, x in rows if j < i and x and h and bin(x ^ h).count("1") <= 3]
+        want[i] = ("exact_duplicate", min(same)) if same else ("near_duplicate", max(near)) if near else ("unique", None)
+    assert got == want
+    old, new = rows[:250], rows[250:]
+    schema = "id bigint, url_hash string, content_hash string, simhash bigint"
+    got = {r.id: (r.dedup_status, r.duplicate_of) for r in dd.classify_new(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()}
+    assert got == {i: want[i] for i, *_ in new}
+
+
+def test_cluster_cuts_components_at_gaps(spark):
+    """One entity over years: pieces parted by days are folded apart, with the decisions of one fold; top-k counts hardly differ."""
+    rng = np.random.default_rng(5)
+    at = [datetime(2024, 1, 1) + timedelta(hours=int(h)) for h in np.cumsum(rng.choice([1, 5, 30, 200], 120, p=[0.5, 0.3, 0.1, 0.1]))]
+    vecs = [np.where(np.arange(8) == rng.integers(3), 1.0, 0.0) + rng.normal(0, 0.12, 8) for _ in at]
+    ents = [set(rng.choice(6, rng.integers(1, 3), replace=False).tolist()) for _ in at]
+    rows = spark.createDataFrame([(i, t, f"h{i}.net", v.tolist()) for i, (t, v) in enumerate(zip(at, vecs, strict=True))], "article_id bigint, published_at timestamp, domain string, vector array<double>")
+    edges = spark.createDataFrame([(i, e) for i in range(len(at)) for e in ents[i]], "article_id bigint, entity_id bigint")
+    names = edges.select("entity_id").distinct().select("entity_id", F.concat(F.lit("n"), "entity_id").alias("name"), F.lit("ORG").alias("entity_type"))
+    dated = edges.join(rows.select("article_id", "published_at"), "article_id")
+    from tidewire.operators.graph import components
+
+    sizes = [r["count"] for r in components(clustering._meetings(dated)).groupBy("component").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 60
+    for k, most in ((1000, 0), (10, 0.05)):
+        stories, want = [], {}
+        for i, (t, v) in enumerate(zip(at, vecs, strict=True)):
+            live = [s for s in stories if t - s["last"] <= timedelta(hours=48)]
+            sims = sorted(((-clustering._cos(v, s["sum"] / s["n"]), n) for n, s in enumerate(live)))[:k]
+            match = [(live[n], -sim) for sim, n in sims if -sim >= 0.8 and ents[i] & live[n]["e"]]
+            far = any(clustering._cos(a["sum"], b["sum"]) < 0.8 for a, _ in match for b, _ in match)
+            if match and not far:
+                s = match[0][0]
+                s["sum"], s["n"], s["e"], s["last"] = s["sum"] + v, s["n"] + 1, s["e"] | ents[i], t
+                want[i] = s["id"]
+            else:
+                stories.append({"id": i, "sum": v, "n": 1, "e": set(ents[i]), "last": t})
+                want[i] = i
+        got = {r.article_id: r.story_id for r in clustering.cluster(rows, edges, names, spark.createDataFrame([], "entity_id bigint"), 0.8, k).collect()}
+        assert sum(got[i] != w for i, w in want.items()) <= most * len(want)
+
+
+def test_model_slot_retries(spark):
+    calls = []
+
+    def fails_once(texts):
+        calls.append(1)
+        if len(calls) == 1:
+            raise ValueError("busy")
+        return [[(t.upper(),)] for t in texts]
+
+    import pandas as pd
+
+    out = list(clustering.model_slot(fails_once, "name string", retries=1)(iter([pd.DataFrame({"id": [1, 2], "text": ["a", "b"]})])))
+    assert out[0].values.tolist() == [[1, "A"], [2, "B"]] and len(calls) == 2
+    named = spark.createDataFrame([(1, "x y")], "id bigint, text string").mapInPandas(clustering.model_slot(lambda texts: [[(w,) for w in t.split()] for t in texts], "name string"), "id bigint, name string")
+    assert ids(named, "id", "name") == [(1, "x"), (1, "y")]
+
+
+def test_files_that_are_too_large_leave_a_row(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(RSS)
+    (tmp_path / "b.xml").write_text("x" * (feeds.MOST_BYTES + 1))
+    items, cursor = feeds.fetch(spark, f"file://{tmp_path}", "2024-02-01 00:00:00")
+    assert sorted(r.skip_reason or "" for r in items.collect()) == ["", "", "document too large", "no link"] and cursor
+    later, same = feeds.fetch(spark, f"file://{tmp_path}", "2024-02-01 00:00:00", cursor="2999-01-01T00:00:00")
+    assert later.count() == 0 and same == "2999-01-01T00:00:00"
+    old, _ = feeds.fetch(spark, f"file://{tmp_path}", "2024-02-01 00:00:00", since="2024-01-15 00:00:00")
+    assert "older than the window" in {r.skip_reason for r in old.collect()}
+
+
+def test_dates_of_feeds(spark):
+    cases = {"Mon, 01 Jan 2024 10:00:00 +0200": "2024-01-01 08:00:00", "1 Feb 2024 10:00:00 GMT": "2024-02-01 10:00:00", "2024-01-02T03:04:05Z": "2024-01-02 03:04:05", "2024-01-02T03:04:05.5+01:00": "2024-01-02 02:04:05.500000", "Tue, 2 Jan 24 03:04 EST": "2024-01-02 08:04:00", "2024-01-02": "2024-01-02 00:00:00", "soon": None, None: None}
+    got = {r.d: r.t and str(r.t) for r in spark.createDataFrame([(c,) for c in cases], "d string").select("d", feeds.parsed_date(F.col("d")).alias("t")).collect()}
+    assert got == cases
+
+
+def test_registered_functions(spark):
+    from tidewire.functions import register
+
+    assert "tw_feed_entries" in register.register(spark)
+    body = RSS.replace("'", "\\'").replace("\n", " ")
+    assert [tuple(r) for r in spark.sql(f"SELECT at, title, skipped FROM tw_feed_entries('{body}')").collect()][0] == (0, "One & two", None)
+    assert spark.sql("SELECT tw_mean_vector(v) AS m FROM VALUES (array(1.0D, 3.0D)), (array(3.0D, 5.0D)) AS t(v)").first().m == [2.0, 4.0]
+    assert spark.sql("SELECT tw_mask_keys('{\"b\":1,\"a\":[{\"b\":2}]}', 'b') AS j").first().j == '{"a":[{"b":"*"}],"b":"*"}'
+    assert spark.sql("SELECT tw_mask_keys('no', 'b') AS j").first().j is None

@@ -18,23 +18,37 @@ from .graph import components, cut
 JOIN, MERGE, WINDOW_HOURS, CANDIDATES, MOST_MERGES = 0.82, 0.90, 48, 10, 50
 
 
-def similar(probes: DataFrame, rows: DataFrame, blocks: int = 16) -> DataFrame:
+#: Rows of a block that meet all probes in one task.
+BLOCK = 4096
+
+
+def _blocks(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // BLOCK))
+
+
+def similar(probes: DataFrame, rows: DataFrame, blocks: int | None = None) -> DataFrame:
     """(probe_id, row_id, similarity) of a stated probe set against all rows, in blocks.
 
-    probes(probe_id, vector), rows(row_id, vector). Rows are dealt over blocks and each block
-    meets all probes; a row is never compared with itself.
+    probes(probe_id, vector), rows(row_id, vector). Rows are dealt over blocks of about BLOCK
+    and each block meets all probes; a row is never compared with itself.
     """
+    return _similar(probes, rows, blocks or _blocks(rows)).drop("block")
+
+
+def _similar(probes: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
     dealt = rows.select("row_id", F.col("vector").alias("rv"), vectors.norm(F.col("vector")).alias("rn"), F.pmod(F.xxhash64("row_id"), F.lit(blocks)).alias("block"))
     asked = probes.select("probe_id", F.col("vector").alias("pv"), vectors.norm(F.col("vector")).alias("pn"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     both = F.col("pn") * F.col("rn")
     sim = F.when(both == 0, 0.0).otherwise(F.try_divide(vectors.dot(F.col("pv"), F.col("rv")), both))
-    return asked.join(dealt, "block").where("probe_id <> row_id").select("probe_id", "row_id", sim.alias("similarity"))
+    return asked.join(dealt, "block").where("probe_id <> row_id").select("probe_id", "row_id", sim.alias("similarity"), "block")
 
 
 def nearest(probes: DataFrame, rows: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """The k most similar rows of each probe, ties to the smaller id."""
-    w = Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "row_id")
-    return similar(probes, rows).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k most similar rows of each probe, ties to the smaller id: the k of each block first, then the k of those."""
+    order = [F.desc("similarity"), F.asc("row_id")]
+    few = _similar(probes, rows, _blocks(rows)).withColumn("rank", F.row_number().over(Window.partitionBy("probe_id", "block").orderBy(*order))).where(F.col("rank") <= k)
+    w = Window.partitionBy("probe_id").orderBy(*order)
+    return few.select("probe_id", "row_id", "similarity").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def join_candidates(probes: DataFrame, rows: DataFrame, probe_guard: DataFrame, row_guard: DataFrame, threshold: float = JOIN, k: int = CANDIDATES) -> DataFrame:
@@ -51,6 +65,35 @@ def digests(matches: DataFrame, rows: DataFrame, threshold: float = JOIN) -> Dat
     return a.join(b, "probe_id").where("ra < rb").where(vectors.cosine(F.col("va"), F.col("vb")) < threshold).select("probe_id").distinct()
 
 
+class _Open:
+    """Stories that still take articles: their sums in one growing matrix, the oldest activity first out."""
+
+    def __init__(self):
+        self.stories: list[dict] = []
+        self.sums = np.zeros((0, 0))
+
+    def add(self, story: dict, v: np.ndarray) -> None:
+        n = len(self.stories)
+        if n == len(self.sums):
+            wider = np.zeros((max(16, 2 * n), len(v)))
+            wider[:n] = self.sums[:n] if n else 0
+            self.sums = wider
+        self.sums[n] = v
+        self.stories.append(story)
+
+    def close(self, before) -> None:
+        """Forget stories without activity since a time."""
+        keep = [i for i, s in enumerate(self.stories) if s["last"] >= before]
+        if len(keep) < len(self.stories):
+            self.sums[: len(keep)] = self.sums[keep]
+            self.stories = [self.stories[i] for i in keep]
+
+    def similarities(self, v: np.ndarray) -> np.ndarray:
+        m = self.sums[: len(self.stories)]
+        norms = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
+        return np.where(norms > 0, m @ v / np.where(norms > 0, norms, 1), 0.0)
+
+
 def _fold(join: float, k: int):
     """Join-or-create over rows in order of component and time; every decision changes what the next sees.
 
@@ -58,43 +101,39 @@ def _fold(join: float, k: int):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stories: list[dict] = []
-        component = None
+        known, component = _Open(), None
         for pdf in batches:
             out = []
             for a in pdf.itertuples():
                 if component is None or a.component != component:
-                    stories, component = [], a.component
-                stories = [s for s in stories if (a.published_at - s["last"]).total_seconds() <= WINDOW_HOURS * 3600]
-                out.append(place(a, stories))
+                    known, component = _Open(), a.component
+                known.close(a.published_at - pd.Timedelta(hours=WINDOW_HOURS))
+                out.append(place(a, known))
             yield pd.DataFrame(out, columns=["article_id", "story_id", "joined", "similarity", "shared_entities"]).astype({"similarity": "float64"})
 
-    def place(a, stories: list[dict]) -> tuple:
+    def place(a, known: _Open) -> tuple:
         v = np.asarray(a.vector, dtype=float)
         own, ents = set(a.labels), dict(zip(a.entities, a.names, strict=True))
         mine = {e for e, name in ents.items() if name not in own}
         match = []
-        if stories:
-            m = np.stack([s["sum"] / s["n"] for s in stories])
-            norms = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
-            sims = np.where(norms > 0, m @ v / np.where(norms > 0, norms, 1), 0.0)
-            for i in np.argsort(-sims, kind="stable")[:k]:
-                if sims[i] < join:
-                    break
-                s = stories[i]
-                lone = s["labels"] if len(s["domains"]) == 1 else set()
-                share = {e for e in mine & s["entities"].keys() if s["entities"][e] not in lone}
-                if share:
-                    match.append((i, float(sims[i]), len(share), m[i]))
+        sims = known.similarities(v) if known.stories else np.zeros(0)
+        for i in np.argsort(-sims, kind="stable")[:k]:
+            if sims[i] < join:
+                break
+            s = known.stories[i]
+            lone = s["labels"] if len(s["domains"]) == 1 else set()
+            if share := {e for e in mine & s["entities"].keys() if s["entities"][e] not in lone}:
+                match.append((i, float(sims[i]), len(share), known.sums[i] / s["n"]))
         far = any(_cos(x[3], y[3]) < join for n, x in enumerate(match) for y in match[:n])
         if match and not far:
             i, sim, n, _ = match[0]
-            s = stories[i]
-            s["sum"], s["n"], s["last"] = s["sum"] + v, s["n"] + 1, a.published_at
+            s = known.stories[i]
+            known.sums[i] += v
+            s["n"], s["last"] = s["n"] + 1, a.published_at
             s["domains"].add(a.domain)
             s["entities"] |= ents
             return a.article_id, s["id"], True, round(sim, 4), n
-        stories.append({"id": a.article_id, "sum": v, "n": 1, "entities": ents, "domains": {a.domain}, "labels": own, "last": a.published_at})
+        known.add({"id": a.article_id, "n": 1, "entities": ents, "domains": {a.domain}, "labels": own, "last": a.published_at}, v)
         return a.article_id, a.article_id, False, None, 0
 
     return run
@@ -108,18 +147,17 @@ def _cos(a: np.ndarray, b: np.ndarray) -> float:
 def cluster(articles: DataFrame, edges: DataFrame, entities: DataFrame, over: DataFrame, join: float = JOIN, k: int = CANDIDATES) -> DataFrame:
     """Each article's story: article_id, story_id (its founder's id), joined, similarity, shared_entities.
 
-    articles(article_id, published_at, domain, vector). A join needs a shared guard entity, so
-    components of articles over guard entities (before mastheads are left out) can't see each
-    other and are folded apart, in time order. The top-k cut then counts stories of the own
-    component only. A component streams through one task, sorted by Spark, which holds its
-    stories of the last WINDOW_HOURS only.
+    articles(article_id, published_at, domain, vector). A join needs a shared guard entity
+    that an article of the last WINDOW_HOURS has, directly or through others, so each entity's
+    articles are cut where WINDOW_HOURS pass without one, and components over these pieces
+    (before mastheads are left out) can't see each other: they are folded apart, in time
+    order. The top-k cut then counts stories of the own component only. A component streams
+    through one task, sorted by Spark, which holds its stories of the last WINDOW_HOURS only.
     """
     from tidewire.functions import text
 
     usable = edges.join(entities.where("entity_type <> 'OTHER'"), "entity_id").join(over.select("entity_id"), "entity_id", "left_anti")
-    first = usable.groupBy("entity_id").agg(F.min("article_id").alias("b"))
-    links = usable.join(first, "entity_id").select(F.col("article_id").alias("a"), "b")
-    part = components(links)
+    part = components(_meetings(usable.join(articles.select("article_id", "published_at"), "article_id")))
     lists = usable.groupBy("article_id").agg(F.collect_list(F.struct("entity_id", text.compact_name(F.col("name")).alias("name"))).alias("e"))
     rows = articles.join(part, F.col("article_id") == F.col("node"), "left").join(lists, "article_id", "left")
     empty = F.array().cast("array<struct<entity_id:bigint,name:string>>")
@@ -132,15 +170,40 @@ def cluster(articles: DataFrame, edges: DataFrame, entities: DataFrame, over: Da
     return rows.mapInPandas(_fold(join, k), "article_id bigint, story_id bigint, joined boolean, similarity double, shared_entities int")
 
 
+def _meetings(dated: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect each entity's articles as far as no gap of more than WINDOW_HOURS parts them, from dated(article_id, entity_id, published_at).
+
+    A story's entities last as long as it is active, which is WINDOW_HOURS behind its last
+    article; that one shares some entity with the one before. So entities are cut by gaps in
+    the time of all articles that entities connect: first the components without regard to
+    time, then cuts at their gaps.
+    """
+    first = dated.groupBy("entity_id").agg(F.min("article_id").alias("b"))
+    loose = components(dated.join(first, "entity_id").select(F.col("article_id").alias("a"), "b"))
+    own = dated.select("article_id", "published_at").distinct().join(loose, F.col("article_id") == F.col("node")).select("article_id", "published_at", "component")
+    # Days of a component that have articles: a row a day, so a window over them is short.
+    day = F.floor(F.unix_seconds(F.col("published_at").cast("timestamp")) / 86400)
+    days = own.select("component", day.alias("day")).distinct()
+    w = Window.partitionBy("component").orderBy("day")
+    far = F.col("day") - F.lag("day").over(w) > WINDOW_HOURS // 24 + 1
+    eras = days.withColumn("era", F.sum(F.coalesce(far.cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = own.withColumn("day", day).join(eras, ["component", "day"]).select("article_id", "era")
+    rows = dated.select("article_id", "entity_id").join(placed, "article_id")
+    head = rows.groupBy("entity_id", "era").agg(F.min("article_id").alias("b"))
+    return rows.join(head, ["entity_id", "era"]).select(F.col("article_id").alias("a"), "b")
+
+
 def pairs_by_entity(stories: DataFrame, story_guards: DataFrame, threshold: float = MERGE) -> DataFrame:
     """(a, b, similarity, shared) of stories (story_id, at, vector) that share a guard entity and are similar; a is older."""
     g = story_guards.select("story_id", "entity_id").distinct()
     x, y = g.toDF("a", "entity_id"), g.toDF("b", "entity_id")
-    share = x.join(y, "entity_id").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    s, t = stories.toDF("a", "at_a", "va"), stories.toDF("b", "at_b", "vb")
+    at = stories.select("story_id", "at")
+    x, y = x.join(at.toDF("a", "at_a"), "a"), y.join(at.toDF("b", "at_b"), "b")
     older = (F.col("at_a") < F.col("at_b")) | ((F.col("at_a") == F.col("at_b")) & (F.col("a") < F.col("b")))
+    share = x.join(y, "entity_id").where(older).groupBy("a", "b", "at_a", "at_b").agg(F.count("*").alias("shared"))  # one order of each pair
+    s, t = stories.select(F.col("story_id").alias("a"), F.col("vector").alias("va")), stories.select(F.col("story_id").alias("b"), F.col("vector").alias("vb"))
     sim = vectors.cosine(F.col("va"), F.col("vb"))
-    return share.join(s, "a").join(t, "b").where(older).withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("a", "b", "at_a", "at_b", "similarity", "shared")
+    return share.join(s, "a").join(t, "b").withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("a", "b", "at_a", "at_b", "similarity", "shared")
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -287,17 +350,26 @@ def resolve_merged(forest: DataFrame) -> DataFrame:
     return at
 
 
-def model_slot(model, columns: str):
-    """A slot for a model over text batches: an iterator of pandas frames in, rows of `columns` out.
+def model_slot(model, columns: str, retries: int = 0):
+    """A slot for a model over text batches: an iterator of pandas frames (id, text) in, rows of `columns` for each out.
 
     The library brings no models; `model` is the caller's own function from a list of texts to
-    rows, loaded once in each worker.
+    lists of rows, loaded once in each worker. Taggers, encoders and claim extraction fit in.
+    A call that raises is made again `retries` times.
     """
 
+    def call(texts: list[str]):
+        for left in range(retries, -1, -1):
+            try:
+                return model(texts)
+            except Exception:
+                if not left:
+                    raise
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in columns.split(",")]
         for pdf in batches:
-            found = model(pdf["text"].tolist())
+            found = call(pdf["text"].tolist())
             yield pd.DataFrame([(i, *row) for i, rows in zip(pdf["id"], found, strict=True) for row in rows], columns=["id", *names])
 
     return run

@@ -11,13 +11,13 @@ def ready(articles: DataFrame) -> DataFrame:
     return articles.where(F.col("embedding").isNotNull() & F.col("entities_extracted_at").isNotNull() & F.col("story_id").isNull())
 
 
-def recent(df: DataFrame, at: str, now: Column, hours: int = 48) -> DataFrame:
+def is_recent(at: str, now: Column, hours: int = 48) -> Column:
     """At the very boundary a row is recent, and stale too."""
-    return df.where(F.col(at) >= now - F.expr(f"INTERVAL {hours} HOURS"))
+    return F.col(at) >= now - F.expr(f"INTERVAL {hours} HOURS")
 
 
-def stale(df: DataFrame, at: str, now: Column, hours: int = 48) -> DataFrame:
-    return df.where(F.col(at) <= now - F.expr(f"INTERVAL {hours} HOURS"))
+def is_stale(at: str, now: Column, hours: int = 48) -> Column:
+    return F.col(at) <= now - F.expr(f"INTERVAL {hours} HOURS")
 
 
 def guarded_update(base: DataFrame, corrections: DataFrame, key: str, column: str) -> DataFrame:

@@ -164,9 +164,11 @@ SELECT 'unique_line', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey,
 SELECT 'confidence_range', count(*) FROM lineitem WHERE NOT (l_quantity BETWEEN 0 AND 100) UNION ALL
 SELECT 'has_source', count(*) FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey IS NULL""")
 def constraint_violations(t: Tables):
-    l = t.lineitem  # noqa: E741
-    rule = lambda name, df: df.agg(F.lit(name).alias("rule"), F.count("*").alias("violations"))
-    twice = l.groupBy("l_orderkey", "l_linenumber").count().where("count > 1")
-    lost = l.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"), "left_anti")
-    checks = [rule("pair_order", l.where("l_orderkey >= l_partkey")), rule("unique_line", twice), rule("confidence_range", l.where("NOT (l_quantity BETWEEN 0 AND 100)")), rule("has_source", lost)]
-    return checks[0].unionByName(checks[1]).unionByName(checks[2]).unionByName(checks[3])
+    """One pass over lines by key; the two rules of single lines are counted in it."""
+    known = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.lit(1).alias("known"))
+    per = t.lineitem.join(known, "l_suppkey", "left").groupBy("l_orderkey", "l_linenumber").agg(
+        F.count("*").alias("n"), F.count_if(F.col("l_orderkey") >= F.col("l_partkey")).alias("order"), F.count_if(~F.col("l_quantity").between(0, 100)).alias("range"), F.count_if(F.col("known").isNull()).alias("lost")
+    )
+    sums = per.agg(*(F.sum(c).alias(c) for c in ("order", "range", "lost")), F.count_if(F.col("n") > 1).alias("twice"))
+    rules = F.array(*(F.struct(F.lit(rule).alias("rule"), F.coalesce(c, F.lit(0)).alias("violations")) for rule, c in (("pair_order", "order"), ("unique_line", "twice"), ("confidence_range", "range"), ("has_source", "lost"))))
+    return sums.select(F.inline(rules))

@@ -22,8 +22,7 @@ def ready_articles(t: Tables):
 
 @query(f"SELECT count(*) FILTER (WHERE ts >= {NOW} - INTERVAL 48 HOUR) AS recent, count(*) FILTER (WHERE ts <= {NOW} - INTERVAL 48 HOUR) AS stale FROM events")
 def recent_and_stale(t: Tables):
-    one = upkeep.recent(t.events, "ts", d.now()).agg(F.count("*").alias("recent"))
-    return one.join(F.broadcast(upkeep.stale(t.events, "ts", d.now()).agg(F.count("*").alias("stale"))))  # a row each
+    return t.events.agg(F.count_if(upkeep.is_recent("ts", d.now())).alias("recent"), F.count_if(upkeep.is_stale("ts", d.now())).alias("stale"))
 
 
 @query("SELECT l_orderkey AS story_id FROM lineitem GROUP BY 1 HAVING count(*) = 1")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,25 +37,74 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Work tables by application that results may still read.
+_kept: dict[str, list[str]] = {}
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and return the written table.
 
     It cuts the lineage: a lost executor costs the tasks that ran there, not the
-    whole history, and several readers share the work.
+    whole history, and several readers share the work. It stays while results may read
+    it: scratch() and drop_table() delete.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewire/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete a work table whose readers have all been written themselves."""
     spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.work_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, table.work_path)
+    kept = _kept.get(spark.sparkContext.applicationId, [])
+    if table.work_path in kept:
+        kept.remove(table.work_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes all work tables made meanwhile at the end, but for those passed to what it gives."""
+    app, saved = spark.sparkContext.applicationId, []
+    before = set(_kept.get(app, []))
+
+    def keep(table: DataFrame) -> DataFrame:
+        saved.append(table.work_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _kept.get(app, []) if p not in before and p not in saved]:
+            _delete(spark, path)
+            _kept[app].remove(path)
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Gives a work_table() whose tables go at the end, but for those made with keep=True: a result reads them."""
+    own: list[DataFrame] = []
+
+    def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        out = work_table(df, name)
+        if not keep:
+            own.append(out)
+        return out
+
+    try:
+        yield table
+    finally:
+        for t in own:
+            drop_table(t)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -69,9 +121,31 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def bound_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches of whole texts small: rows a batch, at most."""
+#: Rows of whole texts that Python takes at once; an Arrow batch that Spark sends holds 64 MB at most.
+TEXTS = 500
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables that are written meanwhile pass so many rows an Arrow batch; the session's own setting then comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def bound_batches(spark: SparkSession, rows: int = TEXTS) -> None:
+    """For the operators that don't use batch_rows() yet: the session's own setting, at most so many rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))

@@ -7,12 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import work_table
-
-#: Candidates and queries that meet in one task.
-BLOCK, QUERIES_A_BLOCK = 8192, 1024
-#: Shares of each list that are read before bounds are compared.
-DEPTHS = (0.25, 0.5, 0.75, 1.0)
+#: Candidates and queries that meet in one task, and queries whose scores are held at once.
+BLOCK, QUERIES_A_BLOCK, AT_ONCE = 16_384, 4096, 256
+#: Parts of each list read before bounds are first compared, and before reading on is given up where few fall out.
+FIRST, LAST = 128, 16
 
 
 def quantised(vector: Column) -> Column:
@@ -30,54 +28,87 @@ def _kind(q: np.ndarray, x: np.ndarray) -> type:
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
-def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+class Lists:
+    """One list of a block's vectors for each component, sorted by its value."""
+
+    def __init__(self, x: np.ndarray):
+        self.order = np.argsort(-x.astype(float), axis=0, kind="stable").T.astype(np.int32)
+        self.values = np.take_along_axis(x.T, self.order.astype(np.intp), axis=1)
+
+    def read(self, q: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and products with q of the first t entries of each list: from the top, or from the bottom where q is negative."""
+        top, low = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        at = np.concatenate([self.order[top, :t], self.order[low, : -t - 1 : -1]])
+        return at, np.concatenate([q[top, None] * self.values[top, :t], q[low, None] * self.values[low, : -t - 1 : -1]])
+
+    def worst(self, q: np.ndarray) -> np.ndarray:
+        """The least that each list, in the order of read(), can add."""
+        top, low = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        return np.concatenate([q[top] * self.values[top, -1], q[low] * self.values[low, 0]])
+
+
+def finalists(lists: Lists, q: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray | None, int]:
+    """Candidates that can be among the k best, once these are few, and how far lists were read; None if that is not in sight.
+
+    What a candidate's unread lists add lies between the lists' worst values (lower bound)
+    and the last values read (upper bound); that holds for unseen candidates too. Who has
+    an upper bound under the k-th best lower bound can't qualify.
+    """
+    m = len(other)
+    need, worst = min(k, int(other.sum())), lists.worst(q)
+    t = max(1, m // FIRST)
+    while True:
+        at, product = lists.read(q, t)
+        last, flat = product[:, -1], at.ravel()
+        low = np.bincount(flat, (product - worst[:, None]).ravel(), m) + worst.sum()
+        high = np.bincount(flat, (product - last[:, None]).ravel(), m) + last.sum()
+        lows = low[other]
+        alive = other & (high >= np.partition(lows, len(lows) - need)[len(lows) - need])
+        left = int(alive.sum())
+        if left <= max(4 * k, m // 64) or t == m:
+            return np.flatnonzero(alive), t
+        if t > m // LAST and 2 * left > m:
+            return None, t
+        t = min(m, 2 * t)
+
+
+def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, read: list[float] | None = None) -> list[tuple[int, int, int]]:
     """(query_id, id, score) of the k best of this block for each query, ties to smaller ids.
 
-    There is one list for each dimension, sorted by value; a query reads it from the top
-    where its own component is positive and from the bottom where it is negative. What
-    it has read gives a sum; values not yet read lie between the list's end (lower bound)
-    and the last value read (upper bound). A candidate, seen or not, whose upper bound is
-    under the k-th best lower bound can't qualify. Once few are left, their scores are
-    resolved; else reading goes on, to the end of the lists at most.
+    Each query reads the lists of its components in turn, deeper and deeper, until only
+    finalists() are left, whose scores are then resolved. Queries whose bounds stay wide
+    read the lists to the end: together, as one product of the block. `read` takes
+    the share of the lists that each query read.
     """
-    m, kind = len(ids), _kind(q, x)
+    kind = _kind(q, x)
     x, q = x.astype(kind), q.astype(kind)
-    order = np.argsort(-x.astype(float), axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(m)[:, None], axis=0)
-    lists = np.take_along_axis(x, order, axis=0)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    lists = Lists(x) if kind is not object and x.shape[1] else None
     out: list[tuple[int, int, int]] = []
-    open_ = np.arange(len(query_ids))
-    for depth in DEPTHS:
-        if not len(open_):
-            break
-        t = max(1, min(m, int(np.ceil(m * depth))))
-        p, n = up[open_].T, down[open_].T
-        top, bottom = (rank < t), (rank >= m - t)
-        score = (x * top) @ p + (x * bottom) @ n
-        if t < m:
-            above, below = (~top).astype(kind), (~bottom).astype(kind)
-            high = score + above @ (p * lists[t - 1][:, None]) + below @ (n * lists[m - t][:, None])
-            low = score + above @ (p * lists[-1][:, None]) + below @ (n * lists[0][:, None])
+
+    def resolve(i: int, places: np.ndarray, scores: np.ndarray) -> None:
+        best = sorted(zip((-int(s) for s in scores), ids[places].tolist(), strict=True))[:k]
+        out.extend((int(query_ids[i]), v, -s) for s, v in best)
+
+    whole = []
+    for i in range(len(query_ids)):
+        other = ids != query_ids[i]
+        if not other.any():
+            continue
+        found, depth = finalists(lists, q[i], other, k) if lists is not None and q[i].any() else (None, len(ids))
+        if read is not None:
+            read.append(1.0 if found is None else depth / len(ids))
+        if found is None:
+            whole.append(i)
         else:
-            high = low = score
-        left = []
-        for j, i in enumerate(open_):
-            other = ids != query_ids[i]
-            lows = low[other, j]
-            need = min(k, len(lows))
-            if not need:
-                continue
-            least = np.partition(lows, len(lows) - need)[len(lows) - need] if kind is not object else sorted(lows)[-need]
-            alive = np.flatnonzero(other & (high[:, j] >= least))
-            if t < m and len(alive) > max(16 * k, m // 16):
-                left.append(i)
-                continue
-            exact = x[alive] @ q[i]
-            best = sorted(zip((-int(s) for s in exact), ids[alive].tolist(), strict=True))[:k]
-            out += [(int(query_ids[i]), v, -s) for s, v in best]
-        open_ = np.array(left, dtype=int)
+            resolve(i, found, x[found] @ q[i])
+    for a in range(0, len(whole), AT_ONCE):
+        some = whole[a : a + AT_ONCE]
+        for i, scores in zip(some, q[some] @ x.T, strict=True):
+            places = np.flatnonzero(ids != query_ids[i])
+            if len(places) > k and kind is not object:  # the k best, and all that tie with the last of them
+                s = scores[places]
+                places = places[s >= np.partition(s, len(s) - k)[len(s) - k]]
+            resolve(i, places, scores[places])
     return out
 
 
@@ -106,16 +137,19 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
 
     Returns query_id, rank (from 1), vec_id, score; fewer than k rows where there are
     fewer candidates; ties go to the smaller id. Null vectors, vectors with a null or
-    non-finite component and null ids take no part; an id that occurs again counts once,
-    with its smallest vector; vectors of other lengths than the query's are not compared
-    with it (empty ones score 0); no rows give no rows. Other columns are not read.
+    non-finite component and null ids take no part; rows that repeat an id all take part,
+    as candidates of other ids and as queries; vectors of other lengths than the query's
+    are not compared with it (empty ones score 0); very long vectors are compared whole;
+    no rows give no rows. Other columns are not read.
     """
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), queries.alias("asks"), quantised(F.col(vector_col)).alias("q"))
-    rows = work_table(rows.groupBy("vec_id").agg(F.min("q").alias("q"), F.max("asks").alias("asks")), "topk-vectors")
     n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     cbs, qbs = max(1, -(-n // BLOCK)), max(1, -(-asking // QUERIES_A_BLOCK))
-    side = rows.select("vec_id", "q", "asks", F.size("q").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(cbs)).cast("int").alias("own_c"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(qbs)).cast("int").alias("own_q"))
+    # Of equal rows k at most can be among the k best.
+    rows = rows.groupBy("vec_id", "q", "asks").agg(F.count("*").alias("n")).withColumn("n", F.explode(F.expr(f"sequence(1, least(n, {k}))")))
+    own = lambda blocks, seed: F.pmod(F.xxhash64("vec_id", "q", F.lit(seed)), F.lit(blocks)).cast("int")
+    side = rows.select("vec_id", "q", "asks", F.size("q").alias("dim"), own(cbs, 0).alias("own_c"), own(qbs, 1).alias("own_q"))
     cands = side.select("vec_id", "q", "dim", F.col("own_c").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qbs - 1))).alias("qb"))
     asks = side.where("asks").select("vec_id", "q", "dim", F.col("own_q").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cbs - 1))).alias("cb"))
     key = ["dim", "qb", "cb"]

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bound_batches, work_table
+from ._shared import TEXTS, batch_rows, drop_table, slices, work_table
 
 SIZE = 2048
 #: A bin with at most so many free places is final.
@@ -121,7 +121,7 @@ def _first_round(size: int, tokenizer_path: str, ranks_path: str | None, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _numbers(0)
         block: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             whole: list[list[tuple]] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = np.append(token_ids(text, tokenizer_path, ranks_path), np.array([end_id], "<u4"))
@@ -151,7 +151,7 @@ def _next_round(level: int, size: int):
         def pack() -> pa.RecordBatch:
             return _batch([[m for i in b for m in items[i]] for b in best_fit(fills, size)], ids)
 
-        for batch in batches:
+        for batch in slices(batches):
             for fill, members in zip(batch.column("fill").to_pylist(), batch.column("members").to_pylist(), strict=True):
                 items.append([(m["doc_id"], m["piece"], m["start"], m["ids"]) for m in members])
                 fills.append(fill)
@@ -185,9 +185,9 @@ def pack_documents(
         import public_tokenizers
 
         tokenizer_path, ranks_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = work_table(rows.mapInArrow(_first_round(size, str(tokenizer_path), ranks_path and str(ranks_path), end_id), BIN_DDL), "pack-level0")
+    with batch_rows(docs.sparkSession, TEXTS):
+        made = work_table(rows.mapInArrow(_first_round(size, str(tokenizer_path), ranks_path and str(ranks_path), end_id), BIN_DDL), "pack-level0")
     final = made.where(F.col("fill") >= size - NEARLY)
     rest = made.where(F.col("fill") < size - NEARLY)
     left, level, tasks = rest.count(), 0, made.rdd.getNumPartitions()

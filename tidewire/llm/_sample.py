@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most classes that a sample holds, by frequency.
-MAX_CLASSES = 64
+#: Most classes of a sample (more are refused, none is left out), rows of all classes together, and rows of a class at least.
+MAX_CLASSES, MOST_ROWS, LEAST_ROWS = 400, 12_000, 30
 
 
 def bounded_ids(labelled: DataFrame, id_col: str, class_col: str, per_class: int, seed: int) -> DataFrame:
-    """About per_class rows (id_col, class_col) of each class, 2 * per_class * MAX_CLASSES at most.
+    """About per_class rows (id_col, class_col) of each class, fewer where MOST_ROWS would be passed; twice as many at most.
 
     Rows are drawn by a hash of the id, so reruns agree. All classes are counted over all
-    rows; the MAX_CLASSES most frequent take part.
+    rows, and each takes part. Rows with a null class are not drawn.
     """
-    counts = labelled.groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(MAX_CLASSES).collect()
+    counts = labelled.where(F.col(class_col).isNotNull()).groupBy(F.col(class_col).alias("of")).agg(F.count("*").alias("rows"))
+    found = counts.limit(MAX_CLASSES + 1).count()
+    if found > MAX_CLASSES:
+        raise ValueError(f"{class_col} has more than {MAX_CLASSES} values")
+    per = min(per_class, max(LEAST_ROWS, MOST_ROWS // max(1, found)))
     steps = 1 << 30
-    draw = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(steps))
-    share = F.lit(0)
-    for c, n in ((r[0], r["count"]) for r in counts):
-        share = F.when(F.col(class_col) == F.lit(c), F.lit(min(steps, -(-steps * per_class // n)))).otherwise(share)
-    bound = 2 * per_class * max(1, len(counts))
-    return labelled.where(draw < share).select(id_col, class_col).withColumn("_draw", draw).orderBy("_draw", id_col, class_col).limit(bound).drop("_draw")
+    own = labelled.join(F.broadcast(counts), labelled[class_col] == counts["of"])  # MAX_CLASSES rows at most
+    own = own.select(id_col, class_col, F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(steps)).alias("draw"), "rows")
+    drawn = own.where(F.col("draw") < F.ceil(F.lit(float(steps * per)) / F.col("rows")))
+    return drawn.orderBy("draw", id_col, class_col).limit(2 * per * max(1, found)).select(id_col, class_col)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import bounded_ids
-from ._shared import bound_batches
+from ._shared import TEXTS, batch_rows, slices
 
 #: n-grams of the blended spectrum, and the places they are hashed to.
 ORDERS, PLACES = (1, 2, 3, 4), 1 << 16
@@ -109,16 +109,22 @@ def _dense(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """One-versus-rest kernel ridge regression on Nystroem features.
+@dataclass
+class Kernel:
+    """The fit before it is folded: landmarks, K(L, L)^-1/2, and dual weights with the bias last."""
 
-    With landmarks L and the normalised presence kernel K, features are
-    K(x, L) K(L, L)^-1/2 and weights solve the ridge. K(x, L) is linear in the presence
-    of n-grams, so L' K(L, L)^-1/2 W is formed once and scores batches by one product.
-    """
-    classes = sorted(set(langs))
-    if not classes:
-        return Model([], np.zeros((PLACES, 0), np.float32), np.zeros(0))
+    marks: np.ndarray
+    root: np.ndarray
+    weights: np.ndarray
+
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Kernel features K(x, L) K(L, L)^-1/2 times the weights; a text without n-grams has the bias."""
+        z = np.concatenate([_dense(rows[a : a + 128]) @ self.marks.T for a in range(0, len(rows), 128)]).astype(np.float64) @ self.root
+        return z @ self.weights[:-1] + self.weights[-1]
+
+
+def fit_kernel(rows: list[np.ndarray], langs: list[str], classes: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel:
+    """One-versus-rest kernel ridge regression on Nystroem features of the normalised presence kernel."""
     pick = np.unique(np.linspace(0, len(rows) - 1, min(landmarks, len(rows))).astype(int))
     marks = _dense([rows[i] for i in pick])
     vals, vecs = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -130,18 +136,29 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     share *= len(langs) / share.sum()
     zb = np.concatenate([z, np.ones((len(z), 1))], axis=1)
     gram = (zb * share[:, None]).T @ zb + ridge * len(z) / 100 * np.eye(zb.shape[1])
-    w = np.linalg.solve(gram, (zb * share[:, None]).T @ y)
-    return _calibrate(Model(classes, (marks.T @ (root @ w[:-1])).astype(np.float32), w[-1]), rows, langs)
+    return Kernel(marks, root, np.linalg.solve(gram, (zb * share[:, None]).T @ y))
+
+
+def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """The kernel fit, folded. K(x, L) is linear in the presence of n-grams, so the product
+    L' K(L, L)^-1/2 W, of all places and classes, is formed once; a batch's scores are its
+    presence rows times that product, the same numbers as Kernel.scores() gives.
+    """
+    classes = sorted(set(langs))
+    if not classes:
+        return Model([], np.zeros((PLACES, 0), np.float32), np.zeros(0))
+    k = fit_kernel(rows, langs, classes, landmarks, ridge)
+    return _calibrate(Model(classes, (k.marks.T @ (k.root @ k.weights[:-1])).astype(np.float32), k.weights[-1]), rows, langs)
 
 
 def _presence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [presence(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["lang", "places"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS, seed: int = 3) -> Model:
-    """Fit on at most 2 * per_class labelled texts for each of at most 64 languages.
+    """Fit on about per_class labelled texts of each language, twice as many at most (see _sample); all languages are learned.
 
     Only rows with text, a lang and crc32(id as text) mod 3 other than 1 are drawn from.
     """
@@ -149,7 +166,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     own = own.where("lang IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("id")))
     ids = bounded_ids(own, "id", "lang", per_class, seed).distinct()
     texts = own.join(F.broadcast(ids), ["id", "lang"], "left_semi").dropDuplicates(["id", "lang"])  # ids: bounded above
-    got = texts.select("lang", "text", "id").orderBy(F.xxhash64("id")).select("lang", "text").mapInArrow(_presence_batches, "lang string, places array<int>").toArrow()
+    with batch_rows(docs.sparkSession, TEXTS):
+        got = texts.select("lang", "text", "id").orderBy(F.xxhash64("id")).select("lang", "text").mapInArrow(_presence_batches, "lang string, places array<int>").toArrow()
     rows = [np.array(p, dtype=np.int32) for p in got.column("places").to_pylist()]
     return fit(rows, got.column("lang").to_pylist())
 
@@ -163,17 +181,12 @@ def language(model: Model, docs: DataFrame, text: Column, rejects: bool = False)
 
     With `rejects`, a text that no learned language explains is `und` too.
     """
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # places x classes: of fixed size
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        known = [bool(t) and any(map(str.isalpha, t)) and bool(m.classes) for t in texts]
+    def some(m: Model, texts: list[str | None]) -> pd.DataFrame:
+        known = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         rows = [presence(t) if k else np.zeros(0, np.int32) for t, k in zip(texts, known, strict=True)]
         s = m.scores(rows)
-        if not m.classes:
-            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})
         if rejects:
             known = np.array(known) & m.familiar(rows, s)
         best = s.argmax(axis=1)
@@ -181,6 +194,13 @@ def language(model: Model, docs: DataFrame, text: Column, rejects: bool = False)
         lang = [m.classes[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
         return pd.DataFrame({"lang_pred": lang, "score": np.where(known, top, 0.0)})
 
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        m = shared.value
+        if not m.classes or not len(texts):
+            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts)})
+        return pd.concat([some(m, texts.iloc[a : a + TEXTS].tolist()) for a in range(0, len(texts), TEXTS)], ignore_index=True)
+
     return predict(text)
 
 
@@ -189,7 +209,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
     lang_pred is a learned lang value; `und`, score 0, where the text is null or has no
     letter, or where nothing could be learned. A null id is held out of nothing and
-    learned from never. Rows are scored one by one, so repeated rows agree; no rows give
+    learned from never. Very long texts are read whole. Rows are scored one by one, so repeated rows agree; no rows give
     no rows. Other columns are not read.
     """
     model = model or train(docs, id_col, text_col, lang_col)
@@ -198,12 +218,14 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "p.lang_pred", "p.score")
 
 
-#: A document stays if its text has a language at least this sure, and is familiar.
-SURE = 0.2
-
+def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose text has a known language, with all their columns.
 
-def drop_unknown(docs: DataFrame, sure: float = SURE) -> DataFrame:
-    """The rows of docs whose text has a known language, with all their columns."""
-    p = language(train(docs), docs, F.col("text"), rejects=True)
-    scored = docs.withColumn("__p", p)
-    return scored.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= sure)).drop("__p")
+    Texts that are null, without a letter or of no learned language go; where no language
+    was learned, all rows go. Repeated rows and null ids are judged like others; no rows
+    give no rows. Columns may have any names.
+    """
+    model = train(docs, id_col, text_col, lang_col)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    judged = rows.select("row", language(model, docs, F.col(f"row.{text_col}"), rejects=True).alias("judged"))
+    return judged.where(F.col("judged.lang_pred") != UNKNOWN).select("row.*")

@@ -8,7 +8,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -17,13 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import bounded_ids
-from ._shared import bound_batches
+from ._shared import TEXTS, batch_rows, slices
 
 #: Labelled texts of each label to fit on; words that get a vector; numbers of a vector; of them in an index vector; window; units.
 PER_LABEL, WORDS, DIM, FILLED, WINDOW, UNITS = 1500, 20_000, 64, 6, 2, 32
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-#: Shares that say how a text is written, beside its pooled vector.
-EXTRA = 9
+#: A text counts as good from this score on.
 GOOD = 0.7
 
 
@@ -89,7 +87,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def rows():
         return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for t in batch.column(0).to_pylist():
             counts.update(tokens(t))
             if len(counts) > HELD:
@@ -104,7 +102,6 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, i
     Words are counted, and contexts summed, in each task and then by word; the driver gets
     WORDS rows. Other words have their index vector alone.
     """
-    bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = texts.mapInArrow(_count_batches, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
@@ -114,7 +111,7 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, i
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(shared.value), DIM), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             at, found = contexts([tokens(t) for t in batch.column(0).to_pylist()], shared.value)
             total[at] += found
         at = np.flatnonzero(total.any(axis=1))
@@ -134,27 +131,17 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, i
 
 
 def pooled(text: str, vocab: dict[str, int], vectors: np.ndarray) -> np.ndarray:
-    """The mean vector of a text's words, and shares that say how it is written."""
-    words = tokens(text)
-    n = len(words)
-    out = np.zeros(DIM + EXTRA, dtype=np.float32)
-    if not n:
-        return out
-    counts = Counter(words)
-    get = vocab.get
-    rows = np.array([get(w, -1) for w in counts], dtype=np.int64)
+    """The mean vector of a text's words; 0 without words."""
+    counts = Counter(tokens(text))
+    if not counts:
+        return np.zeros(DIM, dtype=np.float32)
+    rows = np.array([vocab.get(w, -1) for w in counts], dtype=np.int64)
     w = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
+    w /= w.sum()
     known = rows >= 0
-    out[:DIM] = w[known] @ vectors[rows[known]] / n
+    out = w[known] @ vectors[rows[known]]
     if not known.all():
-        out[:DIM] += w[~known] @ np.stack([hashed(t) for t, r in zip(counts, rows, strict=True) if r < 0]) / n
-    signs = sum(c for t, c in counts.items() if not t[0].isalnum())
-    kinds = [c for t, c in counts.items() if not t[0].isalnum() and t not in (".", ",")]
-    caps = sum(map(str.isupper, text)) / len(text)
-    out[DIM:] = (
-        1.0, np.log1p(n) / 10, len(counts) / n, sum(map(eq, words, words[1:])) / n, sum(map(eq, words, words[2:])) / n, signs / n, sum(kinds) / n, caps,
-        w[known].sum() / n,
-    )
+        out = out + w[~known] @ np.stack([hashed(t) for t, r in zip(counts, rows, strict=True) if r < 0])
     return out
 
 
@@ -162,14 +149,14 @@ def pooled(text: str, vocab: dict[str, int], vectors: np.ndarray) -> np.ndarray:
 class Model:
     vocab: dict[str, int] = field(default_factory=dict)
     vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, DIM), np.float32))
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(DIM + EXTRA))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(DIM + EXTRA))
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(DIM))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(DIM))
     layers: tuple | None = None
     temperature: float = 1.0
     base: float = 0.5
 
     def inputs(self, texts: list[str]) -> np.ndarray:
-        x = np.stack([pooled(t, self.vocab, self.vectors) for t in texts]) if texts else np.zeros((0, DIM + EXTRA))
+        x = np.stack([pooled(t, self.vocab, self.vectors) for t in texts]) if texts else np.zeros((0, DIM))
         return (x - self.mean) / self.scale
 
     def predict(self, texts: list[str]) -> np.ndarray:
@@ -248,12 +235,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ids, repeated rows and ties change nothing; no rows give no rows. Other columns are
     not read.
     """
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS vectors
 
     @F.pandas_udf("double")
     def predict(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.predict([t or "" for t in texts]))
+        scores = [shared.value.predict([t or "" for t in texts.iloc[a : a + TEXTS]]) for a in range(0, len(texts), TEXTS)]
+        return pd.Series(np.concatenate(scores) if scores else np.zeros(0))
 
     out = docs.select(F.col(id_col).alias("doc_id"), predict(F.col(text_col)).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))

@@ -142,10 +142,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXTS) -> Iterator[pa.
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
-
-
-def bound_batches(spark: SparkSession, rows: int = TEXTS) -> None:
-    """For the operators that don't use batch_rows() yet: the session's own setting, at most so many rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))

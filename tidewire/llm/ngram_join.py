@@ -8,25 +8,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bound_batches, drop_table, shuffle_partitions, work_table
+from ._shared import TEXTS, batch_rows, drop_table, shuffle_partitions, slices, work_tables
 
 #: Words of a shingle; a link needs 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
 #: Places of the frequency sketch, rows it travels in, and places of the id filter: fixed, whatever the input.
 SLOTS, ROWS, BITS = 1 << 20, 64, 1 << 23
+#: Partial sums of a part of the sketch.
+LANES = 8
 #: Documents that one signature tree holds, and children of a node.
 LEAVES, FAN_OUT = 512, 8
-#: Bytes of text hashed at once.
+#: Rows of hashes in an Arrow batch, and bytes of text hashed at once.
+ROWS_A_BATCH = 10_000
 STEP = 1 << 19
 #: A prefix is longer than one shared hash asks for by this part of the set: then linked sets share many.
 SHARE = 8
-#: Rounds that drop classes with too few shared hashes.
-PEELS = 4
-#: Rounds that merge the parts of split blocks by representatives, before trees are compared.
-ROUNDS = 2
+#: A hash of more than one in HOT rows is split over SALTS tasks; there are fewer than HOT of them.
+HOT, SALTS = 1024, 64
 
 U = np.uint64
 _RNG = np.random.default_rng(20240601)
@@ -131,13 +132,13 @@ def least_shared(n: Column) -> Column:
 
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, dtype=np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         if sets := shingle_sets(batch.column(0)):
             total += np.bincount((np.concatenate(sets) & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
     if total.any():
         part = [p.astype(np.uint32).tobytes() for p in np.split(np.minimum(total, 2**32 - 1), ROWS)]
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROWS), pa.int32()), pa.array([task % 32] * ROWS, pa.int32()), pa.array(part, pa.binary())], names=["part", "lane", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROWS), pa.int32()), pa.array([task % LANES] * ROWS, pa.int32()), pa.array(part, pa.binary())], names=["part", "lane", "counts"])
 
 
 def _add_up(rows: pa.Table) -> pa.Table:
@@ -162,82 +163,109 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 # -- classes of equal sets, and the blocks in which linked classes meet
 
 
+#: Classes that a task remembers, to write the prefix of a class seldom more than once.
+SEEN = 1 << 20
+
+
+def _digest(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _class_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             n, cid, heads = [], [], []
-            for s in shingle_sets(batch.column(1)):
-                c = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                c = _digest(s) if len(s) else None
                 n.append(len(s))
                 cid.append(c)
-                heads.append(None if c is None or c in seen else prefix(s, level).view(np.int64))
-                seen.add(c)
+                new = c is not None and i is not None and c not in seen
+                heads.append(prefix(s, level).view(np.int64) if new else None)
+                if new:
+                    seen.add(c)
+            if len(seen) > SEEN:
+                seen.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "prefix"])
 
     return run
 
 
 def _shared_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows dealt by ranges of (hash, cid): those whose hash two classes have.
+    """Of rows (hash, cid, n, weight) in order of hash and cid: those whose hash two classes have.
 
-    The first and last hash of a range may go on in the next; they stay for peel() to judge.
+    Each has the number of those classes, and as head the one of the largest weight. The
+    first and last hash of a range may go on in the next: they stay, and `cut` marks them.
     """
-    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-    if not parts:
-        return
-    h, cid, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    order = np.lexsort((cid, h))
-    h, cid, n = h[order], cid[order], n[order]
-    del order
-    fresh = np.append(True, (h[1:] != h[:-1]) | (cid[1:] != cid[:-1]))
-    h, cid, n = h[fresh], cid[fresh], n[fresh]
-    run = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    size = np.diff(np.append(run, len(h)))
-    size[[0, -1]] *= -1
-    keep = np.repeat((size > 1) | (size < 0), np.abs(size))
-    cols = [x[keep] for x in (h, cid, n)]
-    for a in range(0, len(cols[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["hash", "cid", "n"])
-
-
-def peel(shared: DataFrame) -> DataFrame:
-    """Rows (hash, cid, n) without classes that share too few hashes to link with any other.
-
-    What goes leaves some hashes to one class alone, so rounds follow. Each is exact;
-    more of them only leave less to compare.
+    names = ["hash", "cid", "n", "size", "head", "cut"]
+    held: list[np.ndarray] | None = None
+    first = True
+
+    def runs(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        """What whole runs of one hash give, and the last run, which may go on."""
+        h, cid, n, weight = cols
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        end = len(h) if last else at[-1]
+        size = np.diff(np.append(at, len(h)))
+        most = np.repeat(np.maximum.reduceat(weight, at), size)
+        head = cid[np.minimum.reduceat(np.where(weight == most, np.arange(len(h)), len(h)), at)]
+        cut = np.zeros(len(at), dtype=bool)
+        cut[0], cut[-1] = first, last
+        keep = np.repeat((size > 1) | cut, size)[:end]
+        per_run = [np.repeat(x, size)[:end] for x in (size.astype(np.int32), head, cut)]
+        out = [pa.array(x[keep]) for x in (h[:end], cid[:end], n[:end], *per_run)]
+        return pa.RecordBatch.from_arrays(out, names=names), [c[end:] for c in cols]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy() for c in batch.columns]
+        held = [np.concatenate(c) for c in zip(held, now, strict=True)] if held else now
+        fresh = np.append(True, (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
+        held = [c[fresh] for c in held]
+        if held[0][0] != held[0][-1]:
+            out, held = runs(held, False)
+            first = False
+            yield out
+    if held:
+        yield runs(held, True)[0]
+
+
+SHARED_DDL = "hash bigint, cid bigint, n int, size int, head bigint, cut boolean"
+
+
+def shared_by_range(rows: DataFrame, n: int) -> DataFrame:
+    """Rows (hash, cid, n) whose hash two classes have, with the head of each; a frequent hash is split over ranges."""
+    return rows.repartitionByRange(n, "hash", "cid").sortWithinPartitions("hash", "cid").mapInArrow(_shared_hashes, SHARED_DDL)
+
+
+def enough_shared(shared: DataFrame) -> DataFrame:
+    """Rows (hash, cid, n, weight) of the classes that share enough hashes with all others together to link with one.
+
+    A class weighs the more, the more classes share its hashes: the text that many copies
+    were made from leads them.
     """
-    rows, last, count = shared, None, None
-    for _ in range(PEELS):
-        enough = rows.groupBy("cid").agg(F.count("*").alias("shares"), F.max("n").alias("size")).where(F.col("shares") >= least_shared(F.col("size")))
-        rows = rows.join(enough.select("cid"), "cid", "left_semi")
-        alive = rows.groupBy("hash").agg(F.count("*").alias("classes")).where("classes > 1")
-        left = work_table(rows.join(alive.select("hash"), "hash", "left_semi").select("hash", "cid", "n"), "join-shared")
-        before, count = count, left.count()
-        if last is not None:
-            drop_table(last)
-        rows = last = left
-        if before is not None and count > 0.99 * before:
-            break
-    return rows
-
-
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
+    own = Window.partitionBy("cid")  # a class has the rows of its own prefix
+    shares, weight = F.count("*").over(own), (8 * F.avg("size").over(own)).cast("int")
+    rows = shared.select("hash", "cid", "n", shares.alias("shares"), weight.alias("weight"))
+    return rows.where(F.col("shares") >= least_shared(F.col("n"))).drop("shares")
+
+
+def components(edges: DataFrame, table, name: str = "cc") -> DataFrame:
     """(node, root) for every node of edges (a, b) but the roots; a root is its part's smallest node.
 
     Each node hooks onto its smallest smaller neighbour, the hooks are flattened by pointer
     jumping, and edges between the trees go on, until none is left.
     """
     e = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct()
-    e = work_table(e, f"{name}-edges")
+    e = table(e, f"{name}-edges")
     maps = []
     while not e.isEmpty():
-        hooks = work_table(e.groupBy("hi").agg(F.min("lo").alias("root")), f"{name}-hooks")
+        hooks = table(e.groupBy("hi").agg(F.min("lo").alias("root")), f"{name}-hooks")
         while True:
             up = hooks.select(F.col("hi").alias("via"), F.col("root").alias("above"))
             jumped = hooks.join(up, hooks["root"] == up["via"], "left")
-            jumped = work_table(jumped.select("hi", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), f"{name}-jump")
+            jumped = table(jumped.select("hi", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), f"{name}-jump")
             hooks = jumped.select("hi", "root")
             if jumped.where("moved").isEmpty():
                 break
@@ -245,14 +273,14 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         a, b = hooks.toDF("node_a", "root_a"), hooks.toDF("node_b", "root_b")
         moved = e.join(a, e["lo"] == a["node_a"], "left").join(b, e["hi"] == b["node_b"], "left")
         moved = moved.select(F.coalesce("root_a", "lo").alias("a"), F.coalesce("root_b", "hi").alias("b"))
-        e = work_table(moved.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), f"{name}-edges")
+        e = table(moved.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), f"{name}-edges")
     if not maps:
         return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     out = maps[-1]
     for m in reversed(maps[:-1]):
         up = out.select(F.col("hi").alias("via"), F.col("root").alias("above"))
         out = m.join(up, m["root"] == up["via"], "left").select("hi", F.coalesce("above", "root").alias("root")).unionByName(out)
-    return work_table(out.select(F.col("hi").alias("node"), "root"), f"{name}-roots")
+    return table(out.select(F.col("hi").alias("node"), "root"), f"{name}-roots")
 
 
 # -- signature trees
@@ -371,11 +399,15 @@ def join_block(cids: list[int], sets: list[np.ndarray]) -> list[int]:
 
 
 def _tree_batches(leaves: int):
-    """Rows (block, cid, hashes) sorted by block: a tree for each block, or for each `leaves` classes of it."""
+    """Rows (block, family, team, cid, hashes) in that order: a tree for each block, or for families of it that have `leaves` classes or more.
+
+    A family of more is cut between teams.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId() << 32, 0
-        block, cids, sets = None, [], []
+        block, family, team, cids, sets = None, None, None, [], []
+        kin = 0  # classes of the family at hand
         out: list[list[int]] = [[], [], [], []]
 
         def done() -> None:
@@ -386,16 +418,19 @@ def _tree_batches(leaves: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["block", "cid", "root", "tree"])
 
         for batch in batches:
-            for b, c, raw in zip(batch.column("block").to_pylist(), batch.column("cid").to_pylist(), batch.column("hashes"), strict=True):
-                if cids and (b != block or len(cids) == leaves):
+            for b, f, t, c, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                kin = kin if f == family else 0
+                if cids and (b != block or (len(cids) >= leaves and (f != family or (t != team and kin >= leaves)))):
                     done()
-                    number, cids, sets = number + 1, [], []
+                    number, cids, sets, kin = number + 1, [], [], 0
                     if len(out[0]) >= 10_000:
                         yield batch_out()
                         out = [[], [], [], []]
-                block = b
-                cids.append(c)
-                sets.append(np.frombuffer(raw.as_buffer(), dtype=np.uint64))
+                block, family, team = b, f, t
+                kin += 1
+                if not cids or c != cids[-1]:
+                    cids.append(c)
+                    sets.append(np.frombuffer(raw.as_buffer(), dtype=np.uint64))
         if cids:
             done()
         if out[0]:
@@ -408,27 +443,19 @@ def _set_batches(shared):
     """(doc_id, cid, hashes) of the documents that the id filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            some = batch.filter(pa.array((shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & U(1) == U(1)))
+        for batch in slices(batches):
+            some = batch.filter(_through(shared, batch.column("slot").to_numpy()))
             sets = shingle_sets(some.column("text"))
+            cid = [_digest(s) if len(s) else None for s in sets]
             raw = [s.tobytes() for s in sets]
-            cid = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) if r else None for r in raw]
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(cid, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "cid", "hashes"])
 
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column("hashes_a"), batch.column("hashes_b")
-        good = [linked(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)) for x, y in zip(a, b, strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def _id_filter(ids: DataFrame) -> np.ndarray:
+def _id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
     """A bitmap of BITS places of the hashed ids: at most BITS / 64 rows come to the driver."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    slot = F.pmod(F.xxhash64(column), F.lit(BITS))
     words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
     out = np.zeros(BITS // 64, dtype=np.int64)
     for row in words.collect():
@@ -436,37 +463,24 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of classes that link."""
-    a = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("hashes_a"))
-    b = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hashes_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify, "a bigint, b bigint")
+def _through(shared, slot: np.ndarray) -> pa.Array:
+    """Whether a filter lets a slot through."""
+    return pa.array((shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & U(1) == U(1))
 
 
-def _by_representatives(rows: DataFrame, part: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between parts whose representatives under a shared hash link.
+def _only(shared):
+    """Rows (cid, hashes) that the filter lets through: most others stay where they are."""
 
-    Under each hash that several parts have, the smallest class of each part meets that of
-    the part with the smallest root. This finds most links between large parts; which it
-    misses, the comparison of trees finds.
-    """
-    own = rows.join(part.select("cid", "root"), "cid")
-    reps = own.groupBy("hash", "root").agg(F.min(F.struct("cid", "n")).alias("rep")).select("hash", "root", "rep.cid", "rep.n")
-    reps = work_table(reps, "join-reps")
-    first = reps.groupBy("hash").agg(F.min(F.struct("root", "cid", "n")).alias("f"), F.count("*").alias("parts")).where("parts > 1")
-    first = first.select("hash", F.col("f.root").alias("r0"), F.col("f.cid").alias("c0"), F.col("f.n").alias("n0"))
-    pairs = reps.join(first, "hash").where("root <> r0")
-    pairs = pairs.groupBy(F.least("cid", "c0").alias("a"), F.greatest("cid", "c0").alias("b")).agg(F.count("*").alias("shares"), F.max(F.greatest("n", "n0")).alias("n"))
-    pairs = pairs.where(F.col("shares") >= least_shared(F.col("n")) / 2).select("a", "b")
-    links = _links(pairs, sets)
-    roots = part.select(F.col("cid").alias("node"), "root")
-    ends = links.join(roots, links["a"] == roots["node"]).select("b", F.col("root").alias("ra"))
-    return ends.join(roots, ends["b"] == roots["node"]).select(F.col("ra").alias("a"), F.col("root").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(_through(shared, batch.column("slot").to_numpy())).select(["cid", "hashes"])
+
+    return run
 
 
 def _where_to(rows: pa.Table) -> pa.Table:
     """Trees that hold enough hashes of one class's prefix: a row for each hash, with the trees that have it."""
-    cid, n, own = (rows.column(c)[0].as_py() for c in ("cid", "n", "tree"))
+    cid, n, own = (rows.column(c)[0].as_py() for c in ("cid", "n", "own"))
     trees, shares = np.unique(rows.column("trees").combine_chunks().flatten().to_numpy(), return_counts=True)
     to = trees[(shares >= max(1, (PERCENT * n + 99) // 100 // SHARE)) & (trees != own)]
     return pa.table([pa.array([cid] * len(to), pa.int64()), pa.array(to, pa.int64())], names=["cid", "to"])
@@ -494,45 +508,73 @@ def _visit(key: tuple, residents: pa.Table, visitors: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-def _between_trees(rows: DataFrame, part: DataFrame, sets: DataFrame, leaves: int) -> DataFrame:
-    """Edges (a, b) between parts that a link across trees of one block joins.
+def _met_elsewhere(shared: DataFrame, part: DataFrame, table) -> DataFrame:
+    """Rows (hash, cid, n, tree) of classes that may link across trees: enough of their hashes are in two trees."""
+    placed = table(shared.select("hash", "cid", "n").join(part.select("cid", "tree"), "cid"), "join-placed")
+    two = placed.groupBy("hash").agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a < b").select("hash")
+    rows = placed.join(two, "hash", "left_semi").withColumn("shares", F.count("*").over(Window.partitionBy("cid")))
+    return table(rows.where(F.col("shares") >= least_shared(F.col("n"))).drop("shares"), "join-met")
+
 
-    Classes of a block's largest part stay where they are; each other class visits the trees
-    whose classes together have enough of its prefix hashes for a link.
+def _visits(rows: DataFrame, part: DataFrame, table) -> DataFrame:
+    """(cid, to): the trees that each class may have links in.
+
+    Classes of a block's largest part stay where they are; each other class asks, by the
+    hashes of its prefix, which trees have enough of them.
     """
     size = part.groupBy("block", "root").agg(F.count("*").alias("size"))
-    main = size.groupBy("block").agg(F.max_by("root", "size").alias("main"))
-    restless = part.join(main, "block").where("root <> main").select("cid", "root", "tree")
-    placed = rows.join(part.select("cid", "tree"), "cid").groupBy("hash").agg(F.collect_set("tree").alias("trees")).where(F.size("trees") > 1)
-    asked = rows.join(restless.select("cid", "tree"), "cid").join(placed, "hash").select("cid", "n", "tree", "trees")
-    visits = work_table(asked.groupBy("cid").applyInArrow(_where_to, "cid bigint, to bigint"), "join-visits")
+    main = size.groupBy("block").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    restless = part.join(main, "block").where("root <> main").select("cid")
+    asked = table(rows.join(restless, "cid", "left_semi").withColumnRenamed("tree", "own"), "join-asked")
+    homes = rows.select("hash", "tree").distinct().groupBy("hash").agg(F.collect_list("tree").alias("trees"))  # a number for each tree
+    hot = asked.groupBy("hash").count().where(F.col("count") * HOT > asked.count())
+    hot = F.broadcast(hot.select("hash", F.lit(SALTS).alias("salts")))  # fewer than HOT rows
+    salts = F.coalesce("salts", F.lit(1))
+    asked = asked.join(hot, "hash", "left").select("hash", "cid", "n", "own", F.pmod(F.xxhash64("cid"), salts).alias("salt"))
+    homes = homes.join(hot, "hash", "left").select("hash", "trees", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1)).alias("salt"))
+    met = asked.join(homes, ["hash", "salt"]).select("cid", "n", "own", "trees")
+    return table(met.groupBy("cid").applyInArrow(_where_to, "cid bigint, to bigint"), "join-visits")
+
+
+def _links_of(visits: DataFrame, rows: DataFrame, part: DataFrame, sets: DataFrame, leaves: int) -> DataFrame:
+    """Edges (a, b) between parts that links of visiting classes with a tree's residents join."""
+    some = rows.select("cid").distinct()
+    bits = sets.sparkSession.sparkContext.broadcast(_id_filter(some, "cid"))  # BITS / 8 bytes
+    near = sets.withColumn("slot", F.pmod(F.xxhash64("cid"), F.lit(BITS))).mapInArrow(_only(bits), "cid bigint, hashes binary")
     waves = visits.groupBy("to").agg(F.ceil(F.count("*") / leaves).alias("waves"))
-    raw = sets.select("cid", "hashes")
     come = visits.join(waves, "to").select("cid", "to", F.pmod(F.xxhash64("cid"), F.col("waves")).alias("wave"))
-    come = come.join(restless.select("cid", "root"), "cid").join(raw, "cid").select("to", "wave", "root", "hashes").toDF("at", "at_wave", "at_root", "at_hashes")
-    stay = part.select("cid", "root", F.col("tree").alias("to")).join(waves, "to").join(raw, "cid")
+    come = come.join(part.select("cid", "root"), "cid").join(near, "cid").select("to", "wave", "root", "hashes").toDF("at", "at_wave", "at_root", "at_hashes")
+    stay = part.join(some, "cid", "left_semi").select("cid", "root", F.col("tree").alias("to")).join(waves, "to").join(near, "cid")
     stay = stay.select("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("waves") - 1)).alias("wave"), "root", "hashes")
     return stay.groupBy("to", "wave").cogroup(come.groupBy("at", "at_wave")).applyInArrow(_visit, "a bigint, b bigint")
 
 
-def _merge_split_blocks(found: DataFrame, shared: DataFrame, sets: DataFrame, leaves: int) -> DataFrame:
-    """(cid, root) of all classes, where blocks of several trees are joined across their trees."""
+def _merge_split_blocks(found: DataFrame, shared: DataFrame, sets: DataFrame, leaves: int, table) -> DataFrame:
+    """(cid, root) of all classes, where blocks of several trees are joined across their trees.
+
+    found: (block, cid, root, tree); a class that leads several teams is in several trees,
+    which are joined by that. Then each class outside its block's largest part visits the
+    trees that share enough with it.
+    """
     split = found.groupBy("block").agg(F.min("tree").alias("a"), F.max("tree").alias("b")).where("a < b").select("block")
-    part = work_table(found.join(split, "block", "left_semi"), "join-split")
-    whole = found.join(split, "block", "left_anti").select("cid", "root")
-    if part.isEmpty():
+    whole = found.join(split, "block", "left_anti").select("cid", "root").distinct()  # leaders sit in one tree more than once
+    twice = table(found.join(split, "block", "left_semi"), "join-split")
+    if twice.isEmpty():
         return whole
-    rows = work_table(shared.join(part.select("cid"), "cid", "left_semi").select("hash", "cid", "n"), "join-split-hashes")
-    rounds = [lambda part: _by_representatives(rows, part, sets)] * ROUNDS + [lambda part: _between_trees(rows, part, sets, leaves)]
-    while rounds:
-        up = components(rounds.pop(0)(part), "join-parts").select("node", F.col("root").alias("above"))
-        if up.isEmpty():
-            rounds = rounds[-1:] if len(rounds) > 1 else rounds
-            continue
-        part = work_table(part.join(up, part["root"] == up["node"], "left").select("block", "cid", F.coalesce("above", "root").alias("root"), "tree"), "join-split")
+    leads = twice.groupBy("cid").agg(F.min("root").alias("b"), F.max("root").alias("most")).where("b < most")
+    edges = twice.join(leads, "cid").where("root <> b").select(F.col("root").alias("a"), "b")
+    part = _joined(twice.groupBy("block", "cid").agg(F.min("root").alias("root"), F.min("tree").alias("tree")), edges, table)
+    rows = _met_elsewhere(shared, part, table)
+    part = _joined(part, _links_of(_visits(rows, part, table), rows, part, sets, leaves), table)
     return whole.unionByName(part.select("cid", "root"))
 
 
+def _joined(part: DataFrame, edges: DataFrame, table) -> DataFrame:
+    """part, its roots joined along the edges (a, b)."""
+    up = components(edges, table, "join-parts").select("node", F.col("root").alias("above"))
+    return table(part.join(up, part["root"] == up["node"], "left").select("block", "cid", F.coalesce("above", "root").alias("root"), "tree"), "join-split")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaves: int = LEAVES) -> DataFrame:
     """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more.
 
@@ -540,11 +582,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     prefix of its set under one order of all hashes, places frequent over all documents
     last. Prefixes are so long that linked classes share many hashes; classes that share
     too few with all others together are peeled off. (3) Classes that the shared hashes
-    left connect form a block. (4) Each block is joined by a signature tree; blocks of more than
-    `leaves` classes are split over trees and tasks, then (5) joined across trees: each
-    class outside its block's largest part visits the trees that share enough of its
-    prefix. Only links decide on components; copies are never paired,
-    and pairs already in one part aren't compared.
+    left connect form a block. In it, classes follow the one that leads most of their
+    hashes; those that so hang together are a family. (4) Each block is joined by a
+    signature tree; blocks of more than `leaves` classes are split between families over
+    trees and tasks, and large families too, a leader being in each tree of its followers.
+    (5) Trees of one block are joined by their common leaders; then each class outside the
+    block's largest part visits the trees that share enough of its prefix. Only links
+    decide on components; copies are never paired, and pairs already in one part aren't
+    compared.
 
     Returns one row for each input row: doc_id, n_shingles, component_id (the smallest id
     that links lead to, itself included). Null text, empty texts and texts without words
@@ -553,49 +598,80 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     Other columns are not read.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     n = shuffle_partitions(spark)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    level = spark.sparkContext.broadcast(frequency_levels(own))  # SLOTS bytes
-    rows = work_table(own.mapInArrow(_class_batches(level), "doc_id bigint, n int, cid bigint, prefix array<bigint>"), "join-classes")
-    index = rows.where("prefix IS NOT NULL").select(F.explode("prefix").alias("hash"), "cid", "n")
-    shared = index.repartitionByRange(n, "hash", "cid").mapInArrow(_shared_hashes, "hash bigint, cid bigint, n int")
-    index = work_table(shared, "join-index")
-    shared = peel(index)
+    with work_tables(spark) as table, batch_rows(spark, ROWS_A_BATCH):
+        with batch_rows(spark, TEXTS):
+            level = spark.sparkContext.broadcast(frequency_levels(own))  # SLOTS bytes
+            full = table(own.mapInArrow(_class_batches(level), "doc_id bigint, n int, cid bigint, prefix array<bigint>"), "join-classes")
+        index = full.where("prefix IS NOT NULL").select(F.explode("prefix").alias("hash"), "cid", "n", F.lit(0).alias("weight"))
+        index = table(enough_shared(shared_by_range(index, n)), "join-index")
+        rows = table(full.select("doc_id", "n", "cid"), "join-rows", keep=True)
+        drop_table(full)
+        labels = table(_labels(own, rows, index, n, leaves, table), "join-components", keep=True)
+    out = rows.select("doc_id", "n", "cid").join(labels, "cid", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
+
+
+def _labels(own: DataFrame, rows: DataFrame, index: DataFrame, n: int, leaves: int, table) -> DataFrame:
+    """(cid, component_id) of each class."""
+    spark = own.sparkSession
+    shared = table(shared_by_range(index, n), "join-shared")
     drop_table(index)
-    narrow = work_table(rows.select("doc_id", "n", "cid"), "join-rows")
-    drop_table(rows)
-    rows = narrow
-    heads = work_table(shared.groupBy("hash").agg(F.min("cid").alias("head")), "join-heads")
-    stars = shared.join(heads, "hash").where("cid <> head").select("cid", "head").distinct()
-    blocks = components(stars.select(F.col("cid").alias("a"), F.col("head").alias("b")), "join-blocks")
+    stars = table(shared.groupBy("cid", "head").agg(F.count("*").alias("shares")), "join-stars")
+    edges = stars.where("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
+    cut = shared.where("cut").select("hash", "head").distinct()  # two hashes a range
+    least = cut.groupBy("hash").agg(F.min("head").alias("b"))
+    edges = edges.unionByName(cut.join(least, "hash").where("head <> b").select(F.col("head").alias("a"), "b"))
+    blocks = components(edges, table, "join-blocks")
+    blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).toDF("cid", "block")
+    team = table(stars.groupBy("cid").agg(F.max_by("head", F.struct("shares", "head")).alias("team")), "join-teams")
+    family = components(team.select(F.col("cid").alias("a"), F.col("team").alias("b")), table, "join-families").select(F.col("node").alias("cid"), F.col("root").alias("family"))
     classes = rows.where("doc_id IS NOT NULL AND cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    firsts = shared.groupBy("cid").agg(F.min("hash").alias("first"))
-    keys = firsts.join(blocks, firsts["cid"] == blocks["node"], "left").select("cid", "first", F.coalesce("root", "cid").alias("block"))
-    classes = work_table(classes, "join-firsts")
-    keys = work_table(keys.join(classes, "cid"), "join-keys")
+    classes = table(classes, "join-firsts")
+    keys = blocks.join(team, "cid").join(family, "cid", "left").withColumn("family", F.coalesce("family", "cid"))
+    keys = table(keys.join(classes, "cid"), "join-keys")
+    seats = table(_seats(keys, leaves), "join-seats")
     wanted = spark.sparkContext.broadcast(_id_filter(keys))  # BITS / 8 bytes
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("slot")
     sets = own.where("doc_id IS NOT NULL").select("doc_id", slot, "text").mapInArrow(_set_batches(wanted), "doc_id bigint, cid bigint, hashes binary")
-    sets = sets.join(keys, ["doc_id", "cid"]).dropDuplicates(["doc_id", "cid"])
-    sets = work_table(sets.select("block", "first", "cid", "hashes"), "join-sets")
-    dealt = sets.repartitionByRange(n, "block", "first", "cid").sortWithinPartitions("block", "first", "cid")
-    found = work_table(dealt.select("block", "cid", "hashes").mapInArrow(_tree_batches(leaves), "block bigint, cid bigint, root bigint, tree bigint"), "join-trees")
-    part = _merge_split_blocks(found, shared, sets, leaves)
-    least = part.join(classes, "cid").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_classes")).where("n_classes > 1")
-    least = part.join(work_table(least, "join-least"), "root").select("cid", "least")
-    own_class = classes.withColumnRenamed("doc_id", "own")
-    labels = own_class.join(work_table(least, "join-labels"), "cid", "left").select("cid", F.coalesce("least", "own").alias("component_id"))
-    labels = work_table(labels, "join-components")
-    out = rows.select("doc_id", "n", "cid").join(labels, "cid", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
+    sets = sets.join(seats, ["doc_id", "cid"]).dropDuplicates(["doc_id", "cid", "block", "family", "team", "part"])
+    with batch_rows(spark, TEXTS):
+        sets = table(sets.select("block", "family", "team", "part", "guest", "cid", "hashes"), "join-sets")
+    dealt = sets.repartitionByRange(n, "block", "family", "team", "part").sortWithinPartitions("block", "family", "team", "part", "cid")
+    dealt = dealt.select("block", "family", F.xxhash64("team", "part").alias("team"), "cid", "hashes")
+    found = table(dealt.mapInArrow(_tree_batches(leaves), "block bigint, cid bigint, root bigint, tree bigint"), "join-trees")
+    part = _merge_split_blocks(found, shared, sets.where("NOT guest").select("cid", "hashes"), leaves, table).join(keys.select("cid", "doc_id"), "cid")
+    least = part.groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = part.join(least, "root").select("cid", "least")
+    return classes.join(least, "cid", "left").select("cid", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _seats(keys: DataFrame, leaves: int) -> DataFrame:
+    """Where the classes of keys(cid, block, family, team, doc_id) are to meet: (doc_id, cid, block, family, team, part, guest).
+
+    A team is the classes with one leader; a large one is dealt over parts of about
+    `leaves` classes. The leader is in each part, as a guest where its own place is
+    another, so that its links join the parts.
+    """
+    size = keys.groupBy("team").agg(F.ceil(F.count("*") / leaves).alias("parts"))
+    own = keys.join(size, "team")
+    own = own.select("doc_id", "cid", "block", "family", "team", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"))
+    lead = size.join(keys.select("doc_id", "cid", "block", "family"), size["team"] == keys["cid"])
+    lead = lead.select("doc_id", "cid", "block", "family", F.col("cid").alias("team"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    guests = lead.join(own.select("cid", "team", "part"), ["cid", "team", "part"], "left_anti").select(*own.columns)
+    return own.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that another document of their component stands for (the smallest id)."""
-    gone = similar(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    """docs without those that another document of their component stands for (the smallest id).
+
+    Rows that repeat a kept id all stay, as do rows with a null id; null, empty and blank
+    texts stay; no rows give no rows. Columns may have any names.
+    """
+    gone = similar(docs, id_col, text_col).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
 
 
 ORACLE = r"""

@@ -42,11 +42,32 @@ def test_exact_dedup_null_ids_and_nothing(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_every_copy_is_merged_by_comparing_neighbours(spark, monkeypatch):
+    """With and without slices: rows that don't lead are the copies, all of them; hashes only deal rows out."""
+    rows = [(i, f"text {i % 120} {'x' * (i % 120)}", "s") for i in range(600)] + [(1000 + i, "hot  text" if i % 3 else "hot text", "s") for i in range(300)]
+    d = docs(spark, rows)
+    for most in (1024, 4):
+        monkeypatch.setattr(exact_dedup, "HOT", most)
+        monkeypatch.setattr(exact_dedup, "SLICES", 7)
+        got = exact_dedup.exact_dedup(d)
+        assert sum(not r.kept for r in got.collect()) == 900 - 121
+        hot = [r for r in got.collect() if r.doc_id >= 1000]
+        assert {(r.keep_id, r.group_size) for r in hot} == {(1001, 300)} and [r.doc_id for r in hot if r.kept] == [1001]
+        assert sorted(r.doc_id for r in exact_dedup.drop_copies(d).collect()) == [*range(120), 1001]
+        # other texts under one hash stay apart
+        monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c, f=F.xxhash64: F.lit(7).cast("bigint") if c == ("norm",) else f(*c))
+        assert sum(r.kept for r in exact_dedup.exact_dedup(d).collect()) == 121 == exact_dedup.drop_copies(d).count()
+        monkeypatch.undo()
+
+
 def test_drop_copies_keeps_columns_and_one_row(spark):
     d = docs(spark, [(1, "a", "s"), (1, "a", "s"), (2, "a ", None), (3, None, "s"), (4, "", "s")])
     out = exact_dedup.drop_copies(d)
     assert out.columns == d.columns
     assert sorted(r.doc_id for r in out.collect()) == [2, 3]
+    odd = spark.createDataFrame([(1, "a b", 5, 6), (1, "a  b", 7, 8), (1, "a  b", 7, 8)], "doc_id bigint, text string, __own int, norm int")
+    assert [tuple(r) for r in exact_dedup.drop_copies(odd).collect()] == [(1, "a  b", 7, 8)]
+    assert exact_dedup.drop_copies(odd.limit(0)).columns == odd.columns
 
 
 def plain_targets(sizes, cap=3.0, weights=(1, 2, 3)):
@@ -83,19 +104,49 @@ def test_mixing_targets_and_taken(spark):
         assert abs(taken[s] - t) < 18
     again = mixing.mix_sources(d.repartition(3)).collect()
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
-    out = mixing.repeat_by_mix(d.where("doc_id <> 5"))
-    assert out.columns == d.columns and mixing.mix_sources(docs(spark, [])).count() == 0
+    assert mixing.mix_sources(docs(spark, [])).count() == 0
+
+
+def test_mixing_misses_by_a_short_document(spark):
+    """Large documents are settled first: the last open one is short, whatever the largest is."""
+    rng = __import__("random").Random(3)
+    rows = [(i, "w " * int(5 + 4000 * rng.random() ** 8), f"s{i % 3}") for i in range(3000)]
+    per = defaultdict(lambda: [0.0, 0])
+    for r in mixing.mix_sources(docs(spark, rows)).collect():
+        per[r.source][0], per[r.source][1] = r.target, per[r.source][1] + r.taken
+    assert all(abs(t - n) < 400 for t, n in per.values())
+
+
+def test_repeat_by_mix_takes_what_the_mix_says(spark):
+    """Also for repeated rows, which share their copies, and with any names of columns."""
+    rows = [(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(300)] * 2 + [(7, "q " * 8, "b"), (None, "n n", "a"), (None, "n n", "a"), (400, None, "a"), (401, " ", None)]
+    d = docs(spark, rows).selectExpr("doc_id", "text", "source", "1 AS __own", "2 AS copies", "3 AS row", "4 AS `a.b`")
+    mix = mixing.mix_sources(d).collect()
+    want = defaultdict(int)
+    for r in mix:
+        want[r.doc_id, r.source, r.size] += r.copies
+    out = mixing.repeat_by_mix(d)
+    assert out.columns == d.columns
+    got = defaultdict(int)
+    for r in out.collect():
+        got[r.doc_id, r.source, len((r.text or "").split())] += 1
+    assert dict(got) == {k: v for k, v in want.items() if v}
+    assert mixing.repeat_by_mix(d.limit(0)).count() == 0
 
 
 def test_mixing_draws_are_fair(spark):
-    """Over seeds, each document's mean number of copies is its source's rate."""
+    """Over seeds, the mean number of a document's copies is its source's rate, and each source's words its target."""
     d = docs(spark, [(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(60)])
-    total, n = defaultdict(int), 12
+    total, copies, target, size, n = defaultdict(int), defaultdict(int), {}, {}, 40
     for seed in range(n):
         for r in mixing.mix_sources(d, seed=seed).collect():
             total[r.source] += r.copies * r.size
-            want = r.target
-    assert abs(total["b"] / n - want) < 6 or abs(total["a"] / n - want) < 6
+            copies[r.source, r.doc_id] += r.copies
+            target[r.source], size[r.source] = r.target, r.source_size
+    for s, t in target.items():
+        assert abs(total[s] / n - t) < 3
+        rates = [c / n for (of, _), c in copies.items() if of == s]
+        assert all(abs(x - t / size[s]) < 4 * 0.5 / n**0.5 for x in rates)
 
 
 def test_chat_round_trip(spark):
@@ -128,4 +179,3 @@ def test_native_plans_run_no_python(spark, sf):
     for name in ("op4_chat_formatting", "op7_mixing", "op8_exact_dedup"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
-    assert F is not None

@@ -2,7 +2,9 @@
 
 Stages take (spark, docs, sf_dir); each is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. Rows with null, empty or
-blank text have no language and leave at the first stage; no rows give no rows.
+blank text have no language and leave at the first stage; rows that repeat, nulls in any
+column, very long texts and columns of any name are handled as each operator says; no
+rows give no rows.
 """
 
 from __future__ import annotations
@@ -10,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm import exact_dedup, langid, mixing, ngram_join, packing
-from tidewire.llm._shared import work_table
+from tidewire.llm._shared import TEXTS, batch_rows, drop_table, scratch, work_table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification: documents without a known language go."""
+    """Language identification: texts without a letter and texts of no learned language go."""
     return langid.drop_unknown(docs)
 
 
@@ -46,12 +48,18 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Models, draws and packing are beyond SQL; tests compare the stages with plain versions.
+#: Models, draws and packing are beyond SQL; tests compare each stage, and run(), with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over sf_dir's documents; tables that no later stage reads are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = work_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as keep, batch_rows(spark, TEXTS):
+            docs = keep(work_table(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            drop_table(before)
+        before = docs
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, html_extract, langid, mixing, ngram_join, packing, quality, secrets, topk
+from . import chat, exact_dedup, filter_audit, fingerprints, html_extract, langid, mixing, ngram_join, packing, quality, secrets, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_secret_scan": op2_secret_scan,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
     "op11_fingerprints": op11_fingerprints,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +88,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_join": ngram_join.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }

@@ -17,15 +17,22 @@ from pyspark.sql import functions as F
 from ._shared import slices, work_table, work_tables
 
 #: UTF-8 bytes of text from which on a shard is closed.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
+#: Words of a shard that are passed on at once.
+WORDS = 100_000
 #: The filters by letter; a document's failures are the sum of its filters' bits.
 FILTERS = "ABCDE"
 BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 CAPITALS, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 
-LOCAL = "shard bigint, doc_id array<bigint>, part array<string>, fails array<int>, digest array<binary>, indptr array<int>, indices array<int>, data array<int>, words array<binary>"
-CSR = "shard bigint, doc_id array<bigint>, part array<string>, fails array<int>, digest array<binary>, indptr array<int>, indices array<bigint>, data array<int>"
-_KEPT = ["doc_id", "part", "fails", "digest", "indptr"]
+#: indptr and data are little-endian 32-bit numbers, indices 32 bits in a shard and 64 over all; a shard's words have rows of their own.
+ROWS = "doc_id array<bigint>, part array<string>, fails array<int>, digest array<binary>, indptr binary, data binary, indices binary"
+LOCAL = f"shard bigint, at int, word binary, {ROWS}"
+CSR = f"shard bigint, {ROWS}"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 class _Numbers(dict):
@@ -52,17 +59,20 @@ class _Shard:
         self.codes.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.size += len(raw)
 
-    def batch(self, shard: int) -> pa.RecordBatch:
+    def batches(self, shard: int) -> Iterator[pa.RecordBatch]:
+        """The shard's words, then its rows."""
         row = np.repeat(np.arange(len(self.codes), dtype=np.int64), [len(c) for c in self.codes])
         cells, data = np.unique(row << 32 | np.concatenate(self.codes), return_counts=True)
         indptr = np.searchsorted(cells, np.arange(len(self.codes) + 1, dtype=np.int64) << 32)
-        doc_id, part, fails, digest = zip(*self.rows, strict=True)
-        ints = pa.list_(pa.int32())
-        columns = [
-            pa.array([shard], pa.int64()), pa.array([doc_id], pa.list_(pa.int64())), pa.array([part], pa.list_(pa.string())), pa.array([fails], ints), pa.array([digest], pa.list_(pa.binary())),
-            pa.array([indptr.astype(np.int32)], ints), pa.array([(cells & 0xFFFFFFFF).astype(np.int32)], ints), pa.array([data.astype(np.int32)], ints), pa.array([list(self.numbers)], pa.list_(pa.binary())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LOCAL.split(", ")])
+        packed = [x.astype("<i4").tobytes() for x in (indptr, data, cells & 0xFFFFFFFF)]
+        types = [pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.binary()] * 3]
+        words, n = list(self.numbers), len(self.numbers)
+        columns = [pa.array(np.full(n, shard)), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), *(pa.nulls(n, t) for t in types)]
+        for a in range(0, n, WORDS):
+            yield pa.RecordBatch.from_arrays([c.slice(a, WORDS) for c in columns], names=_names(LOCAL))
+        values = [*map(list, zip(*self.rows, strict=True)), *packed]
+        columns = [pa.array([shard], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *(pa.array([v], t) for v, t in zip(values, types, strict=True))]
+        yield pa.RecordBatch.from_arrays(columns, names=_names(LOCAL))
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,24 +81,27 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             shard.add(*row)
             if shard.size >= SHARD_BYTES:
-                yield shard.batch(task << 32 | made)
+                yield from shard.batches(task << 32 | made)
                 made, shard = made + 1, _Shard()
     if shard.rows:
-        yield shard.batch(task << 32 | made)
+        yield from shard.batches(task << 32 | made)
+
+
+def _ints(packed: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(packed, kind)
 
 
 def _global(local: pa.Table, numbers: pa.Table) -> pa.Table:
     """A shard with its words' global numbers, rising in each row."""
     if not local.num_rows:
-        return pa.table({c.split()[0]: [] for c in CSR.split(", ")})
-    column = lambda name: local.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    indptr, at = column("indptr"), column("indices")
-    number = np.zeros(numbers.num_rows, np.int64)
+        return pa.table({name: [] for name in _names(CSR)})
+    indptr, data, at = (_ints(local.column(c)[0].as_py()) for c in ("indptr", "data", "indices"))
+    number = np.zeros(numbers.num_rows, "<i8")
     number[numbers.column("at").to_numpy()] = numbers.column("word_id").to_numpy()
     indices = number[at]
     order = np.lexsort((indices, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-    kept = [local.column(c) for c in ["shard", *_KEPT]]
-    return pa.table([*kept, pa.array([indices[order]], pa.list_(pa.int64())), pa.array([column("data")[order]], pa.list_(pa.int32()))], names=[c.split()[0] for c in CSR.split(", ")])
+    local = local.set_column(local.column_names.index("data"), "data", pa.array([data[order].tobytes()]))
+    return local.set_column(local.column_names.index("indices"), "indices", pa.array([indices[order].tobytes()]))
 
 
 class Terms(NamedTuple):
@@ -98,6 +111,12 @@ class Terms(NamedTuple):
     words: DataFrame
 
 
+def sparse_rows(shard) -> list[tuple]:
+    """(doc_id, part, word numbers, counts) of each document of a collected shard."""
+    indptr, indices, data = _ints(shard["indptr"]), _ints(shard["indices"], "<i8"), _ints(shard["data"])
+    return [(i, p, indices[a:b], data[a:b]) for i, p, a, b in zip(shard["doc_id"], shard["part"], indptr, indptr[1:], strict=False)]
+
+
 def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", table=work_table) -> Terms:
     """The sparse document-term matrix of all whole texts, over one dictionary of all words.
 
@@ -107,21 +126,22 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     what moves is a shard's dictionary, not its text.
 
     A shard holds, by document, doc_id, part (part_col, null: empty), fails (the bits of filters C and D),
-    digest (SHA-256 of the text) and, as usual, indptr, indices (word_id, rising in each row), data (counts).
+    digest (SHA-256 of the text) and, as usual but packed, indptr, indices (word_id, rising in each row), data
+    (counts): sparse_rows() reads them.
     Null text is empty and has an empty row; null and repeated ids have rows of their own; no rows
     give no shard. Other columns are not read.
     """
     part = F.coalesce(F.col(part_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint"), part, F.coalesce(F.col(text_col), F.lit("")))
     local = table(rows.mapInArrow(_build, LOCAL), "terms-local")
-    own = local.select("shard", F.posexplode("words").alias("at", "word"))
+    own = local.where("word IS NOT NULL").select("shard", "at", "word")
     dealt = table(own.select("word").distinct().select("word", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")), "terms-words")
     ends = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))  # a row for each partition
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = ends.select("_p", "_first", before.alias("_before"))
     words = dealt.join(F.broadcast(ends), "_p").select("word", (F.col("_m") - F.col("_first") + F.col("_before")).alias("word_id"))
     numbers = own.join(words, "word").select(F.col("shard").alias("of"), "at", "word_id")
-    shards = local.drop("words").groupBy("shard").cogroup(numbers.groupBy("of")).applyInArrow(_global, CSR)
+    shards = local.where("word IS NULL").drop("at", "word").groupBy("shard").cogroup(numbers.groupBy("of")).applyInArrow(_global, CSR)
     return Terms(shards, words)
 
 
@@ -132,12 +152,12 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             cell = lambda name: batch.column(batch.schema.get_field_index(name)).slice(i, 1).flatten()  # noqa: B023, E731
-            indptr, data = cell("indptr").to_numpy(zero_copy_only=False), cell("data").to_numpy(zero_copy_only=False)
+            indptr, data = (_ints(batch.column(batch.schema.get_field_index(c))[i].as_py()) for c in ("indptr", "data"))
             total = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
             words, distinct = total[indptr[1:]] - total[indptr[:-1]], np.diff(indptr).astype(np.int64)
             fails = cell("fails").to_numpy(zero_copy_only=False) + BIT["A"] * (words < 200) + BIT["B"] * (100 * distinct < 50 * words)
             columns = [cell("doc_id"), cell("part"), pa.array(fails, pa.int32()), cell("digest"), pa.array(words), pa.array(distinct)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in DECIDED.split(", ")])
+            yield pa.RecordBatch.from_arrays(columns, names=_names(DECIDED))
 
 
 def decided(terms: Terms) -> DataFrame:

@@ -125,11 +125,9 @@ def test_document_terms_hold_every_word(spark):
     assert sorted(words) == list(range(len(words)))
     got = []
     for s in terms.shards.collect():
-        assert s.indptr[-1] == len(s.indices) == len(s.data)
-        for k, doc_id in enumerate(s.doc_id):
-            a, b = s.indptr[k], s.indptr[k + 1]
-            assert s.indices[a:b] == sorted(set(s.indices[a:b]))
-            got.append((str(doc_id), s.part[k], sorted((words[i], n) for i, n in zip(s.indices[a:b], s.data[a:b], strict=True))))
+        for doc_id, part, indices, data in filter_audit.sparse_rows(s):
+            assert indices.tolist() == sorted(set(indices.tolist()))
+            got.append((str(doc_id), part, sorted((words[i], n) for i, n in zip(indices.tolist(), data.tolist(), strict=True))))
     assert sorted(got) == sorted((str(i), lang or "", sorted(Counter(plain_words(t or "")).items())) for i, t, lang in rows)
     assert sorted(words.values()) == sorted({w for _, t, _ in rows for w in plain_words(t or "")})
 
@@ -139,8 +137,11 @@ def test_shards_close_by_size():
     shard.add(1, "", "a b a")
     shard.add(2, "", "")
     shard.add(None, "de", "b c")
-    r = shard.batch(5).to_pylist()[0]
-    assert (r["indptr"], r["indices"], r["data"], r["words"]) == ([0, 2, 2, 4], [0, 1, 1, 2], [2, 1, 1, 1], [b"a", b"b", b"c"])
+    words, rows = shard.batches(5)
+    assert words.column("word").to_pylist() == [b"a", b"b", b"c"] and words.column("at").to_pylist() == [0, 1, 2]
+    r = rows.to_pylist()[0]
+    assert [np.frombuffer(r[c], "<i4").tolist() for c in ("indptr", "indices", "data")] == [[0, 2, 2, 4], [0, 1, 1, 2], [2, 1, 1, 1]]
+    assert (r["doc_id"], r["part"]) == ([1, 2, None], ["", "", "de"])
 
 
 def plain_audit(rows, labels):

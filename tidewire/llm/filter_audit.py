@@ -10,14 +10,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import slices, work_table, work_tables
+from ._shared import TEXTS, batch_rows, slices, work_table, work_tables
 
 #: UTF-8 bytes of text from which on a shard is closed.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Words of a shard that are passed on at once.
 WORDS = 100_000
 #: The filters by letter; a document's failures are the sum of its filters' bits.
@@ -25,12 +26,21 @@ FILTERS = "ABCDE"
 BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 CAPITALS, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 
-#: indptr and data are little-endian 32-bit numbers, indices 32 bits in a shard and 64 over all; a shard's words have rows of their own.
+#: Numbers are packed (see _packed); a shard's words have rows of their own.
 ROWS = "doc_id array<bigint>, part array<string>, fails array<int>, digest array<binary>, indptr binary, data binary, indices binary"
 LOCAL = f"shard bigint, at int, word binary, {ROWS}"
 CSR = f"shard bigint, {ROWS}"
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as steps, 64 bits each, compressed: sorted ones become small."""
+    return zstandard.compress(np.diff(values.astype("<i8"), prepend=0).tobytes(), 1)
+
+
+def _ints(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(packed), "<i8"))
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -64,7 +74,7 @@ class _Shard:
         row = np.repeat(np.arange(len(self.codes), dtype=np.int64), [len(c) for c in self.codes])
         cells, data = np.unique(row << 32 | np.concatenate(self.codes), return_counts=True)
         indptr = np.searchsorted(cells, np.arange(len(self.codes) + 1, dtype=np.int64) << 32)
-        packed = [x.astype("<i4").tobytes() for x in (indptr, data, cells & 0xFFFFFFFF)]
+        packed = [_packed(x) for x in (indptr, data, cells & 0xFFFFFFFF)]
         types = [pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.binary()] * 3]
         words, n = list(self.numbers), len(self.numbers)
         columns = [pa.array(np.full(n, shard)), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), *(pa.nulls(n, t) for t in types)]
@@ -87,21 +97,17 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from shard.batches(task << 32 | made)
 
 
-def _ints(packed: bytes, kind: str = "<i4") -> np.ndarray:
-    return np.frombuffer(packed, kind)
-
-
 def _global(local: pa.Table, numbers: pa.Table) -> pa.Table:
     """A shard with its words' global numbers, rising in each row."""
     if not local.num_rows:
         return pa.table({name: [] for name in _names(CSR)})
     indptr, data, at = (_ints(local.column(c)[0].as_py()) for c in ("indptr", "data", "indices"))
-    number = np.zeros(numbers.num_rows, "<i8")
+    number = np.zeros(numbers.num_rows, np.int64)
     number[numbers.column("at").to_numpy()] = numbers.column("word_id").to_numpy()
     indices = number[at]
     order = np.lexsort((indices, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-    local = local.set_column(local.column_names.index("data"), "data", pa.array([data[order].tobytes()]))
-    return local.set_column(local.column_names.index("indices"), "indices", pa.array([indices[order].tobytes()]))
+    local = local.set_column(local.column_names.index("data"), "data", pa.array([_packed(data[order])]))
+    return local.set_column(local.column_names.index("indices"), "indices", pa.array([_packed(indices[order])]))
 
 
 class Terms(NamedTuple):
@@ -113,7 +119,7 @@ class Terms(NamedTuple):
 
 def sparse_rows(shard) -> list[tuple]:
     """(doc_id, part, word numbers, counts) of each document of a collected shard."""
-    indptr, indices, data = _ints(shard["indptr"]), _ints(shard["indices"], "<i8"), _ints(shard["data"])
+    indptr, indices, data = _ints(shard["indptr"]), _ints(shard["indices"]), _ints(shard["data"])
     return [(i, p, indices[a:b], data[a:b]) for i, p, a, b in zip(shard["doc_id"], shard["part"], indptr, indptr[1:], strict=False)]
 
 
@@ -133,7 +139,8 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     part = F.coalesce(F.col(part_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint"), part, F.coalesce(F.col(text_col), F.lit("")))
-    local = table(rows.mapInArrow(_build, LOCAL), "terms-local")
+    with batch_rows(docs.sparkSession, TEXTS):
+        local = table(rows.mapInArrow(_build, LOCAL), "terms-local")
     own = local.where("word IS NOT NULL").select("shard", "at", "word")
     dealt = table(own.select("word").distinct().select("word", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")), "terms-words")
     ends = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))  # a row for each partition

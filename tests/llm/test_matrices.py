@@ -140,7 +140,7 @@ def test_shards_close_by_size():
     words, rows = shard.batches(5)
     assert words.column("word").to_pylist() == [b"a", b"b", b"c"] and words.column("at").to_pylist() == [0, 1, 2]
     r = rows.to_pylist()[0]
-    assert [np.frombuffer(r[c], "<i4").tolist() for c in ("indptr", "indices", "data")] == [[0, 2, 2, 4], [0, 1, 1, 2], [2, 1, 1, 1]]
+    assert [filter_audit._ints(r[c]).tolist() for c in ("indptr", "indices", "data")] == [[0, 2, 2, 4], [0, 1, 1, 2], [2, 1, 1, 1]]
     assert (r["doc_id"], r["part"]) == ([1, 2, None], ["", "", "de"])
 
 

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import vectors
 
-from . import guard
+from . import folding, guard
+from .folding import cosine as _cos
+from .folding import one_stream as _fold
+from .folding import WINDOW_HOURS
 from .graph import components, cut
 
-# Similarities, hours, candidates, merges of one tick of a recurring job (for callers that want its cap).
-JOIN, MERGE, WINDOW_HOURS, CANDIDATES, MOST_MERGES = 0.82, 0.90, 48, 10, 50
+# Similarities, candidates, merges of one tick of a recurring job (for callers that want its cap).
+JOIN, MERGE, CANDIDATES, MOST_MERGES = 0.82, 0.90, 10, 50
 
 
 #: Rows of a block that meet all probes in one task.
@@ -65,99 +68,20 @@ def digests(matches: DataFrame, rows: DataFrame, threshold: float = JOIN) -> Dat
     return a.join(b, "probe_id").where("ra < rb").where(vectors.cosine(F.col("va"), F.col("vb")) < threshold).select("probe_id").distinct()
 
 
-class _Open:
-    """Stories that still take articles: their sums in one growing matrix, the oldest activity first out."""
-
-    def __init__(self):
-        self.stories: list[dict] = []
-        self.sums = np.zeros((0, 0))
-
-    def add(self, story: dict, v: np.ndarray) -> None:
-        n = len(self.stories)
-        if n == len(self.sums):
-            wider = np.zeros((max(16, 2 * n), len(v)))
-            wider[:n] = self.sums[:n] if n else 0
-            self.sums = wider
-        self.sums[n] = v
-        self.stories.append(story)
-
-    def close(self, before) -> None:
-        """Forget stories without activity since a time."""
-        keep = [i for i, s in enumerate(self.stories) if s["last"] >= before]
-        if len(keep) < len(self.stories):
-            self.sums[: len(keep)] = self.sums[keep]
-            self.stories = [self.stories[i] for i in keep]
-
-    def similarities(self, v: np.ndarray) -> np.ndarray:
-        m = self.sums[: len(self.stories)]
-        norms = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
-        return np.where(norms > 0, m @ v / np.where(norms > 0, norms, 1), 0.0)
-
-
-def _fold(join: float, k: int):
-    """Join-or-create over rows in order of component and time; every decision changes what the next sees.
-
-    Only stories of the last WINDOW_HOURS are kept: an older one takes no more articles.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, component = _Open(), None
-        for pdf in batches:
-            out = []
-            for a in pdf.itertuples():
-                if component is None or a.component != component:
-                    known, component = _Open(), a.component
-                known.close(a.published_at - pd.Timedelta(hours=WINDOW_HOURS))
-                out.append(place(a, known))
-            yield pd.DataFrame(out, columns=["article_id", "story_id", "joined", "similarity", "shared_entities"]).astype({"similarity": "float64"})
-
-    def place(a, known: _Open) -> tuple:
-        v = np.asarray(a.vector, dtype=float)
-        own, ents = set(a.labels), dict(zip(a.entities, a.names, strict=True))
-        mine = {e for e, name in ents.items() if name not in own}
-        match = []
-        sims = known.similarities(v) if known.stories else np.zeros(0)
-        for i in np.argsort(-sims, kind="stable")[:k]:
-            if sims[i] < join:
-                break
-            s = known.stories[i]
-            lone = s["labels"] if len(s["domains"]) == 1 else set()
-            if share := {e for e in mine & s["entities"].keys() if s["entities"][e] not in lone}:
-                match.append((i, float(sims[i]), len(share), known.sums[i] / s["n"]))
-        far = any(_cos(x[3], y[3]) < join for n, x in enumerate(match) for y in match[:n])
-        if match and not far:
-            i, sim, n, _ = match[0]
-            s = known.stories[i]
-            known.sums[i] += v
-            s["n"], s["last"] = s["n"] + 1, a.published_at
-            s["domains"].add(a.domain)
-            s["entities"] |= ents
-            return a.article_id, s["id"], True, round(sim, 4), n
-        known.add({"id": a.article_id, "n": 1, "entities": ents, "domains": {a.domain}, "labels": own, "last": a.published_at}, v)
-        return a.article_id, a.article_id, False, None, 0
-
-    return run
-
-
-def _cos(a: np.ndarray, b: np.ndarray) -> float:
-    n = np.linalg.norm(a) * np.linalg.norm(b)
-    return float(a @ b / n) if n else 0.0
-
-
-def cluster(articles: DataFrame, edges: DataFrame, entities: DataFrame, over: DataFrame, join: float = JOIN, k: int = CANDIDATES) -> DataFrame:
+def cluster(articles: DataFrame, edges: DataFrame, entities: DataFrame, over: DataFrame, join: float = JOIN, k: int = CANDIDATES, size: int = folding.SLICE) -> DataFrame:
     """Each article's story: article_id, story_id (its founder's id), joined, similarity, shared_entities.
 
     articles(article_id, published_at, domain, vector). A join needs a shared guard entity
     that an article of the last WINDOW_HOURS has, directly or through others, so each entity's
     articles are cut where WINDOW_HOURS pass without one, and components over these pieces
-    (before mastheads are left out) can't see each other: they are folded apart, in time
-    order. The top-k cut then counts stories of the own component only. A component streams
-    through one task, sorted by Spark, which holds its stories of the last WINDOW_HOURS only.
+    (before mastheads are left out) can't see each other. The top-k cut then counts stories of the
+    own component only. Components are folded in rounds over slices of about `size` of their
+    articles (fold_in_rounds), so no task goes through a whole component.
     """
     from tidewire.functions import text
 
-    usable = edges.join(entities.where("entity_type <> 'OTHER'"), "entity_id").join(over.select("entity_id"), "entity_id", "left_anti")
-    part = components(_meetings(usable.join(articles.select("article_id", "published_at"), "article_id")))
+    usable = cut(edges.join(entities.where("entity_type <> 'OTHER'"), "entity_id").join(over.select("entity_id"), "entity_id", "left_anti").select("article_id", "entity_id", "name"))
+    part = components(_meetings(usable.join(articles.select("article_id", "published_at"), "article_id").select("article_id", "entity_id", "published_at")))
     lists = usable.groupBy("article_id").agg(F.collect_list(F.struct("entity_id", text.compact_name(F.col("name")).alias("name"))).alias("e"))
     rows = articles.join(part, F.col("article_id") == F.col("node"), "left").join(lists, "article_id", "left")
     empty = F.array().cast("array<struct<entity_id:bigint,name:string>>")
@@ -166,8 +90,7 @@ def cluster(articles: DataFrame, edges: DataFrame, entities: DataFrame, over: Da
         F.coalesce(text.publisher_labels(F.col("domain")), F.array().cast("array<string>")).alias("labels"),
         F.transform(F.coalesce("e", empty), lambda x: x["entity_id"]).alias("entities"), F.transform(F.coalesce("e", empty), lambda x: x["name"]).alias("names"),
     )
-    rows = rows.repartition("component").sortWithinPartitions("component", "published_at", "article_id")
-    return rows.mapInPandas(_fold(join, k), "article_id bigint, story_id bigint, joined boolean, similarity double, shared_entities int")
+    return folding.fold_in_rounds(rows, join, k, size)
 
 
 def _meetings(dated: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 from typing import NamedTuple
@@ -26,7 +27,7 @@ FILTERS = "ABCDE"
 BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 CAPITALS, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 
-#: Numbers are packed (see _packed); a shard's words have rows of their own.
+#: A shard's numbers are packed (see _packed), and its words have rows of their own.
 ROWS = "doc_id array<bigint>, part array<string>, fails array<int>, digest array<binary>, indptr binary, data binary, indices binary"
 LOCAL = f"shard bigint, at int, word binary, {ROWS}"
 CSR = f"shard bigint, {ROWS}"
@@ -58,23 +59,24 @@ class _Shard:
 
     def __init__(self):
         self.rows: list[tuple] = []
-        self.numbers, self.codes, self.size = _Numbers(), [], 0
+        self.numbers, self.cells, self.counts, self.size = _Numbers(), [], [], 0
 
     def add(self, doc_id: int | None, part: str, text: str) -> None:
         raw = text.encode("utf-8", "surrogatepass")
-        words = raw.split()  # of bytes: at space, tab, LF, VT, FF and CR, as the contract has it
+        words = Counter(raw.split())  # of bytes: at space, tab, LF, VT, FF and CR, as the contract has it
         capitals = len(raw) - len(raw.translate(None, CAPITALS))
         fails = BIT["C"] * (100 * capitals > 3 * len(text)) + BIT["D"] * (len(raw.translate(None, SIGNS)) < len(raw))
         self.rows.append((doc_id, part, fails, hashlib.sha256(raw).digest()))
-        self.codes.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        cells = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        order = cells.argsort()
+        self.cells.append(cells[order])
+        self.counts.append(np.fromiter(words.values(), np.int64, len(words))[order])
         self.size += len(raw)
 
     def batches(self, shard: int) -> Iterator[pa.RecordBatch]:
         """The shard's words, then its rows."""
-        row = np.repeat(np.arange(len(self.codes), dtype=np.int64), [len(c) for c in self.codes])
-        cells, data = np.unique(row << 32 | np.concatenate(self.codes), return_counts=True)
-        indptr = np.searchsorted(cells, np.arange(len(self.codes) + 1, dtype=np.int64) << 32)
-        packed = [_packed(x) for x in (indptr, data, cells & 0xFFFFFFFF)]
+        indptr = np.cumsum([0, *map(len, self.cells)])
+        packed = [_packed(x) for x in (indptr, np.concatenate(self.counts), np.concatenate(self.cells))]
         types = [pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.binary()] * 3]
         words, n = list(self.numbers), len(self.numbers)
         columns = [pa.array(np.full(n, shard)), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), *(pa.nulls(n, t) for t in types)]
@@ -98,16 +100,16 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _global(local: pa.Table, numbers: pa.Table) -> pa.Table:
-    """A shard with its words' global numbers, rising in each row."""
+    """A shard with its words' global numbers."""
     if not local.num_rows:
         return pa.table({name: [] for name in _names(CSR)})
-    indptr, data, at = (_ints(local.column(c)[0].as_py()) for c in ("indptr", "data", "indices"))
     number = np.zeros(numbers.num_rows, np.int64)
     number[numbers.column("at").to_numpy()] = numbers.column("word_id").to_numpy()
-    indices = number[at]
-    order = np.lexsort((indices, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-    local = local.set_column(local.column_names.index("data"), "data", pa.array([_packed(data[order])]))
-    return local.set_column(local.column_names.index("indices"), "indices", pa.array([_packed(indices[order])]))
+    for name in ("indptr", "data", "indices"):
+        values = _ints(local.column(name)[0].as_py())
+        values = number[values] if name == "indices" else values
+        local = local.set_column(local.column_names.index(name), name, pa.array([values.astype("<i8").tobytes()]))
+    return local
 
 
 class Terms(NamedTuple):
@@ -119,7 +121,7 @@ class Terms(NamedTuple):
 
 def sparse_rows(shard) -> list[tuple]:
     """(doc_id, part, word numbers, counts) of each document of a collected shard."""
-    indptr, indices, data = _ints(shard["indptr"]), _ints(shard["indices"]), _ints(shard["data"])
+    indptr, indices, data = (np.frombuffer(shard[c], "<i8") for c in ("indptr", "indices", "data"))
     return [(i, p, indices[a:b], data[a:b]) for i, p, a, b in zip(shard["doc_id"], shard["part"], indptr, indptr[1:], strict=False)]
 
 
@@ -132,8 +134,8 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     what moves is a shard's dictionary, not its text.
 
     A shard holds, by document, doc_id, part (part_col, null: empty), fails (the bits of filters C and D),
-    digest (SHA-256 of the text) and, as usual but packed, indptr, indices (word_id, rising in each row), data
-    (counts): sparse_rows() reads them.
+    digest (SHA-256 of the text) and, as usual, indptr, indices (word_id), data (counts): little-endian
+    64-bit numbers, which sparse_rows() reads.
     Null text is empty and has an empty row; null and repeated ids have rows of their own; no rows
     give no shard. Other columns are not read.
     """
@@ -147,7 +149,8 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = ends.select("_p", "_first", before.alias("_before"))
     words = dealt.join(F.broadcast(ends), "_p").select("word", (F.col("_m") - F.col("_first") + F.col("_before")).alias("word_id"))
-    numbers = own.join(words, "word").select(F.col("shard").alias("of"), "at", "word_id")
+    # Either side of the join is dealt by word; a part of the dictionary fits in a hash table, so nothing is sorted.
+    numbers = own.join(words.hint("shuffle_hash"), "word").select(F.col("shard").alias("of"), "at", "word_id")
     shards = local.where("word IS NULL").drop("at", "word").groupBy("shard").cogroup(numbers.groupBy("of")).applyInArrow(_global, CSR)
     return Terms(shards, words)
 
@@ -159,7 +162,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             cell = lambda name: batch.column(batch.schema.get_field_index(name)).slice(i, 1).flatten()  # noqa: B023, E731
-            indptr, data = (_ints(batch.column(batch.schema.get_field_index(c))[i].as_py()) for c in ("indptr", "data"))
+            indptr, data = (np.frombuffer(batch.column(batch.schema.get_field_index(c))[i].as_py(), "<i8") for c in ("indptr", "data"))
             total = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
             words, distinct = total[indptr[1:]] - total[indptr[:-1]], np.diff(indptr).astype(np.int64)
             fails = cell("fails").to_numpy(zero_copy_only=False) + BIT["A"] * (words < 200) + BIT["B"] * (100 * distinct < 50 * words)

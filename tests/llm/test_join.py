@@ -99,3 +99,36 @@ def test_signature_tree_finds_all_links():
                 a, b = up[i], up[j]
                 up = [min(a, b) if u in (a, b) else u for u in up]
     assert roots == up
+
+
+def test_words_of_one_pattern_differ(spark):
+    """Thue-Morse words and their complements collide under polynomials modulo a power of two."""
+    for size in (64, 1024, 4096):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(size))
+        other = word.translate(str.maketrans("ab", "ba"))
+        one, two = nj.shingle_sets(pa.array([word, other]))
+        assert one[0] != two[0]
+        d = spark.createDataFrame([(1, word, "", "", ""), (2, other, "", "", ""), (3, word.upper(), "", "", "")], SCHEMA)
+        if size == 1024:
+            assert sorted((r.doc_id, r.component_id) for r in nj.similar(d).collect()) == [(1, 1), (2, 2), (3, 1)]
+    rng = np.random.default_rng(0)
+    words = {"".join(rng.choice(list("ab"), rng.integers(1, 30))) for _ in range(20_000)}
+    assert len({int(s[0]) for s in nj.shingle_sets(pa.array(sorted(words)))}) == len(words)
+
+
+def test_classes_of_unequal_sets_get_other_digests(spark, monkeypatch):
+    d = spark.createDataFrame([(1, 5, 7), (2, 5, 7), (3, None, None)], "doc_id int, cid bigint, twin bigint")
+    assert nj._one_set_each(d)
+    assert not nj._one_set_each(d.unionByName(spark.createDataFrame([(4, 5, 8)], "doc_id int, cid bigint, twin bigint")))
+    seen = []
+    check = nj._one_set_each
+    monkeypatch.setattr(nj, "_one_set_each", lambda full: seen.append(check(full)) or len(seen) > 1)
+    rows = corpus(3, 3, 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.similar(spark.createDataFrame([(i, t, "", "", "") for i, t in rows], SCHEMA)).collect()}
+    assert seen == [True, True] and got == brute(rows)
+
+
+def test_sketch_is_a_sum_in_any_lanes(spark):
+    texts = spark.createDataFrame([(t,) for _, t in corpus(5, 3, 4)], "text string")
+    one = nj.frequency_levels(texts.coalesce(1))
+    assert np.array_equal(one, nj.frequency_levels(texts.repartition(70)))

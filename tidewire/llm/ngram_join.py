@@ -17,8 +17,8 @@ from ._shared import TEXTS, batch_rows, drop_table, shuffle_partitions, slices,
 WORDS, PERCENT = 5, 75
 #: Places of the frequency sketch, rows it travels in, and places of the id filter: fixed, whatever the input.
 SLOTS, ROWS, BITS = 1 << 20, 64, 1 << 23
-#: Partial sums of a part of the sketch.
-LANES = 8
+#: Sketches that are added up in one group; sums of groups are added up in the same way.
+LANES = 64
 #: Documents that one signature tree holds, and children of a node.
 LEAVES, FAN_OUT = 512, 8
 #: Rows of hashes in an Arrow batch, and bytes of text hashed at once.
@@ -37,7 +37,6 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _AT = _RNG.integers(1, 2**63, WORDS + 1, dtype=np.uint64) | U(1)
 _BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,29 +45,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            full = np.full(size, base, dtype=np.uint64)
-            full[0] = 1
-            _powers[k] = np.cumprod(full)
-    return _powers
-
-
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted 64-bit hashes of each text's distinct shingles; a batch is hashed at once.
 
-    A word's hash is a polynomial over its bytes, taken from running sums over the batch;
-    a shingle's mixes those of its words. A text of fewer words than a shingle is one
+    A word's hash sums a number for each of its bytes, which mixes the byte with its place in the
+    word, so words of any structure differ; a shingle's mixes those of its words. A text of fewer words than a shingle is one
     shingle; one without words has none.
     """
     texts = texts.cast(pa.large_string())
     n = len(texts)
     if not n:
         return []
-    if n > 1 and texts.nbytes > STEP:  # the running sums and powers take 40 bytes a byte
+    if n > 1 and texts.nbytes > STEP:  # the running sums take 40 bytes a byte
         return shingle_sets(texts[: n // 2]) + shingle_sets(texts[n // 2 :])
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
@@ -88,10 +76,11 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     inner = offsets[1:-1]
     last[inner[(inner > 0)] - 1] = True
     ends = np.flatnonzero(last & ~space) + 1
-    power, inverse = _power_tables(len(data) + 1)
+    place = np.arange(len(data))
+    place -= np.maximum.accumulate(np.where(edge & ~space, place, 0))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    words = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_mix(_BYTE[data] + place.astype(np.uint64) * U(_BASE)), out=sums[1:])
+    words = _mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
     first = np.searchsorted(starts, offsets[:-1])
     until = np.append(first[1:], len(starts))
     m = max(0, len(words) - WORDS + 1)
@@ -138,7 +127,7 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if total.any():
         part = [p.astype(np.uint32).tobytes() for p in np.split(np.minimum(total, 2**32 - 1), ROWS)]
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROWS), pa.int32()), pa.array([task % LANES] * ROWS, pa.int32()), pa.array(part, pa.binary())], names=["part", "lane", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROWS), pa.int32()), pa.array([task // LANES] * ROWS, pa.int32()), pa.array(part, pa.binary())], names=["part", "lane", "counts"])
 
 
 def _add_up(rows: pa.Table) -> pa.Table:
@@ -152,7 +141,10 @@ def _add_up(rows: pa.Table) -> pa.Table:
 def frequency_levels(texts: DataFrame) -> np.ndarray:
     """For each place 0, or by how many powers of two its shingles are more frequent than most."""
     ddl = "part int, lane int, counts binary"
-    sums = texts.select("text").mapInArrow(_count_slots, ddl).groupBy("part", "lane").applyInArrow(_add_up, ddl).groupBy("part").applyInArrow(_add_up, ddl)
+    sums = texts.select("text").mapInArrow(_count_slots, ddl)
+    for _ in range(2):  # LANES ** 3 tasks leave groups of LANES
+        sums = sums.groupBy("part", "lane").applyInArrow(_add_up, ddl).withColumn("lane", F.floor(F.col("lane") / LANES).cast("int"))
+    sums = sums.groupBy("part").applyInArrow(_add_up, ddl)
     count = np.zeros((ROWS, SLOTS // ROWS))
     for row in sums.collect():  # ROWS rows of a fixed size
         count[row["part"]] = np.frombuffer(row["counts"], dtype=np.uint32)
@@ -167,26 +159,29 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 SEEN = 1 << 20
 
 
-def _digest(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray, salt: int) -> tuple[int, int]:
+    """A set's class, and a number that sets of one class must have in common."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt.to_bytes(16, "little")).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _class_batches(shared):
+def _class_batches(shared, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
         for batch in slices(batches):
-            n, cid, heads = [], [], []
+            n, cid, twin, heads = [], [], [], []
             for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-                c = _digest(s) if len(s) else None
+                c, t = _digest(s, salt) if len(s) else (None, None)
                 n.append(len(s))
                 cid.append(c)
+                twin.append(t)
                 new = c is not None and i is not None and c not in seen
                 heads.append(prefix(s, level).view(np.int64) if new else None)
                 if new:
                     seen.add(c)
             if len(seen) > SEEN:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(twin, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "twin", "prefix"])
 
     return run
 
@@ -439,14 +434,14 @@ def _tree_batches(leaves: int):
     return run
 
 
-def _set_batches(shared):
+def _set_batches(shared, salt: int):
     """(doc_id, cid, hashes) of the documents that the id filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             some = batch.filter(_through(shared, batch.column("slot").to_numpy()))
             sets = shingle_sets(some.column("text"))
-            cid = [_digest(s) if len(s) else None for s in sets]
+            cid = [_digest(s, salt)[0] if len(s) else None for s in sets]
             raw = [s.tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(cid, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "cid", "hashes"])
 
@@ -575,6 +570,11 @@ def _joined(part: DataFrame, edges: DataFrame, table) -> DataFrame:
     return table(part.join(up, part["root"] == up["node"], "left").select("block", "cid", F.coalesce("above", "root").alias("root"), "tree"), "join-split")
 
 
+def _one_set_each(full: DataFrame) -> bool:
+    """Whether each class has one set: 128 bits of its digest agree where 64 do."""
+    return full.where("cid IS NOT NULL").groupBy("cid").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a < b").isEmpty()
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaves: int = LEAVES) -> DataFrame:
     """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more.
 
@@ -603,18 +603,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     with work_tables(spark) as table, batch_rows(spark, ROWS_A_BATCH):
         with batch_rows(spark, TEXTS):
             level = spark.sparkContext.broadcast(frequency_levels(own))  # SLOTS bytes
-            full = table(own.mapInArrow(_class_batches(level), "doc_id bigint, n int, cid bigint, prefix array<bigint>"), "join-classes")
+            salt, full = 0, None
+            while full is None or not _one_set_each(full):  # classes that hold different sets: other digests
+                if full is not None:
+                    drop_table(full)
+                    salt += 1
+                full = table(own.mapInArrow(_class_batches(level, salt), "doc_id bigint, n int, cid bigint, twin bigint, prefix array<bigint>"), "join-classes")
         index = full.where("prefix IS NOT NULL").select(F.explode("prefix").alias("hash"), "cid", "n", F.lit(0).alias("weight"))
         index = table(enough_shared(shared_by_range(index, n)), "join-index")
         rows = table(full.select("doc_id", "n", "cid"), "join-rows", keep=True)
         drop_table(full)
-        labels = table(_labels(own, rows, index, n, leaves, table), "join-components", keep=True)
+        labels = table(_labels(own, rows, index, n, leaves, salt, table), "join-components", keep=True)
     out = rows.select("doc_id", "n", "cid").join(labels, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
 
 
-def _labels(own: DataFrame, rows: DataFrame, index: DataFrame, n: int, leaves: int, table) -> DataFrame:
+def _labels(own: DataFrame, rows: DataFrame, index: DataFrame, n: int, leaves: int, salt: int, table) -> DataFrame:
     """(cid, component_id) of each class."""
     spark = own.sparkSession
     shared = table(shared_by_range(index, n), "join-shared")
@@ -635,7 +640,7 @@ def _labels(own: DataFrame, rows: DataFrame, index: DataFrame, n: int, leaves: i
     seats = table(_seats(keys, leaves), "join-seats")
     wanted = spark.sparkContext.broadcast(_id_filter(keys))  # BITS / 8 bytes
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("slot")
-    sets = own.where("doc_id IS NOT NULL").select("doc_id", slot, "text").mapInArrow(_set_batches(wanted), "doc_id bigint, cid bigint, hashes binary")
+    sets = own.where("doc_id IS NOT NULL").select("doc_id", slot, "text").mapInArrow(_set_batches(wanted, salt), "doc_id bigint, cid bigint, hashes binary")
     sets = sets.join(seats, ["doc_id", "cid"]).dropDuplicates(["doc_id", "cid", "block", "family", "team", "part"])
     with batch_rows(spark, TEXTS):
         sets = table(sets.select("block", "family", "team", "part", "guest", "cid", "hashes"), "join-sets")

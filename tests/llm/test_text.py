@@ -181,6 +181,30 @@ def test_html_scores_decide_between_articles():
     assert got.count("A sentence") == 15 and "Read" not in got
 
 
+LONG = "The council met on Tuesday, and after hours of talk, it chose the second plan, which costs less. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "holds", "lacks"),
+    [
+        (f"<body><div>{LONG}<br><br>{LONG}Second part.</div><ul><li><a href=a>Related, one, two</a></li><li><a href=b>More, of, it</a></li><li><a href=c>And, so, on</a></li></ul></body>", ["Second part."], ["Related"]),
+        (f"<body><div>{LONG}<br><br>{LONG}Second part.</div><ul><li>Related, one, two, three, four</li></ul></body>", ["Second part."], []),
+        (f"<body><div>{LONG}<br>{LONG}Second part.</div><table><tr><td>Price, now</td><td>10, 20</td></tr></table></body>", ["Second part."], []),
+        (f"<body><table><tr><td><a href=a>Home</a> <a href=b>News</a> <a href=c>Sport</a></td></tr></table><table><tr><td>{LONG}<br><br>{LONG}Second part.</td></tr></table></body>", ["Second part."], []),
+        (f"<body><div class=wrap><div>{LONG}First.</div><div>{LONG}Middle.</div><div>{LONG}Last.</div></div><div class=footer>Imprint, terms, more</div></body>", ["First.", "Middle.", "Last."], ["Imprint"]),
+        (f"<body><section>{LONG}First.<br/>{LONG}Last.</section><section><p>By the way, a, b, c, d.</p></section></body>", ["First.", "Last."], []),
+        (f"<div>{LONG}Alone.</div>", ["Alone."], []),
+        (f"{LONG}No tag at all.", ["No tag at all."], []),
+        (f"<html><body>{LONG}Bare.<br><br>{LONG}Text.<div class=menu><a href=x>Menu</a></div></body></html>", ["Bare.", "Text."], ["Menu"]),
+        (f"<body><div><h1>Title</h1>{LONG}Mixed.<p>Short, p.</p>{LONG}End.</div><div><p>a, b, c, d, e, f</p></div></body>", ["Title", "Mixed.", "Short, p.", "End."], []),
+    ],
+)
+def test_html_text_outside_paragraphs(page, holds, lacks):
+    """Articles in boxes, table cells and runs between br, without a p."""
+    text = html_extract.main_text(page)
+    assert all(h in text for h in holds) and not any(x in text for x in lacks), text
+
+
 def test_html_odd_pages(spark):
     assert html_extract.main_text("") == "" and html_extract.main_text("plain  words") == "plain words"
     assert html_extract.main_text("<p>a<p>b" * 500).count("\n\n") == 999

@@ -24,6 +24,8 @@ DROP = frozenset(
     "select textarea input option datalist dialog menu title".split()
 )
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
+#: Blocks whose own text counts as a paragraph (parted by br: as paragraphs inside them).
+BOX = frozenset("div section article main center body html #root address details fieldset figure dd".split()) - PARAGRAPH
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
 #: Elements that no name or attribute marks.
@@ -85,8 +87,9 @@ def _marked(tag: str, names, attrs: dict[str, str]) -> bool:
 def revive(root: Node) -> None:
     """Bring back what only a name or an attribute marks, if it wraps the article.
 
-    It does if it holds most of the page's text outside links and readers' comments, or an
-    article or main with more of it than those outside such elements have. If no text is
+    It does if it holds most of the page's text outside links and readers' comments and no
+    article or main outside such elements has any, or if it holds an article or main with more of it
+    than those have. If no text is
     outside such elements, the largest and those nearly as large come back.
     """
     nodes, todo = [], [(root, False, False, False)]
@@ -112,7 +115,7 @@ def revive(root: Node) -> None:
     largest = max(text[id(n)] for n, *_ in nodes if n.marked)
     for n, *_ in nodes:
         if n.marked and text[id(n)]:
-            n.dead = not ((not outside and 4 * text[id(n)] > 3 * largest) or 2 * text[id(n)] > text[id(root)] or inside[id(n)] > living)
+            n.dead = not ((not outside and 4 * text[id(n)] > 3 * largest) or (2 * text[id(n)] > text[id(root)] and not living) or inside[id(n)] > living)
 
 
 class Tree(HTMLParser):
@@ -159,18 +162,25 @@ def score(root: Node) -> list[Node]:
     """Measure all living elements and give ancestors of paragraphs points; return those with points.
 
     A paragraph passes points for its length and commas on: whole to its parent, half to
-    the element above, less to those further up. Each total is discounted by the share of
+    the element above, less to those further up. So does a box (div, section and the like) with
+    text of its own; where that text is parted by br, or stands beside blocks, it is paragraphs
+    inside the box, which then gets the whole. Each total is discounted by the share of
     the text that is links and weighed by tag and name. All elements are visited once.
     """
     nodes, todo = [], [(root, False, root)]
-    own: dict[int, list[int]] = {}  # by paragraph or block: characters and commas that are not in another one
+    own: dict[int, list[int]] = {}  # by paragraph or block: characters and commas that are not in another one, breaks, blocks inside
     while todo:
         n, link, block = todo.pop()
-        link, block = link or n.tag == "a", n if n.tag in BLOCK or n.tag in PARAGRAPH else block
+        if n.tag in BLOCK or n.tag in PARAGRAPH:
+            if n is not block:
+                own[id(block)][3] += n.tag != "hr"
+            block = n
+        link = link or n.tag == "a"
         nodes.append(n)
         n.text = n.linked = 0
         n.links = int(n.tag == "a")
-        count = own.setdefault(id(block), [0, 0])
+        count = own.setdefault(id(block), [0, 0, 0, 0])
+        count[2] += n.tag in ("br", "hr")
         for k in n.kids:
             if isinstance(k, str):
                 size = len(k) - k.count(" ") if k.isspace() else len(SPACE.sub(" ", k))
@@ -186,11 +196,12 @@ def score(root: Node) -> list[Node]:
             n.parent.text, n.parent.linked, n.parent.links = n.parent.text + n.text, n.parent.linked + n.linked, n.parent.links + n.links
     found: dict[int, Node] = {}
     for n in nodes:
-        size, commas = own.get(id(n), (0, 0)) if n.tag in PARAGRAPH else (0, 0)
+        size, commas, breaks, inner = own.get(id(n), (0, 0, 0, 0)) if n.tag in PARAGRAPH or n.tag in BOX else (0, 0, 0, 0)
         if not size:
             continue
-        points = min(1.0, size / 25) + commas + min(size / 100, 3.0)
-        level, up = 0, n.parent
+        several = n.tag in BOX and (breaks or inner)
+        points = min(1.0, size / 25) + commas + min(size / 100, 3.0 * (1 + breaks * several))
+        level, up = 0, n if several else n.parent
         while up is not None and level < 6:
             up.points += points / (1, 2, 6, 9, 12, 15)[level]
             found[id(up)] = up
@@ -201,7 +212,7 @@ def score(root: Node) -> list[Node]:
 
 
 def select(root: Node) -> list[Node]:
-    """The best container, or the article that it is part of, and the siblings that belong to it."""
+    """The best container, or the article that it is part of, and the siblings that belong to it: beside what isn't an article also any with more text."""
     scored = score(root)
     if not scored:  # no paragraph: all text there is
         return [root]
@@ -218,7 +229,7 @@ def select(root: Node) -> list[Node]:
         if not isinstance(k, Node) or k.dead:
             continue
         plain = k.text and 4 * k.linked < k.text
-        if k is whole:
+        if k is whole or (whole.tag not in ARTICLE and k.text - k.linked > whole.text - whole.linked):
             keep.append(k)
         elif whole.tag in ARTICLE:  # beside an article: more of the kind, and its headline
             if (k.tag in ARTICLE and k.points >= least) or (k.tag == "h1" and plain):

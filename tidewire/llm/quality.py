@@ -7,7 +7,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 from ._sample import bounded_ids
 from ._shared import TEXTS, batch_rows, slices
 
-#: Labelled texts of each label to fit on; words that get a vector; numbers of a vector; of them in an index vector; window; units.
-PER_LABEL, WORDS, DIM, FILLED, WINDOW, UNITS = 1500, 20_000, 64, 6, 2, 32
+#: Labelled texts of each label to fit on; words with a vector of their own; groups of all other words; numbers of a vector; of them in an index vector; window; units.
+PER_LABEL, WORDS, GROUPS, DIM, FILLED, WINDOW, UNITS = 1500, 20_000, 8192, 64, 6, 2, 32
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: A text counts as good from this score on.
 GOOD = 0.7
@@ -30,51 +29,56 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def index_vector(word: str) -> np.ndarray:
-    """A word's sparse ternary index vector, drawn by its hash."""
-    h = np.frombuffer(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=2 * FILLED).digest(), dtype="<u2")
-    v = np.zeros(DIM, dtype=np.float32)
-    v[h % DIM] = np.where((h >> 15) & 1, 1.0, -1.0)
-    return v
+def _digests(words: list[str]) -> np.ndarray:
+    """FILLED draws of 16 bits and a group's number for each word."""
+    raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=2 * FILLED + 2).digest() for w in words)
+    return np.frombuffer(raw, dtype="<u2").reshape(-1, FILLED + 1).astype(np.int64)
+
+
+def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' index vectors as FILLED places and values, drawn by hashes (of equal places the last one counts, the rest have 0), and their groups."""
+    h = _digests(words)
+    place, value = h[:, :FILLED] % DIM, np.where(h[:, :FILLED] >> 15 & 1, 1, -1)
+    for j in range(FILLED):
+        value[:, j] *= (place[:, j, None] != place[:, j + 1 :]).all(axis=1)
+    return place, value, h[:, FILLED] % GROUPS
 
 
-@lru_cache(maxsize=1 << 16)
-def hashed(word: str) -> np.ndarray:
-    """What a word without context has for a vector."""
-    return index_vector(word) / np.float32(np.sqrt(FILLED))
+def index_vectors(words: list[str]) -> np.ndarray:
+    """The words' sparse ternary index vectors."""
+    place, value, _ = _places(words)
+    out = np.zeros((len(words), DIM), dtype=np.float32)
+    for j in range(FILLED):
+        out[np.arange(len(words)), place[:, j]] += value[:, j]
+    return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _places(word: str) -> tuple[np.ndarray, np.ndarray]:
-    """An index vector as FILLED places and values; places that two draws share have one value, the rest 0."""
-    v = index_vector(word)
-    at = np.flatnonzero(v)
-    pad = FILLED - len(at)
-    return np.pad(at, (0, pad)), np.pad(v[at], (0, pad)).astype(np.int32)
+def index_vector(word: str) -> np.ndarray:
+    return index_vectors([word])[0]
 
 
 def contexts(docs: list[list[str]], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary words of some texts, and the sum of the index vectors of all their neighbours there."""
+    """Rows of some texts' words, and the sum of the index vectors of all their neighbours there.
+
+    A word of the vocabulary has its own row; all other words have the row of their group, len(vocab) + group.
+    """
     local: dict[str, int] = {}
     flat = [local.setdefault(w, len(local)) for d in docs for w in d]
     if not flat:
-        return np.zeros(0, np.int64), np.zeros((0, DIM), np.int32)
+        return np.zeros(0, np.int64), np.zeros((0, DIM), np.int64)
     ids = np.array(flat)
     of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    place, value = map(np.stack, zip(*map(_places, local), strict=True))
-    row = np.array([vocab.get(w, -1) for w in local])
-    known = np.flatnonzero(row >= 0)
-    short = np.full(len(local), -1)
-    short[known] = np.arange(len(known))
-    out = np.zeros(len(known) * DIM)
+    place, value, group = _places(list(local))
+    row = np.fromiter((vocab.get(w, -1) for w in local), np.int64, len(local))
+    rows, short = np.unique(np.where(row >= 0, row, len(vocab) + group), return_inverse=True)
+    out = np.zeros(len(rows) * DIM)
     for k in range(1, WINDOW + 1):
         same = of[:-k] == of[k:]
-        for a, b in ((ids[:-k], ids[k:]), (ids[k:], ids[:-k])):
-            use = same & (short[a] >= 0)
-            x, y = short[a[use]] * DIM, b[use]
-            for j in range(FILLED):
-                out += np.bincount(x + place[y, j], value[y, j], len(out))
-    return row[known], out.reshape(-1, DIM).astype(np.int32)
+        a, b = ids[:-k][same], ids[k:][same]
+        for x, y in ((a, b), (b, a)):
+            at = short[x, None] * DIM + place[y]
+            out += np.bincount(at.ravel(), value[y].ravel(), len(out))
+    return rows, out.reshape(-1, DIM).astype(np.int64)
 
 
 #: Words that a task counts before it passes its counts on.
@@ -97,10 +101,12 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def corpus_vectors(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, int], np.ndarray]:
-    """Each frequent word's own index vector plus those of its neighbours, at unit length, over all texts.
+    """The vector of each frequent word, and of each group of all other words: what it adds for its neighbours over all texts, at unit length.
 
-    Words are counted, and contexts summed, in each task and then by word; the driver gets
-    WORDS rows. Other words have their index vector alone.
+    Every word of every text counts: the WORDS most frequent ones for themselves, the others in
+    GROUPS groups by their hash, so the table keeps its size. Words are counted, and contexts
+    summed, in each task and then by row; the driver gets WORDS + GROUPS rows. A word's
+    vector is its own index vector and its row's context.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = texts.mapInArrow(_count_batches, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -108,40 +114,53 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, i
     words = [w.decode("utf-8", "surrogatepass") for w in top.column("word").to_pylist()]
     vocab = {w: i for i, w in enumerate(words)}
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most WORDS words
+    rows = len(vocab) + GROUPS
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(shared.value), DIM), np.int64)
+        total = np.zeros((rows, DIM), np.int64)
         for batch in slices(batches):
             at, found = contexts([tokens(t) for t in batch.column(0).to_pylist()], shared.value)
             total[at] += found
         at = np.flatnonzero(total.any(axis=1))
         columns = [pa.array(at, pa.int32()), *(pa.array(total[at, i], pa.int64()) for i in range(DIM))]
-        yield pa.RecordBatch.from_arrays(columns, names=["word", *(f"x{i}" for i in range(DIM))])
-
-    index = np.stack([index_vector(w) for w in vocab]) if vocab else np.zeros((0, DIM), np.float32)
-    context = np.zeros(index.shape)
-    if vocab:
-        names = [f"x{i}" for i in range(DIM)]
-        parts = texts.mapInArrow(sums, "word int, " + ", ".join(f"{n} bigint" for n in names))
-        got = parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-        context[got.column("word").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
+        yield pa.RecordBatch.from_arrays(columns, names=["row", *(f"x{i}" for i in range(DIM))])
+
+    names = [f"x{i}" for i in range(DIM)]
+    parts = texts.mapInArrow(sums, "row int, " + ", ".join(f"{n} bigint" for n in names))
+    got = parts.groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    context = np.zeros((rows, DIM))
+    if got.num_rows:
+        context[got.column("row").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    v = index / np.sqrt(FILLED) + context / np.where(norm > 0, norm, 1)
+    v = context / np.where(norm > 0, norm, 1)
+    if vocab:
+        v[: len(vocab)] += index_vectors(words) / np.sqrt(FILLED)
     return vocab, v.astype(np.float32)
 
 
-def pooled(text: str, vocab: dict[str, int], vectors: np.ndarray) -> np.ndarray:
-    """The mean vector of a text's words; 0 without words."""
-    counts = Counter(tokens(text))
-    if not counts:
-        return np.zeros(DIM, dtype=np.float32)
-    rows = np.array([vocab.get(w, -1) for w in counts], dtype=np.int64)
-    w = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
-    w /= w.sum()
-    known = rows >= 0
-    out = w[known] @ vectors[rows[known]]
-    if not known.all():
-        out = out + w[~known] @ np.stack([hashed(t) for t, r in zip(counts, rows, strict=True) if r < 0])
+def pooled(texts: list[str], vocab: dict[str, int], vectors: np.ndarray) -> np.ndarray:
+    """The mean vector of each text's words; 0 without words. Words outside the vocabulary have their index vector and their group's context."""
+    out = np.zeros((len(texts), DIM), dtype=np.float64)
+    other: dict[str, int] = {}
+    counts = [Counter(tokens(t)) for t in texts]
+    n = len(vectors) and len(vectors) - GROUPS
+    rows = []
+    for c in counts:
+        rows.append(np.fromiter((i if (i := vocab.get(w, -1)) >= 0 else -1 - other.setdefault(w, len(other)) for w in c), np.int64, len(c)))
+    if other:
+        words = list(other)
+        own = index_vectors(words).astype(np.float64) / np.sqrt(FILLED)
+        if len(vectors):
+            own += vectors[n + _digests(words)[:, FILLED] % GROUPS]
+    for i, (c, r) in enumerate(zip(counts, rows, strict=True)):
+        if not c:
+            continue
+        w = np.fromiter(c.values(), dtype=np.float64, count=len(c))
+        w /= w.sum()
+        known = r >= 0
+        out[i] = w[known] @ vectors[r[known]]
+        if not known.all():
+            out[i] += w[~known] @ own[-1 - r[~known]]
     return out
 
 
@@ -156,8 +175,7 @@ class Model:
     base: float = 0.5
 
     def inputs(self, texts: list[str]) -> np.ndarray:
-        x = np.stack([pooled(t, self.vocab, self.vectors) for t in texts]) if texts else np.zeros((0, DIM))
-        return (x - self.mean) / self.scale
+        return (pooled(texts, self.vocab, self.vectors) - self.mean) / self.scale
 
     def predict(self, texts: list[str]) -> np.ndarray:
         if self.layers is None:
@@ -193,15 +211,10 @@ def _fit_network(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 60) -> t
     return tuple(p)
 
 
-def fit(texts: list[str], labels: list[int], vectors_of, seed: int = 5) -> Model:
-    """A two-layer network over the word vectors that `vectors_of` gives, and a temperature from a fifth set aside."""
-    y = np.array(labels, dtype=float)
-    if len(set(labels)) < 2:
-        return Model(base=float(y.mean()) if len(y) else 0.5)
-    vocab, vectors = vectors_of()
-    model = Model(vocab, vectors)
-    x = model.inputs(texts)
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
+def fit(x: np.ndarray, labels: np.ndarray, vocab: dict[str, int], vectors: np.ndarray, seed: int = 5) -> Model:
+    """A two-layer network over pooled vectors, and a temperature from a fifth set aside."""
+    y = labels.astype(float)
+    model = Model(vocab, vectors, x.mean(0), x.std(0) + 1e-3)
     x = (x - model.mean) / model.scale
     aside = np.random.default_rng(seed).permutation(len(x)) < len(x) / 5
     layers = _fit_network(x[~aside], y[~aside], seed) if 0 < y[~aside].mean() < 1 else None
@@ -223,8 +236,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     ids = bounded_ids(known, "id", "label", per_label, seed)
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = own.join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id")).select("text", "label").toArrow()  # ids: bounded above
-    return fit(got.column("text").to_pylist(), got.column("label").to_pylist(), lambda: corpus_vectors(docs, text_col))
+    sample = own.join(F.broadcast(ids), "id").dropDuplicates(["id"])  # ids: bounded above
+    kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}  # two rows
+    if len(kinds) < 2:
+        return Model(base=float(max(kinds)) if kinds else 0.5)
+    vocab, vectors = corpus_vectors(docs, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, vectors))  # WORDS + GROUPS vectors
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = pooled(batch.column(2).to_pylist(), *shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "label", "x"])
+
+    # A row of DIM numbers for each text of the sample.
+    got = sample.select("id", "label", "text").mapInArrow(pool, "id bigint, label int, x array<double>").orderBy(F.xxhash64("id")).toArrow()
+    return fit(np.array(got.column("x").to_pylist()), got.column("label").to_numpy(), vocab, vectors)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +261,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ids, repeated rows and ties change nothing; no rows give no rows. Other columns are
     not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS vectors
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + GROUPS vectors
 
     @F.pandas_udf("double")
     def predict(texts: pd.Series) -> pd.Series:

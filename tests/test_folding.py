@@ -103,3 +103,46 @@ def test_components_end_in_one_task_or_in_rounds(spark, monkeypatch):
     assert sorted(map(tuple, graph.components(df).collect())) == few
     assert dict(few)[455] == 400 and dict(few)[5] <= 5
     assert spark.range(1).select(F.lit(1).alias("a"), F.lit(1).alias("b")).transform(graph.components).count() == 1
+
+
+def run_stream(spark, folder, checkpoint, out):
+    from tidewire.streaming import stories
+
+    stories.use_rocksdb(spark)
+    source = spark.readStream.schema(SCHEMA.replace("component", "part")).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(folder)
+    q = stories.stories(source, 0.7, 3, "1 hour").writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_stream_decides_like_the_rounds_and_goes_on_after_a_stop(spark, tmp_path):
+    import os
+
+    rows = articles(90, 30)
+    want = one_loop(rows, 0.7, 3)
+    end = rows[-1][2] + timedelta(hours=60)
+    # Articles that only move time on, so that all stories end.
+    rows += [(part, 1000 + part + 10 * n, end + timedelta(hours=60 * n), "z.com", [0.0] * 8, [], [], []) for n in range(2) for part in (0, 1)]
+    frames = [rows[a : a + 31] for a in range(0, len(rows), 31)]
+    folders = [tmp_path / "whole", tmp_path / "first"]
+
+    def put(folder, n):
+        spark.createDataFrame(frames[n], SCHEMA.replace("component", "part")).coalesce(1).write.mode("append").parquet(f"file://{folder}")
+        for f in folder.glob("*.parquet"):
+            os.utime(f, (1000 + n, 1000 + n)) if f.stat().st_mtime > 10**6 else None
+
+    for n in range(len(frames)):
+        put(folders[0], n)
+    whole = run_stream(spark, f"file://{folders[0]}", f"file://{tmp_path}/c0", f"file://{tmp_path}/o0")
+    got = {r.article_id: (r.story_id, r.joined, r.similarity, r.shared_entities) for r in whole.where("open AND article_id < 1000").collect()}
+    assert got == want
+    closed = {r.story_id: r.articles for r in whole.where("NOT open AND story_id < 1000").collect()}
+    sizes = pd.Series([s for s, *_ in want.values()]).value_counts().to_dict()
+    assert closed == sizes and whole.where("NOT open AND story_id < 1000").count() == len(sizes)
+    put(folders[1], 0)
+    run_stream(spark, f"file://{folders[1]}", f"file://{tmp_path}/c1", f"file://{tmp_path}/o1")
+    for n in range(1, len(frames)):
+        put(folders[1], n)
+    again = run_stream(spark, f"file://{folders[1]}", f"file://{tmp_path}/c1", f"file://{tmp_path}/o1")
+    key = lambda r: (r["part"], r["article_id"] or -1, r["story_id"], str(r["similarity"]), r["last_activity"], r["open"])
+    assert sorted(map(key, again.collect())) == sorted(map(key, whole.collect()))

@@ -73,13 +73,14 @@ class Fold:
     similarities are computed here.
     """
 
-    def __init__(self, join: float, k: int, stored: dict[int, dict] | None = None):
-        self.join, self.k, self.stored, self.changed = join, k, stored or {}, Stories()
+    def __init__(self, join: float, k: int, stored: dict[int, dict] | None = None, forget: bool = True):
+        self.join, self.k, self.stored, self.changed, self.forget = join, k, stored or {}, Stories(), forget
 
     def place(self, a, near=()) -> tuple:
         """The decision on an article: id, published_at, domains (its one), vector, labels, entities, names."""
         v, before = np.asarray(a.vector, dtype=float), np.datetime64(a.published_at - pd.Timedelta(hours=WINDOW_HOURS))
-        self.changed.close(before)
+        if self.forget:
+            self.changed.close(before)
         own, entities = set(a.labels), dict(zip(a.entities, a.names, strict=True))
         mine = {e for e, name in entities.items() if name not in own}
         found = [(-sim, s["founded"], s["id"], s, i) for sim, i in self.changed.near(v, self.join, before) for s in [self.changed.stories[i]]]

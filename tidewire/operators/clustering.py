@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import vectors
 
-from . import folding, guard
+from . import folding, greedy, guard, tiles
 from .folding import cosine as _cos
 from .folding import one_stream as _fold
 from .folding import WINDOW_HOURS
@@ -21,37 +21,17 @@ from .graph import components, cut
 JOIN, MERGE, CANDIDATES, MOST_MERGES = 0.82, 0.90, 10, 50
 
 
-#: Rows of a block that meet all probes in one task.
-BLOCK = 4096
+def similar(probes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """(probe_id, row_id, similarity) of a stated probe set against all rows, from `least` on.
 
-
-def _blocks(rows: DataFrame) -> int:
-    return max(1, -(-rows.count() // BLOCK))
-
-
-def similar(probes: DataFrame, rows: DataFrame, blocks: int | None = None) -> DataFrame:
-    """(probe_id, row_id, similarity) of a stated probe set against all rows, in blocks.
-
-    probes(probe_id, vector), rows(row_id, vector). Rows are dealt over blocks of about BLOCK
-    and each block meets all probes; a row is never compared with itself.
+    probes(probe_id, vector), rows(row_id, vector), met in tiles; a row is never compared with itself.
     """
-    return _similar(probes, rows, blocks or _blocks(rows)).drop("block")
-
-
-def _similar(probes: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
-    dealt = rows.select("row_id", F.col("vector").alias("rv"), vectors.norm(F.col("vector")).alias("rn"), F.pmod(F.xxhash64("row_id"), F.lit(blocks)).alias("block"))
-    asked = probes.select("probe_id", F.col("vector").alias("pv"), vectors.norm(F.col("vector")).alias("pn"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    both = F.col("pn") * F.col("rn")
-    sim = F.when(both == 0, 0.0).otherwise(F.try_divide(vectors.dot(F.col("pv"), F.col("rv")), both))
-    return asked.join(dealt, "block").where("probe_id <> row_id").select("probe_id", "row_id", sim.alias("similarity"), "block")
+    return tiles.met(probes, rows, least=least)
 
 
 def nearest(probes: DataFrame, rows: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """The k most similar rows of each probe, ties to the smaller id: the k of each block first, then the k of those."""
-    order = [F.desc("similarity"), F.asc("row_id")]
-    few = _similar(probes, rows, _blocks(rows)).withColumn("rank", F.row_number().over(Window.partitionBy("probe_id", "block").orderBy(*order))).where(F.col("rank") <= k)
-    w = Window.partitionBy("probe_id").orderBy(*order)
-    return few.select("probe_id", "row_id", "similarity").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k most similar rows of each probe, ties to the smaller id: the k of each tile first, then the k of those."""
+    return tiles.ranked(tiles.met(probes, rows, k), k)
 
 
 def join_candidates(probes: DataFrame, rows: DataFrame, probe_guard: DataFrame, row_guard: DataFrame, threshold: float = JOIN, k: int = CANDIDATES) -> DataFrame:
@@ -118,25 +98,13 @@ def _meetings(dated: DataFrame) -> DataFrame:
 
 def pairs_by_entity(stories: DataFrame, story_guards: DataFrame, threshold: float = MERGE) -> DataFrame:
     """(a, b, similarity, shared) of stories (story_id, at, vector) that share a guard entity and are similar; a is older."""
-    g = story_guards.select("story_id", "entity_id").distinct()
-    x, y = g.toDF("a", "entity_id"), g.toDF("b", "entity_id")
+    by_id = stories.select(F.col("story_id").alias("id"), "vector")
+    found = tiles.sharing(by_id, story_guards.select(F.col("story_id").alias("id"), "entity_id"), threshold)
     at = stories.select("story_id", "at")
-    x, y = x.join(at.toDF("a", "at_a"), "a"), y.join(at.toDF("b", "at_b"), "b")
-    older = (F.col("at_a") < F.col("at_b")) | ((F.col("at_a") == F.col("at_b")) & (F.col("a") < F.col("b")))
-    share = x.join(y, "entity_id").where(older).groupBy("a", "b", "at_a", "at_b").agg(F.count("*").alias("shared"))  # one order of each pair
-    s, t = stories.select(F.col("story_id").alias("a"), F.col("vector").alias("va")), stories.select(F.col("story_id").alias("b"), F.col("vector").alias("vb"))
-    sim = vectors.cosine(F.col("va"), F.col("vb"))
-    return share.join(s, "a").join(t, "b").withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("a", "b", "at_a", "at_b", "similarity", "shared")
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    gone: set[int] = set()
-    out = []
-    for p in pdf.sort_values(["at_a", "a", "at_b", "b"]).itertuples():
-        if p.a not in gone and p.b not in gone:
-            gone.add(p.b)
-            out.append((p.a, p.b, round(p.similarity, 4), p.shared, p.at_a, p.at_b))
-    return pd.DataFrame(out, columns=["survivor_id", "absorbed_id", "similarity", "shared_entities", "at_a", "at_b"])
+    found = found.join(at.toDF("x", "at_x"), "x").join(at.toDF("y", "at_y"), "y")
+    first = (F.col("at_x") < F.col("at_y")) | ((F.col("at_x") == F.col("at_y")) & (F.col("x") < F.col("y")))
+    older = lambda c, d: F.when(first, F.col(c)).otherwise(F.col(d))
+    return found.select(older("x", "y").alias("a"), older("y", "x").alias("b"), older("at_x", "at_y").alias("at_a"), older("at_y", "at_x").alias("at_b"), "similarity", "shared")
 
 
 def _first(merges: DataFrame, most: int | None, *order: str) -> DataFrame:
@@ -155,22 +123,18 @@ def every_pass(find, apply, state):
 def consolidate(stories: DataFrame, story_guards: DataFrame, threshold: float = MERGE, most: int | None = None) -> DataFrame:
     """Merges in the order of the older story; it survives, an absorbed story does nothing more.
 
-    The greedy order matters only among stories that similar pairs connect, so it runs apart
-    for each such group. All merges are returned; with `most`, the first so many.
+    The greedy order is followed in rounds (greedy.merges). All merges are returned; with
+    `most`, the first so many.
     """
-    pairs = pairs_by_entity(stories, story_guards, threshold)
-    parts = components(pairs.select("a", "b"))
-    grouped = pairs.join(parts, F.col("a") == F.col("node")).drop("node")
-    at = grouped.schema["at_a"].dataType.simpleString()
-    merges = grouped.groupBy("component").applyInPandas(_greedy, f"survivor_id bigint, absorbed_id bigint, similarity double, shared_entities bigint, at_a {at}, at_b {at}")
+    merges = greedy.merges(pairs_by_entity(stories, story_guards, threshold))
+    merges = merges.select(F.col("a").alias("survivor_id"), F.col("b").alias("absorbed_id"), "at_a", "at_b", F.bround("similarity", 4).alias("similarity"), F.col("shared").alias("shared_entities"))
     return _first(merges, most, "at_a", "survivor_id", "at_b", "absorbed_id").select("survivor_id", "absorbed_id", "similarity", "shared_entities")
 
 
 def straggler_best(singles: DataFrame, larger: DataFrame, single_guard: DataFrame, larger_guard: DataFrame, threshold: float = JOIN) -> DataFrame:
     """The most similar larger story of each single one, at the join threshold and with a shared guard entity."""
-    share = guard.shared(single_guard.toDF("story_id", "entity_id"), "story_id", larger_guard.toDF("larger_id", "entity_id"), "larger_id")
-    s, t = singles.toDF("story_id", "va"), larger.toDF("larger_id", "vb")
-    rows = share.join(s, "story_id").join(t, "larger_id").withColumn("similarity", vectors.cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold)
+    ids = lambda df: df.toDF("id", *df.columns[1:])
+    rows = tiles.sharing(ids(singles), ids(single_guard), threshold, ids(larger), ids(larger_guard)).withColumnsRenamed({"x": "story_id", "y": "larger_id"})
     w = Window.partitionBy("story_id").orderBy(F.desc("similarity"), "larger_id")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("story_id", "larger_id", "similarity", "shared")
 

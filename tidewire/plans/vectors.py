@@ -33,7 +33,7 @@ def _r(c="similarity"):
 
 @query(f"SELECT probe_id, row_id, {R} FROM {SIM} WHERE similarity >= 0.3")
 def cosine_pairs(t: Tables):
-    return clustering.similar(_probes(t), _rows(t)).where("similarity >= 0.3").select("probe_id", "row_id", _r())
+    return clustering.similar(_probes(t), _rows(t), 0.3).select("probe_id", "row_id", _r())
 
 
 @query(f"SELECT probe_id, row_id, rank, {R} FROM {NEAR} WHERE rank <= 10")
@@ -41,6 +41,25 @@ def knn_top10(t: Tables):
     return clustering.nearest(_probes(t), _rows(t), 10).select("probe_id", "row_id", "rank", _r())
 
 
+@query()
+def knn_indexed(t: Tables):
+    """knn_top10 by an inverted file whose share of lists is set for a recall of 0.95."""
+    from tidewire.operators import index
+
+    return index.indexed_nearest(_probes(t), _rows(t), 10).select("probe_id", "row_id", "rank", _r())
+
+
+@query(f"SELECT count(*) AS wanted, true AS enough FROM {NEAR} WHERE rank <= 10")
+def knn_indexed_recall(t: Tables):
+    """Whether the index finds nine tenths of the exact ten nearest of all probes."""
+    from tidewire.operators import index
+
+    exact = clustering.nearest(_probes(t), _rows(t), 10).select("probe_id", "row_id")
+    found = index.indexed_nearest(_probes(t), _rows(t), 10).select("probe_id", "row_id", F.lit(1).alias("hit"))
+    rows = exact.join(found, ["probe_id", "row_id"], "left")
+    return rows.agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query(f"SELECT probe_id, row_id, {R} FROM {NEAR} WHERE rank = 1")
 def nearest_other(t: Tables):
     return clustering.nearest(_probes(t), _rows(t), 1).select("probe_id", "row_id", _r())

@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates and queries that meet in one task, and queries whose scores are held at once.
-BLOCK, QUERIES_A_BLOCK, AT_ONCE = 16_384, 4096, 256
-#: Parts of each list read before bounds are first compared, and before reading on is given up where few fall out.
-FIRST, LAST = 128, 16
+#: Candidates and queries that meet in one task.
+BLOCK, QUERIES_A_BLOCK = 16_384, 4096
+#: The part of each list that is read before bounds are first compared; from then on twice as far each time.
+FIRST = 128
 
 
 def quantised(vector: Column) -> Column:
@@ -35,80 +35,70 @@ class Lists:
         self.order = np.argsort(-x.astype(float), axis=0, kind="stable").T.astype(np.int32)
         self.values = np.take_along_axis(x.T, self.order.astype(np.intp), axis=1)
 
-    def read(self, q: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and products with q of the first t entries of each list: from the top, or from the bottom where q is negative."""
-        top, low = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        at = np.concatenate([self.order[top, :t], self.order[low, : -t - 1 : -1]])
-        return at, np.concatenate([q[top, None] * self.values[top, :t], q[low, None] * self.values[low, : -t - 1 : -1]])
+    def ends(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that q reads from the top, and from the bottom; others add nothing."""
+        return np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+
+    def read(self, q: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and products with q of entries a to b of each list: from the top, or from the bottom where q is negative."""
+        top, low = self.ends(q)
+        m = self.order.shape[1]
+        up = slice(m - b, m - a)
+        at = np.concatenate([self.order[top, a:b], self.order[low, up][:, ::-1]])
+        return at, np.concatenate([q[top, None] * self.values[top, a:b], (q[low, None] * self.values[low, up])[:, ::-1]])
 
     def worst(self, q: np.ndarray) -> np.ndarray:
         """The least that each list, in the order of read(), can add."""
-        top, low = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        top, low = self.ends(q)
         return np.concatenate([q[top] * self.values[top, -1], q[low] * self.values[low, 0]])
 
 
-def finalists(lists: Lists, q: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray | None, int]:
-    """Candidates that can be among the k best, once these are few, and how far lists were read; None if that is not in sight.
+def finalists(lists: Lists, q: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """Candidates that can be among the k best, and how far lists were read.
 
-    What a candidate's unread lists add lies between the lists' worst values (lower bound)
-    and the last values read (upper bound); that holds for unseen candidates too. Who has
-    an upper bound under the k-th best lower bound can't qualify.
+    Each list is read on from where it was left, never twice. What a candidate's unread lists
+    add lies between the lists' worst values (lower bound) and the last values read (upper bound);
+    that holds for unseen candidates too. Who has an upper bound under the k-th best lower
+    bound can't qualify. Reading ends once few are left; at the lists' ends both bounds are the score.
     """
     m = len(other)
-    need, worst = min(k, int(other.sum())), lists.worst(q)
-    t = max(1, m // FIRST)
+    need, worst = min(k, int(other.sum())), lists.worst(q).astype(float)
+    sums, unread = np.zeros(m), np.ones((m, len(worst)))
+    which = np.arange(len(worst))[:, None]
+    t, done = min(m, max(1, m // FIRST)), 0
     while True:
-        at, product = lists.read(q, t)
-        last, flat = product[:, -1], at.ravel()
-        low = np.bincount(flat, (product - worst[:, None]).ravel(), m) + worst.sum()
-        high = np.bincount(flat, (product - last[:, None]).ravel(), m) + last.sum()
+        at, product = lists.read(q, done, t)
+        sums += np.bincount(at.ravel(), product.ravel(), m)
+        unread[at, which] = 0
+        last = product[:, -1].astype(float)
+        low, high = sums + unread @ worst, sums + unread @ last
         lows = low[other]
         alive = other & (high >= np.partition(lows, len(lows) - need)[len(lows) - need])
-        left = int(alive.sum())
-        if left <= max(4 * k, m // 64) or t == m:
+        if int(alive.sum()) <= max(4 * k, m // 64) or t == m:
             return np.flatnonzero(alive), t
-        if t > m // LAST and 2 * left > m:
-            return None, t
-        t = min(m, 2 * t)
+        done, t = t, min(m, 2 * t)
 
 
 def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, read: list[float] | None = None) -> list[tuple[int, int, int]]:
     """(query_id, id, score) of the k best of this block for each query, ties to smaller ids.
 
     Each query reads the lists of its components in turn, deeper and deeper, until only
-    finalists() are left, whose scores are then resolved. Queries whose bounds stay wide
-    read the lists to the end: together, as one product of the block. `read` takes
-    the share of the lists that each query read.
+    finalists() are left, whose scores are then resolved. `read` takes the share of the lists that
+    each query read. Numbers whose sums doubles don't hold are read in Python's integers, whole.
     """
     kind = _kind(q, x)
     x, q = x.astype(kind), q.astype(kind)
     lists = Lists(x) if kind is not object and x.shape[1] else None
     out: list[tuple[int, int, int]] = []
-
-    def resolve(i: int, places: np.ndarray, scores: np.ndarray) -> None:
-        best = sorted(zip((-int(s) for s in scores), ids[places].tolist(), strict=True))[:k]
-        out.extend((int(query_ids[i]), v, -s) for s, v in best)
-
-    whole = []
     for i in range(len(query_ids)):
         other = ids != query_ids[i]
         if not other.any():
             continue
-        found, depth = finalists(lists, q[i], other, k) if lists is not None and q[i].any() else (None, len(ids))
+        found, depth = finalists(lists, q[i], other, k) if lists is not None and q[i].any() else (np.flatnonzero(other), len(ids))
         if read is not None:
-            read.append(1.0 if found is None else depth / len(ids))
-        if found is None:
-            whole.append(i)
-        else:
-            resolve(i, found, x[found] @ q[i])
-    for a in range(0, len(whole), AT_ONCE):
-        some = whole[a : a + AT_ONCE]
-        for i, scores in zip(some, q[some] @ x.T, strict=True):
-            places = np.flatnonzero(ids != query_ids[i])
-            if len(places) > k and kind is not object:  # the k best, and all that tie with the last of them
-                s = scores[places]
-                places = places[s >= np.partition(s, len(s) - k)[len(s) - k]]
-            resolve(i, places, scores[places])
+            read.append(depth / len(ids))
+        best = sorted(zip((-int(s) for s in x[found] @ q[i]), ids[found].tolist(), strict=True))[:k]
+        out.extend((int(query_ids[i]), v, -s) for s, v in best)
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -102,14 +102,20 @@ def link_safe(active: Column, health: Column) -> Column:
     return active & ~F.coalesce(health.isin("broken", "expired"), F.lit(False))
 
 
-def without_commerce(df: DataFrame, column: str, kinds: list[str]) -> DataFrame:
-    """Rows whose kind is none of those that may carry commerce."""
-    return df.where(~F.col(column).isin(*kinds))
+def without_commerce(df: DataFrame, column: str, kinds: DataFrame) -> DataFrame:
+    """Rows whose kind is none of those that forbid commerce, kinds(name); a row without a kind goes, as nothing allows it."""
+    return df.where(F.col(column).isNotNull()).join(kinds.select(F.col("name").alias(column)).distinct(), column, "left_anti").select(*df.columns)
 
 
-def forbidding(kinds: DataFrame) -> list[str]:
-    """Names of kinds(name, forbids_commercial) that forbid it: a configuration table of a few rows, in its order."""
-    return [r["name"] for r in kinds.where("forbids_commercial").select("name").limit(1000).collect()]
+def forbidding(kinds: DataFrame) -> DataFrame:
+    """(name) of kinds(name, forbids_commercial) that forbid it, however many."""
+    return kinds.where("forbids_commercial").select("name")
+
+
+def kinds_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """kinds(name, forbids_commercial) from a JSON document of a list of objects; an object that doesn't say so doesn't forbid."""
+    rows = spark.read.schema("name string, forbids_commercial boolean").option("multiLine", True).json(path)
+    return rows.where("name IS NOT NULL").withColumn("forbids_commercial", F.coalesce("forbids_commercial", F.lit(False)))
 
 
 def bundle(articles: DataFrame, refs: DataFrame, corrections: DataFrame, tags: DataFrame, article_tags: DataFrame) -> DataFrame:

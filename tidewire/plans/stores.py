@@ -200,15 +200,13 @@ def guard_intersection(t: Tables):
     return per.select("story_id", F.size(F.array_intersect("x", "y")).cast("bigint").alias("in_both"))
 
 
-@query("""SELECT label, vec_id AS founder, round_even(x, 6) + 0.0 AS first_place FROM (SELECT label, min(vec_id) AS vec_id, avg(embedding[1]::DOUBLE) AS x FROM embeddings GROUP BY 1)""")
+@query("""WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings), f AS (SELECT label, min(vec_id) AS founder FROM embeddings GROUP BY 1)
+SELECT e.label, founder, CAST(place - 1 AS INTEGER) AS place, round_even(avg(x), 6) + 0.0 AS mean FROM e JOIN f ON f.label IS NOT DISTINCT FROM e.label GROUP BY 1, 2, 3""")
 def story_means(t: Tables):
-    """Each label's first vector by id founds it; its mean moves with every further one."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    founder = t.embeddings.withColumn("r", F.row_number().over(w)).where("r = 1").select("label", F.col("vec_id").alias("founder"))
-    lists = t.embeddings.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, 1).alias("v")))).alias("s"))
-    start = F.struct(F.array(F.lit(0.0)).alias("m"), F.lit(0).alias("n"))
-    moved = F.aggregate("s", start, lambda a, x: F.struct(vectors.moved_mean(a["m"], a["n"] + 1, x["v"]).alias("m"), (a["n"] + 1).alias("n")), lambda a: F.element_at(a["m"], 1))
-    return founder.join(lists.select("label", moved.alias("x")), "label").select("label", "founder", (F.bround("x", 6) + F.lit(0.0)).alias("first_place"))
+    """Each label's first vector by id founds it; its mean is that of all its vectors, at every place."""
+    founder = t.embeddings.groupBy(F.col("label").alias("of")).agg(F.min("vec_id").alias("founder"))
+    means = vectors.mean_vector(t.embeddings, "label", "embedding").select("label", F.posexplode("centroid").alias("place", "x"))
+    return means.join(founder, F.col("label").eqNullSafe(F.col("of"))).select("label", "founder", "place", (F.bround("x", 6) + F.lit(0.0)).alias("mean"))
 
 
 @query(f"""SELECT (SELECT count(*) FROM orders) AS articles, (SELECT count(*) FROM {d.ARTICLES} WHERE status = 'published') AS published, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS stories,
@@ -246,6 +244,42 @@ def body_token_counts(t: Tables):
     return t.documents.select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct"))
 
 
+FEATURES = "(SELECT doc_id AS id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9'']+)', 1))), 1, 8))::BIGINT % 262144 AS f FROM documents)"
+
+
+@query(f"""WITH w AS (SELECT f, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(DISTINCT id))) + 1 AS w FROM {FEATURES} GROUP BY 1),
+v AS (SELECT id, f % 64 AS place, sum(CASE WHEN (f // 64) % 2 = 1 THEN w ELSE -w END) AS x FROM {FEATURES} JOIN w USING (f) GROUP BY 1, 2),
+l AS (SELECT id, sqrt(sum(x * x)) AS norm FROM v GROUP BY 1), p AS (SELECT doc_id AS id, CAST(unnest(range(64)) AS INTEGER) AS place FROM documents)
+SELECT p.id, p.place, round_even(coalesce(x / nullif(norm, 0), 0), 6) + 0.0 AS x FROM p LEFT JOIN v ON v.id = p.id AND v.place = p.place LEFT JOIN l ON l.id = p.id""")
+def hashed_vectors(t: Tables):
+    """Documents' vectors by signed feature hashing."""
+    from tidewire.operators import encoding
+
+    out = encoding.hashed_vectors(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    return out.select("id", F.posexplode("vector").alias("place", "x")).select("id", "place", (F.bround("x", 6) + F.lit(0.0)).alias("x"))
+
+
+MERGED = "(SELECT l_orderkey // 20 * 4 AS story_id, l_orderkey AS article_id, 'h' || (l_suppkey % 9) AS domain FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 20 < 15 UNION ALL SELECT l_orderkey // 5, l_orderkey, 'h' || (l_suppkey % 9) FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 20 >= 15)"
+
+
+@query(f"""SELECT o.story_id, outlets, members, coalesce(entities, 0) AS entities, coalesce(mentions, 0) AS mentions, round_even(first, 6) + 0.0 AS first_place, round_even(last, 6) + 0.0 AS last_place FROM
+(SELECT story_id, count(DISTINCT domain) AS outlets, count(*) AS members FROM {MERGED} GROUP BY 1) o
+LEFT JOIN (SELECT story_id, count(DISTINCT l_partkey) AS entities, CAST(sum(l_linenumber) AS BIGINT) AS mentions FROM {MERGED} m JOIN lineitem ON l_orderkey = article_id GROUP BY 1) e ON e.story_id = o.story_id
+LEFT JOIN (SELECT story_id, avg(embedding[1]::DOUBLE) AS first, avg(embedding[64]::DOUBLE) AS last FROM {MERGED} m JOIN embeddings ON vec_id = article_id GROUP BY 1) v ON v.story_id = o.story_id""")
+def merge_application(t: Tables):
+    """Stories of five articles; of every four, the second and third merge into the first. What is kept about them is moved, not counted again."""
+    from tidewire.operators import merging
+
+    first = t.lineitem.where("l_linenumber = 1")
+    members = first.select(F.floor(F.col("l_orderkey") / 5).alias("story_id"), F.col("l_orderkey").alias("article_id"), F.concat(F.lit("h"), F.col("l_suppkey") % 9).alias("domain"))
+    vecs = t.embeddings.select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
+    kept = merging.counted(members, vecs, d.edges(t))
+    merges = members.select("story_id").distinct().where("story_id % 4 IN (1, 2)").select((F.col("story_id") - F.col("story_id") % 4).alias("survivor_id"), F.col("story_id").alias("absorbed_id"))
+    out = merging.summary(merging.after_merges(kept, merges))
+    zero, r = F.lit(0).cast("bigint"), lambda c: F.bround(c, 6) + F.lit(0.0)
+    return out.select("story_id", "outlets", "members", F.coalesce("entities", zero).alias("entities"), F.coalesce("mentions", zero).alias("mentions"), r(F.get("mean", F.lit(0))).alias("first_place"), r(F.get("mean", F.lit(63))).alias("last_place"))
+
+
 @query("SELECT page_id, CAST(length(url) AS BIGINT) AS before, host FROM (SELECT page_id, url, regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages)")
 def registered_functions(t: Tables):
     """The library's functions by name in SQL: hosts of canonical URLs."""

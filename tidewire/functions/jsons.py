@@ -27,3 +27,39 @@ def mask_keys(raw: pd.Series, keys: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(d, k) for d, k in zip(raw, keys, strict=True)], dtype=object)
+
+
+def _leaves(value, path: str, key: str):
+    if isinstance(value, dict) and value:
+        for k, v in value.items():
+            yield from _leaves(v, f"{path}.{k}", key)
+    elif isinstance(value, list) and value:
+        names = [v.get(key) if isinstance(v, dict) else None for v in value]
+        # Elements that all have a name of their own go by it, others by their place.
+        named = key and None not in names and len(set(map(repr, names))) == len(names)
+        for i, v in enumerate(value):
+            yield from _leaves(v, f"{path}[{key}={names[i]}]" if named else f"{path}[{i}]", key)
+    else:
+        yield path, json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+LEAVES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]))
+
+
+@F.pandas_udf(LEAVES)
+def leaves(raw: pd.Series, key: pd.Series) -> pd.Series:
+    """The leaves of each document as paths and compact values; empty objects and lists are leaves.
+
+    Elements of a list are named by their place, or, where all are objects with their own value of
+    `key`, by that: then their order doesn't count. A document that is no JSON is one leaf, `$text`; null has none.
+    """
+
+    def one(doc: str | None, name: str):
+        if doc is None:
+            return []
+        try:
+            return [{"path": p, "value": v} for p, v in _leaves(json.loads(doc), "$", name or "")]
+        except ValueError:
+            return [{"path": "$text", "value": doc}]
+
+    return pd.Series([one(d, k) for d, k in zip(raw, key, strict=True)], dtype=object)

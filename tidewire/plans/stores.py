@@ -237,6 +237,26 @@ def masked_payloads(t: Tables):
     return t.events.select("event_id", jsons.mask_keys(raw, F.lit("k,at")).alias("masked"))
 
 
+@query("""SELECT event_id AS key, '$.items[id=' || event_id || '].n' AS path, 'changed' AS kind, CAST(user_id AS VARCHAR) AS was, CAST(user_id + 1 AS VARCHAR) AS now FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, '$.type', 'missing', '"' || event_type || '"', NULL FROM events WHERE event_id % 5 = 0 AND event_id % 11 <> 0 UNION ALL SELECT event_id, '$.extra', 'extra', NULL, '[]' FROM events WHERE event_id % 7 = 0 AND event_id % 11 <> 0
+UNION ALL SELECT event_id, '$status', 'changed', '200', '404' FROM events WHERE event_id % 11 = 0 AND event_id % 3 <> 0 UNION ALL SELECT event_id, '$status', 'changed', '200', '404' FROM events WHERE event_id % 33 = 0
+UNION ALL SELECT event_id, '$.type', 'missing', '"' || event_type || '"', NULL FROM events WHERE event_id % 55 = 0 UNION ALL SELECT event_id, '$.extra', 'extra', NULL, '[]' FROM events WHERE event_id % 77 = 0""")
+def golden_differences(t: Tables):
+    """Recorded answers against later ones: some changed a number, lost or got a field, or answer with another status; items come in another order, times are masked."""
+    from tidewire.operators import golden
+
+    e, has = t.events, lambda n: F.col("event_id") % n == 0
+    item = lambda i, n: F.concat(F.lit('{"id":'), i, F.lit(',"n":'), n, F.lit("}"))
+    one, other = item(F.col("event_id").cast("string"), F.col("user_id").cast("string")), item(F.lit("-1"), F.lit("0"))
+    kind = F.concat(F.lit(',"type":"'), "event_type", F.lit('"'))
+    was = F.concat(F.lit('{"at":1,"items":['), one, F.lit(","), other, F.lit("]"), kind, F.lit("}"))
+    moved = item(F.col("event_id").cast("string"), (F.col("user_id") + F.when(has(3), 1).otherwise(0)).cast("string"))
+    now = F.concat(F.lit('{"at":2,"items":['), other, F.lit(","), moved, F.lit("]"), F.when(has(5), "").otherwise(kind), F.when(has(7), ',"extra":[]').otherwise(""), F.lit("}"))
+    before = e.select(F.col("event_id").alias("key"), F.lit(200).alias("status"), was.alias("body"))
+    after = e.select(F.col("event_id").alias("key"), F.when(has(11), 404).otherwise(200).alias("status"), now.alias("body"))
+    return golden.differences(golden.capture(before, ["at"]), golden.capture(after, ["at"]))
+
+
 @query("""SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9'']+)', 1)) AS n_tokens, len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9'']+)', 1))) AS n_distinct FROM documents""")
 def body_token_counts(t: Tables):
     """Tokens of whole bodies; token_counts has those that a fingerprint reads."""

@@ -40,7 +40,7 @@ def test_matches_sql(name, spark, sf, duck):
 
 
 #: Queries that SQL can't say, and what tests each instead.
-PLAIN = {"simhash_blake2b", "html_text", "sanitize_flags", "dedup_cascade_64", "consolidate_fold", "rejoin_fold", "cluster_fold", "cluster_events", "knn_indexed"}
+PLAIN = {"simhash_blake2b", "html_text", "sanitize_flags", "dedup_cascade_64", "consolidate_fold", "rejoin_fold", "cluster_fold", "cluster_events", "knn_indexed", "gazetteer_mentions"}
 
 
 def test_queries_without_sql_are_known():

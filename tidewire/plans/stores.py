@@ -279,6 +279,17 @@ def hashed_vectors(t: Tables):
     return out.select("id", F.posexplode("vector").alias("place", "x")).select("id", "place", (F.bround("x", 6) + F.lit(0.0)).alias("x"))
 
 
+@query()
+def gazetteer_mentions(t: Tables):
+    """Where whole documents say a name: the first two words of every other document, which copies and common passages repeat, and the parts' names."""
+    from tidewire.operators import tagging
+
+    head = F.slice(text.tokens(F.coalesce("text", F.lit(""))), 1, 2)
+    names = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("entity_id"), F.array_join(head, " ").alias("name"))
+    names = names.unionByName(t.part.select((-F.col("p_partkey")).alias("entity_id"), F.col("p_name").alias("name")))
+    return tagging.counts(tagging.mentions(t.documents.select(F.col("doc_id").alias("id"), "text"), names))
+
+
 MERGED = "(SELECT l_orderkey // 20 * 4 AS story_id, l_orderkey AS article_id, 'h' || (l_suppkey % 9) AS domain FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 20 < 15 UNION ALL SELECT l_orderkey // 5, l_orderkey, 'h' || (l_suppkey % 9) FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 20 >= 15)"
 
 

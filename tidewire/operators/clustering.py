@@ -140,7 +140,7 @@ def straggler_best(singles: DataFrame, larger: DataFrame, single_guard: DataFram
 
 
 def _rejoin_fold(threshold: float):
-    """Single stories of one component, in order, each to the best larger one as it is by then."""
+    """Single stories of one component, in order, each to the best larger one as it is by then, of those that it could meet."""
 
     def guard_set(story: dict) -> set:
         lone = story["labels"] if len(story["domains"]) == 1 else set()
@@ -151,10 +151,11 @@ def _rejoin_fold(threshold: float):
             {"id": r.story_id, "at": r.at, "v": np.asarray(r.vector, dtype=float), "n": r.articles, "domains": set(r.domains), "labels": set(r.labels), "entities": dict(zip(r.entities, r.names, strict=True))}
             for r in pdf.sort_values(["at", "story_id"]).itertuples()
         ]
-        larger, out = [s for s in rows if s["n"] > 1], []
+        place, out = {s["id"]: n for n, s in enumerate(rows)}, []
+        near = {r.story_id: r.near for r in pdf.itertuples()}
         for s in (s for s in rows if s["n"] == 1):
             mine, best = guard_set(s), None
-            for t in larger if mine else ():
+            for t in (rows[n] for n in sorted(place[t] for t in near[s["id"]])) if mine and near[s["id"]] is not None else ():
                 sim = _cos(s["v"], t["v"])
                 if sim >= threshold and (best is None or sim > best[1]) and (share := mine & guard_set(t)):
                     best = (t, sim, len(share))
@@ -168,27 +169,31 @@ def _rejoin_fold(threshold: float):
     return run
 
 
-def _rejoin_parts(stories: DataFrame, usable: DataFrame, outlets: DataFrame, threshold: float) -> DataFrame:
-    """(node, component) of single and larger stories that could meet in a rejoin, which is less than sharing entities.
+def _rejoin_pairs(stories: DataFrame, usable: DataFrame, outlets: DataFrame, threshold: float) -> DataFrame:
+    """(s, t) of single and larger stories that could meet in a rejoin, which is less than sharing entities.
 
     Similarities don't change in a pass, but a larger story's entities grow by those of what
-    it may absorb, so pairs are added until none comes.
+    it may absorb, so pairs are added until none comes. Pairs meet in tiles, so only similar ones are sent.
     """
     ones = outlets.where("articles = 1").select("story_id")
     mine = cut(usable.join(ones, "story_id").select(F.col("story_id").alias("s"), "entity_id"))
     reach = cut(usable.join(outlets.where("articles > 1"), "story_id").select(F.col("story_id").alias("t"), "entity_id"))
-    v, w = stories.select(F.col("story_id").alias("s"), F.col("vector").alias("va")), stories.select(F.col("story_id").alias("t"), F.col("vector").alias("vb"))
-    near = F.coalesce(vectors.cosine(F.col("va"), F.col("vb")), F.lit(0.0)) >= threshold - 1e-6  # the fold decides
+    vector = stories.select(F.col("story_id").alias("id"), "vector")
     pairs, new = None, reach
     while True:
-        met = mine.join(new, "entity_id").select("s", "t").distinct()
-        met = cut((met if pairs is None else met.join(pairs, ["s", "t"], "left_anti")).join(v, "s").join(w, "t").where(near).select("s", "t"))
+        met = tiles.sharing(vector, mine.toDF("id", "entity_id"), threshold - 1e-6, vector, new.toDF("id", "entity_id"))  # the fold decides
+        met = met.select(F.col("x").alias("s"), F.col("y").alias("t"))
+        met = cut(met if pairs is None else met.join(pairs, ["s", "t"], "left_anti"))
         if met.isEmpty():
-            break
+            return met if pairs is None else pairs
         pairs = met if pairs is None else cut(pairs.unionByName(met))
         new = cut(met.join(mine, "s").select("t", "entity_id").distinct().join(reach, ["t", "entity_id"], "left_anti"))
         reach = cut(reach.unionByName(new))
-    return components((met if pairs is None else pairs).select(F.col("s").alias("a"), F.col("t").alias("b")))
+
+
+def _rejoin_parts(stories: DataFrame, usable: DataFrame, outlets: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of the stories that such pairs connect."""
+    return components(_rejoin_pairs(stories, usable, outlets, threshold).toDF("a", "b"))
 
 
 def rejoin(stories: DataFrame, members: DataFrame, story_edges: DataFrame, entities: DataFrame, over: DataFrame, threshold: float = JOIN, most: int | None = None) -> DataFrame:
@@ -205,10 +210,11 @@ def rejoin(stories: DataFrame, members: DataFrame, story_edges: DataFrame, entit
     usable = story_edges.select("story_id", "entity_id").distinct().join(entities.where("entity_type <> 'OTHER'"), "entity_id").join(over.select("entity_id"), "entity_id", "left_anti")
     lists = usable.groupBy("story_id").agg(F.collect_list(F.struct("entity_id", text.compact_name(F.col("name")).alias("name"))).alias("e"))
     outlets = members.groupBy("story_id").agg(F.count("*").alias("articles"), F.collect_set("domain").alias("domains"))
-    part = _rejoin_parts(stories, usable, outlets, threshold)
-    rows = stories.join(outlets, "story_id").join(lists, "story_id").join(part, F.col("story_id") == F.col("node"))
+    pairs = _rejoin_pairs(stories, usable, outlets, threshold)
+    near = pairs.groupBy(F.col("s").alias("story_id")).agg(F.collect_list("t").alias("near"))
+    rows = stories.join(outlets, "story_id").join(lists, "story_id").join(components(pairs.toDF("a", "b")), F.col("story_id") == F.col("node")).join(near, "story_id", "left")
     labels = F.flatten(F.transform("domains", text.publisher_labels))
-    rows = rows.select("component", "story_id", "at", "vector", "articles", "domains", labels.alias("labels"), F.transform("e", lambda x: x["entity_id"]).alias("entities"), F.transform("e", lambda x: x["name"]).alias("names"))
+    rows = rows.select("component", "story_id", "at", "vector", "articles", "domains", "near", labels.alias("labels"), F.transform("e", lambda x: x["entity_id"]).alias("entities"), F.transform("e", lambda x: x["name"]).alias("names"))
     at = rows.schema["at"].dataType.simpleString()
     found = rows.groupBy("component").applyInPandas(_rejoin_fold(threshold), f"survivor_id bigint, absorbed_id bigint, similarity double, shared_entities int, at {at}")
     return _first(found, most, "at", "absorbed_id").select("survivor_id", "absorbed_id", "similarity", "shared_entities")

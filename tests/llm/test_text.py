@@ -425,8 +425,8 @@ def test_quality_scores_are_those_of_a_plain_network(spark):
         words = quality.tokens(r.text or "")
         x = [0.0] * quality.DIM
         for w in words:
-            group = len(model.vocab) + int(quality._digests([w])[0, -1] % quality.GROUPS)
-            v = model.vectors[model.vocab[w]] if w in model.vocab else quality.index_vector(w) / np.sqrt(quality.FILLED) + model.vectors[group]
+            index, row = quality.word_vectors([w])
+            v = index[0] / np.sqrt(quality.FILLED) + model.vectors[row[0]]
             x = [a + float(b) / len(words) for a, b in zip(x, v, strict=True)]
         x = [(a - m) / s for a, m, s in zip(x, model.mean, model.scale, strict=True)]
         hidden = [max(0.0, sum(a * w1[i][u] for i, a in enumerate(x)) + b1[u]) for u in range(quality.UNITS)]
@@ -466,32 +466,28 @@ def test_unlearned_languages_and_noise_are_dropped(spark):
     assert len(lettered - kept) <= 1 and kept <= lettered
 
 
-def test_word_vectors_are_from_all_texts(spark):
-    texts = ["alpha beta gamma alpha", "delta beta, epsilon delta", None, "", "delta epsilon zeta"]
+def test_word_vectors_are_from_all_texts(spark, monkeypatch):
+    texts = ["alpha beta gamma alpha", "delta beta, epsilon delta", None, "", "delta epsilon zeta", "eta"]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
-    vocab, vectors = quality.corpus_vectors(d)
     want = {}
     for t in texts:
         words = quality.tokens(t or "")
         for i, w in enumerate(words):
             near = [words[j] for j in range(max(0, i - 2), min(len(words), i + 3)) if j != i]
-            want[w] = want.get(w, 0) + sum(map(quality.index_vector, near), np.zeros(quality.DIM))
-    assert set(vocab) == {"alpha", "beta", "delta", "epsilon"}
-    for w, i in vocab.items():
-        assert np.allclose(vectors[i], quality.index_vector(w) / np.sqrt(quality.FILLED) + want[w] / np.linalg.norm(want[w]), atol=1e-5)
-    labels = spark.createDataFrame([(0, 1), (3, 0), (2, 0)], "doc_id bigint, quality int")
-    assert "delta" in quality.train(d, labels).vocab  # in no labelled text
-    # Words that are no words of the vocabulary count in their groups.
-    groups = {}
-    for w in set(want) - set(vocab):
-        g = len(vocab) + int(quality._digests([w])[0, -1] % quality.GROUPS)
-        groups[g] = groups.get(g, 0) + want[w]
-    assert len(groups) == 3 and set(np.flatnonzero(vectors.any(axis=1))) == set(range(4)) | {g for g, v in groups.items() if np.any(v)}
-    assert all(np.allclose(vectors[g], v / (np.linalg.norm(v) or 1), atol=1e-5) for g, v in groups.items())
-    mean = quality.pooled(["unseen zeta", "", "alpha"], vocab, vectors)
-    zeta = vectors[len(vocab) + int(quality._digests(["zeta"])[0, -1] % quality.GROUPS)]
-    assert np.allclose(2 * mean[0], sum(map(quality.index_vector, ("unseen", "zeta"))) / np.sqrt(quality.FILLED) + zeta, atol=1e-6)
-    assert not mean[1].any() and np.allclose(mean[2], vectors[vocab["alpha"]], atol=1e-6)
+            row = int(quality.word_vectors([w])[1][0])
+            want[row] = want.get(row, 0) + quality.word_vectors(near)[0].astype(int).sum(axis=0)
+    vectors = quality.corpus_vectors(d)
+    assert len(want) == 8 and set(np.flatnonzero(vectors.any(axis=1))) == {r for r, v in want.items() if np.any(v)}
+    assert all(np.allclose(vectors[r], v / (np.linalg.norm(v) or 1), atol=1e-5) for r, v in want.items())
+    docs = [quality.tokens(t or "") for t in texts * 40]
+    whole, pools = quality.contexts(docs), quality.pooled([t or "" for t in texts * 40], vectors)
+    monkeypatch.setattr(quality, "PIECE", 7)
+    pieces = quality.contexts(docs)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, pieces, strict=True))
+    assert np.array_equal(whole[1], np.stack([40 * want[r] for r in whole[0]]))
+    assert np.allclose(quality.pooled([t or "" for t in texts * 40], vectors), pools, atol=1e-6)
+    index, row = quality.word_vectors(["delta", "epsilon", "zeta"])
+    assert np.allclose(pools[4], (index / np.sqrt(quality.FILLED) + vectors[row]).mean(axis=0), atol=1e-6) and not pools[3].any()
 
 
 def test_index_vectors_are_the_last_of_equal_draws():
@@ -501,4 +497,4 @@ def test_index_vectors_are_the_last_of_equal_draws():
     for i, row in enumerate(h.tolist()):
         for x in row:
             want[i, x % quality.DIM] = 1 if x >> 15 & 1 else -1
-    assert np.array_equal(quality.index_vectors(words), want)
+    assert np.array_equal(quality.word_vectors(words)[0], want)

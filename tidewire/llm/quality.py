@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from ._sample import bounded_ids
 from ._shared import TEXTS, batch_rows, slices
 
-#: Labelled texts of each label to fit on; words with a vector of their own; groups of all other words; numbers of a vector; of them in an index vector; window; units.
-PER_LABEL, WORDS, GROUPS, DIM, FILLED, WINDOW, UNITS = 1500, 20_000, 8192, 64, 6, 2, 32
+#: Labelled texts of each label to fit on; rows of contexts that words share by their hash; numbers of a vector; of them in an index vector; window; units.
+PER_LABEL, GROUPS, DIM, FILLED, WINDOW, UNITS = 1500, 1 << 14, 64, 6, 2, 32
+#: Tokens whose vectors are held at once.
+PIECE = 200_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: A text counts as good from this score on.
 GOOD = 0.7
@@ -30,96 +32,86 @@ def tokens(text: str) -> list[str]:
 
 
 def _digests(words: list[str]) -> np.ndarray:
-    """FILLED draws of 16 bits and a group's number for each word."""
+    """FILLED draws of 16 bits and a row's number for each word."""
     raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=2 * FILLED + 2).digest() for w in words)
     return np.frombuffer(raw, dtype="<u2").reshape(-1, FILLED + 1).astype(np.int64)
 
 
-def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words' index vectors as FILLED places and values, drawn by hashes (of equal places the last one counts, the rest have 0), and their groups."""
+def word_vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' sparse ternary index vectors, drawn by their hashes (of equal places the last draw counts), and their rows."""
     h = _digests(words)
-    place, value = h[:, :FILLED] % DIM, np.where(h[:, :FILLED] >> 15 & 1, 1, -1)
+    out = np.zeros((len(words), DIM), dtype=np.int8)
     for j in range(FILLED):
-        value[:, j] *= (place[:, j, None] != place[:, j + 1 :]).all(axis=1)
-    return place, value, h[:, FILLED] % GROUPS
-
-
-def index_vectors(words: list[str]) -> np.ndarray:
-    """The words' sparse ternary index vectors."""
-    place, value, _ = _places(words)
-    out = np.zeros((len(words), DIM), dtype=np.float32)
-    for j in range(FILLED):
-        out[np.arange(len(words)), place[:, j]] += value[:, j]
+        out[np.arange(len(words)), h[:, j] % DIM] = np.where(h[:, j] >> 15 & 1, 1, -1)
+    return out, h[:, FILLED] % GROUPS
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _numbered(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of some texts as numbers, WINDOW times number 0 behind each text; where texts start; index vectors (that of 0 is 0) and rows by number."""
+    numbers, gap = _Numbers({"": 0}), [""] * WINDOW
+    size = [len(d) + WINDOW for d in docs]
+    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(chain(d, gap) for d in docs)), np.int64, sum(size))
+    index, row = word_vectors(list(numbers))
+    index[0] = 0
+    return ids, np.cumsum([0, *size]), index, row
+
+
+def _run_sums(x: np.ndarray, first: np.ndarray, few: int = 16) -> np.ndarray:
+    """Sums of the runs of rows that begin at `first`: runs of few rows by their first rows together, their second ones, and so on."""
+    size = np.diff(np.append(first, len(x)))
+    out = x[first].astype(np.int64)
+    short = np.flatnonzero((size > 1) & (size < few))
+    for k in range(1, few - 1):
+        short = short[size[short] > k]
+        out[short] += x[first[short] + k]
+    for i in np.flatnonzero(size >= few):
+        out[i] = x[first[i] : first[i] + size[i]].sum(axis=0, dtype=np.int32)  # small numbers, PIECE rows at most
     return out
 
 
-def index_vector(word: str) -> np.ndarray:
-    return index_vectors([word])[0]
+def contexts(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of some texts' words, and the sum of the index vectors of all neighbours of their words there."""
+    ids, _, index, row = _numbered(docs)
+    rows = np.unique(row[np.unique(ids[ids > 0])])
+    out = np.zeros((len(rows), DIM), np.int64)
+    for a in range(0, len(ids), PIECE):
+        low, high = max(0, a - WINDOW), min(len(ids), a + PIECE + WINDOW)
+        own = index[ids[low:high]]
+        near = np.zeros_like(own)
+        for k in range(1, WINDOW + 1):
+            near[:-k] += own[k:]
+            near[k:] += own[:-k]
+        mine, near = ids[a : a + PIECE], near[a - low : a - low + PIECE]
+        at = np.flatnonzero(mine)
+        if not len(at):
+            continue
+        of = row[mine[at]]
+        order = np.argsort(of, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+        out[np.searchsorted(rows, of[order][first])] += _run_sums(near[at[order]], first)
+    return rows, out
 
 
-def contexts(docs: list[list[str]], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of some texts' words, and the sum of the index vectors of all their neighbours there.
+def corpus_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """What each row's words add to their index vectors for their neighbours over all texts, at unit length: GROUPS rows.
 
-    A word of the vocabulary has its own row; all other words have the row of their group, len(vocab) + group.
-    """
-    local: dict[str, int] = {}
-    flat = [local.setdefault(w, len(local)) for d in docs for w in d]
-    if not flat:
-        return np.zeros(0, np.int64), np.zeros((0, DIM), np.int64)
-    ids = np.array(flat)
-    of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    place, value, group = _places(list(local))
-    row = np.fromiter((vocab.get(w, -1) for w in local), np.int64, len(local))
-    rows, short = np.unique(np.where(row >= 0, row, len(vocab) + group), return_inverse=True)
-    out = np.zeros(len(rows) * DIM)
-    for k in range(1, WINDOW + 1):
-        same = of[:-k] == of[k:]
-        a, b = ids[:-k][same], ids[k:][same]
-        for x, y in ((a, b), (b, a)):
-            at = short[x, None] * DIM + place[y]
-            out += np.bincount(at.ravel(), value[y].ravel(), len(out))
-    return rows, out.reshape(-1, DIM).astype(np.int64)
-
-
-#: Words that a task counts before it passes its counts on.
-HELD = 200_000
-
-
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def rows():
-        return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-    for batch in slices(batches):
-        for t in batch.column(0).to_pylist():
-            counts.update(tokens(t))
-            if len(counts) > HELD:
-                yield rows()
-                counts.clear()
-    yield rows()
-
-
-def corpus_vectors(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, int], np.ndarray]:
-    """The vector of each frequent word, and of each group of all other words: what it adds for its neighbours over all texts, at unit length.
-
-    Every word of every text counts: the WORDS most frequent ones for themselves, the others in
-    GROUPS groups by their hash, so the table keeps its size. Words are counted, and contexts
-    summed, in each task and then by row; the driver gets WORDS + GROUPS rows. A word's
-    vector is its own index vector and its row's context.
+    Every word of every text counts, in the row that its hash names, so the table keeps its size however many words
+    there are. Contexts are summed in each task and then by row; the driver gets GROUPS rows.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = texts.mapInArrow(_count_batches, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
-    words = [w.decode("utf-8", "surrogatepass") for w in top.column("word").to_pylist()]
-    vocab = {w: i for i, w in enumerate(words)}
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most WORDS words
-    rows = len(vocab) + GROUPS
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((rows, DIM), np.int64)
+        total = np.zeros((GROUPS, DIM), np.int64)
         for batch in slices(batches):
-            at, found = contexts([tokens(t) for t in batch.column(0).to_pylist()], shared.value)
+            at, found = contexts([tokens(t) for t in batch.column(0).to_pylist()])
             total[at] += found
         at = np.flatnonzero(total.any(axis=1))
         columns = [pa.array(at, pa.int32()), *(pa.array(total[at, i], pa.int64()) for i in range(DIM))]
@@ -128,45 +120,39 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, i
     names = [f"x{i}" for i in range(DIM)]
     parts = texts.mapInArrow(sums, "row int, " + ", ".join(f"{n} bigint" for n in names))
     got = parts.groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-    context = np.zeros((rows, DIM))
+    context = np.zeros((GROUPS, DIM))
     if got.num_rows:
         context[got.column("row").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    v = context / np.where(norm > 0, norm, 1)
-    if vocab:
-        v[: len(vocab)] += index_vectors(words) / np.sqrt(FILLED)
-    return vocab, v.astype(np.float32)
-
-
-def pooled(texts: list[str], vocab: dict[str, int], vectors: np.ndarray) -> np.ndarray:
-    """The mean vector of each text's words; 0 without words. Words outside the vocabulary have their index vector and their group's context."""
-    out = np.zeros((len(texts), DIM), dtype=np.float64)
-    other: dict[str, int] = {}
-    counts = [Counter(tokens(t)) for t in texts]
-    n = len(vectors) and len(vectors) - GROUPS
-    rows = []
-    for c in counts:
-        rows.append(np.fromiter((i if (i := vocab.get(w, -1)) >= 0 else -1 - other.setdefault(w, len(other)) for w in c), np.int64, len(c)))
-    if other:
-        words = list(other)
-        own = index_vectors(words).astype(np.float64) / np.sqrt(FILLED)
-        if len(vectors):
-            own += vectors[n + _digests(words)[:, FILLED] % GROUPS]
-    for i, (c, r) in enumerate(zip(counts, rows, strict=True)):
-        if not c:
-            continue
-        w = np.fromiter(c.values(), dtype=np.float64, count=len(c))
-        w /= w.sum()
-        known = r >= 0
-        out[i] = w[known] @ vectors[r[known]]
-        if not known.all():
-            out[i] += w[~known] @ own[-1 - r[~known]]
-    return out
+    return (context / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+
+def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
+    """The mean vector of each text's words; 0 without words. A word's vector is its index vector at unit length and its row's context."""
+    docs = [tokens(t) for t in texts]
+    out = np.zeros((len(docs), DIM))
+    if not docs:
+        return out
+    ids, starts, index, row = _numbered(docs)
+    words = index / np.float32(np.sqrt(FILLED))
+    if len(vectors):
+        words[1:] += vectors[row[1:]]
+    a = 0
+    while a < len(docs):  # as many texts as PIECE tokens hold; of a longer one its words are counted
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + PIECE, side="right")) - 1)
+        some = ids[starts[a] : starts[b]]
+        if b == a + 1:
+            out[a] = np.bincount(some, minlength=len(words)) @ words.astype(float)
+        else:
+            own = words[some]
+            for i in range(a, b):
+                own[starts[i] - starts[a] : starts[i + 1] - starts[a]].sum(axis=0, out=out[i])
+        a = b
+    return out / np.maximum(np.diff(starts) - WINDOW, 1)[:, None]
 
 
 @dataclass
 class Model:
-    vocab: dict[str, int] = field(default_factory=dict)
     vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, DIM), np.float32))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(DIM))
     scale: np.ndarray = field(default_factory=lambda: np.ones(DIM))
@@ -175,7 +161,7 @@ class Model:
     base: float = 0.5
 
     def inputs(self, texts: list[str]) -> np.ndarray:
-        return (pooled(texts, self.vocab, self.vectors) - self.mean) / self.scale
+        return (pooled(texts, self.vectors) - self.mean) / self.scale
 
     def predict(self, texts: list[str]) -> np.ndarray:
         if self.layers is None:
@@ -211,10 +197,10 @@ def _fit_network(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 60) -> t
     return tuple(p)
 
 
-def fit(x: np.ndarray, labels: np.ndarray, vocab: dict[str, int], vectors: np.ndarray, seed: int = 5) -> Model:
+def fit(x: np.ndarray, labels: np.ndarray, vectors: np.ndarray, seed: int = 5) -> Model:
     """A two-layer network over pooled vectors, and a temperature from a fifth set aside."""
     y = labels.astype(float)
-    model = Model(vocab, vectors, x.mean(0), x.std(0) + 1e-3)
+    model = Model(vectors, x.mean(0), x.std(0) + 1e-3)
     x = (x - model.mean) / model.scale
     aside = np.random.default_rng(seed).permutation(len(x)) < len(x) / 5
     layers = _fit_network(x[~aside], y[~aside], seed) if 0 < y[~aside].mean() < 1 else None
@@ -240,17 +226,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}  # two rows
     if len(kinds) < 2:
         return Model(base=float(max(kinds)) if kinds else 0.5)
-    vocab, vectors = corpus_vectors(docs, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, vectors))  # WORDS + GROUPS vectors
+    vectors = corpus_vectors(docs, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)  # GROUPS vectors
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = pooled(batch.column(2).to_pylist(), *shared.value)
+            x = pooled(batch.column(2).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "label", "x"])
 
     # A row of DIM numbers for each text of the sample.
     got = sample.select("id", "label", "text").mapInArrow(pool, "id bigint, label int, x array<double>").orderBy(F.xxhash64("id")).toArrow()
-    return fit(np.array(got.column("x").to_pylist()), got.column("label").to_numpy(), vocab, vectors)
+    return fit(np.array(got.column("x").to_pylist()), got.column("label").to_numpy(), vectors)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +247,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ids, repeated rows and ties change nothing; no rows give no rows. Other columns are
     not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + GROUPS vectors
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # GROUPS vectors
 
     @F.pandas_udf("double")
     def predict(texts: pd.Series) -> pd.Series:

@@ -284,7 +284,7 @@ def plain_top(ids, x, i, k=5):
 
 
 def test_topk_stops_early_where_bounds_allow():
-    """A few large components decide: lists are read a little way. Flat vectors are read nearly to the end, each entry once."""
+    """A few large components decide: lists are read a little way. Flat vectors are read nearly to the end."""
     rng = np.random.default_rng(6)
     x = np.floor(rng.pareto(1.1, (4000, 12)) * 20).astype(np.int64)
     x[:, 6:] *= rng.random((4000, 6)) < 0.02
@@ -301,30 +301,36 @@ def test_topk_stops_early_where_bounds_allow():
     assert all(sorted((-s, v) for a, v, s in got if a == i) == plain_top(ids, flat, i) for i in range(9))
 
 
-def test_topk_reads_each_entry_once_and_resolves_finalists_only(monkeypatch):
+def test_topk_bounds_hold_at_every_depth():
+    rng = np.random.default_rng(8)
+    x, q = rng.integers(-9, 10, (60, 5)).astype(float), rng.integers(-3, 4, (7, 5)).astype(float)
+    lists, exact = topk.Lists(x), q @ x.T
+    before = None
+    for t in range(1, 61):
+        low, high = lists.bounds(q, t)
+        assert (low <= exact).all() and (exact <= high).all()
+        assert before is None or ((low >= before[0]).all() and (high <= before[1]).all())  # reading on tightens them
+        before = low, high
+    assert np.array_equal(low, exact) and np.array_equal(high, exact)
+
+
+def test_topk_resolves_finalists_only(monkeypatch):
     """Every query of the table comes through its lists: few scores are resolved, none of them by a product of the block."""
     import pyarrow.parquet as pq
 
     rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()
     x = np.floor(256 * np.array([r["embedding"] for r in rows], dtype=float)).astype(np.int64)
     ids, asks = np.array([r["vec_id"] for r in rows]), [i for i, r in enumerate(rows) if r["vec_id"] % 50 == 0]
-    seen, left, read, find = [], [], topk.Lists.read, topk.finalists
-
-    def counted(self, q, a, b):
-        seen.append((a, b))
-        return read(self, q, a, b)
+    left, find = [], topk.finalists
 
     def found(*args):
         out = find(*args)
-        left.append((len(out[0]), out[1], seen.copy()))
-        seen.clear()
+        left.extend(out)
         return out
 
-    monkeypatch.setattr(topk.Lists, "read", counted)
     monkeypatch.setattr(topk, "finalists", found)
     got = topk.search_block(ids[asks], x[asks], ids, x, 5)
-    assert len(left) == len(asks) and max(n for n, *_ in left) <= max(20, len(ids) // 64)
-    assert all([a for a, _ in steps] == [0, *(b for _, b in steps[:-1])] and steps[-1][1] == depth for _, depth, steps in left)
+    assert len(left) == len(asks) and max(len(places) for places, _ in left) <= max(20, len(ids) // 64)
     for i in asks[:5]:
         assert sorted((-s, v) for q, v, s in got if q == ids[i]) == plain_top(ids, x, i)
 

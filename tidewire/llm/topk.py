@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates and queries that meet in one task.
-BLOCK, QUERIES_A_BLOCK = 16_384, 4096
-#: The part of each list that is read before bounds are first compared; from then on twice as far each time.
-FIRST = 128
+#: Candidates and queries that meet in one task, and queries that read their lists together.
+BLOCK, QUERIES_A_BLOCK, AT_ONCE = 16_384, 4096, 128
+#: The part of each list that is read before bounds are first compared; from then on STEP times as far each time.
+FIRST, STEP = 128, 4
 
 
 def quantised(vector: Column) -> Column:
@@ -29,76 +29,77 @@ def _kind(q: np.ndarray, x: np.ndarray) -> type:
 
 
 class Lists:
-    """One list of a block's vectors for each component, sorted by its value."""
+    """One list of a block's vectors for each component, sorted by its value; queries read it from the top, or from the bottom where they are negative."""
 
     def __init__(self, x: np.ndarray):
-        self.order = np.argsort(-x.astype(float), axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.take_along_axis(x.T, self.order.astype(np.intp), axis=1)
-
-    def ends(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lists that q reads from the top, and from the bottom; others add nothing."""
-        return np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-
-    def read(self, q: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and products with q of entries a to b of each list: from the top, or from the bottom where q is negative."""
-        top, low = self.ends(q)
-        m = self.order.shape[1]
-        up = slice(m - b, m - a)
-        at = np.concatenate([self.order[top, a:b], self.order[low, up][:, ::-1]])
-        return at, np.concatenate([q[top, None] * self.values[top, a:b], (q[low, None] * self.values[low, up])[:, ::-1]])
-
-    def worst(self, q: np.ndarray) -> np.ndarray:
-        """The least that each list, in the order of read(), can add."""
-        top, low = self.ends(q)
-        return np.concatenate([q[top] * self.values[top, -1], q[low] * self.values[low, 0]])
-
-
-def finalists(lists: Lists, q: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-    """Candidates that can be among the k best, and how far lists were read.
-
-    Each list is read on from where it was left, never twice. What a candidate's unread lists
-    add lies between the lists' worst values (lower bound) and the last values read (upper bound);
-    that holds for unseen candidates too. Who has an upper bound under the k-th best lower
-    bound can't qualify. Reading ends once few are left; at the lists' ends both bounds are the score.
+        self.x = x
+        order = np.argsort(-x.astype(float), axis=0, kind="stable")
+        self.values = np.take_along_axis(x, order, axis=0)
+        self.rank = np.empty(x.shape, np.int32)
+        np.put_along_axis(self.rank, order, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
+
+    def bounds(self, q: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the most that each query (row) can score with each candidate (column) once t entries of each list are read.
+
+        What is read adds up; an unread entry adds at least its list's worst value, and at most
+        the last one read.
+        """
+        m = len(self.x)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        low, high = 0, 0
+        for part, read, worst, last in ((up, self.rank < t, self.values[-1], self.values[t - 1]), (down, self.rank >= m - t, self.values[0], self.values[m - t])):
+            known = part @ (self.x * read).T
+            unread = (~read).astype(self.x.dtype).T
+            low, high = low + known + (part * worst) @ unread, high + known + (part * last) @ unread
+        return low, high
+
+
+def finalists(lists: Lists, q: np.ndarray, other: np.ndarray, k: int) -> list[tuple[np.ndarray, int]]:
+    """For each query the candidates that can be among its k best, and how far it read.
+
+    other: which candidates (columns) count for a query (row). Queries read their lists side by side. Who has
+    an upper bound under the k-th best lower bound can't qualify; that holds for unseen candidates too. A
+    query stops once few are left; at the lists' ends both bounds are the score.
     """
-    m = len(other)
-    need, worst = min(k, int(other.sum())), lists.worst(q).astype(float)
-    sums, unread = np.zeros(m), np.ones((m, len(worst)))
-    which = np.arange(len(worst))[:, None]
-    t, done = min(m, max(1, m // FIRST)), 0
-    while True:
-        at, product = lists.read(q, done, t)
-        sums += np.bincount(at.ravel(), product.ravel(), m)
-        unread[at, which] = 0
-        last = product[:, -1].astype(float)
-        low, high = sums + unread @ worst, sums + unread @ last
-        lows = low[other]
-        alive = other & (high >= np.partition(lows, len(lows) - need)[len(lows) - need])
-        if int(alive.sum()) <= max(4 * k, m // 64) or t == m:
-            return np.flatnonzero(alive), t
-        done, t = t, min(m, 2 * t)
+    m = other.shape[1]
+    out: list = [None] * len(q)
+    open_, t = np.arange(len(q)), max(1, m // FIRST)
+    while len(open_):
+        low, high = lists.bounds(q[open_], t)
+        low[~other[open_]] = high[~other[open_]] = -np.inf
+        need = np.minimum(k, other[open_].sum(axis=1))
+        least = -np.partition(-low, min(k, m) - 1, axis=1)[:, : min(k, m)]
+        still = []
+        for n, i in enumerate(open_):
+            limit = np.partition(least[n], len(least[n]) - need[n])[len(least[n]) - need[n]] if need[n] else np.inf
+            places = np.flatnonzero(high[n] >= limit)
+            if len(places) <= max(4 * k, m // 64) or t == m:
+                out[i] = places, t
+            else:
+                still.append(i)
+        open_, t = np.array(still, int), min(m, STEP * t)
+    return out
 
 
 def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, read: list[float] | None = None) -> list[tuple[int, int, int]]:
     """(query_id, id, score) of the k best of this block for each query, ties to smaller ids.
 
-    Each query reads the lists of its components in turn, deeper and deeper, until only
+    Queries read the lists of their components deeper and deeper, AT_ONCE of them side by side, until only
     finalists() are left, whose scores are then resolved. `read` takes the share of the lists that
-    each query read. Numbers whose sums doubles don't hold are read in Python's integers, whole.
+    each query read. Numbers whose sums doubles don't hold are scored in Python's integers, whole.
     """
     kind = _kind(q, x)
     x, q = x.astype(kind), q.astype(kind)
     lists = Lists(x) if kind is not object and x.shape[1] else None
     out: list[tuple[int, int, int]] = []
-    for i in range(len(query_ids)):
-        other = ids != query_ids[i]
-        if not other.any():
-            continue
-        found, depth = finalists(lists, q[i], other, k) if lists is not None and q[i].any() else (np.flatnonzero(other), len(ids))
-        if read is not None:
-            read.append(depth / len(ids))
-        best = sorted(zip((-int(s) for s in x[found] @ q[i]), ids[found].tolist(), strict=True))[:k]
-        out.extend((int(query_ids[i]), v, -s) for s, v in best)
+    for a in range(0, len(query_ids), AT_ONCE):
+        some, other = q[a : a + AT_ONCE], query_ids[a : a + AT_ONCE, None] != ids
+        found = finalists(lists, some, other, k) if lists is not None else [(np.flatnonzero(o), len(ids)) for o in other]
+        for i, (places, depth) in enumerate(found):
+            if read is not None:
+                read.append(depth / len(ids))
+            best = sorted(zip((-int(s) for s in x[places] @ some[i]), ids[places].tolist(), strict=True))[:k]
+            out.extend((int(query_ids[a + i]), v, -s) for s, v in best)
     return out
 
 

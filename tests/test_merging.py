@@ -52,3 +52,13 @@ def test_hashed_vectors_match_loops(spark):
     unit = encoding.hashed_vectors(docs.where("length(text) > 3 AND id < 6")).withColumnRenamed("vector", "v").selectExpr("0 AS batch", "v")
     assert vectors.batch_valid(unit, "batch", "v", encoding.PLACES).first().accepted
     assert encoding.hashed_vectors(docs.limit(0)).count() == 0
+
+
+def test_hashed_vectors_norms_are_worked_out_once(spark):
+    docs = spark.createDataFrame([(1, "one fish"), (1, "two fish"), (None, "red"), (None, "red")], "id bigint, text string")
+    out = encoding.hashed_vectors(docs)
+    got = {r.id: r.vector for r in out.collect()}
+    assert set(got) == {1, None} and all(math.isclose(sum(x * x for x in v), 1) for v in got.values())
+    # A norm inside the lambda over places would make a row's work their square, as would pairs of places their shuffle.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("SQRT") == 1

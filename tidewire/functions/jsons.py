@@ -1,4 +1,4 @@
-"""JSON that Spark's own functions can't rewrite (Arrow UDF)."""
+"""JSON that Spark's own functions can't rewrite."""
 
 from __future__ import annotations
 
@@ -29,6 +29,10 @@ def mask_keys(raw: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series([one(d, k) for d, k in zip(raw, keys, strict=True)], dtype=object)
 
 
+#: Made once: json.dumps with options makes an encoder for each call.
+_compact = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+
+
 def _leaves(value, path: str, key: str):
     if isinstance(value, dict) and value:
         for k, v in value.items():
@@ -40,26 +44,20 @@ def _leaves(value, path: str, key: str):
         for i, v in enumerate(value):
             yield from _leaves(v, f"{path}[{key}={names[i]}]" if named else f"{path}[{i}]", key)
     else:
-        yield path, json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-LEAVES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]))
+        yield path, _compact(value)
 
 
-@F.pandas_udf(LEAVES)
-def leaves(raw: pd.Series, key: pd.Series) -> pd.Series:
-    """The leaves of each document as paths and compact values; empty objects and lists are leaves.
+def leaves(doc: str | None, key: str, volatile: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
+    """The leaves of a document as paths and compact values, read once; empty objects and lists are leaves.
 
     Elements of a list are named by their place, or, where all are objects with their own value of
-    `key`, by that: then their order doesn't count. A document that is no JSON is one leaf, `$text`; null has none.
+    `key`, by that: then their order doesn't count. What stands under a key of `volatile` is masked first.
+    A document that is no JSON is one leaf, `$text`; null has none.
     """
-
-    def one(doc: str | None, name: str):
-        if doc is None:
-            return []
-        try:
-            return [{"path": p, "value": v} for p, v in _leaves(json.loads(doc), "$", name or "")]
-        except ValueError:
-            return [{"path": "$text", "value": doc}]
-
-    return pd.Series([one(d, k) for d, k in zip(raw, key, strict=True)], dtype=object)
+    if doc is None:
+        return []
+    try:
+        value = json.loads(doc)
+        return list(_leaves(masked(value, volatile) if volatile else value, "$", key))
+    except ValueError:
+        return [("$text", doc)]

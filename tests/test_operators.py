@@ -410,3 +410,22 @@ def test_registered_functions(spark):
     assert spark.sql("SELECT tw_mean_vector(v) AS m FROM VALUES (array(1.0D, 3.0D)), (array(3.0D, 5.0D)) AS t(v)").first().m == [2.0, 4.0]
     assert spark.sql("SELECT tw_mask_keys('{\"b\":1,\"a\":[{\"b\":2}]}', 'b') AS j").first().j == '{"a":[{"b":"*"}],"b":"*"}'
     assert spark.sql("SELECT tw_mask_keys('no', 'b') AS j").first().j is None
+
+
+def test_shared_shuffles_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    side = lambda n, k: [(rng.choice([None, *range(n)]), rng.choice([None, *range(40)])) for _ in range(k)]
+    a, b = side(60, 300) + [(99, e) for e in range(40)], side(20, 120) + [(7, e) for e in range(0, 40, 3)]
+    want = {}
+    for i, e in a:
+        for j, f in b:
+            if e is not None and e == f:
+                want[i, j] = want.get((i, j), 0) + 1
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} bigint, entity_id bigint")
+    for most in (4, 64):  # most keys have more rows than 4
+        monkeypatch.setattr(guard, "LISTED", most)
+        out = guard.shared(frame(a, "x"), "x", frame(b, "y"), "y")
+        assert {(r.x, r.y): r.shared for r in out.collect()} == want and out.count() == len(want)
+    few = guard.shared(frame(a[-20:], "x"), "x", frame(b[-10:], "y"), "y")  # short lists only
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and "Aggregate [_a" in plan and not any("_a" in line and "_b" in line for line in plan.splitlines() if "Aggregate [" in line)

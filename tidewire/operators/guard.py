@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from tidewire.functions import text
 from tidewire.schemas import GUARD_EXCLUDED
 
+from . import work
+
 # Fixed values.
 MAX_FRACTION, MIN_FLOOR = 0.10, 5
+#: Rows of a key up to which its list of entities goes with each of them.
+LISTED = 64
 
 
 def document_frequency(edges: DataFrame) -> DataFrame:
@@ -71,6 +75,35 @@ def story_guard(story_edges: DataFrame, entities: DataFrame, over: DataFrame, me
     return rows.where(~own).select("story_id", "entity_id")
 
 
+def _with_lists(rows: DataFrame, key: str, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(out, entity_id, list, twice) for each entity of keys with LISTED rows at most; (out, entity_id) of other keys' rows, and of all."""
+    n = F.count("*").over(Window.partitionBy(out))
+    rows = rows.where("entity_id IS NOT NULL").select(F.col(key).alias(out), "entity_id").withColumn("_n", n)
+    with work.tables(rows.sparkSession) as table:
+        rows = table(rows, keep=True)  # read more than once
+    lists = rows.where(F.col("_n") <= LISTED).groupBy(out).agg(F.array_sort(F.collect_list("entity_id")).alias("list"))
+    once = F.array_distinct("list")
+    lists = lists.select(out, F.explode(once).alias("entity_id"), "list", (F.size("list") > F.size(once)).alias("twice"))
+    return lists, rows.where(F.col("_n") > LISTED).select(out, "entity_id"), rows.select(out, "entity_id", "_n")
+
+
 def shared(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame:
-    """(a_key, b_key, shared): pairs with a guard entity in common. Over-common ones are gone, so blocks stay small."""
-    return a.join(b, "entity_id").groupBy(a_key, b_key).agg(F.count("*").alias("shared"))
+    """(a_key, b_key, shared): pairs with a guard entity in common. Over-common ones are gone, so blocks stay small.
+
+    The rows of a key bring its whole list of entities along, so a pair is counted where its least common
+    entity meets: pairs are not shuffled. Only those of keys with more than LISTED rows are, to be grouped.
+    Rows that repeat an entity of a key count as often as they meet.
+    """
+    (a_short, a_long, a_all), (b_short, b_long, b_all) = _with_lists(a, a_key, "_a"), _with_lists(b, b_key, "_b")
+    met = a_short.join(b_short.withColumnsRenamed({"list": "b_list", "twice": "b_twice"}), "entity_id")
+    met = met.select("*", F.array_intersect("list", "b_list").alias("both")).where(F.get("both", F.lit(0)) == F.col("entity_id"))
+    times = F.aggregate("list", F.lit(0).cast("bigint"), lambda s, x: s + F.size(F.filter("b_list", lambda y: y == x)))
+    found = met.select("_a", "_b", F.when(F.col("twice") | F.col("b_twice"), times).otherwise(F.size("both").cast("bigint")).alias("shared"))
+    some = lambda x, y: x.join(y, "entity_id").select("_a", "_b")
+    rest = [some(a_long, b_all)] if not a_long.isEmpty() else []
+    rest += [some(a_all.where(F.col("_n") <= LISTED), b_long)] if not b_long.isEmpty() else []
+    for more in rest[1:]:
+        rest[0] = rest[0].unionByName(more)
+    if rest:
+        found = found.unionByName(rest[0].groupBy("_a", "_b").agg(F.count("*").alias("shared")))
+    return found.select(F.col("_a").alias(a_key), F.col("_b").alias(b_key), "shared")

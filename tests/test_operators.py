@@ -429,3 +429,12 @@ def test_shared_shuffles_no_pairs(spark, monkeypatch):
     few = guard.shared(frame(a[-20:], "x"), "x", frame(b[-10:], "y"), "y")  # short lists only
     plan = few._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" in plan and "Aggregate [_a" in plan and not any("_a" in line and "_b" in line for line in plan.splitlines() if "Aggregate [" in line)
+
+
+def test_statuses_take_no_distinct_counts(spark):
+    e = [(1, 5, False, "x"), (1, 6, False, "y"), (2, 5, False, "x"), (2, 6, False, "x"), (3, 5, False, "x"), (3, 5, None, "y"), (4, 5, True, None), (5, 5, False, None), (5, 6, False, "x"), (6, None, None, "y"), (6, 7, None, "z")]
+    evidence = spark.createDataFrame(e, "claim_id bigint, source_id bigint, is_authority boolean, content_hash string")
+    out = claims.verify(spark.range(8).select(F.col("id").alias("claim_id"), F.lit("unverified").alias("verification_status")), evidence)
+    want = {r.claim_id: r.verification_status for r in claims.verification(evidence).collect()}
+    assert {r.claim_id: r.verification_status for r in out.collect()} == {0: "unverified", 7: "unverified"} | want
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -20,9 +20,23 @@ def verification(evidence: DataFrame) -> DataFrame:
     return per.select("claim_id", status.alias("verification_status"), "sources", "contents")
 
 
+def _status(evidence: DataFrame) -> DataFrame:
+    """verification() without its counts: two values differ if the least and the largest do, so one pass with a few numbers a claim tells.
+
+    Contents are compared by 128 bits of two hashes, which aggregates of fixed size hold.
+    """
+    content = F.col("content_hash")
+    hashes = [F.when(content.isNotNull(), h) for h in (F.xxhash64(content), F.xxhash64(F.lit(1), content))]
+    spread = lambda n, c: [F.min(c).alias(f"least{n}"), F.max(c).alias(f"most{n}")]
+    per = evidence.groupBy("claim_id").agg(F.bool_or("is_authority").alias("authority"), *spread(0, F.col("source_id")), *spread(1, hashes[0]), *spread(2, hashes[1]))
+    two = lambda n: F.coalesce(F.col(f"least{n}") != F.col(f"most{n}"), F.lit(False))
+    status = F.when(F.col("authority"), "authoritative").when(two(0) & (two(1) | two(2)), "corroborated").otherwise("single_source")
+    return per.select("claim_id", status.alias("verification_status"))
+
+
 def verify(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """claims with new statuses; only unverified ones change, those without evidence stay so."""
-    found = verification(evidence).select("claim_id", F.col("verification_status").alias("_new"))
+    found = _status(evidence).select("claim_id", F.col("verification_status").alias("_new"))
     new = F.when(F.col("verification_status") == "unverified", F.coalesce("_new", "verification_status")).otherwise(F.col("verification_status"))
     return claims.join(found, "claim_id", "left").withColumn("verification_status", new).drop("_new")
 

@@ -438,3 +438,12 @@ def test_statuses_take_no_distinct_counts(spark):
     want = {r.claim_id: r.verification_status for r in claims.verification(evidence).collect()}
     assert {r.claim_id: r.verification_status for r in out.collect()} == {0: "unverified", 7: "unverified"} | want
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contradictions_join_each_pair_once(spark):
+    st = spark.createDataFrame([(1, "authoritative"), (2, "unverified"), (3, "unverified")], "claim_id bigint, verification_status string")
+    pairs = spark.createDataFrame([(1, 1, 2, "r"), (2, 3, 2, "s"), (3, 3, 9, "t")], "ord bigint, a bigint, b bigint, reason string")
+    out = claims.contradictions(st, pairs)
+    got = {r.claim_id: (r.verification_status, [tuple(e) for e in r.contradicted_by]) for r in out.collect()}
+    assert got == {1: ("authoritative", []), 2: ("refuted", [(1, "r"), (3, "s")]), 3: ("disputed", [(2, "s")])}
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -71,9 +71,10 @@ def contradictions(claims: DataFrame, pairs: DataFrame, existing: str | None = N
     refuted and gets the entry; else both are disputed. Refuted beats disputed. Entries
     (claim, reason) keep the pairs' order and go behind those of the column `existing`.
     """
-    a, b = (pairs.select("ord", F.col(x).alias("claim_id"), F.col(y).alias("other"), "reason") for x, y in (("a", "b"), ("b", "a")))
     st = claims.select("claim_id", (F.col("verification_status") == "authoritative").alias("auth"))
-    sided = a.unionByName(b).join(st, "claim_id").join(st.select(F.col("claim_id").alias("other"), F.col("auth").alias("other_auth")), "other")
+    known = pairs.select("ord", "a", "b", "reason").join(st.toDF("a", "auth_a"), "a").join(st.toDF("b", "auth_b"), "b")
+    side = lambda x, y: F.struct(F.col(x).alias("claim_id"), F.col(y).alias("other"), F.col(f"auth_{x}").alias("auth"), F.col(f"auth_{y}").alias("other_auth"))
+    sided = known.select("ord", "reason", F.inline(F.array(side("a", "b"), side("b", "a"))))  # both ways once their statuses are known
     weight = F.when(F.col("other_auth") & ~F.col("auth"), 2).when(F.col("auth") & ~F.col("other_auth"), 0).otherwise(1)
     entry = F.struct("ord", "other", "reason")
     per = sided.withColumn("w", weight).where("w > 0").groupBy("claim_id").agg(F.max("w").alias("w"), F.array_sort(F.collect_list(entry)).alias("by"))

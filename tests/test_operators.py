@@ -447,3 +447,14 @@ def test_contradictions_join_each_pair_once(spark):
     got = {r.claim_id: (r.verification_status, [tuple(e) for e in r.contradicted_by]) for r in out.collect()}
     assert got == {1: ("authoritative", []), 2: ("refuted", [(1, "r"), (3, "s")]), 3: ("disputed", [(2, "s")])}
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_are_stored_in_parts_of_a_size(spark, monkeypatch):
+    old = [(1, "a", "F"), (1, "a", "F"), (2, "b", "F"), (3, "c", None), (3, "c", None), (4, "d", "F"), (None, "n", "F")]
+    new = [(2, "x", "F", 1), (2, "x", "F", 1), (2, "y", "F", 9), (4, "z", "F", 1), (5, "v", None, 1), (6, "w", "F", 9), (None, "m", "F", 1), (1, "q", "F", 9)]
+    now, found = spark.createDataFrame(old, "story_id bigint, claim_text string, claim_type string"), spark.createDataFrame(new, "story_id bigint, claim_text string, claim_type string, article_id bigint")
+    arts, failed = spark.createDataFrame([(1,), (1,), (2,)], "article_id bigint"), spark.createDataFrame([(4,), (7,)], "story_id bigint")
+    monkeypatch.setattr(claims, "PART", 2)
+    out = claims.store(now, found, arts, failed)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(2, "x", "F"), (3, "c", None), (3, "c", None), (4, "d", "F"), (5, "v", None), (None, "n", "F"), (None, "m", "F")], key=repr)
+    assert out.rdd.getNumPartitions() == 8  # 15 rows, whatever the session's number is

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewire.schemas import CHECKABLE_CLAIMS
 
+#: Rows of claims, old and new, that meet in one task.
+PART = 1 << 18
+
 
 def verification(evidence: DataFrame) -> DataFrame:
     """Status of each claim from evidence(claim_id, source_id, is_authority, content_hash).
@@ -50,12 +53,24 @@ def store(current: DataFrame, extracted: DataFrame, articles: DataFrame, failed:
     """Replace the claims of stories that were extracted anew; those of failed items stay.
 
     extracted: (story_id, claim_text, claim_type, article_id); evidence that names no known
-    article goes, and a claim left without evidence is not stored.
+    article goes, and a claim left without evidence is not stored. All rows meet in one shuffle, dealt
+    by story over parts whose number follows from the counted rows, so what a task holds doesn't grow with the tables.
     """
-    good = extracted.join(articles.select("article_id"), "article_id", "left_semi").join(failed.select("story_id"), "story_id", "left_anti")
-    done = extracted.select("story_id").distinct().join(failed.select("story_id"), "story_id", "left_anti")
-    fresh = good.select("story_id", "claim_text", "claim_type").distinct()
-    return current.join(done, "story_id", "left_anti").unionByName(fresh)
+    parts = max(int(current.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(current.count() + extracted.count()) // PART))
+    claim, none = ["story_id", "claim_text", "claim_type"], F.lit(None)
+    known = articles.select("article_id").distinct().withColumn("good", F.lit(True))
+    rows = current.select(*claim, F.lit("old").alias("kind"), F.lit(True).alias("good"))
+    rows = rows.unionByName(extracted.join(known, "article_id", "left").select(*claim, F.lit("new").alias("kind"), F.coalesce("good", F.lit(False)).alias("good")))
+    kinds = {c: current.schema[c].dataType for c in claim[1:]}
+    rows = rows.unionByName(failed.select("story_id", *(none.cast(t).alias(c) for c, t in kinds.items()), F.lit("failed").alias("kind"), F.lit(False).alias("good")))
+    rows = rows.repartition(parts, "story_id").groupBy(*claim, "kind").agg(F.bool_or("good").alias("good"), F.count("*").alias("n"))
+    w = Window.partitionBy("story_id")
+    has = lambda kind: F.col("story_id").isNotNull() & F.max(F.col("kind") == kind).over(w)
+    rows = rows.select("*", has("new").alias("extracted"), has("failed").alias("failed"))
+    stays = (F.col("kind") == "old") & ~(F.col("extracted") & ~F.col("failed"))
+    comes = (F.col("kind") == "new") & F.col("good") & ~F.col("failed")
+    copies = F.sequence(F.lit(1).cast("bigint"), F.when(F.col("kind") == "old", F.col("n")).otherwise(1))
+    return rows.where(stays | comes).select(*claim, F.explode(copies).alias("_copy")).drop("_copy")
 
 
 def checkable(claims: DataFrame) -> DataFrame:

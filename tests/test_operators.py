@@ -458,3 +458,17 @@ def test_claims_are_stored_in_parts_of_a_size(spark, monkeypatch):
     out = claims.store(now, found, arts, failed)
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(2, "x", "F"), (3, "c", None), (3, "c", None), (4, "d", "F"), (5, "v", None), (None, "n", "F"), (None, "m", "F")], key=repr)
     assert out.rdd.getNumPartitions() == 8  # 15 rows, whatever the session's number is
+
+
+def test_near_pairs_come_once_without_a_shuffle(spark):
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    near = [x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for x in base for _ in range(3)]
+    for width, schemes in ((64, [(4, 1), (5, 2), (6, 3)]), (32, [(4, 1), (5, 2), (6, 3)])):
+        h = {(x & (2**width - 1)) - (2**64 if width == 64 and x >> 63 else 0) for x in base + near} | {0}
+        want = sorted((a, b) for a in h for b in h if a and b and a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+        df = spark.createDataFrame([(x,) for x in h], "simhash bigint")
+        for scheme in schemes:
+            out = dedup.near_pairs(df, width=width, scheme=scheme)
+            assert sorted(map(tuple, out.collect())) == want
+            assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -57,3 +57,12 @@ def test_gazetteer_query_matches_a_scan(spark, sf):
     want = Counter((i, e) for i, t in docs for e, _, _ in plain(t, known))
     got = {(r.id, r.entity_id): r.mention_count for r in plans.QUERIES["gazetteer_mentions"](spark, sf).collect()}
     assert got == dict(want) and len({i for i, _ in want}) > 50
+
+
+def test_texts_reach_python_as_one_string(spark):
+    docs = spark.createDataFrame([(1, "Red fish, blue fish"), (2, None), (3, "blue  RED fish")], "id bigint, text string")
+    names = spark.createDataFrame([(7, "red fish"), (8, "Blue"), (9, "blue fish")], "entity_id bigint, name string")
+    for most in (500_000, 1):  # broadcast, and by groups
+        out = tagging.mentions(docs, names, most)
+        assert sorted((r.id, r.entity_id, r.start, r.words) for r in out.collect()) == [(1, 7, 0, 2), (1, 9, 2, 2), (3, 7, 1, 2), (3, 8, 0, 1)]
+        assert "array_join" in out._jdf.queryExecution().analyzed().toString().split("MapInPandas")[-1]

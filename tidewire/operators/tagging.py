@@ -35,12 +35,12 @@ def automaton(keys: list[str], ids: list[int]):
     return out
 
 
-def matches(machine, words: list[str]) -> list[tuple[int, int, int]]:
-    """(start, words, entity) of all names in a list of words, overlapping ones too."""
+def matches(machine, words: str) -> list[tuple[int, int, int]]:
+    """(start, words, entity) of all names in words between single spaces, overlapping ones too."""
     if not words or not len(machine):
         return []
-    line = " " + " ".join(words) + " "
-    at = np.cumsum([0, *(len(w) + 1 for w in words)])
+    line = " " + words + " "
+    at = np.cumsum([0, *(len(w) + 1 for w in words.split(" "))])
     ends = {int(a): n for n, a in enumerate(at)}  # the space before word n
     return [(ends[end] - n, n, i) for end, (i, n) in machine.iter(line)]
 
@@ -65,7 +65,7 @@ def _with_all(shared):
         for pdf in batches:
             for a in range(0, len(pdf), 500):
                 some = pdf.iloc[a : a + 500]
-                yield _frame([(i, e, s, n) for i, w in zip(some["id"], some["w"], strict=True) for s, n, e in longest(matches(machine, list(w)))])
+                yield _frame([(i, e, s, n) for i, w in zip(some["id"], some["w"], strict=True) for s, n, e in longest(matches(machine, w))])
 
     return run
 
@@ -83,7 +83,8 @@ def _by_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             if machine is None:
                 machine = automaton([k for k, _ in names], [i for _, i in names])
-            out += [(r.id, r.row, r.times, e, s, n) for s, n, e in matches(machine, list(r.w))]
+                names = []  # the automaton has them
+            out += [(r.id, r.row, r.times, e, s, n) for s, n, e in matches(machine, r.w)]
         yield pd.DataFrame(out, columns=["id", "row", "times", "entity_id", "start", "words"]).astype({"times": "int64", "entity_id": "int64", "start": "int32", "words": "int32"})
 
 
@@ -104,7 +105,8 @@ def mentions(docs: DataFrame, names: DataFrame, most_names: int = MOST_NAMES, mo
     """
     keys = keyed(names).select("key", "first", "entity_id")
     size = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("key")), F.lit(0)).alias("chars")).first()
-    rows = docs.select("id", text.tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    line = F.array_join("w", " ").alias("w")  # one string, where a list of words takes many times as much in Python
+    rows = docs.select("id", text.tokens(F.coalesce("text", F.lit(""))).alias("w")).select("id", line)
     kind = docs.schema["id"].dataType.simpleString()
     if size["n"] <= most_names and size["chars"] <= most_chars:
         got = keys.toPandas()
@@ -116,8 +118,8 @@ def mentions(docs: DataFrame, names: DataFrame, most_names: int = MOST_NAMES, mo
     # Equal rows go once, with their number.
     rows = docs.groupBy("id", F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("times"))
     rows = rows.select("id", F.xxhash64("text").alias("row"), "times", text.tokens(F.col("text")).alias("w"))
-    asked = rows.select("*", F.explode(F.array_distinct(F.transform("w", lambda x: F.pmod(F.xxhash64(x), F.lit(groups))))).alias("group"))
-    known = keys.select(F.lit(None).cast(kind).alias("id"), F.lit(None).cast("bigint").alias("row"), F.lit(1).cast("bigint").alias("times"), F.lit(None).cast("array<string>").alias("w"), group("first"), "entity_id", "key")
+    asked = rows.select("*", F.explode(F.array_distinct(F.transform("w", lambda x: F.pmod(F.xxhash64(x), F.lit(groups))))).alias("group")).withColumn("w", line)
+    known = keys.select(F.lit(None).cast(kind).alias("id"), F.lit(None).cast("bigint").alias("row"), F.lit(1).cast("bigint").alias("times"), F.lit(None).cast("string").alias("w"), group("first"), "entity_id", "key")
     both = known.unionByName(asked.withColumns(none)).repartition("group").sortWithinPartitions("group", F.asc_nulls_last("entity_id"))
     found = both.mapInPandas(_by_group, f"id {kind}, row bigint, times bigint, {FOUND}").withColumn("of", F.xxhash64("id"))
     found = found.repartition("of", "row").sortWithinPartitions("of", "row", "start", F.desc("words"))

@@ -146,3 +146,20 @@ def test_stream_decides_like_the_rounds_and_goes_on_after_a_stop(spark, tmp_path
     again = run_stream(spark, f"file://{folders[1]}", f"file://{tmp_path}/c1", f"file://{tmp_path}/o1")
     key = lambda r: (r["part"], r["article_id"] or -1, r["story_id"], str(r["similarity"]), r["last_activity"], r["open"])
     assert sorted(map(key, again.collect())) == sorted(map(key, whole.collect()))
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_slices_are_folded_side_by_side(spark, monkeypatch, block):
+    """Far fewer rounds than slices; many open stories meet a slice in tiles, few in its own task."""
+    rng = np.random.default_rng(5)
+    at = datetime(2024, 1, 1)
+    rows = [(1, i, at + timedelta(minutes=40 * i), f"h{i % 3}.com", rng.normal(size=8).tolist(), ["m"], [i // 4, (i + 2) // 4 + 1000], ["a", "b"]) for i in range(240)]
+    rounds, fold = [], folding._slice_fold
+    monkeypatch.setattr(folding, "_slice_fold", lambda *a: rounds.append(a) or fold(*a))
+    monkeypatch.setattr(folding, "BLOCK", block)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = one_loop(rows, 0.3, 5)
+    assert decisions(folding.fold_in_rounds(df, 0.3, 5, 10)) == want
+    assert 10 < sum(joined for _, joined, *_ in want.values()) < 230
+    slices = folding._sliced(df, 10).agg(F.max("slice")).first()[0]
+    assert slices >= 20 and len(rounds) <= slices // 2

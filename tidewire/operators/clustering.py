@@ -55,8 +55,8 @@ def cluster(articles: DataFrame, edges: DataFrame, entities: DataFrame, over: Da
     that an article of the last WINDOW_HOURS has, directly or through others, so each entity's
     articles are cut where WINDOW_HOURS pass without one, and components over these pieces
     (before mastheads are left out) can't see each other. The top-k cut then counts stories of the
-    own component only. Components are folded in rounds over slices of about `size` of their
-    articles (fold_in_rounds), so no task goes through a whole component.
+    own component only. Slices of about `size` articles of a component are folded side by side, in
+    rounds (fold_in_rounds), so no task goes through a whole component, and a long one takes few rounds.
     """
     from tidewire.functions import text
 

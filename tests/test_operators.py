@@ -472,3 +472,34 @@ def test_near_pairs_come_once_without_a_shuffle(spark):
             out = dedup.near_pairs(df, width=width, scheme=scheme)
             assert sorted(map(tuple, out.collect())) == want
             assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_newest_near_item_is_found_in_eras(spark, monkeypatch):
+    """Of 32 bits: an asker that finds one in its own era goes no further, so most pairs are never met; the rest look through longer eras."""
+    rng = random.Random(3)
+    base = [rng.getrandbits(32) for _ in range(12)]
+    rows = [(7 * i - 500, rng.choice([0, rng.choice(base), rng.choice(base) ^ (1 << rng.randrange(32)), rng.getrandbits(32)])) for i in range(400)]
+    met, inner = [], dedup._met_in
+    monkeypatch.setattr(dedup, "_met_in", lambda *a: met.append(inner(*a)) or met[-1])
+    items = spark.createDataFrame(rows, "id bigint, simhash bigint")
+    got = {r.id: r.near for r in dedup.near_before(items.where("simhash <> 0"), items, 32, era=20).collect()}
+    near = lambda x, y: x and y and bin(x ^ y).count("1") <= 3
+    want = {i: max(j for j, y in rows if j < i and near(x, y)) for i, x in rows if any(j < i and near(x, y) for j, y in rows)}
+    assert got == want and len(met) == 2
+    whole = {(x, y) for _, x in rows for _, y in rows if x != y and near(x, y)}
+    assert sum(m.count() for m in met) < 4 * len(whole)
+    pairs = {tuple(r) for r in met[-1].select("a", "b").collect()}
+    assert pairs < whole
+    assert dedup.near_before(items.where("id > 99999"), items.where("id > 99999"), 32).count() == 0
+
+
+def test_md5_fingerprints_vote_by_bits(spark):
+    import hashlib
+
+    from tidewire.functions import bits
+
+    for width in (32, 64):
+        h = [int(hashlib.md5(w.encode()).hexdigest()[: width // 4], 16) for w in ("ab", "c'd", "ab", "9")]
+        v = sum(1 << b for b in range(width) if 2 * sum(x >> b & 1 for x in h) > 4)
+        df = spark.range(1).select(bits.simhash_md5(F.lit("Ab c'D"), F.lit("ab -- 9"), width).alias("x"), bits.simhash_md5(F.lit(None), F.lit(" "), width).alias("y"))
+        assert tuple(df.first()) == (v - 2**64 if v >> 63 else v, 0)

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidewire.operators import clustering, greedy, index, tiles, work
@@ -96,3 +97,18 @@ def test_greedy_rounds_absorb_like_a_loop(spark, monkeypatch, few):
         rows = [(a, b, int(time[a]), int(time[b])) for a, b in pairs]
         got = greedy.merges(spark.createDataFrame(rows, "a bigint, b bigint, at_a int, at_b int")).collect()
         assert {r.b: r.a for r in got} == want and len(got) == len(want)
+
+
+def test_index_gives_each_probe_out_once_from_python(spark, tmp_path, monkeypatch):
+    """However many lists a probe asks, its vector leaves Python once, in short batches; parts of the probes find what all find together."""
+    rng = np.random.default_rng(8)
+    rows, probes = frame(spark, enumerate(rng.normal(size=(900, 6))), "row_id"), frame(spark, enumerate(rng.normal(size=(60, 6))), "probe_id")
+    with work.tables(spark) as table:
+        ix = index.VectorIndex(rows, table, 20)
+        whole = sorted(tuple(r) for r in ix.search(probes, 5, 9).select("probe_id", "row_id", "rank").collect())
+        monkeypatch.setattr(index, "AT_ONCE", 16)
+        out = list(ix._assign(9)(iter([pd.DataFrame({"id": range(100), "vector": list(rng.normal(size=(100, 6)))})])))
+        assert [len(x) for x in out] == [16] * 6 + [4] and all(len(set(n)) == 9 for x in out for n in x["lists"])
+        monkeypatch.setattr(index, "ASKS", 8)
+        assert sorted(tuple(r) for r in ix.search(probes, 5, 9).select("probe_id", "row_id", "rank").collect()) == whole
+        assert len(whole) == 300

@@ -13,8 +13,8 @@ from . import tiles, work
 
 #: Rows that centroids are fitted on, rows of a list in the mean, lists at most, rounds of the fit; probes that the share of lists is measured with.
 SAMPLE, A_LIST, LISTS, ROUNDS, MEASURED = 65_536, 64, 4096, 8, 256
-#: Rows of a list that meet its probes in one task.
-BLOCK = 4096
+#: Rows of a list that meet its probes in one task, probes there, vectors whose nearest lists are found at once.
+BLOCK, ASKS, AT_ONCE = 4096, 16_384, 512
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ class VectorIndex:
         self.near = len(self.centroids)
         self._shared = spark.sparkContext.broadcast(self.centroids)  # at most LISTS vectors
         kind = rows.schema["row_id"].dataType.simpleString()
-        dealt = rows.where(F.size("vector") == self.dim).select(F.col("row_id").alias("id"), "vector").mapInPandas(self._assign(1), f"id {kind}, vector array<double>, list int")
+        dealt = self._assigned(rows.where(F.size("vector") == self.dim).select(F.col("row_id").alias("id"), "vector"), kind, 1)
         self.lists = table(dealt.repartition("list"), "list")
         self.kind = kind
 
@@ -68,27 +68,34 @@ class VectorIndex:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                sims = _unit(np.stack(pdf["vector"])) @ shared.value.T
-                at = np.argpartition(-sims, min(near, sims.shape[1]) - 1, axis=1)[:, :near] if near < sims.shape[1] else np.tile(np.arange(sims.shape[1]), (len(sims), 1))
-                out = pdf.loc[pdf.index.repeat(at.shape[1])].copy()
-                yield out.assign(list=at.ravel())
+                for a in range(0, len(pdf), AT_ONCE):
+                    some = pdf.iloc[a : a + AT_ONCE]
+                    sims = _unit(np.stack(some["vector"])) @ shared.value.T
+                    at = np.argpartition(-sims, min(near, sims.shape[1]) - 1, axis=1)[:, :near] if near < sims.shape[1] else np.tile(np.arange(sims.shape[1]), (len(sims), 1))
+                    yield some.assign(lists=list(at.astype(np.int32)))
 
         return run
 
+    def _assigned(self, rows: DataFrame, kind: str, near: int) -> DataFrame:
+        """rows(id, vector), one for each of the lists nearest to them. Python gives a vector out once, however many lists it asks."""
+        found = rows.mapInPandas(self._assign(near), f"id {kind}, vector array<double>, lists array<int>")
+        return found.select("id", "vector", F.explode("lists").alias("list"))
+
     def search(self, probes: DataFrame, k: int, near: int | None = None) -> DataFrame:
         """(probe_id, row_id, similarity, rank): the k best of each probe among the lists nearest to it.
 
-        Lists are dealt over blocks, so one that holds a third of all rows is many tasks.
+        Lists are dealt over blocks and probes over parts, so one that holds a third of all rows is many tasks.
         """
         near = near or self.near
         asked = probes.where(tiles.usable(F.col("vector"))).select(F.col("probe_id").alias("id"), F.transform("vector", lambda v: v.cast("double")).alias("vector")).where(F.size("vector") == self.dim)
-        asked = asked.mapInPandas(self._assign(near), f"id {self.kind}, vector array<double>, list int")
+        parts = max(1, -(-asked.count() // ASKS))
+        asked = self._assigned(asked, self.kind, near)
         blocks = self.lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cbs"))  # LISTS rows
-        known = self.lists.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("id"), "cbs").cast("int").alias("cb"), "id", "vector", F.lit(False).alias("asks"))
-        asked = asked.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("cbs") - 1)).alias("cb"), "id", "vector", F.lit(True).alias("asks"))
-        both = asked.unionByName(known).withColumns({"dim": F.lit(self.dim), "qb": F.col("list")}).drop("list")
+        # qb: a list and a part of the probes.
+        known = self.lists.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("id"), "cbs").cast("int").alias("cb"), "id", "vector", F.lit(False).alias("asks"))
+        own = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(parts)).cast("int").alias("part")
+        asked = asked.join(F.broadcast(blocks), "list").select("list", own, F.explode(F.sequence(F.lit(0), F.col("cbs") - 1)).alias("cb"), "id", "vector", F.lit(True).alias("asks"))
+        both = asked.unionByName(known).withColumns({"dim": F.lit(self.dim), "qb": F.col("list").cast("bigint") * parts + F.col("part")}).drop("list", "part")
         both = both.repartition("qb", "cb").sortWithinPartitions("dim", "qb", "cb")
         found = both.mapInPandas(tiles._tile(k, None), f"probe_id {self.kind}, row_id {self.kind}, similarity double")
         return tiles.ranked(found, k)

@@ -503,3 +503,17 @@ def test_md5_fingerprints_vote_by_bits(spark):
         v = sum(1 << b for b in range(width) if 2 * sum(x >> b & 1 for x in h) > 4)
         df = spark.range(1).select(bits.simhash_md5(F.lit("Ab c'D"), F.lit("ab -- 9"), width).alias("x"), bits.simhash_md5(F.lit(None), F.lit(" "), width).alias("y"))
         assert tuple(df.first()) == (v - 2**64 if v >> 63 else v, 0)
+
+
+def test_schemes_lose_none_and_keep_keys_long(spark):
+    rng = random.Random(4)
+    for width, schemes in dedup.SCHEMES.items():
+        base = [rng.getrandbits(width) for _ in range(30)]
+        found = {x ^ sum(1 << b for b in rng.sample(range(width), n)) for x in base for n in (0, 1, 2, 3, 4)}
+        h = {x - (2**64 if width == 64 and x >> 63 else 0) for x in found}
+        want = sorted((a, b) for a in h for b in h if a and b and a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+        df = spark.createDataFrame([(x,) for x in h], "simhash bigint")
+        for _, blocks, same in schemes:
+            assert sorted(map(tuple, dedup.near_pairs(df, width=width, scheme=(blocks, same)).collect())) == want
+    blocks, same = dedup._scheme(500_000, 64)
+    assert 64 * same // blocks >= 25 and dedup._scheme(100, 64) == (4, 1)

@@ -517,3 +517,36 @@ def test_schemes_lose_none_and_keep_keys_long(spark):
             assert sorted(map(tuple, dedup.near_pairs(df, width=width, scheme=(blocks, same)).collect())) == want
     blocks, same = dedup._scheme(500_000, 64)
     assert 64 * same // blocks >= 25 and dedup._scheme(100, 64) == (4, 1)
+
+
+def test_near_pairs_work_out_fingerprints_once(spark, sf, monkeypatch):
+    """A filter on a fingerprint before the cut is pushed below it, so that its UDF runs twice for each text."""
+    from tidewire.plans import text
+    from tidewire.plans.registry import Tables
+
+    inner, plans_seen = dedup.cut, []
+    monkeypatch.setattr(dedup, "cut", lambda df: plans_seen.append(df._jdf.queryExecution().executedPlan().toString()) or inner(df))
+    t = Tables(spark, sf)
+    assert dedup.near_pairs(text._hashes_md5_64(t)).where("a = 0 OR b = 0").count() == 0
+    assert sum(p.count("EvalPython") for p in plans_seen) == 1
+
+
+def test_fingerprints_of_a_batch_vote_each_for_itself(spark, monkeypatch):
+    """Texts of one batch, among them empty ones and ones longer than what is laid out at a time."""
+    import hashlib
+    import re
+
+    from tidewire.functions import bits
+
+    monkeypatch.setattr(bits, "AT_ONCE", 7)
+    rng = random.Random(5)
+    words = ["ab", "c'd", "'", "9", "é", "İx", "K", "-", "\n", "zebra", "ab,9"]
+    texts = ["", " ", None, *(" ".join(rng.choice(words) for _ in range(n)) for n in (1, 0, 3, 6, 7, 8, 0, 40, 2, 300)), "--", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    found = {r.id: [*re.findall("[a-z0-9']+", r.low)] for r in df.select("id", F.lower(F.concat_ws(" ", F.coalesce("t", F.lit("")), F.left(F.coalesce("t", F.lit("")), F.lit(400)))).alias("low")).collect()}
+    for f, digest, width in ((bits.simhash, lambda w: hashlib.blake2b(w, digest_size=8), 64), (lambda a, b: bits.simhash_md5(a, b, 64), hashlib.md5, 64), (bits.simhash_md5, hashlib.md5, 32)):
+        for r in df.select("id", f(F.col("t"), F.col("t")).alias("h")).collect():
+            h = [int.from_bytes(digest(w.encode()).digest()[: width // 8], "big") for w in found[r.id]]
+            v = sum(1 << b for b in range(width) if 2 * sum(x >> b & 1 for x in h) > len(h))
+            assert r.h == (v - 2**64 if width == 64 and v >> 63 else v)
+    assert bits._voted([b"\xff" * 8, b"\0" * 8], np.array([0, 0, 1, 1]), np.array([3, 0, 1]), 64).tolist() == [-1, 0, 0]

@@ -550,3 +550,26 @@ def test_fingerprints_of_a_batch_vote_each_for_itself(spark, monkeypatch):
             v = sum(1 << b for b in range(width) if 2 * sum(x >> b & 1 for x in h) > len(h))
             assert r.h == (v - 2**64 if width == 64 and v >> 63 else v)
     assert bits._voted([b"\xff" * 8, b"\0" * 8], np.array([0, 0, 1, 1]), np.array([3, 0, 1]), 64).tolist() == [-1, 0, 0]
+
+
+def test_near_pairs_of_a_large_key_meet_in_tiles(spark, monkeypatch):
+    """Half of all fingerprints share their last 40 bits, so the largest keys are dealt over blocks; no pair is lost or comes twice."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(24) << 40 | 12345 for _ in range(60)] + [rng.getrandbits(64) for _ in range(60)]
+    h = {x ^ sum(1 << b for b in rng.sample(range(64), n)) for x in base for n in (0, 1, 2, 3)} | {i << 40 | 12345 for i in range(100)}
+    h = sorted(x - (2**64 if x >> 63 else 0) for x in h)
+    want = sorted((a, b) for a in h for b in h if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    df = spark.createDataFrame([(x,) for x in h], "simhash bigint")
+    tiled, inner = [], dedup._tiled
+    monkeypatch.setattr(dedup, "_tiled", lambda *a: tiled.append(inner(*a)) or tiled[-1])
+    for rows, sample, pairs in ((16, 1, 1 << 18), (16, 4, 50), (4096, 16, 7)):
+        monkeypatch.setattr(dedup, "ROWS", rows), monkeypatch.setattr(dedup, "SAMPLE", sample), monkeypatch.setattr(dedup, "PAIRS", pairs)
+        for scheme in ((4, 1), (5, 2), (6, 3)):
+            assert sorted(map(tuple, dedup.near_pairs(df, scheme=scheme).collect())) == want
+            largest = tiled[-1].groupBy("key").count().agg(F.max("count")).first()[0]
+            assert largest < 80 if sample == 1 else largest > 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # a key's rows go on over many batches
+    try:
+        assert sorted(map(tuple, dedup.near_pairs(df).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -573,3 +573,20 @@ def test_near_pairs_of_a_large_key_meet_in_tiles(spark, monkeypatch):
         assert sorted(map(tuple, dedup.near_pairs(df).collect())) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fingerprints_of_texts_longer_than_a_piece(spark, monkeypatch):
+    """A batch is split into words in pieces of texts; a text that is longer than a piece is one of its own."""
+    from tidewire.functions import bits
+
+    texts = ["", None, "ab cd", "x " * 50 + "y", "ab", "", "c " * 9, "ab cd ef gh"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+
+    def prints():
+        return [(r.id, r.h, r.w) for r in df.select("id", bits.simhash_md5(F.col("t"), F.col("t"), 64).alias("h"), bits.simhash_md5(F.lit(""), F.col("t"), 64, whole=True).alias("w")).orderBy("id").collect()]
+
+    want = prints()
+    for size in (1, 7, 30):
+        monkeypatch.setattr(bits, "SPLIT", size)
+        assert prints() == want
+    assert [w for _, _, w in want] == [bits._voted([bits._md5(x) for x in (t or "").split()], np.arange(len((t or "").split())), np.array([len((t or "").split())]), 64)[0] for t in texts]

@@ -175,6 +175,25 @@ def test_near_duplicates_are_found_at_64_bits(spark, tmp_path):
     assert plans.QUERIES["simhash_bands_64"](spark, str(tmp_path)).where("value > 255").count() > 0
 
 
+def test_near_dup_pairs_takes_whole_texts(spark, tmp_path):
+    """Texts of one beginning of over 400 characters, and different ends: by the beginning alone they have one fingerprint, so no pair."""
+    head = "some title\n" + " ".join(f"tok{i}" for i in range(80))
+    texts = {1: head, 2: head + " tok0 tok1", 3: head + "\n" + " ".join(f"other{i}" for i in range(400)), 4: head + " tok2", 5: None, 6: ""}
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def whole(t):
+        h = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in (t.split("\n")[0] + " " + t).split()]
+        return sum(1 << b for b in range(32) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = {whole(t or "") for t in texts.values()} - {0}
+    want = sorted((a, b) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 3)
+    got = plans.QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r.a, r.b) for r in got) == want and want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(plans.ORACLE_SQL["near_dup_pairs"]).fetchall()) == want
+
+
 def test_shared_guard_takes_all_articles(spark):
     sf = "/root/testdata/sf0.01"  # on the smallest tables all entities are too common
     of, want = {}, {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from . import work
 
 # Fixed values.
 MAX_FRACTION, MIN_FLOOR = 0.10, 5
-#: Rows of a key up to which its list of entities goes with each of them.
-LISTED = 64
+#: Rows of a key up to which its list of entities goes with each of them; entities in all these lists that are shuffled at a time, about 0.6 GB.
+LISTED, AT_ONCE = 64, 1 << 27
 
 
 def document_frequency(edges: DataFrame) -> DataFrame:
@@ -75,16 +77,16 @@ def story_guard(story_edges: DataFrame, entities: DataFrame, over: DataFrame, me
     return rows.where(~own).select("story_id", "entity_id")
 
 
-def _with_lists(rows: DataFrame, key: str, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(out, entity_id, list, twice) for each entity of keys with LISTED rows at most; (out, entity_id) of other keys' rows, and of all."""
-    n = F.count("*").over(Window.partitionBy(out))
-    rows = rows.where("entity_id IS NOT NULL").select(F.col(key).alias(out), "entity_id").withColumn("_n", n)
-    with work.tables(rows.sparkSession) as table:
-        rows = table(rows, keep=True)  # read more than once
-    lists = rows.where(F.col("_n") <= LISTED).groupBy(out).agg(F.array_sort(F.collect_list("entity_id")).alias("list"))
-    once = F.array_distinct("list")
-    lists = lists.select(out, F.explode(once).alias("entity_id"), "list", (F.size("list") > F.size(once)).alias("twice"))
-    return lists, rows.where(F.col("_n") > LISTED).select(out, "entity_id"), rows.select(out, "entity_id", "_n")
+def _counted(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """(out, entity_id, _n) with the number of the key's rows."""
+    rows = rows.where("entity_id IS NOT NULL").select(F.col(key).alias(out), "entity_id").withColumn("_n", F.count("*").over(Window.partitionBy(out)))
+    with work.tables(rows.sparkSession) as table, work.released(rows.sparkSession):
+        return table(rows, keep=True)  # read more than once
+
+
+def _lists(rows: DataFrame, out: str) -> DataFrame:
+    """(out, list) of each key with LISTED rows at most."""
+    return rows.where(F.col("_n") <= LISTED).groupBy(out).agg(F.array_sort(F.collect_list("entity_id")).alias("list"))
 
 
 def shared(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame:
@@ -92,18 +94,39 @@ def shared(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame:
 
     The rows of a key bring its whole list of entities along, so a pair is counted where its least common
     entity meets: pairs are not shuffled. Only those of keys with more than LISTED rows are, to be grouped.
+    Lists are many times as long as the rows. Where they have more than AT_ONCE entities, entities meet in parts, one part after another,
+    and a part's shuffle files go before the next: the disk holds one part of them, the rows and the result.
     Rows that repeat an entity of a key count as often as they meet.
     """
-    (a_short, a_long, a_all), (b_short, b_long, b_all) = _with_lists(a, a_key, "_a"), _with_lists(b, b_key, "_b")
-    met = a_short.join(b_short.withColumnsRenamed({"list": "b_list", "twice": "b_twice"}), "entity_id")
-    met = met.select("*", F.array_intersect("list", "b_list").alias("both")).where(F.get("both", F.lit(0)) == F.col("entity_id"))
-    times = F.aggregate("list", F.lit(0).cast("bigint"), lambda s, x: s + F.size(F.filter("b_list", lambda y: y == x)))
-    found = met.select("_a", "_b", F.when(F.col("twice") | F.col("b_twice"), times).otherwise(F.size("both").cast("bigint")).alias("shared"))
+    spark, a, b = a.sparkSession, _counted(a, a_key, "_a"), _counted(b, b_key, "_b")
+    a_lists, b_lists = _lists(a, "_a"), _lists(b, "_b")
+    with work.released(spark):
+        sent = sum(x.where(F.col("_n") <= LISTED).agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] for x in (a, b))
+    parts = max(1, -(-sent // AT_ONCE))
+    if parts == 1:
+        found = [_met(a_lists, b_lists)]
+    else:
+        with work.tables(spark) as table, work.released(spark):
+            a_lists, b_lists = table(a_lists), table(b_lists)
+            found = [table(_met(a_lists, b_lists, part, parts), keep=True) for part in range(parts)]
+    a_long, b_long = (x.where(F.col("_n") > LISTED).drop("_n") for x in (a, b))
     some = lambda x, y: x.join(y, "entity_id").select("_a", "_b")
-    rest = [some(a_long, b_all)] if not a_long.isEmpty() else []
-    rest += [some(a_all.where(F.col("_n") <= LISTED), b_long)] if not b_long.isEmpty() else []
-    for more in rest[1:]:
-        rest[0] = rest[0].unionByName(more)
+    rest = [some(a_long, b)] if not a_long.isEmpty() else []
+    rest += [some(a.where(F.col("_n") <= LISTED), b_long)] if not b_long.isEmpty() else []
     if rest:
-        found = found.unionByName(rest[0].groupBy("_a", "_b").agg(F.count("*").alias("shared")))
-    return found.select(F.col("_a").alias(a_key), F.col("_b").alias(b_key), "shared")
+        found.append(reduce(DataFrame.unionByName, rest).groupBy("_a", "_b").agg(F.count("*").alias("shared")))
+    return reduce(DataFrame.unionByName, found).select(F.col("_a").alias(a_key), F.col("_b").alias(b_key), "shared")
+
+
+def _met(a_lists: DataFrame, b_lists: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(_a, _b, shared) of keys whose least common entity is in this part of all entities."""
+
+    def rows(lists: DataFrame, out: str) -> DataFrame:
+        once = F.array_distinct("list")
+        here = once if parts == 1 else F.filter(once, lambda x: F.pmod(F.xxhash64(x), F.lit(parts)) == part)
+        return lists.select(out, F.explode(here).alias("entity_id"), "list", (F.size("list") > F.size(once)).alias("twice"))
+
+    met = rows(a_lists, "_a").join(rows(b_lists, "_b").withColumnsRenamed({"list": "b_list", "twice": "b_twice"}), "entity_id")
+    met = met.select("*", F.array_intersect("list", "b_list").alias("both")).where(F.get("both", F.lit(0)) == F.col("entity_id"))
+    times = F.aggregate("list", F.lit(0).cast("bigint"), lambda s, x: s + F.size(F.filter("b_list", lambda y: y == x)))
+    return met.select("_a", "_b", F.when(F.col("twice") | F.col("b_twice"), times).otherwise(F.size("both").cast("bigint")).alias("shared"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.operators import clustering, guard
+from tidewire.operators import clustering, guard, work
 
 from . import domain as d
 from .registry import Tables, query
@@ -73,10 +73,13 @@ LEFT JOIN (SELECT article_id // 5 AS story_id, min(domain) AS domain FROM {DOMAI
 WHERE e.entity_type <> 'OTHER' AND l_partkey NOT IN (SELECT entity_id FROM {OVER}) AND NOT list_contains(coalesce({LABELS}, []), regexp_replace(lower(e.name), '[^a-z0-9]', '', 'g')))"""
 
 
+def _members(domains):
+    return domains.select(F.floor(F.col("article_id") / 5).alias("story_id"), "domain")
+
+
 @query(f"SELECT * FROM {S_GUARD}")
 def story_guard(t: Tables):
-    members = _domains(t).select(F.floor(F.col("article_id") / 5).alias("story_id"), "domain")
-    return guard.story_guard(_story(t), d.entities(t), _over(t), members)
+    return guard.story_guard(_story(t), d.entities(t), _over(t), _members(_domains(t)))
 
 
 SHARED = f"SELECT a.article_id, s.story_id, count(*) AS shared FROM {A_GUARD} a JOIN {S_GUARD} s ON a.entity_id = s.entity_id GROUP BY 1, 2"
@@ -84,8 +87,12 @@ SHARED = f"SELECT a.article_id, s.story_id, count(*) AS shared FROM {A_GUARD} a
 
 @query(SHARED)
 def shared_guard(t: Tables):
-    """Guard entities that each article shares with each story."""
-    return guard.shared(article_guard(t), "article_id", story_guard(t), "story_id")
+    """Guard entities that each article shares with each story. What both guards need is worked out once."""
+    with work.tables(t.spark) as table, work.released(t.spark):
+        over, domains = table(_over(t)), table(_domains(t))
+        articles = guard.article_guard(d.edges(t), d.entities(t), over, domains)
+        stories = guard.story_guard(_story(t), d.entities(t), over, _members(domains))
+        return guard.shared(articles, "article_id", stories, "story_id")
 
 
 @query(SHARED)

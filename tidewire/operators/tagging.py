@@ -6,16 +6,16 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
 
-from .folding import _runs as runs
-
 #: Names, and code points of all names together, that are broadcast; more are dealt over groups of about so many by their first word.
 MOST_NAMES, MOST_CHARS = 500_000, 16 << 20
+#: Groups times slices of documents, each with an automaton of its own: so many at least, however few groups there are. Documents whose mentions are sent at a time.
+CELLS, SENT = 128, 500
 FOUND = "entity_id bigint, start int, words int"
 
 
@@ -39,10 +39,11 @@ def matches(machine, words: str) -> list[tuple[int, int, int]]:
     """(start, words, entity) of all names in words between single spaces, overlapping ones too."""
     if not words or not len(machine):
         return []
-    line = " " + words + " "
-    at = np.cumsum([0, *(len(w) + 1 for w in words.split(" "))])
-    ends = {int(a): n for n, a in enumerate(at)}  # the space before word n
-    return [(ends[end] - n, n, i) for end, (i, n) in machine.iter(line)]
+    line, out, n, last = " " + words + " ", [], 0, 0
+    for end, (i, size) in machine.iter(line):  # by their ends, so each space is counted once
+        n, last = n + line.count(" ", last, end), end
+        out.append((n - size, size, i))
+    return out
 
 
 def longest(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -55,43 +56,83 @@ def longest(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["id", "entity_id", "start", "words"]).astype({"entity_id": "int64", "start": "int32", "words": "int32"})
+def _columns(found: list[list[tuple[int, int, int]]]) -> tuple[np.ndarray, list[pa.Array]]:
+    """How many matches each document has, and all starts, words and entities one after another."""
+    flat = np.array([m for doc in found for m in doc], np.int64).reshape(-1, 3)
+    return np.array([len(doc) for doc in found], np.int64), [pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2])]
+
+
+def _mentions(ids: pa.Array, found: list[list[tuple[int, int, int]]], times: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each match, for all of a document's as often as `times` says."""
+    if times is not None:
+        found = [doc * n for doc, n in zip(found, times.tolist(), strict=True)]
+    sizes, (start, words, entity) = _columns(found)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), sizes))), entity, start, words], names=["id", "entity_id", "start", "words"])
 
 
 def _with_all(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(*shared.value)
-        for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                some = pdf.iloc[a : a + 500]
-                yield _frame([(i, e, s, n) for i, w in zip(some["id"], some["w"], strict=True) for s, n, e in longest(matches(machine, w))])
+        for batch in batches:
+            for a in range(0, batch.num_rows, SENT):
+                some = batch.slice(a, SENT)
+                yield _mentions(some.column("id"), [longest(matches(machine, w)) for w in some.column("w").to_pylist()])
 
     return run
 
 
-def _by_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each group's names, then the documents that have a first word of it, in one stream: all matches."""
-    machine, group, names = None, None, []
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples():
-            if r.group != group:
-                machine, group, names = None, r.group, []
-            if r.entity_id == r.entity_id and r.entity_id is not None:
-                names.append((r.key, int(r.entity_id)))
+def _longest_here(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of the matches that start at one word the longest: no other can count."""
+    return list({m[0]: m for m in sorted(found)}.values())
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each cell's names, then its documents, in one stream: (id, of, row, times, start, words, entity) for each document with matches."""
+    machine, ready, cell = None, False, None
+    for batch in batches:
+        cells, named = batch.column("cell").to_numpy(), batch.column("entity_id").is_valid().to_numpy(zero_copy_only=False)
+        edges = np.r_[0, np.flatnonzero((cells[1:] != cells[:-1]) | (named[1:] != named[:-1])) + 1, len(cells)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if a < b and cells[a] != cell:
+                machine, ready, cell = ahocorasick.Automaton(), False, cells[a]
+            if a < b and named[a]:
+                some = batch.slice(a, b - a)
+                for key, i in zip(some.column("key").to_pylist(), some.column("entity_id").to_pylist(), strict=True):
+                    machine.add_word(key, (i, key.count(" ") - 1))
                 continue
-            if machine is None:
-                machine = automaton([k for k, _ in names], [i for _, i in names])
-                names = []  # the automaton has them
-            out += [(r.id, r.row, r.times, e, s, n) for s, n, e in matches(machine, r.w)]
-        yield pd.DataFrame(out, columns=["id", "row", "times", "entity_id", "start", "words"]).astype({"times": "int64", "entity_id": "int64", "start": "int32", "words": "int32"})
-
-
-def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for doc in runs(batches, "of", "row"):
-        found = longest(list(zip(doc["start"], doc["words"], doc["entity_id"], strict=True)))
-        yield _frame([(doc["id"].iloc[0], e, s, n) for s, n, e in found for _ in range(doc["times"].iloc[0])])
+            if not ready and len(machine or ()):
+                machine.make_automaton()
+            ready = True
+            for at in range(a, b, SENT):
+                some = batch.slice(at, min(SENT, b - at))
+                found = [_longest_here(matches(machine, w)) for w in some.column("w").to_pylist()]
+                sizes, columns = _columns(found)
+                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, c) for c in columns]
+                out = pa.RecordBatch.from_arrays([*(some.column(c) for c in ("id", "of", "row", "times")), *lists], names=["id", "of", "row", "times", "start", "words", "entity"])
+                yield out.filter(pa.array(sizes > 0))
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents' matches of all groups, rows sorted by (of, row), as mentions."""
+    rest: list[tuple] = []  # of the last document, which may go on in the next batch
+    for batch in batches:
+        kind, docs = batch.column("id").type, []
+        for r in [*zip(*(batch.column(c).to_pylist() for c in ("of", "row", "id", "times", "start", "words", "entity")), strict=True)]:
+            if rest and rest[0][:2] != r[:2]:
+                docs.append(rest)
+                rest = []
+            rest.append(r)
+        yield from _whole(docs, kind)
+    if rest:
+        yield from _whole([rest], kind)
+
+
+def _whole(docs: list[list[tuple]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(docs), SENT):
+        some = docs[a : a + SENT]
+        found = [longest([m for r in rows for m in zip(*r[4:], strict=True)]) for rows in some]
+        yield _mentions(pa.array([rows[0][2] for rows in some], kind), found, np.array([rows[0][3] for rows in some]))
 
 
 def mentions(docs: DataFrame, names: DataFrame, most_names: int = MOST_NAMES, most_chars: int = MOST_CHARS) -> DataFrame:
@@ -100,7 +141,8 @@ def mentions(docs: DataFrame, names: DataFrame, most_names: int = MOST_NAMES, mo
     Words are runs of a-z, 0-9 and ' in lower case. From left to right the longest name at each place counts, and
     none over another. As long as the names are `most_names` and `most_chars` at most, which is counted first, every
     task has the whole automaton; beyond, names are dealt over groups by their first word, a document goes
-    to the groups of its words only, and a document's matches meet again. Null and empty texts
+    to the groups of its words only, and a document's matches meet again. Few groups would be few tasks, so each has its names
+    in several slices of the documents; all slices together hold about CELLS times `most_names` names at most, or each name once. Null and empty texts
     have no mentions; rows that repeat an id are found in each for itself; no rows give no rows.
     """
     keys = keyed(names).select("key", "first", "entity_id")
@@ -111,19 +153,22 @@ def mentions(docs: DataFrame, names: DataFrame, most_names: int = MOST_NAMES, mo
     if size["n"] <= most_names and size["chars"] <= most_chars:
         got = keys.toPandas()
         shared = docs.sparkSession.sparkContext.broadcast((got["key"].tolist(), got["entity_id"].tolist()))  # counted above
-        return rows.mapInPandas(_with_all(shared), f"id {kind}, {FOUND}")
+        return rows.mapInArrow(_with_all(shared), f"id {kind}, {FOUND}")
     groups = int(max(-(-size["n"] // max(1, most_names)), -(-size["chars"] // max(1, most_chars))))
-    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).alias("group")
+    slices = max(1, -(-CELLS // groups))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)) * slices
     none = {"entity_id": F.lit(None).cast("bigint"), "key": F.lit(None).cast("string")}
     # Equal rows go once, with their number.
     rows = docs.groupBy("id", F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("times"))
-    rows = rows.select("id", F.xxhash64("text").alias("row"), "times", text.tokens(F.col("text")).alias("w"))
-    asked = rows.select("*", F.explode(F.array_distinct(F.transform("w", lambda x: F.pmod(F.xxhash64(x), F.lit(groups))))).alias("group")).withColumn("w", line)
-    known = keys.select(F.lit(None).cast(kind).alias("id"), F.lit(None).cast("bigint").alias("row"), F.lit(1).cast("bigint").alias("times"), F.lit(None).cast("string").alias("w"), group("first"), "entity_id", "key")
-    both = known.unionByName(asked.withColumns(none)).repartition("group").sortWithinPartitions("group", F.asc_nulls_last("entity_id"))
-    found = both.mapInPandas(_by_group, f"id {kind}, row bigint, times bigint, {FOUND}").withColumn("of", F.xxhash64("id"))
-    found = found.repartition("of", "row").sortWithinPartitions("of", "row", "start", F.desc("words"))
-    return found.mapInPandas(_resolved, f"id {kind}, {FOUND}")
+    rows = rows.select("id", F.xxhash64("id").alias("of"), F.xxhash64("text").alias("row"), "times", text.tokens(F.col("text")).alias("w"))
+    own = F.pmod(F.xxhash64("of", "row"), F.lit(slices))
+    asked = rows.select("id", "of", "row", "times", line, F.explode(F.array_distinct(F.transform("w", group))).alias("group")).select((F.col("group") + own).alias("cell"), "id", "of", "row", "times", "w")
+    empty = [F.lit(None).cast(c).alias(n) for n, c in (("id", kind), ("of", "bigint"), ("row", "bigint"), ("times", "bigint"), ("w", "string"))]
+    known = keys.select("entity_id", "key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda x: group(F.col("first")) + x)).alias("cell"), *empty)
+    both = known.unionByName(asked.withColumns(none)).repartition("cell").sortWithinPartitions("cell", F.asc_nulls_last("entity_id"))
+    lists = "start array<int>, words array<int>, entity array<bigint>"
+    found = both.mapInArrow(_by_cell, f"id {kind}, of bigint, row bigint, times bigint, {lists}")
+    return found.repartition("of", "row").sortWithinPartitions("of", "row").mapInArrow(_resolved, f"id {kind}, {FOUND}")
 
 
 def counts(found: DataFrame) -> DataFrame:

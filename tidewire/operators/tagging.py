@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text
 
+from .graph import cut
+
 #: Names, and code points of all names together, that are broadcast; more are dealt over groups of about so many by their first word.
 MOST_NAMES, MOST_CHARS = 500_000, 16 << 20
 #: Groups times slices of documents, each with an automaton of its own: so many at least, however few groups there are. Documents whose mentions are sent at a time.
@@ -145,7 +147,7 @@ def mentions(docs: DataFrame, names: DataFrame, most_names: int = MOST_NAMES, mo
     in several slices of the documents; all slices together hold about CELLS times `most_names` names at most, or each name once. Null and empty texts
     have no mentions; rows that repeat an id are found in each for itself; no rows give no rows.
     """
-    keys = keyed(names).select("key", "first", "entity_id")
+    keys = cut(keyed(names).select("key", "first", "entity_id"))  # counted, then sent
     size = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("key")), F.lit(0)).alias("chars")).first()
     line = F.array_join("w", " ").alias("w")  # one string, where a list of words takes many times as much in Python
     rows = docs.select("id", text.tokens(F.coalesce("text", F.lit(""))).alias("w")).select("id", line)
